@@ -6,9 +6,12 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -62,3 +65,22 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of so many rows at most, that very long texts fit into a worker's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def map_texts(docs: DataFrame, keep: list[Column], text_col: str, schema: str, make: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
+    """The kept columns, and what make()(text) returns for each row's text, as columns of the schema ("a long, b string").
+
+    The other columns stay in the JVM; only the text goes to Python, in Arrow batches of bounded length. make() is called
+    once for each task.
+    """
+    bounded_batches(docs.sparkSession)
+    fields = StructType.fromDDL(schema)
+
+    @F.pandas_udf(fields)
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        f = make()
+        for s in texts:
+            yield pd.DataFrame([f(t) for t in s], columns=fields.names, dtype=object)
+
+    rows = docs.select(*keep, of(F.col(text_col)).alias("__m"))
+    return rows.select(*rows.columns[:-1], "__m.*")

@@ -21,14 +21,14 @@ How links are found without all pairs of a bucket:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import bounded_batches, cut
+from duoscope.llm.common import bounded_batches, cut, map_texts
 from duoscope.llm.components import components
 
 _PRIME_MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -84,23 +84,19 @@ def half_keys(s: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndar
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, halves: int = 9, rows: int = 2, seed: int = 7) -> DataFrame:
     """A row per input row: id, n_shingles, s1 and s2 (128-bit set hash), half (2 * halves longs; null without shingles)."""
-    bounded_batches(docs.sparkSession)
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[str | None], tuple]:
         memo: dict[bytes, int] = {}
         a, b = _coefficients(2 * halves * rows, seed)
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                s = shingle_hashes(text, k, memo)
-                if len(s):
-                    out.append((len(s), *_set_hash(s.tobytes()), half_keys(s, a, b, rows).view(np.int64)))
-                else:
-                    out.append((0, 0, 0, None))
-            n, s1, s2, half = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pd.DataFrame({"id": pdf["id"], "n_shingles": n, "s1": s1, "s2": s2, "half": half})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(sign, "id long, n_shingles long, s1 long, s2 long, half array<long>")
+        def sign(text: str | None) -> tuple:
+            s = shingle_hashes(text, k, memo)
+            if not len(s):
+                return 0, 0, 0, None
+            return len(s), *_set_hash(s.tobytes()), half_keys(s, a, b, rows).view(np.int64)
+
+        return sign
+
+    return map_texts(docs, [F.col(id_col).cast("long").alias("id")], text_col, "n_shingles long, s1 long, s2 long, half array<long>", make)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -112,6 +108,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
             every = [shingle_hashes(t, k, memo).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"node": [_set_hash(s)[0] for s in every], "s": every})
 
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep", "left_semi")
     return texts.select("text").mapInPandas(sets, "node long, s binary").dropDuplicates(["node"]).join(wanted, "node", "left_semi")
 
