@@ -6,7 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscope.llm.common import table
+from duoscope.llm.decontam import leaks
+from duoscope.llm.licenses import license_scan
 from duoscope.llm.minhash import near_classes
+from duoscope.llm.quality import quality_rules
+from duoscope.llm.secret_scan import secret_scan
+from duoscope.llm.sharding import shard_by_key
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_key(table(spark, sf_dir, "documents"), weights=[1.0] * 24)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +27,28 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op6_minhash_dedup": op6_minhash_dedup,
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_decontamination,
+        op6_minhash_dedup,
+        op8_quality_rules,
+        op9_license_scan,
+        op10_secret_scan,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
