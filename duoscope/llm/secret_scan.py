@@ -89,8 +89,12 @@ def identifier_samples(n: int, seed: int) -> list[str]:
 class Markov:
     """log P(random) - log P(identifier) of first-order character chains, per step; and the threshold."""
 
-    def __init__(self, n: int = 20_000, seed: int = 11, per_mille: float = 0.5) -> None:
-        """Trained on n labelled samples of either kind; per_mille of other n identifiers may pass the threshold."""
+    def __init__(self, n: int = 20_000, seed: int = 11, passed: float = 0.0005, missed: float = 0.01) -> None:
+        """Trained on n labelled samples of either kind.
+
+        The threshold is the highest that misses `missed` of n other random strings, or, where more than `passed` of n
+        other identifiers would get over it, the one that these leave.
+        """
         size = len(_SYMBOLS)
         chain = []
         for samples in (random_samples(n, seed), identifier_samples(n, seed + 1)):
@@ -101,7 +105,8 @@ class Markov:
             chain.append(np.log(counts / counts.sum(axis=1, keepdims=True)))
         self.ratio = chain[0] - chain[1]
         other = [self.score(s) for s in identifier_samples(n, seed + 2) if len(s) >= 16]
-        self.threshold = max(0.0, float(np.quantile(other, 1 - per_mille / 1000)))
+        drawn = [self.score(s) for s in random_samples(n, seed + 3)]
+        self.threshold = max(0.0, float(np.quantile(other, 1 - passed)), float(np.quantile(drawn, missed)))
 
     def score(self, s: str) -> float:
         c = _CODE[np.frombuffer(s.encode(), np.uint8)]
