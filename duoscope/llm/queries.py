@@ -12,6 +12,7 @@ from duoscope.llm.minhash import near_classes
 from duoscope.llm.quality import quality_rules
 from duoscope.llm.secret_scan import secret_scan
 from duoscope.llm.sharding import shard_by_key
+from duoscope.llm.warc import warc_round_trip
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES = {
         op1_sharding,
         op2_decontamination,
         op6_minhash_dedup,
+        op7_warc,
         op8_quality_rules,
         op9_license_scan,
         op10_secret_scan,
