@@ -9,6 +9,7 @@ from duoscope.llm.common import table
 from duoscope.llm.decontam import leaks
 from duoscope.llm.licenses import license_scan
 from duoscope.llm.minhash import near_classes
+from duoscope.llm.mixing import MIX_SQL, WEIGHTS, mix
 from duoscope.llm.quality import quality_rules
 from duoscope.llm.secret_scan import secret_scan
 from duoscope.llm.sharding import shard_by_key
@@ -23,6 +24,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), WEIGHTS, fraction=1.0, max_epochs=4, seed=17)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_classes(table(spark, sf_dir, "documents"), k=4, per_cent=80)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -49,6 +54,7 @@ QUERIES = {
     for f in (
         op1_sharding,
         op2_decontamination,
+        op4_mixing,
         op6_minhash_dedup,
         op7_warc,
         op8_quality_rules,
@@ -57,4 +63,6 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": MIX_SQL,
+}
