@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duoscope.llm.common import table
 from duoscope.llm.decontam import leaks
 from duoscope.llm.licenses import license_scan
+from duoscope.llm.line_dedup import line_report
 from duoscope.llm.minhash import near_classes
 from duoscope.llm.mixing import MIX_SQL, WEIGHTS, mix
 from duoscope.llm.quality import quality_rules
@@ -28,6 +29,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), WEIGHTS, fraction=1.0, max_epochs=4, seed=17)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_classes(table(spark, sf_dir, "documents"), k=4, per_cent=80)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -55,6 +60,7 @@ QUERIES = {
         op1_sharding,
         op2_decontamination,
         op4_mixing,
+        op5_line_dedup,
         op6_minhash_dedup,
         op7_warc,
         op8_quality_rules,
