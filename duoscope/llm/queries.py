@@ -14,6 +14,7 @@ from duoscope.llm.mixing import MIX_SQL, WEIGHTS, mix
 from duoscope.llm.quality import quality_rules
 from duoscope.llm.secret_scan import secret_scan
 from duoscope.llm.sharding import shard_by_key
+from duoscope.llm.toxicity import score_toxicity
 from duoscope.llm.warc import warc_round_trip
 
 
@@ -25,6 +26,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), WEIGHTS, fraction=1.0, max_epochs=4, seed=17)
 
@@ -59,6 +64,7 @@ QUERIES = {
     for f in (
         op1_sharding,
         op2_decontamination,
+        op3_toxicity,
         op4_mixing,
         op5_line_dedup,
         op6_minhash_dedup,
