@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duoscope.llm.common import bounded_batches, map_texts
@@ -145,13 +146,15 @@ def without_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     """The documents that hold no test item, with all their columns; a decision for each row, whatever its id."""
     bounded_batches(docs.sparkSession)
     for items in _blocks(bench, item_col, item_text_col, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(items), error_rate, min_words)(F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            matcher = Matcher(sent.value, error_rate, min_words)
-            for s in texts:
-                yield pd.Series([not matcher.match(t) for t in s], dtype=bool)
 
-        docs = docs.where(clean(F.col(text_col)))
-    return docs
+def _clean(sent: Broadcast, error_rate: float, min_words: int) -> Callable[[Column], Column]:
+    @F.pandas_udf("boolean")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(sent.value, error_rate, min_words)
+        for s in texts:
+            yield pd.Series([not matcher.match(t) for t in s], dtype=bool)
+
+    return clean

@@ -240,3 +240,21 @@ def near_classes(
     found = sig.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("s1")).alias("s1")).join(least, "s1", "left")
     found = found.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+
+def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents that near_classes() keeps, with all their columns: one row of each class.
+
+    Of the rows of a class the one with the smallest id stays; of rows that share that id, one. Texts without words and
+    null ids are in no class: all such rows stay.
+    """
+    kept = near_classes(docs, id_col, text_col, **how)
+    kept = cut(kept.where("kept and id is not null").groupBy("id").agg(F.max("n_shingles").alias("n")), "kept")
+    row = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("__id"))
+    nameless = row.where("__id is null").select("__row")
+    row = row.join(kept.select(F.col("id").alias("__id"), "n"), "__id")
+    twice = cut(row.groupBy("__id").agg(F.count("*").alias("c")).where("c > 1").select("__id"), "twice")
+    once = row.join(twice, "__id", "left_anti").select("__row")
+    pick = row.join(twice, "__id", "left_semi").where("n > 0").groupBy("__id").agg(F.min(F.struct(F.col(f"__row.`{text_col}`").alias("t"), "__row")).alias("p"))
+    blank = row.join(twice, "__id", "left_semi").where("n = 0").select("__row")
+    return once.union(pick.select("p.__row")).union(blank).union(nameless).select("__row.*")
