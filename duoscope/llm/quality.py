@@ -76,7 +76,11 @@ def line_frequency(docs: DataFrame, text_col: str, host_col: str, min_docs: int,
     lines = cut(host_lines(docs, text_col, host_col), "lines")
     over = cut(common_lines(lines, min_docs, share), "common")
     hit = lines.join(over.withColumnRenamed("host", "h"), ["line"]).where(F.col("host").eqNullSafe(F.col("h")))
-    return hit.groupBy("__k1", "__k2").agg(F.sum(F.col("words") * F.col("times")).alias("common_words"), F.collect_set("line").alias("common"))
+    hit = hit.groupBy("__k1", "__k2").agg(F.sum(F.col("words") * F.col("times")).alias("all_words"), F.collect_set("line").alias("common"))
+    # every copy of a text has added its lines once
+    copies = docs.select(*text_key(F.col(host_col), F.col(text_col))).groupBy("__k1", "__k2").agg(F.count("*").alias("copies")).where("copies > 1")
+    hit = hit.join(copies, ["__k1", "__k2"], "left")
+    return hit.select("__k1", "__k2", F.expr("all_words div coalesce(copies, 1)").alias("common_words"), "common")
 
 
 def quality_rules(
