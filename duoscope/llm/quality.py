@@ -124,3 +124,25 @@ def clean_documents(docs: DataFrame, text_col: str = "text", host_col: str = "so
         kind = dict(docs.dtypes)[length_col]
         out = out.withColumn(length_col, F.length(text_col).cast(kind))
     return out
+
+
+QUALITY_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+dup as (select rid, count(*) - count(distinct l) as n from (select rid, unnest(string_split(text, chr(10))) as l from d) where regexp_matches(l, '[^\x20\x09-\x0D]') group by rid),
+win as (select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as x from (select rid, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)),
+rep as (select rid, i from (select rid, i, count(*) over (partition by rid, x) as c from win) where c > 1),
+cov as (select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from rep) group by rid),
+lines as (
+  select source, text, x, len(string_split(x, ' ')) as words, count(*) as times
+  from (select source, text, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '[\x20\x09-\x0D]+', ' ', 'g'))) as x from (select distinct source, text from d))
+  where x <> '' group by source, text, x),
+hosts as (select source, count(distinct text) as docs from lines group by source),
+common as (select l.source, x from lines l join hosts h on l.source is not distinct from h.source group by l.source, x, docs having count(distinct text) > 10 and count(distinct text) > docs * 0.02::double),
+hit as (select l.source, text, sum(words * times) as n from lines l join common c on l.source is not distinct from c.source and l.x = c.x group by l.source, text),
+base as (
+  select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+         cast(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(coalesce(dup.n, 0) as bigint) as n_dup_lines, cast(coalesce(cov.n, 0) as bigint) as n_repeat_words, cast(coalesce(hit.n, 0) as bigint) as common_words
+  from d left join dup on d.rid = dup.rid left join cov on d.rid = cov.rid left join hit on d.source is not distinct from hit.source and d.text = hit.text)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_words - common_words >= n_words * 0.4::double as kept
+from base
+"""

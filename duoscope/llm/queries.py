@@ -11,7 +11,7 @@ from duoscope.llm.licenses import license_scan
 from duoscope.llm.line_dedup import line_report
 from duoscope.llm.minhash import near_classes
 from duoscope.llm.mixing import MIX_SQL, WEIGHTS, mix
-from duoscope.llm.quality import quality_rules
+from duoscope.llm.quality import QUALITY_SQL, quality_rules
 from duoscope.llm.secret_scan import secret_scan
 from duoscope.llm.sharding import shard_by_key
 from duoscope.llm.toxicity import score_toxicity
@@ -77,4 +77,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": MIX_SQL,
+    "op8_quality_rules": QUALITY_SQL,
 }
