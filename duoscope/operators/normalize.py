@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_CELL = Window.partitionBy("cell_id")
+
+def _cell() -> WindowSpec:
+    return Window.partitionBy("cell_id")
 
 
 def total(counts: DataFrame, target: float = 1e4) -> DataFrame:
     """Each cell scaled to the target; a cell that sums to 0 keeps its zeros."""
-    s = F.sum("value").over(_CELL)
+    s = F.sum("value").over(_cell())
     return counts.withColumn("value", F.coalesce(F.try_divide(F.col("value") * F.lit(target), s), F.lit(0.0)))
 
 
@@ -21,7 +23,7 @@ def log1p(counts: DataFrame) -> DataFrame:
 def tfidf(counts: DataFrame, n_cells: int, scale: float = 1e4) -> DataFrame:
     """log1p(scale * count / cell sum) * log1p(cells / feature sum)."""
     idf = counts.groupBy("feature_id").agg(F.sum("value").alias("s")).select("feature_id", F.log1p(F.lit(float(n_cells)) / F.col("s")).alias("idf"))
-    tf = counts.withColumn("tf", F.log1p(F.col("value") * F.lit(scale) / F.sum("value").over(_CELL)))
+    tf = counts.withColumn("tf", F.log1p(F.col("value") * F.lit(scale) / F.sum("value").over(_cell())))
     return tf.join(idf, "feature_id").select("cell_id", "feature_id", (F.col("tf") * F.col("idf")).alias("value"))
 
 

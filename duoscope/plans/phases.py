@@ -71,7 +71,7 @@ def subsample(rna: DataFrame, atac: DataFrame, cells: DataFrame, features: DataF
 
 
 def integrate_paired(rna: DataFrame, atac: DataFrame, n_hvgs: int = 2000, n_pcs: int = 20, k: int = 20, cells: DataFrame | None = None, batch: str | None = None) -> dict[str, DataFrame]:
-    """Joint embedding, weighted neighbours, their top-k lists and clusters of cells with both modalities."""
+    """Joint embedding, weighted neighbours and their top-k lists, of cells with both modalities."""
     cells = rna.select("cell_id").union(atac.select("cell_id")).distinct() if cells is None else cells
     n = cells.count()
     x = rna.join(filters.detected_features(rna, 3), "feature_id", "left_semi")
@@ -83,8 +83,13 @@ def integrate_paired(rna: DataFrame, atac: DataFrame, n_hvgs: int = 2000, n_pcs:
 
     r, a = r.select(F.col("cell_id").alias("id"), l2_normalize(F.col("vec")).alias("vec")), a.select(F.col("cell_id").alias("id"), l2_normalize(F.col("vec")).alias("vec"))
     both = r.join(a.withColumnRenamed("vec", "w"), "id").select("id", joint(F.col("vec"), F.col("w"), n_pcs).alias("vec"))
-    w = neighbors.wnn(r, a, k)
-    return {"embedding": both, "neighbors": w, "lists": neighbors.top_k(w, k), "clusters": cluster.label_propagation(w.select("src", "dst", "weight"))}
+    w = neighbors.wnn(r.persist(), a.persist(), k).persist()
+    return {"embedding": both, "neighbors": w, "lists": neighbors.top_k(w, k)}
+
+
+def clusters(paired: dict[str, DataFrame], rounds: int = 10) -> DataFrame:
+    """id, cluster of the neighbour graph that integrate_paired() returns."""
+    return cluster.label_propagation(paired["neighbors"].select("src", "dst", "weight"), rounds)
 
 
 def integrate_unpaired(rna: DataFrame, atac: DataFrame, rna_cells: DataFrame, atac_cells: DataFrame, genes: DataFrame, n_hvgs: int = 2000, n_pcs: int = 50, dims: int = 20, lam: float = 1.0, least_shared: int = 200, min_cells: int = 50) -> dict[str, DataFrame]:
@@ -97,7 +102,7 @@ def integrate_unpaired(rna: DataFrame, atac: DataFrame, rna_cells: DataFrame, at
     good = usable.where("has_both").select("donor_id")
     rc, ac = rna_cells.join(good, "donor_id", "left_semi"), atac_cells.join(good, "donor_id", "left_semi")
     r, a = rna.join(rc.select("cell_id"), "cell_id", "left_semi"), atac.join(ac.select("cell_id"), "cell_id", "left_semi")
-    activity = intervals.gene_activity(a, intervals.body_overlaps(genes, a.select("peak").distinct()))
+    activity = intervals.gene_activity(a, intervals.body_overlaps(genes, a.select("peak").distinct())).persist()
     r = r.withColumnRenamed("gene", "feature_id")
     top = hvg.select_variable(r.join(sampling.per_donor(rc, "donor_id", "cell_id").select("cell_id"), "cell_id", "left_semi"), rc.count(), n_hvgs).select("feature_id")
     shared = top.intersect(activity.select(F.col("gene").alias("feature_id")).distinct()).cache()
@@ -106,7 +111,7 @@ def integrate_unpaired(rna: DataFrame, atac: DataFrame, rna_cells: DataFrame, at
     tag = lambda d, m: d.select(F.concat(F.lit(f"{m}:"), F.col("cell_id").cast("string")).alias("cell_id"), "feature_id", "value")
     both = [normalize.log1p(normalize.total(d.join(shared, "feature_id", "left_semi"))) for d in (tag(r, "rna"), tag(activity.withColumnRenamed("gene", "feature_id"), "atac"))]
     e, _ = embed.svd(both[0].union(both[1]), n_pcs)
-    e = e.select("cell_id", F.element_at(F.split("cell_id", ":"), 1).alias("batch"), F.slice("vec", 1, dims).alias("vec"))
+    e = e.select("cell_id", F.element_at(F.split("cell_id", ":"), 1).alias("batch"), F.slice("vec", 1, dims).alias("vec")).persist()  # each iteration reads it
     h = harmony.harmony(e, lam=lam).withColumn("m", F.element_at(F.split("cell_id", ":"), 1)).withColumn("cell", F.regexp_replace("cell_id", "^[a-z]+:", ""))
     side = lambda m, c: h.where(F.col("m") == m).join(c.select(F.col("cell_id").cast("string").alias("cell"), "donor_id", "cell_type"), "cell").select(F.col("cell").alias("cell_id"), "donor_id", "cell_type", "vec")
     pairs = neighbors.cross_modal(side("rna", rc), side("atac", ac))
