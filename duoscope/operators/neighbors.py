@@ -31,8 +31,9 @@ def knn(vectors: DataFrame, k: int = 20, include_self: bool = False, blocks: int
 def knn_blocked(vectors: DataFrame, k: int = 20, include_self: bool = False, blocks: int = 8) -> DataFrame:
     """knn() in Arrow batches: a block of queries against a block of targets is one matrix product."""
     v = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.hash("id"), F.lit(blocks)).alias("b"))
-    a = v.select("id", "vec", F.col("b").alias("ba"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bb"))
-    b = v.select("id", "vec", F.col("b").alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ba"))
+    own = [F.col(c).alias(c) for c in ("id", "vec")]  # columns of their own for either side of the cogroup
+    a = v.select(*own, F.col("b").alias("ba"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bb"))
+    b = v.select(*own, F.col("b").alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ba"))
     kind = dict(vectors.dtypes)["id"]
 
     def near(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
