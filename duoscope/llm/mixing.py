@@ -55,12 +55,12 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Map
     leaf: the corpus is aggregated before, and a family is sorted in one task.
     """
     nodes = leaves.withColumn("cap", F.col("avail").cast("double") * max_epochs)
-    total = nodes.agg((F.coalesce(F.sum("avail"), F.lit(0)).cast("double") * fraction).alias("budget"))
-    budget = total
+    total = float(nodes.agg(F.coalesce(F.sum("avail"), F.lit(0))).first()[0]) * fraction
+    budget = None
     for i in range(len(levels)):
         path = list(levels[: i + 1])
         child = nodes.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(F.col(path[-1]), weights[i], default)).withColumn("key", F.col(path[-1]))
-        child = child.crossJoin(F.broadcast(budget)) if i == 0 else child.join(budget, path[:-1])
+        child = child.withColumn("budget", F.lit(total)) if budget is None else child.join(budget, path[:-1])
         budget = fill(child, path[:-1]).select(*path, F.col("alloc").alias("budget"))
     return leaves.join(budget, list(levels), "left").select(*levels, "avail", F.floor(F.round(F.coalesce("budget", F.lit(0.0)), 3)).cast("long").alias("target"))
 
