@@ -30,13 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
+def cut(df: DataFrame, name: str = "step", small: bool = False) -> DataFrame:
     """The same rows from a table in the shared folder: the lineage ends there, and a lost executor costs no recomputation.
 
     Parquet keeps the sizes known for the choice of joins, and columns that a later step doesn't read stay on disk. The
-    tables go when the application ends.
+    tables go when the application ends. small: a table of a few numbers a row, written by four tasks for each core of
+    the cluster at most, as the number of files would cost more than their contents.
     """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/duoscope-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

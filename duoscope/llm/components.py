@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duoscope.llm.common import cut
@@ -15,20 +15,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     table, and the number of rounds grows with the logarithm of the number of nodes. Nothing is collected but one count.
     Self-loops and repeated edges are allowed; an empty table gives an empty table. Nodes without an edge are absent.
     """
-    e = cut(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    )  # u > v
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges", small=True)
+    own = Window.partitionBy("u")
     before = None
     for _ in range(max_rounds):
-        # large star: every neighbour larger than u is linked to the smallest of u and its neighbours
+        # large star: the larger neighbours of u are linked to the smallest of u and its neighbours. A hub has many:
+        # its minimum is found by map-side aggregation, and the join can split its rows
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its smaller neighbours are linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: u and its smaller neighbours, which are few by now, are linked to the smallest of them
+        near = large.withColumn("m", F.min("v").over(own))
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct())
+        e = cut(small.where("u <> v").distinct(), "edges", small=True)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(now) == before:
             break

@@ -7,15 +7,14 @@ confirmed on full shingle sets.
 How links are found without all pairs of a bucket:
 
 1. Texts with the same shingle set are one class from the start (a grouping by a 128-bit hash of the set).
-2. In every bucket each class is compared with the bucket's smallest class (its hub): rows in proportion to the bucket.
+2. In every bucket each class is compared with the bucket's smallest and largest class (its hubs): rows in proportion to
+   the bucket.
 3. Confirmed links give components. Buckets whose classes are in one component are settled, as more links between them
-   change nothing. In the others, classes outside a bucket's largest component meet another member of it, a few times
-   over: again rows in proportion.
-4. The classes of buckets that are still unsettled go through an exact prefix filter: two sets with a Jaccard
-   similarity of t or more share one of the |s| - ceil(t |s|) + 1 shingles that are rarest among these classes, at
-   places early enough to leave room for the overlap. After such rounds as in 3, each class outside a key's largest
-   component is compared with all classes of other components, until no key holds an untested pair. So no bucket is
-   capped, and no pair that shares a bucket is lost.
+   change nothing.
+4. The classes of the other buckets go through an exact prefix filter: two sets with a Jaccard similarity of t or more
+   share one of the |s| - ceil(t |s|) + 1 shingles that are rarest among these classes, at places early enough to leave
+   room for the overlap. There each class outside a key's largest component is compared with the classes of other
+   components, until no key holds an untested pair. So no bucket is capped, and no pair that shares a bucket is lost.
 """
 
 from __future__ import annotations
@@ -173,66 +172,47 @@ def near_classes(
         lambda t: F.xxhash64(F.element_at("half", (t / halves).cast("int") + 1), F.element_at("half", t % halves + halves + 1), t),
     )
     keyed = classes.select("node", "n", F.explode(keys_of).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     members = cut(keyed.join(buckets, "key"))
     sizes = classes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
     fits = F.expr(f"100 * least(n, hub_n) >= {per_cent} * greatest(n, hub_n)")
-    stars = members.where("hub <> node").select("hub", "node", "n").distinct().join(sizes, "hub").where(fits)
-    tested = cut(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    stars = members.select(F.explode(F.array("hub", "last")).alias("hub"), "node", "n").where("hub <> node").distinct().join(sizes, "hub").where(fits)
+    tested = cut(stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), small=True)
     wanted = members.select("node").distinct().join(classes.select("node", "rep"), "node")
     sets = cut(shingle_sets(docs, wanted, id_col, text_col, k))
-    links = cut(_confirm(tested, sets, per_cent))
-    comp = cut(components(links))
+    links = cut(_confirm(tested, sets, per_cent), small=True)
+    comp = cut(components(links), small=True)
 
     def placed(d: DataFrame) -> DataFrame:
         return d.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    def untested(keys: DataFrame, turn: int | None) -> DataFrame:
-        """Pairs of different components: with one member of a key's largest component, or (turn None) with all."""
+    here = placed(members.select("key", "node"))
+    unsettled = here.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    rest = cut(here.join(unsettled, "key", "left_semi").select("node").distinct(), small=True)
+    keys = None if rest.isEmpty() else cut(_prefixes(sets.join(rest, "node", "left_semi"), per_cent))
+    while keys is not None:
         here = placed(keys)
         by_comp = here.groupBy("key", "comp").agg(F.count("*").alias("c"))
         most = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
         here = here.join(most.select("key", F.col("top.comp").alias("most")), "key")
-        few = here.where("comp <> most")
-        as_hub = [F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp")]
-        if turn is None:
-            pairs = here.join(few.select("key", *as_hub), "key")
-        else:
-            one = here.where("comp = most").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *as_hub)).alias("one"))
-            pairs = few.join(one.select("key", "one.*"), "key")
+        few = here.where("comp <> most").select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
         room = F.expr(f"{100 + per_cent} * (1 + least(n - pos, hub_n - hub_pos)) >= {per_cent} * (n + hub_n)")
-        pairs = pairs.where("comp <> hub_comp").where(fits).where(room)
+        pairs = here.join(few, "key").where("comp <> hub_comp").where(fits).where(room)
         pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        return cut(pairs.join(tested, ["a", "b"], "left_anti"))
-
-    def settle(keys: DataFrame, turns: list[int | None]) -> None:
-        nonlocal links, tested, comp
-        for turn in turns:
-            pairs = untested(keys, turn)
-            if pairs.isEmpty():
-                continue
-            links = cut(links.union(_confirm(pairs, sets, per_cent)))
-            tested = tested.union(pairs)
-            comp = cut(components(links))
-
-    by_table = members.select("key", "node", "n", F.lit(1).alias("pos"))
-    settle(by_table, [1, 2])
-    here = placed(by_table)
-    unsettled = here.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = cut(here.join(unsettled, "key", "left_semi").select("node").distinct())
-    if not rest.isEmpty():
-        keys = cut(_prefixes(sets.join(rest, "node", "left_semi"), per_cent))
-        settle(keys, [3, 4])
-        before = None
-        while before is not tested:
-            before = tested
-            settle(keys, [None])
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), small=True)
+        if pairs.isEmpty():
+            break
+        more = cut(_confirm(pairs, sets, per_cent), small=True)
+        if more.isEmpty():
+            break
+        links, tested = links.union(more), tested.union(pairs)
+        comp = cut(components(links), small=True)
 
     # classes -> the smallest id of their component
     least = placed(classes.select("node", "rep"))
     least = least.join(least.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select(F.col("node").alias("s1"), "component_id")
     ids = named.select("id", "s1").join(least, "s1")
-    twice = cut(ids.groupBy("id").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y"))
+    twice = cut(ids.groupBy("id").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y"), small=True)
     if not twice.isEmpty():  # rows of one id with different texts tie their components
         tie = components(ids.join(twice, "id", "left_semi").select(F.col("id").alias("a"), F.col("component_id").alias("b")))
         tie = cut(tie.select(F.col("node").alias("component_id"), F.col("comp").alias("tied")))
