@@ -15,17 +15,22 @@ _DOC = ["doc_id", "k1"]
 
 
 def _normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+    plain = ~(F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")))
+    # the regex is for the few lines that need it
+    return F.lower(F.trim(F.when(plain, line).otherwise(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))))
 
 
 def _count_words(norm: Column) -> Column:
-    return F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
+    return F.when(norm == "", 0).otherwise(F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text.isNull(), text)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(doc_id, k1, pos, norm, n, lh, l2): each line of min_words or more, its words, and 96 bits of hash."""
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text.isNull(), text).alias("k1"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("k1"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     rows = rows.select(*_DOC, "pos", _normal(F.col("line")).alias("norm")).withColumn("n", _count_words(F.col("norm"))).where(F.col("n") >= min_words)
     return rows.withColumn("lh", F.xxhash64("norm")).withColumn("l2", F.hash("norm"))
 
@@ -34,19 +39,17 @@ def _half_keys() -> list[Column]:
     """What two lines within one edit must share: the words before, or those after, the middle of the shorter one.
 
     A line of n words is the shorter of a pair of n words (or n + 1), and the longer of one of n - 1. So it has a prefix
-    of n div 2 and one of (n - 1) div 2 words, and the suffixes that are left.
+    of n div 2 and one of (n - 1) div 2 words, and the suffixes that are left. Two of these four are alike: the suffixes
+    if n is even, the prefixes if it is odd.
     """
-    part = {
-        "p0": ("p", F.expr("n div 2"), 1),
-        "p1": ("p", F.expr("(n - 1) div 2"), 1),
-        "s0": ("s", F.expr("n - n div 2"), -1),
-        "s1": ("s", F.expr("n - 1 - (n - 1) div 2"), -1),
-    }
-    out = []
-    for name, (kind, length, sign) in part.items():
-        words = F.call_function("substring_index", F.col("norm"), F.lit(" "), (length * sign).cast("int"))
-        out.append(F.xxhash64(F.lit(kind), length.cast("long"), words).alias(name))
-    return out
+
+    def words(length: Column) -> Column:
+        return F.call_function("substring_index", F.col("norm"), F.lit(" "), length.cast("int"))
+
+    half, less = F.expr("n div 2"), F.expr("(n - 1) div 2")
+    even = F.col("n") % 2 == 0
+    third = F.when(even, F.xxhash64(F.lit("p"), less, words(less))).otherwise(F.xxhash64(F.lit("s"), F.col("n") - 1 - less, words(less + 1 - F.col("n"))))
+    return [F.xxhash64(F.lit("p"), half, words(half)).alias("p0"), F.xxhash64(F.lit("s"), F.col("n") - half, words(half - F.col("n"))).alias("s0"), third.alias("t0")]
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -59,25 +62,28 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. Equal lines are one by their hashes, with the earliest place of each: map-side minima, so that a line that a third
        of all documents have is a row per task.
     2. Near lines share a half (see _half_keys). Lines none of whose halves another line has are out, without loss: a
-       line emits four keys here, not a variant per word.
+       line emits three keys here, not a variant per word.
     3. The rest emit every variant with one word deleted, as a key: the XOR of word hashes by position, from two running
        XORs. Lines with the same variant by deleting the same position differ in that word only, so all of such a group
        are near each other and each needs nothing but the group's earliest. A variant equal to a whole line is an
        insertion. So no group is expanded into pairs.
     4. Each pair found is verified word by word before it counts.
     """
-    lines = lines_of(docs, id_col, text_col, min_words)
     where = F.struct("doc_id", "k1", "pos")
-    slim = lines.select(*_DOC, "pos", "n", "lh", "l2", *_half_keys())
-    each = slim.groupBy("lh", "l2").agg(F.min(where).alias("first"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in ("p0", "p1", "s0", "s1")))
+    slim = cut(lines_of(docs, id_col, text_col, min_words).select(*_DOC, "pos", "n", "lh", "l2", *_half_keys()), "slim")
+    each = slim.groupBy("lh", "l2").agg(F.min(where).alias("first"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in ("p0", "s0", "t0")))
     each = cut(each, "lines")
     long = each.where(F.col("n") >= near_words)
-    keys = long.select("lh", F.explode(F.array_distinct(F.array("p0", "p1", "s0", "s1"))).alias("key"))
+    keys = long.select("lh", F.explode(F.array_distinct(F.array("p0", "s0", "t0"))).alias("key"))
     shared = keys.groupBy("key").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).where("a <> b").select("key")
     near = keys.join(shared, "key", "left_semi").select("lh").distinct()
-    near = cut(long.join(near, "lh", "left_semi").select("lh", "l2", "first", "n"), "near")
-    texts = lines.where(F.col("n") >= near_words).groupBy("lh", "l2").agg(F.first("norm").alias("norm"))
-    near = cut(texts.join(near, ["lh", "l2"]), "near")
+    near = cut(long.join(near, "lh", "left_semi").select("lh", "first", "n"), "near")
+    # their words come from the documents where they stand first
+    texts = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("k1"), F.col(text_col).alias("text"))
+    of = near.groupBy(F.col("first.doc_id").alias("d"), F.col("first.k1").alias("k")).agg(F.collect_list(F.struct("lh", "first", "n")).alias("own"))
+    texts = texts.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("k"))).select(F.split("text", "\n").alias("x"), F.explode("own").alias("o"))
+    texts = texts.select("o.*", _normal(F.element_at("x", F.col("o.first.pos") + 1)).alias("norm"))
+    near = cut(texts.dropDuplicates(["lh"]), "near")
 
     words = near.select("lh", "n", F.posexplode(F.split("norm", " ")).alias("i", "w"))
     words = words.select("lh", "n", "i", F.xxhash64("w", F.col("i")).alias("h"), F.xxhash64("w", F.col("i") - 1).alias("g"))
@@ -110,7 +116,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = pairs.where(true).where("first <> o_first")
     later = pairs.select(F.when(F.col("o_first") < F.col("first"), F.col("lh")).otherwise(F.col("other")).alias("lh")).distinct()
     stay = each.join(later, "lh", "left_anti").select("first.*")
-    return lines.select(*_DOC, "pos"), cut(stay, "stay")
+    return slim.select(*_DOC, "pos"), cut(stay, "stay")
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8) -> DataFrame:
