@@ -57,7 +57,7 @@ def _sample_row(text: str | None) -> tuple:
     letters = sum(c.isalpha() for c in text or "")
     capitals = sum(c.isupper() for c in text or "") / max(1, letters)
     marks = sum(map((text or "").count, "#*$%&!")) / max(1, len(text or ""))
-    return len(words), np.fromiter(counts.keys(), np.uint32, len(counts)).tobytes(), np.fromiter(counts.values(), np.uint32, len(counts)).tobytes(), hits, capitals, marks
+    return len(words), np.fromiter(counts.keys(), np.uint32, len(counts)).tobytes(), np.fromiter((min(c, 65535) for c in counts.values()), np.uint16, len(counts)).tobytes(), hits, capitals, marks
 
 
 class Sample:
@@ -66,9 +66,9 @@ class Sample:
     def __init__(self, rows: pd.DataFrame) -> None:
         sizes = [len(x) // 4 for x in rows["idx"]]
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), sizes)
-        self.col = np.frombuffer(b"".join(rows["idx"]), np.uint32).astype(np.int64)
-        self.count = np.frombuffer(b"".join(rows["cnt"]), np.uint32).astype(np.float32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.col = np.frombuffer(b"".join(rows["idx"]), np.uint32)
+        self.count = np.frombuffer(b"".join(rows["cnt"]), np.uint16)
         self.words = np.maximum(1, rows["n_words"].to_numpy(np.float64))
         self.label = rows["toxic"].to_numpy(np.float64)
         self.weight = rows["weight"].to_numpy(np.float64)
@@ -76,24 +76,38 @@ class Sample:
         self.capitals = rows["capitals"].to_numpy(np.float64)
         self.marks = rows["marks"].to_numpy(np.float64)
 
-    def density(self) -> np.ndarray:
-        return np.minimum(4.0, 100.0 * self.count / self.words[self.row])
+    def density(self, part: slice = slice(None)) -> np.ndarray:
+        return np.minimum(4.0, 100.0 * self.count[part] / self.words[self.row[part]])
+
+    def keep(self, features: np.ndarray) -> None:
+        """Only these features stay: what follows needs no others."""
+        own = np.zeros(_SPACE, bool)
+        own[features] = True
+        mask = own[self.col]
+        self.row, self.col, self.count = self.row[mask], self.col[mask], self.count[mask]
 
 
 def choose_features(s: Sample, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n features whose density, and the n whose presence, tells the classes apart most (Welch's t)."""
-    pos = s.label[s.row] > 0.5
     n1, n0 = max(2.0, s.label.sum()), max(2.0, s.n - s.label.sum())
+    df = np.zeros(_SPACE)
+    sums = np.zeros((2, 2, 2, _SPACE), np.float32)  # density or presence, label, sum or sum of squares
+    for at in range(0, len(s.row), 1 << 19):  # in parts: the driver holds no second copy of the sample
+        part = slice(at, at + (1 << 19))
+        col, value, label = s.col[part], s.density(part), s.label[s.row[part]] > 0.5
+        df += np.bincount(col, minlength=_SPACE)
+        for c in (0, 1):
+            mask = label == bool(c)
+            sums[0, c, 0] += np.bincount(col[mask], value[mask], _SPACE)
+            sums[0, c, 1] += np.bincount(col[mask], value[mask] ** 2, _SPACE)
+            sums[1, c] += np.bincount(col[mask], minlength=_SPACE)
     chosen = []
-    for value in (s.density(), np.ones(len(s.row))):
-        t = []
-        for mask, m in ((pos, n1), (~pos, n0)):
-            mean = np.bincount(s.col[mask], value[mask], _SPACE) / m
-            t.append((mean, np.bincount(s.col[mask], value[mask] ** 2, _SPACE) / m - mean**2))
-        df = np.bincount(s.col, minlength=_SPACE)
-        z = (t[0][0] - t[1][0]) / np.sqrt(np.maximum(t[0][1], 0) / n1 + np.maximum(t[1][1], 0) / n0 + 1e-4)
+    for kind in (0, 1):
+        mean = [sums[kind, c, 0] / m for c, m in ((0, n0), (1, n1))]
+        var = [np.maximum(sums[kind, c, 1] / m - mean[c] ** 2, 0) for c, m in ((0, n0), (1, n1))]
+        z = (mean[1] - mean[0]) / np.sqrt(var[1] / n1 + var[0] / n0 + 1e-4)
         z[df < 3] = 0
-        best = np.argsort(-z)[:n]
+        best = np.argsort(-z, kind="stable")[:n]
         chosen.append(best[z[best] > 2.5])
     return chosen[0], chosen[1]
 
@@ -232,7 +246,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Classifier({}, {}, float(np.log(share / (1 - share))))
     sample["weight"] = [totals[t] / seen[t] for t in sample["toxic"]]
     s = Sample(sample)
+    del sample
     dense, present = choose_features(s, n_features)
+    s.keep(np.concatenate([dense, present]))
     v = votes(s, dense, present, groups)
     model = LabelModel(v, s.weight, 0.05 + 0.9 * s.label)
     wd, wp, b = fit_linear(s, dense, present, model.p)
