@@ -37,7 +37,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
     last = rows.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(last, "digest", "left")
+    # of a known size, the table of repeated digests is broadcast where it is small, and no payload is shuffled
+    rows = rows.join(cut(last, "digests"), "digest", "left")
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return rows.select("page_id", "url", "payload", "digest", "bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
 
