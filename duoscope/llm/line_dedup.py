@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
 The edit unit is the word, and the bound is one edit: two lines are near if they differ by one word changed, added or
-taken out. Lines are compared lower-cased with white space collapsed.
+taken out. In short lines, where a word is too much, the unit is the character. Lines are compared lower-cased with white
+space collapsed.
 """
 
 from __future__ import annotations
@@ -52,12 +53,26 @@ def _half_keys() -> list[Column]:
     return [F.xxhash64(F.lit("p"), half, words(half)).alias("p0"), F.xxhash64(F.lit("s"), F.col("n") - half, words(half - F.col("n"))).alias("s0"), third.alias("t0")]
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8) -> tuple[DataFrame, DataFrame]:
+def _half_chars() -> list[Column]:
+    """_half_keys() with the m characters of a line in place of its words."""
+
+    def keys(prefix: Column, suffix: Column) -> tuple[Column, Column]:
+        before = F.xxhash64(F.lit("cp"), prefix, F.substring(F.col("norm"), F.lit(1), prefix.cast("int")))
+        return before, F.xxhash64(F.lit("cs"), suffix, F.substring(F.col("norm"), (F.col("m") - suffix + 1).cast("int"), suffix.cast("int")))
+
+    half, less = F.expr("m div 2"), F.expr("(m - 1) div 2")
+    p, s = keys(half, F.col("m") - half)
+    third = F.when(F.col("m") % 2 == 0, keys(less, less)[0]).otherwise(keys(less, F.col("m") - 1 - less)[1])
+    return [F.when(F.col("m").isNotNull(), k).alias(name) for k, name in ((p, "cp"), (s, "cs"), (third, "ct"))]
+
+
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8, short_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All lines' (doc_id, k1, pos), and those of them that stay.
 
     A line stays if no equal line comes earlier, and, from near_words words on, no near one does; earlier means by
     (doc_id, text hash, line number), a null id first. An earlier line counts whether it stays itself or not, so that
-    the outcome doesn't hang on any order of work.
+    the outcome doesn't hang on any order of work. With short_chars, two lines of which one has under near_words words
+    are near if they differ by one character, and both have short_chars or more of them.
 
     1. Equal lines are one by their hashes, with the earliest place of each: map-side minima, so that a line that a third
        of all documents have is a row per task.
@@ -68,25 +83,34 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        are near each other and each needs nothing but the group's earliest. A variant equal to a whole line is an
        insertion. So no group is expanded into pairs.
     4. Each pair found is verified word by word before it counts.
+
+    Short lines go the same way, character by character, as entries of their own kind: a line of near_words words is in
+    both, as a short one may be a character from it. n counts an entry's units.
     """
     where = F.struct("doc_id", "k1", "pos")
-    slim = cut(lines_of(docs, id_col, text_col, min_words).select(*_DOC, "pos", "n", "lh", "l2", *_half_keys()), "slim")
-    each = slim.groupBy("lh", "l2").agg(F.min(where).alias("first"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in ("p0", "s0", "t0")))
+    slim = lines_of(docs, id_col, text_col, min_words)
+    m = F.length("norm")
+    slim = slim.withColumn("m", F.lit(None).cast("int") if short_chars is None else F.when((F.col("n") <= near_words) & (m >= short_chars), m))
+    slim = cut(slim.select(*_DOC, "pos", "n", "m", "lh", "l2", *_half_keys(), *_half_chars()), "slim")
+    each = slim.groupBy("lh", "l2").agg(F.min(where).alias("first"), F.max("n").alias("n"), F.max("m").alias("m"), *(F.max(c).alias(c) for c in ("p0", "s0", "t0", "cp", "cs", "ct")))
     each = cut(each, "lines")
-    long = each.where(F.col("n") >= near_words)
-    keys = long.select("lh", F.explode(F.array_distinct(F.array("p0", "s0", "t0"))).alias("key"))
+    long = each.where(F.col("n") >= near_words).select("lh", F.col("lh").alias("own"), "first", "n", F.lit(False).alias("short"), F.array("p0", "s0", "t0").alias("keys"))
+    short = each.where(F.col("m").isNotNull()).select(F.xxhash64(F.lit("c"), "lh").alias("lh"), F.col("lh").alias("own"), "first", F.col("m").alias("n"), F.lit(True).alias("short"), F.array("cp", "cs", "ct").alias("keys"))
+    entries = long if short_chars is None else long.union(short)
+    keys = entries.select("lh", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).where("a <> b").select("key")
     near = keys.join(shared, "key", "left_semi").select("lh").distinct()
-    near = cut(long.join(near, "lh", "left_semi").select("lh", "first", "n"), "near")
+    near = cut(entries.join(near, "lh", "left_semi").select("lh", "own", "first", "n", "short"), "near")
     # their words come from the documents where they stand first
     texts = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("k1"), F.col(text_col).alias("text"))
-    of = near.groupBy(F.col("first.doc_id").alias("d"), F.col("first.k1").alias("k")).agg(F.collect_list(F.struct("lh", "first", "n")).alias("own"))
-    texts = texts.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("k"))).select(F.split("text", "\n").alias("x"), F.explode("own").alias("o"))
+    of = near.groupBy(F.col("first.doc_id").alias("d"), F.col("first.k1").alias("k")).agg(F.collect_list(F.struct("lh", "own", "first", "n", "short")).alias("all"))
+    texts = texts.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("k"))).select(F.split("text", "\n").alias("x"), F.explode("all").alias("o"))
     texts = texts.select("o.*", _normal(F.element_at("x", F.col("o.first.pos") + 1)).alias("norm"))
     near = cut(texts.dropDuplicates(["lh"]), "near")
 
-    words = near.select("lh", "n", F.posexplode(F.split("norm", " ")).alias("i", "w"))
-    words = words.select("lh", "n", "i", F.xxhash64("w", F.col("i")).alias("h"), F.xxhash64("w", F.col("i") - 1).alias("g"))
+    units = F.when(F.col("short"), F.split("norm", "")).otherwise(F.split("norm", " "))
+    words = near.select("lh", "n", "short", F.posexplode(units).alias("i", "w"))
+    words = words.select("lh", "n", "i", F.xxhash64("w", F.col("i"), "short").alias("h"), F.xxhash64("w", F.col("i") - 1, "short").alias("g"))
     order = Window.partitionBy("lh").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("lh")
     x, y = F.bit_xor("h").over(order), F.bit_xor("g").over(order)
@@ -102,31 +126,33 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     added = variants.join(lone, "v").where("lh <> other").select("lh", "other", "i")
 
     def word_but(norm: Column, n: Column, i: Column) -> Column:
-        """The words before word i, and those after it."""
+        """The words (characters) before word i, and those after it."""
         head = F.call_function("substring_index", norm, F.lit(" "), i.cast("int"))
         tail = F.call_function("substring_index", norm, F.lit(" "), (i + 1 - n).cast("int"))
+        head = F.when(F.col("short"), F.substring(norm, F.lit(1), i.cast("int"))).otherwise(head)
+        tail = F.when(F.col("short"), F.substring(norm, (i + 2).cast("int"), F.greatest(n - i - 1, F.lit(0)).cast("int"))).otherwise(tail)
         return F.struct(head.alias("col1"), tail.alias("col2"))
 
-    text = near.select("lh", "norm", "n", "first")
-    other = near.select(F.col("lh").alias("other"), F.col("norm").alias("o_norm"), F.col("n").alias("o_n"), F.col("first").alias("o_first"))
+    text = near.select("lh", "own", "norm", "n", "first", "short")
+    other = near.select(F.col("lh").alias("other"), F.col("own").alias("o_own"), F.col("norm").alias("o_norm"), F.col("n").alias("o_n"), F.col("first").alias("o_first"), F.col("short").alias("o_short"))
     pairs = changed.withColumn("same", F.lit(True)).union(added.withColumn("same", F.lit(False))).join(text, "lh").join(other, "other")
     mine, its = word_but(F.col("norm"), F.col("n"), F.col("i")), word_but(F.col("o_norm"), F.col("o_n"), F.col("i"))
-    without = F.concat_ws(" ", *(F.nullif(mine[c], F.lit("")) for c in ("col1", "col2")))
+    without = F.when(F.col("short"), F.concat(mine["col1"], mine["col2"])).otherwise(F.concat_ws(" ", *(F.nullif(mine[c], F.lit("")) for c in ("col1", "col2"))))
     true = F.when(F.col("same"), (F.col("n") == F.col("o_n")) & (mine == its)).otherwise((F.col("n") == F.col("o_n") + 1) & (without == F.col("o_norm")))
-    pairs = pairs.where(true).where("first <> o_first")
-    later = pairs.select(F.when(F.col("o_first") < F.col("first"), F.col("lh")).otherwise(F.col("other")).alias("lh")).distinct()
+    pairs = pairs.where(true).where("first <> o_first and short = o_short")
+    later = pairs.select(F.when(F.col("o_first") < F.col("first"), F.col("own")).otherwise(F.col("o_own")).alias("lh")).distinct()
     stay = each.join(later, "lh", "left_anti").select("first.*")
     return slim.select(*_DOC, "pos"), cut(stay, "stay")
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8, short_chars: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_lines, a row per document (equal rows are one document).
 
     n_lines counts the lines of min_words words or more, kept_lines lists the numbers (from 0) of those that stay, in
     order. Shorter lines are no one's copy and not counted. Null and empty texts have no lines; a null id is an id that
     comes before any other; rows of one id with different texts are different documents. Other columns are not read.
     """
-    every, stay = kept_lines(docs, id_col, text_col, min_words, near_words)
+    every, stay = kept_lines(docs, id_col, text_col, min_words, near_words, short_chars)
     n = every.groupBy(*_DOC).agg(F.countDistinct("pos").alias("n_lines"))
     kept = stay.groupBy(F.col("doc_id").alias("d"), F.col("k1").alias("k")).agg(F.array_sort(F.collect_list("pos")).alias("kept_lines"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).isNull(), F.col(text_col)).alias("k1")).distinct()
@@ -137,9 +163,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", lines.alias("n_lines"), (lines - F.size(found)).alias("n_dropped"), found.alias("kept_lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8, short_chars: int | None = None) -> DataFrame:
     """The documents with all their columns, their dropped lines gone from the text; see kept_lines()."""
-    _, stay = kept_lines(docs, id_col, text_col, min_words, near_words)
+    _, stay = kept_lines(docs, id_col, text_col, min_words, near_words, short_chars)
     kept = stay.groupBy(F.col("doc_id").alias("__d"), F.col("k1").alias("__k")).agg(F.collect_list("pos").alias("__kept"))
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col).isNull(), F.col(text_col)).alias("__k1"))
     rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__k1") == F.col("__k")), "left")

@@ -35,7 +35,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    # every line that isn't empty; under eight words, near is one character of eight or more
+    return line_report(table(spark, sf_dir, "documents"), min_words=1, short_chars=8)
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

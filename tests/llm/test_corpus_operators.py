@@ -140,6 +140,56 @@ def test_line_dedup_against_all_pairs(spark, edge):
     assert {(x.doc_id, x.n_lines, x.n_dropped) for x in line_dedup.line_report(edge).collect()} == {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 1, 0), (5, 1, 1), (None, 1, 0), (6, 0, 0)}
 
 
+def one_char(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def test_line_dedup_of_short_lines(spark):
+    r = random.Random(8)
+    words = "red blue é green cold warm soft hard".split()
+    lines = [r.choices(words, k=r.randint(1, 9)) for _ in range(40)]
+    rows = []
+    for d in range(60):
+        body = []
+        for _ in range(r.randint(0, 6)):
+            x = " ".join(r.choice(lines))
+            if r.random() < 0.5:
+                i = r.randrange(len(x))
+                x = x[:i] + r.choice(["", "x", x[i] + "y", " "]) + x[i + 1 :]
+            body.append(x)
+        rows.append((d, "\n".join(body), "en", "s"))
+    places = [(d, p, x.lower().split()) for d, t, *_ in rows for p, x in enumerate(t.split("\n")) if x.strip()]
+
+    def alike(v, w):
+        if v == w:
+            return True
+        if min(len(v), len(w)) >= 8:
+            return near(v, w)
+        a, b = " ".join(v), " ".join(w)
+        return min(len(a), len(b)) >= 8 and one_char(a, b)
+
+    want = defaultdict(list)
+    for d, p, w in places:
+        if not any((e, q) < (d, p) and alike(v, w) for e, q, v in places):
+            want[d].append(p)
+    counts = Counter(d for d, _, _ in places)
+    assert any(len(w) < 3 for _, _, w in places)
+    for x in line_dedup.line_report(frame(spark, rows), min_words=1, short_chars=8).collect():
+        assert (x.kept_lines, x.n_lines) == (want[x.doc_id], counts[x.doc_id])
+
+
+def test_line_dedup_query_leaves_out_no_line(spark, tmp_path):
+    from duoscope.llm import queries
+
+    rows = [(1, "menu\nread more\n\nterms of service", "en", "s"), (2, "Menu\nread  more\nterms of servise\nnew", "en", "s")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: (x.n_lines, x.n_dropped, x.kept_lines) for x in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 0, [0, 1, 3]), 2: (4, 3, [3])}
+
+
 def test_mixing_totals(spark, edge):
     r = random.Random(6)
     rows = [(i, "t " * r.randint(1, 9), r.choice(["en", "de"]), r.choice(["s0", "s1", "s2", "s3"])) for i in range(400)]
