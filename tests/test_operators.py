@@ -111,6 +111,31 @@ def test_motif_thresholds_and_strands(spark):
     assert flat["flat"] == 0.5
 
 
+def test_motif_queries_read_whole_sequences(spark, tmp_path):
+    from duoscope.queries import relations
+    from duoscope.queries.registry import QUERIES
+
+    r = np.random.RandomState(3)
+    docs = [(i, "".join(r.choice(list("acgtn -x"), p=[0.05, 0.05, 0.05, 0.75, 0.02, 0.04, 0.02, 0.02], size=n))) for i, n in enumerate((3, 20, 90, 200, 200, 300, 900), 1)]
+    docs += [(20, "t" * 200), (21, "t" * 150 + "acca" + "t" * 9), (22, "t" * 400 + "ccagt"), (23, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cols, weight = {}, {(m, i, b): w for m, i, b, w in relations.pwm_rows()}
+    for m, i, _ in weight:
+        cols[m] = max(cols.get(m, 0), i + 1)
+    least = {x.motif_id: x.threshold for x in motifs.threshold_normal(relations.pwm(type("C", (), {"spark": spark}))).collect()}
+    want, flip = set(), str.maketrans("ACGT", "TGCA")
+    for d, t in docs:
+        seq = "".join(x for x in (t or "").upper() if x in "ACGTN")
+        for m, w in cols.items():
+            for at in range(len(seq) - w + 1):
+                part = seq[at : at + w]
+                if "N" not in part and any(round(sum(weight[m, i, b] for i, b in enumerate(x)), 9) >= round(least[m], 9) for x in (part, part.translate(flip)[::-1])):
+                    want.add((m, f"d{d}"))
+    assert any(p == "d21" for _, p in want) and any(p == "d22" for _, p in want)
+    for name in ("pwm_scan", "pwm_scan_relational"):
+        assert {tuple(x) for x in QUERIES[name](spark, str(tmp_path)).collect()} == want
+
+
 def test_donors(spark):
     rna = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("r", 1), (None, 1)], "donor_id string, x long")
     atac = spark.createDataFrame([("a", i) for i in range(49)] + [("b", 1)] * 60 + [("t", 1)], "donor_id string, x long")
