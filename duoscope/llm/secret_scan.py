@@ -50,9 +50,13 @@ IDENTIFIER_PARTS = (
     "ment nous pour tion como desde donde entre esta mente para pero porque sobre with from that this which tion ing ness"
 ).split()
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: The least length of a part that is scored, and what stands between parts.
+MIN_PART = 16
 _SYMBOLS = string.ascii_letters + string.digits + "+/_.=-"
 _CODE = np.zeros(128, np.int64)
 _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(len(_SYMBOLS))
+_DELIMITER = np.zeros(128, bool)
+_DELIMITER[[ord(c) for c in "+/_.=-"]] = True
 
 
 def random_samples(n: int, seed: int) -> list[str]:
@@ -86,14 +90,21 @@ def identifier_samples(n: int, seed: int) -> list[str]:
     return out
 
 
+def joined_samples(samples: list[str], seed: int) -> list[str]:
+    """The samples behind an ordinary identifier or path, as in settings and webhook addresses."""
+    r = random.Random(seed)
+    return [p + r.choice("=/_.-") + s for p, s in zip(identifier_samples(len(samples), seed + 1), samples, strict=True)]
+
+
 class Markov:
     """log P(random) - log P(identifier) of first-order character chains, per step; and the threshold."""
 
     def __init__(self, n: int = 20_000, seed: int = 11, passed: float = 0.0005, missed: float = 0.01) -> None:
         """Trained on n labelled samples of either kind.
 
-        The threshold is the highest that misses `missed` of n other random strings, or, where more than `passed` of n
-        other identifiers would get over it, the one that these leave.
+        The threshold is the highest that misses `missed` of n other random strings, half of them behind an ordinary
+        prefix, or, where more than `passed` of n other identifiers, as many of them joined ones, would get over it, the
+        one that these leave. A string's best part counts (see best()).
         """
         size = len(_SYMBOLS)
         chain = []
@@ -104,8 +115,10 @@ class Markov:
                 np.add.at(counts, (c[:-1], c[1:]), 1)
             chain.append(np.log(counts / counts.sum(axis=1, keepdims=True)))
         self.ratio = chain[0] - chain[1]
-        other = [self.score(s) for s in identifier_samples(n, seed + 2) if len(s) >= 16]
-        drawn = [self.score(s) for s in random_samples(n, seed + 3)]
+        plain, keys = identifier_samples(n, seed + 2), random_samples(n, seed + 3)
+        half = n // 2
+        other = [self.best(s) for s in plain[:half] + joined_samples(plain[half:], seed + 4) if len(s) >= MIN_PART]
+        drawn = [self.best(s) for s in keys[:half] + joined_samples(keys[half:], seed + 6)]
         self.threshold = max(0.0, float(np.quantile(other, 1 - passed)), float(np.quantile(drawn, missed)))
 
     def score(self, s: str) -> float:
@@ -113,6 +126,30 @@ class Markov:
         return float(self.ratio[c[:-1], c[1:]].mean())
 
 
+    def _parts(self, s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Running sums of the log ratios up to each character, and where parts may start and end (the last character)."""
+        raw = np.frombuffer(s.encode(), np.uint8)
+        c, mark = _CODE[raw], _DELIMITER[raw]
+        sums = np.concatenate([[0.0], np.cumsum(self.ratio[c[:-1], c[1:]])])
+        edge = np.ones(1, bool)
+        return sums, np.concatenate([edge, mark[:-1]]), np.concatenate([mark[1:], edge])
+
+    def best(self, s: str) -> float:
+        """The highest score of the whole string and of its parts between delimiters, of MIN_PART characters or more."""
+        sums, start, end = self._parts(s)
+        a, b = np.nonzero(start)[0], np.nonzero(end)[0]
+        steps = b[None, :] - a[:, None]
+        ok = steps >= MIN_PART - 1
+        return float(((sums[b][None, :] - sums[a][:, None])[ok] / steps[ok]).max()) if ok.any() else self.score(s)
+
+    def found(self, s: str) -> bool:
+        """best(s) > threshold for MIN_PART characters or more, in one pass: a part's sum less threshold * steps is positive."""
+        sums, start, end = self._parts(s)
+        over = sums - self.threshold * np.arange(len(sums))
+        least = np.minimum.accumulate(np.where(start, over, np.inf))[: len(over) - MIN_PART + 1]
+        return bool((end[MIN_PART - 1 :] & (over[MIN_PART - 1 :] > least + 1e-9)).any())
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base matches, leftmost and non-overlapping within a kind; those too short are dropped."""
     out = []
@@ -129,13 +166,13 @@ _LONG_HEX = re.compile(r"[0-9a-f]{32}")
 
 
 def scan(text: str | None, model: Markov) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and the model's: candidates above the threshold that overlap no base span."""
+    """Base spans and the model's: candidates with a part above the threshold that overlap no base span."""
     text = text or ""
     base = base_spans(text)
     more = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if model.score(m[0]) > model.threshold and not any(s < b and a < e for s, _, e in base):
+        if model.found(m[0]) and not any(s < b and a < e for s, _, e in base):
             more.append((a, 3, b))
     return base, more
 

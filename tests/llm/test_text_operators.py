@@ -152,6 +152,20 @@ def test_secret_spans():
     assert sum(model.score(x) > model.threshold for x in plain) <= 0.005 * len(plain) + 1
 
 
+def test_secrets_behind_ordinary_prefixes():
+    model = secret_scan.Markov(4000)
+    r = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for prefix in ("AUTHORIZATION_HEADER=", "/services/hooks/webhook/", "config.connection.", ""):
+        texts = [f"see {prefix}{''.join(r.choices(letters, k=32))} there" for _ in range(400)]
+        assert sum([(4, 3, len(t) - 6)] == secret_scan.scan(t, model)[1] for t in texts) > 380, prefix
+    plain = secret_scan.joined_samples(secret_scan.identifier_samples(2000, 93), 94)
+    assert sum(model.found(x) for x in plain if len(x) >= 16) <= 0.005 * len(plain)
+    for x in secret_scan.random_samples(300, 95) + secret_scan.joined_samples(secret_scan.random_samples(300, 96), 97) + plain[:300]:
+        if len(x) >= 16 and abs(model.best(x) - model.threshold) > 1e-6:
+            assert model.found(x) == (model.best(x) > model.threshold)
+
+
 def test_secret_rows(edge, none):
     rows = secret_scan.secret_scan(edge, n_samples=2000).collect()
     assert len(rows) == len(EDGE) and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
