@@ -103,6 +103,8 @@ TEMPLATES = [
 #: A text without any of these has no detection: every rule's match holds one of them.
 _GATE = re.compile(r"licen|spdx|copyright|\(c\)|©|creative commons|cc[ 0-]|cc-by|public domain|rights reserved|proprietary|unauthorized copying|hereby granted|with or without fee|redistribution and use|neither the name|as-is|unencumbered|same terms as perl|gpl|gfdl|under|asl|apache|bsd|mpl|epl|cddl|eupl|wtfpl|ms-[pr]l|odbl|odc-by|pddl|sspl|attribution")
 _SEPARATORS = bytes(c if chr(c).isdigit() or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+#: Comment marks before a line's words.
+_LEAD = re.compile(r"(?:\*/|[\s*#;%>|]|//+!?|/\*+|<!--+|--(?!-)|dnl\b|rem\b)+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -145,6 +147,24 @@ def _keyword(branch: str) -> str:
     return max(re.findall(r"[a-z0-9 -]+", plain), key=len, default="licen")
 
 
+def unwrapped(low: str) -> str:
+    """The text with each paragraph on one line: white space and the comment marks around lines are one space.
+
+    Rules hold single spaces. A line without words ends a paragraph, and no rule's words go over it.
+    """
+    paragraphs: list[list[str]] = [[]]
+    for line in low.split("\n"):
+        if m := _LEAD.match(line):
+            line = line[m.end() :]
+        line = line.rstrip()
+        line = line.removesuffix("*/").removesuffix("-->").rstrip(" \t\r*#|")
+        if line:
+            paragraphs[-1] += line.split()
+        elif paragraphs[-1]:
+            paragraphs.append([])
+    return "\n".join(map(" ".join, paragraphs))
+
+
 class Scanner:
     """Compiled rules; made once for each Python worker's batch run."""
 
@@ -153,11 +173,12 @@ class Scanner:
         self.phrases = [(p.encode().split(), label) for p, label in BASE_PHRASES.items()]
 
     def detections(self, low: str) -> list[tuple[int, int, int, str]]:
-        """(start, end, priority, label), after suppression.
+        """(start, end, priority, label), after suppression; places are those of unwrapped().
 
         Detections come in order of priority. One is dropped if its interval lies in that of an earlier one, of a
         higher priority or, at the same priority, longer; ties go to the rule that stands first.
         """
+        low = unwrapped(low)
         if not _GATE.search(low):
             return []
         held: dict[str, bool] = {}
@@ -202,7 +223,7 @@ class Scanner:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """License detections, a row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Texts are lower-cased (A-Z). Base phrases are runs of whole words; n_base counts their places, first_word and
+    Texts are lower-cased (A-Z); signature rules run on unwrapped paragraphs (see unwrapped()). Base phrases are runs of whole words; n_base counts their places, first_word and
     last_word are the smallest and largest place (null without one). labels holds those of the signature rules too.
     score is the highest priority among the detections that stand, as a fraction; 0 without any. A null text is empty.
     Rows are independent: no shuffle, whatever repeats. Other columns are not read.
