@@ -283,23 +283,23 @@ def cls_celltypist(c: Context) -> DataFrame:
     return cluster.classify(x, model, names).select("vec_id", "label")
 
 
-def _some_rna(c: Context) -> DataFrame:
-    return normalize.log1p(normalize.total(c.rna)).where("feature_id % 10 = 0")
+def _logged(c: Context) -> DataFrame:
+    return normalize.log1p(normalize.total(c.rna))
 
 
 @query(None)
 def emb_pca(c: Context) -> DataFrame:
-    return embed.pca(_some_rna(c), 10)
+    return embed.pca(_logged(c), 10)
 
 
 @query(None)
 def emb_svd(c: Context) -> DataFrame:
-    return embed.svd(_some_rna(c), 10)[0]
+    return embed.svd(_logged(c), 10)[0]
 
 
 @query(None)
 def emb_lsi(c: Context) -> DataFrame:
-    return embed.lsi(normalize.tfidf(c.atac, c.cells.count()).where("feature_id % 10 = 0"), 10, drop_first=True)
+    return embed.lsi(normalize.tfidf(c.atac, c.cells.count()), 10, drop_first=True)
 
 
 @query(None)
@@ -326,8 +326,7 @@ def pipeline_subsample(c: Context) -> DataFrame:
 
 @query(None)
 def pipeline_integrate_paired(c: Context) -> DataFrame:
-    few = lambda d: d.where("feature_id % 10 = 0")
-    p = phases.integrate_paired(few(c.rna), few(c.atac), 200, 10, 8, c.cells)
+    p = phases.integrate_paired(c.rna, c.atac, 200, 10, 8, c.cells)
     return p["lists"]
 
 

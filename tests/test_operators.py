@@ -194,6 +194,37 @@ def test_embeddings(spark):
     assert gap(harmony.harmony(batch, clusters=4, max_iter=8)) < 0.6 * gap(batch)
 
 
+def test_embeddings_of_more_features_than_cells(spark, monkeypatch):
+    x = np.random.RandomState(4).poisson(0.6, (20, 70)).astype(float)
+    counts = spark.createDataFrame([(c, f, float(x[c, f])) for c in range(20) for f in range(70) if x[c, f]], "cell_id long, feature_id long, value double")
+    for center, scale in ((False, False), (True, True), (False, True)):
+        got = []
+        for limit in (embed.FEW_ROWS, 0):
+            monkeypatch.setattr(embed, "FEW_ROWS", limit)
+            e, values = embed.svd(counts, 4, center, scale)
+            got.append((np.stack([r.vec for r in e.orderBy("cell_id").collect()]), values))
+            monkeypatch.undo()
+        assert np.allclose(got[0][0], got[1][0], atol=1e-7) and np.allclose(got[0][1], got[1][1])
+
+
+def test_embedding_queries_read_every_feature(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from duoscope.plans import phases
+    from duoscope.queries import cells
+
+    counts = spark.createDataFrame([(c, f, float((c * f) % 7 + 1)) for c in range(6) for f in range(1, 24)], "cell_id long, feature_id long, value double")
+    c, seen = SimpleNamespace(rna=counts, atac=counts, cells=counts.select("cell_id").distinct()), []
+    features = lambda *tables: seen.append([t.select("feature_id").distinct().count() for t in tables])
+    monkeypatch.setattr(embed, "pca", lambda d, *a, **b: features(d))
+    monkeypatch.setattr(embed, "svd", lambda d, *a, **b: (features(d),))
+    monkeypatch.setattr(embed, "lsi", lambda d, *a, **b: features(d))
+    monkeypatch.setattr(phases, "integrate_paired", lambda r, a, *_: {"lists": features(r, a)})
+    for q in (cells.emb_pca, cells.emb_svd, cells.emb_lsi, cells.pipeline_integrate_paired):
+        q(c)
+    assert seen == [[23], [23], [23], [23, 23]]
+
+
 def test_normalization_counts_zeros(spark):
     counts = spark.createDataFrame([(1, 1, 2.0), (1, 2, 2.0), (2, 1, 4.0)], "cell_id long, feature_id long, value double")
     m = {r.feature_id: (r["mean"], r["var"]) for r in normalize.moments(counts, 4).collect()}
