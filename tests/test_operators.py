@@ -136,6 +136,20 @@ def test_motif_queries_read_whole_sequences(spark, tmp_path):
         assert {tuple(x) for x in QUERIES[name](spark, str(tmp_path)).collect()} == want
 
 
+def test_noise_matrix_has_all_cells_and_correlated_peaks(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from duoscope.queries import relations
+
+    pairs = [(str(g), f"p{g % 4}") for g in (7, 200, 201, 950)]
+    atac = [(c, f"p{p}", float(c + p)) for c in range(1, 41) for p in range(5) if (c + p) % 3 == 0]
+    c = SimpleNamespace(cells=spark.range(1, 41).withColumnRenamed("id", "cell_id"), atac_p=spark.createDataFrame(atac, "cell_id long, peak string, value double"))
+    monkeypatch.setattr(relations, "correlated", lambda _: spark.createDataFrame(pairs, "gene string, peak string"))
+    have = {(i, p): v for i, p, v in atac}
+    want = sorted((i, p, have.get((i, p), 0.0)) for i in range(1, 41) for p in {p for _, p in pairs})
+    assert sorted(tuple(r) for r in relations.rf_noise_matrix(c).select("cell_id", "peak", "value").collect()) == want
+
+
 def test_donors(spark):
     rna = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("r", 1), (None, 1)], "donor_id string, x long")
     atac = spark.createDataFrame([("a", i) for i in range(49)] + [("b", 1)] * 60 + [("t", 1)], "donor_id string, x long")
