@@ -29,6 +29,8 @@ def pairs(pair_table: DataFrame, n: int, seed: int = 42, stratum: str = "cell_ty
 
 
 def per_donor(df: DataFrame, donor: str, key: str, total: int = 200_000, seed: int = 0) -> DataFrame:
-    """total // donors rows of each donor, one at least."""
+    """All rows where there are total or fewer; else total // donors rows of each donor, one at least."""
+    if df.count() <= total:
+        return df
     donors = df.select(donor).distinct().count()
     return stratified(df, donor, key, max(1, total // max(1, donors)), seed)

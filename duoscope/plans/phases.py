@@ -104,7 +104,8 @@ def integrate_unpaired(rna: DataFrame, atac: DataFrame, rna_cells: DataFrame, at
     r, a = rna.join(rc.select("cell_id"), "cell_id", "left_semi"), atac.join(ac.select("cell_id"), "cell_id", "left_semi")
     activity = intervals.gene_activity(a, intervals.body_overlaps(genes, a.select("peak").distinct())).persist()
     r = r.withColumnRenamed("gene", "feature_id")
-    top = hvg.select_variable(r.join(sampling.per_donor(rc, "donor_id", "cell_id").select("cell_id"), "cell_id", "left_semi"), rc.count(), n_hvgs).select("feature_id")
+    drawn = sampling.per_donor(rc, "donor_id", "cell_id").select("cell_id")
+    top = hvg.select_variable(r.join(drawn, "cell_id", "left_semi"), drawn.count(), n_hvgs).select("feature_id")
     shared = top.intersect(activity.select(F.col("gene").alias("feature_id")).distinct()).cache()
     if (n := shared.count()) < least_shared:
         raise ValueError(f"{n} shared genes; {least_shared} are wanted")

@@ -194,8 +194,8 @@ def stat_hvg_dispersion(c: Context) -> DataFrame:
 
 @query(None)
 def stat_global_hvg(c: Context) -> DataFrame:
-    drawn = sampling.per_donor(c.cells, "donor_id", "cell_id", 60)
-    return hvg.select_variable(c.rna.join(drawn.select("cell_id"), "cell_id", "left_semi"), 60, 200)
+    drawn = sampling.per_donor(c.cells, "donor_id", "cell_id")
+    return hvg.select_variable(c.rna.join(drawn.select("cell_id"), "cell_id", "left_semi"), drawn.count(), 200)
 
 
 _KNN = """with d as (select a.vec_id as src, b.vec_id as dst, round(list_distance(a.embedding::double[], b.embedding::double[]), 9) as dist from {vectors} a, {vectors} b FILTER),

@@ -174,6 +174,35 @@ def test_sampling(spark):
     assert rows(got) == rows(sampling.stratified(df.repartition(7), "s", "k", 20, sub=3)) and rows(got) != rows(sampling.stratified(df, "s", "k", 20, seed=1))
 
 
+def test_per_donor_draw_and_its_count(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from duoscope.plans import phases
+    from duoscope.queries import cells
+
+    df = spark.range(100).select(F.col("id").alias("cell_id"), F.when(F.col("id") < 90, "big").otherwise("small").alias("donor_id"), F.lit("x").alias("cell_type"))
+    counts = lambda d: Counter(r.donor_id for r in d.collect())
+    assert counts(sampling.per_donor(df, "donor_id", "cell_id", 100)) == {"big": 90, "small": 10}
+    assert counts(sampling.per_donor(df, "donor_id", "cell_id", 60)) == {"big": 30, "small": 10}
+    rna = df.select("cell_id", F.lit("g").alias("gene"), F.lit(1.0).alias("value"))
+    seen = []
+
+    def stop(x, n, *_):
+        seen.append((x.select("cell_id").distinct().count(), n))
+        raise StopIteration
+
+    monkeypatch.setattr(hvg, "select_variable", stop)
+    whole = sampling.per_donor
+    for total in (200_000, 60):
+        monkeypatch.setattr(sampling, "per_donor", lambda d, *a, t=total: whole(d, *a[:2], t))
+        genes = spark.createDataFrame([("chr1", 1, 9, "+", "g")], "chrom string, start long, end long, strand string, gene_name string")
+        atac = df.select("cell_id", F.lit("chr1:1-9").alias("peak"), F.lit(1.0).alias("value"))
+        for run in (lambda: cells.stat_global_hvg(SimpleNamespace(cells=df, rna=rna)), lambda: phases.integrate_unpaired(rna, atac, df, df, genes, min_cells=2)):
+            with pytest.raises(StopIteration):
+                run()
+    assert seen == [(100, 100)] * 2 + [(40, 40)] * 2
+
+
 def test_neighbors(spark):
     r = np.random.RandomState(0)
     x = r.rand(60, 5)
