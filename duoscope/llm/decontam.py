@@ -11,14 +11,22 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import bounded_batches, map_texts
+from duoscope.llm.common import map_texts
 
 _BREAKS = re.compile(r"[\W_]+")
+#: Scripts written without spaces between words: Thai to Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("([\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
 def normal(text: str | None) -> str:
-    """Lower-cased words (letters and digits), each between single spaces: " a b c "."""
-    return f" {_BREAKS.sub(' ', (text or '').lower()).strip()} "
+    """Lower-cased words (letters and digits), each between single spaces: " a b c ".
+
+    A letter of a script that is written without spaces is a word of its own.
+    """
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", text)
+    return f" {_BREAKS.sub(' ', text).strip()} "
 
 
 def pieces(n_words: int, budget: int) -> list[tuple[int, int]]:
@@ -59,12 +67,12 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
 class Matcher:
     """The items of one block: an automaton of all pieces, and the words of every item."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_words: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
         self.items: list[tuple[int, list[str], int]] = []
         found: dict[str, list[tuple[int, int]]] = {}
-        for item_id, text in items:
-            words = normal(text).split()
-            if len(words) < min_words:
+        for item_id, norm in dict.fromkeys((item_id, normal(text)) for item_id, text in items):
+            words = norm.split()
+            if not words:
                 continue
             budget = int(len(words) * error_rate)
             for a, b in pieces(len(words), budget):
@@ -72,55 +80,75 @@ class Matcher:
             self.items.append((item_id, words, budget))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
-            self.automaton.add_word(piece, (len(piece), places))
+            self.automaton.add_word(piece, (piece.count(" "), places))
         if found:
             self.automaton.make_automaton()
 
     def match(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item_id, distance, end word) of every item within its budget, the nearest run of each."""
+        """(item_id, distance, end word) of every item within its budget, the nearest run of each; in order of items.
+
+        Piece hits say where an item would begin. Windows that overlap are one, so that a text that repeats a piece is
+        read by Myers' recurrence once for an item, and hits come in order of their end, so that words are counted on.
+        """
         if not text or not len(self.automaton):
             return []
         norm = normal(text)
-        words: list[str] = []
-        best: dict[int, tuple[int, int]] = {}
-        done: set[tuple[int, int]] = set()
+        begins: dict[int, list[int]] = {}
+        at = breaks = 0
         for end, (size, places) in self.automaton.iter(norm):
-            words = words or norm.split()
-            at = norm.count(" ", 0, end - size + 1)
+            breaks += norm.count(" ", at, end + 1)
+            at = end + 1
             for i, a in places:
-                if (i, at - a) in done:
-                    continue
-                done.add((i, at - a))
-                _, item, budget = self.items[i]
-                low = max(0, at - a - budget)
-                distance, stop = myers(item, words[low : at - a + len(item) + budget])
-                if distance <= budget and (i not in best or (distance, low + stop) < best[i]):
-                    best[i] = (distance, low + stop)
-        return [(self.items[i][0], d, e) for i, (d, e) in sorted(best.items())]
+                begins.setdefault(i, []).append(breaks - size - a)
+        words = norm.split() if begins else []
+        best: dict[object, tuple[int, int]] = {}
+        for i, starts in sorted(begins.items()):
+            item_id, item, budget = self.items[i]
+            for low, high in self._windows(starts, len(item), budget):
+                distance, stop = myers(item, words[low:high])
+                if distance <= budget and (item_id not in best or (distance, low + stop) < best[item_id]):
+                    best[item_id] = (distance, low + stop)
+        return [(item_id, d, e) for item_id, (d, e) in best.items()]
+
+    @staticmethod
+    def _windows(starts: list[int], size: int, budget: int) -> list[tuple[int, int]]:
+        """The stretches of words that the item may lie in if it begins within budget of one of the starts."""
+        out: list[tuple[int, int]] = []
+        for s in sorted(set(starts)):
+            low, high = max(0, s - budget), s + size + budget
+            if out and low <= out[-1][1]:
+                out[-1] = (out[-1][0], high)
+            else:
+                out.append((low, high))
+        return out
 
 
 def _blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The test items in lists of about block_bytes of text each: what goes to the driver and the executors is bounded."""
+    """The test items in lists of about block_bytes of text each, all of an id in one: what goes to the driver and the executors is bounded."""
     items = bench.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b)
         yield [(r["i"], r["t"]) for r in part.toLocalIterator()]
 
 
 def leaks(
     docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    error_rate: float = 0.15, min_words: int = 5, block_bytes: int = 16 << 20,
+    error_rate: float = 0.15, block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """(doc_id, item_id, distance, end_word): each test item that a document holds with at most error_rate * words word edits.
 
-    Texts are compared as sequences of lower-cased words, without punctuation. An item of m words has a budget of
-    k = floor(error_rate * m) edits and is cut into k + 1 pieces, one of which any run within the budget holds whole;
-    exact piece hits (an Aho-Corasick automaton over whole texts) are verified with Myers' bit-parallel distance in the
-    window around them. One row per row of docs and item, with the nearest run; end_word is where it ends, in words.
-    Items of fewer than min_words words are no evidence and match nothing, nor do null or empty texts. Repeated rows get
-    repeated results. No shuffle: the benchmark goes to the executors in blocks of block_bytes, a pass of docs for each.
+    Texts are compared as sequences of lower-cased words, without punctuation; a letter of a script without spaces is a
+    word. An item of m words has a budget of k = floor(error_rate * m) edits and is cut into k + 1 pieces, one of which
+    any run within the budget holds whole; exact piece hits (an Aho-Corasick automaton over whole texts) are verified
+    with Myers' bit-parallel distance in the windows around them. An item too short for an edit must stand there whole
+    and unchanged, however short it is; what is too short for evidence is to be left out of the benchmark. One row per
+    row of docs and item id, with the nearest run, the earliest of equally near ones; end_word is where it ends, in
+    words. Items of one id with several texts count as their nearest; repeated items count once. Null, empty and
+    wordless texts match nothing on either side, and an empty table gives an empty result. Repeated rows get repeated
+    results. Very long texts are read whole, in time in proportion to their length. No shuffle: the benchmark goes to
+    the executors in blocks of block_bytes, a pass of docs for each.
     """
     item_kind = dict(bench.select(F.col(item_col).alias("d")).dtypes)["d"]
     out = None
@@ -128,7 +156,7 @@ def leaks(
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def make(sent=sent) -> Callable[[str | None], tuple]:
-            matcher = Matcher(sent.value, error_rate, min_words)
+            matcher = Matcher(sent.value, error_rate)
 
             def found(text: str | None) -> tuple:
                 hits = matcher.match(text)
@@ -142,18 +170,21 @@ def leaks(
     return out
 
 
-def without_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.15, min_words: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
-    """The documents that hold no test item, with all their columns; a decision for each row, whatever its id."""
-    bounded_batches(docs.sparkSession)
+def without_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.15, block_bytes: int = 16 << 20) -> DataFrame:
+    """The documents that hold no test item (see leaks()), with all their columns, whatever their names.
+
+    A decision for each row, whatever its id: repeated rows share their fate, rows without a text stay, and an empty
+    table stays empty. One pass of docs.
+    """
     for items in _blocks(bench, item_col, item_text_col, block_bytes):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(items), error_rate, min_words)(F.col(text_col)))
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(items), error_rate)(F.col(text_col)))
     return docs
 
 
-def _clean(sent: Broadcast, error_rate: float, min_words: int) -> Callable[[Column], Column]:
+def _clean(sent: Broadcast, error_rate: float) -> Callable[[Column], Column]:
     @F.pandas_udf("boolean")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(sent.value, error_rate, min_words)
+        matcher = Matcher(sent.value, error_rate)
         for s in texts:
             yield pd.Series([not matcher.match(t) for t in s], dtype=bool)
 
