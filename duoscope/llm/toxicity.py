@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import re
 import zlib
 from collections import Counter
@@ -9,10 +10,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import map_texts
+from duoscope.llm.common import cut, map_texts
 
 #: Insults and slurs of everyday language, by language.
 LEXICON = {
@@ -79,96 +80,140 @@ class Sample:
     def density(self, part: slice = slice(None)) -> np.ndarray:
         return np.minimum(4.0, 100.0 * self.count[part] / self.words[self.row[part]])
 
-    def keep(self, features: np.ndarray) -> None:
-        """Only these features stay: what follows needs no others."""
+    def only(self, features: np.ndarray) -> Sample:
+        """The same rows with these features alone: what follows a choice needs no others."""
         own = np.zeros(_SPACE, bool)
         own[features] = True
         mask = own[self.col]
-        self.row, self.col, self.count = self.row[mask], self.col[mask], self.count[mask]
+        out = copy.copy(self)
+        out.row, out.col, out.count = self.row[mask], self.col[mask], self.count[mask]
+        return out
 
 
-def choose_features(s: Sample, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n features whose density, and the n whose presence, tells the classes apart most (Welch's t)."""
-    n1, n0 = max(2.0, s.label.sum()), max(2.0, s.n - s.label.sum())
+def choose_features(s: Sample, target: np.ndarray, use: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n features whose density, and the n whose presence, tells the (soft) classes apart most in the rows in use (Welch's t)."""
+    share = [np.where(use, 1 - target, 0.0), np.where(use, target, 0.0)]
+    size = [max(2.0, float(x.sum())) for x in share]
     df = np.zeros(_SPACE)
-    sums = np.zeros((2, 2, 2, _SPACE), np.float32)  # density or presence, label, sum or sum of squares
+    sums = np.zeros((2, 2, 2, _SPACE), np.float32)  # density or presence, class, sum or sum of squares
     for at in range(0, len(s.row), 1 << 19):  # in parts: the driver holds no second copy of the sample
         part = slice(at, at + (1 << 19))
-        col, value, label = s.col[part], s.density(part), s.label[s.row[part]] > 0.5
-        df += np.bincount(col, minlength=_SPACE)
+        row, col, value = s.row[part], s.col[part], s.density(part)
+        df += np.bincount(col, use[row], _SPACE)
         for c in (0, 1):
-            mask = label == bool(c)
-            sums[0, c, 0] += np.bincount(col[mask], value[mask], _SPACE)
-            sums[0, c, 1] += np.bincount(col[mask], value[mask] ** 2, _SPACE)
-            sums[1, c] += np.bincount(col[mask], minlength=_SPACE)
+            w = share[c][row]
+            sums[0, c, 0] += np.bincount(col, w * value, _SPACE)
+            sums[0, c, 1] += np.bincount(col, w * value**2, _SPACE)
+            sums[1, c] += np.bincount(col, w, _SPACE)
     chosen = []
     for kind in (0, 1):
-        mean = [sums[kind, c, 0] / m for c, m in ((0, n0), (1, n1))]
-        var = [np.maximum(sums[kind, c, 1] / m - mean[c] ** 2, 0) for c, m in ((0, n0), (1, n1))]
-        z = (mean[1] - mean[0]) / np.sqrt(var[1] / n1 + var[0] / n0 + 1e-4)
+        mean = [sums[kind, c, 0] / size[c] for c in (0, 1)]
+        var = [np.maximum(sums[kind, c, 1] / size[c] - mean[c] ** 2, 0) for c in (0, 1)]
+        z = (mean[1] - mean[0]) / np.sqrt(var[1] / size[1] + var[0] / size[0] + 1e-4)
         z[df < 3] = 0
         best = np.argsort(-z, kind="stable")[:n]
         chosen.append(best[z[best] > 2.5])
     return chosen[0], chosen[1]
 
 
-def votes(s: Sample, dense: np.ndarray, present: np.ndarray, groups: int) -> np.ndarray:
-    """A row per document, a column per voter: 1 toxic, 0 clean, -1 abstains.
+def votes(s: Sample, dense: np.ndarray, present: np.ndarray, groups: int, seen: np.ndarray) -> np.ndarray:
+    """A row per document, a column per voter: 1 toxic, 0 clean, -1 abstains. No voter looks at a label.
 
     Lexicon voters, one per language, vote 1 on any hit and abstain else. Pattern voters each own a share of the chosen
-    word pieces: they vote 1 above and 0 below the bounds of their total density that best part the labels seen in
-    training. Two more look at capitals and symbols. The last voter is the annotator.
+    word pieces: they vote 1 above and 0 below bounds of their total density or presence, which were set on the labelled
+    rows `seen` that induced the pieces. Two more look at capitals and symbols.
     """
+    clean, toxic = seen & (s.label < 0.5), seen & (s.label > 0.5)
     out = [np.where(s.hits[:, j] > 0, 1, -1) for j in range(s.hits.shape[1])]
+    s = s.only(np.concatenate([dense, present]))
     for features, value in ((dense, s.density()), (present, np.ones(len(s.row)))):
         for g in range(groups):
             own = np.zeros(_SPACE, bool)
             own[features[g::groups]] = True
             mask = own[s.col]
-            total = np.bincount(s.row[mask], value[mask], s.n)
             if not mask.any():
                 continue
-            high = max(float(np.quantile(total[s.label < 0.5], 0.97)) if (s.label < 0.5).any() else 0.0, 1e-9)
-            low = float(np.quantile(total[s.label > 0.5], 0.2)) if (s.label > 0.5).any() else 0.0
+            total = np.bincount(s.row[mask], value[mask], s.n)
+            high = max(float(np.quantile(total[clean], 0.97)) if clean.any() else 0.0, 1e-9)
+            low = float(np.quantile(total[toxic], 0.2)) if toxic.any() else 0.0
             out.append(np.where(total > high, 1, np.where(total <= min(low, high), 0, -1)))
     out.append(np.where(s.capitals > 0.6, 1, -1))
     out.append(np.where(s.marks > 0.05, 1, -1))
-    out.append(np.where(s.label > 0.5, 1, 0))
     return np.array(out).T
 
 
 class LabelModel:
-    """P(vote | class) of every voter by EM, with correlated voters discounted.
+    """A generative model of class and votes, with the voters' accuracies and their correlations, learned by EM.
 
-    Given the class, voters that agree more than independence allows share evidence: voter j counts with weight
-    1 / (1 + sum of its positive residual correlations), estimated from the votes' residuals under the current posterior.
+    P(class) * product over voters of P(vote | class, vote of its parent): the parents form the tree of the greatest
+    mutual information given the class (Chow and Liu 1968, for either class at once), found anew in every round, so that
+    voters who repeat each other count once. `tables` holds these probabilities, `accuracy` the share of right votes of
+    each voter where it votes. EM starts from the voters' own majority. Rows whose class is `known` anchor it; a row's own
+    posterior `p` comes from its votes alone.
     """
 
-    def __init__(self, v: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int = 25) -> None:
-        p = start.astype(np.float64)
-        one_hot = np.stack([v == k for k in (-1, 0, 1)], axis=2).astype(np.float64)
-        self.share = np.ones(v.shape[1])
+    def __init__(self, v: np.ndarray, weight: np.ndarray, known: np.ndarray | None = None, rounds: int = 15, smooth: float = 0.5) -> None:
+        n, j = v.shape
+        known = np.full(n, np.nan) if known is None else known
+        one_hot = np.zeros((n, j * 3))
+        one_hot[np.arange(n)[:, None], np.arange(j) * 3 + v + 1] = 1
+        self.p = ((v == 1).sum(axis=1) + 0.1) / ((v >= 0).sum(axis=1) + 1.0)
         for _ in range(rounds):
+            p = np.where(np.isnan(known), self.p, known)
             self.prior = float(np.clip((weight * p).sum() / weight.sum(), 0.005, 0.5))
-            self.table = []
-            for c in (1 - p, p):
-                n = np.einsum("i,ijk->jk", weight * c, one_hot) + 0.5
-                self.table.append(n / n.sum(axis=1, keepdims=True))
-            expected = (1 - p)[:, None, None] * self.table[0] + p[:, None, None] * self.table[1]
-            residual = (one_hot - expected)[:, :, 2] - (one_hot - expected)[:, :, 1]
-            residual = residual / np.maximum(1e-6, residual.std(axis=0))
-            rho = np.clip(residual.T @ residual / len(v), 0, 1)
-            np.fill_diagonal(rho, 0)
-            self.share = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
-            p = self.posterior(one_hot)
-        self.p = p
-
-    def posterior(self, one_hot: np.ndarray) -> np.ndarray:
-        ratio = np.log(self.table[1]) - np.log(self.table[0])
-        z = np.einsum("ijk,jk,j->i", one_hot, ratio, self.share) + np.log(self.prior / (1 - self.prior))
+            joint = [((one_hot * (weight * c)[:, None]).T @ one_hot + smooth / 3).reshape(j, 3, j, 3) for c in (1 - p, p)]
+            alone = [np.einsum("iaia->ia", x) for x in joint]
+            alone = [x / x.sum(axis=1, keepdims=True) for x in alone]
+            self.parent = self._tree(joint, alone)
+            # a conditional table leans on the voter's own distribution by two rows' weight
+            self.tables = [
+                np.array([np.tile(a[k], (3, 1)) if i < 0 else (x[i, :, k] + 2 * a[k]) / (x[i, :, k] + 2 * a[k]).sum(axis=1, keepdims=True) for k, i in enumerate(self.parent)])
+                for x, a in zip(joint, alone, strict=True)
+            ]
+            right = (1 - self.prior) * alone[0][:, 1] + self.prior * alone[1][:, 2]
+            self.accuracy = right / sum(q * (a[:, 1] + a[:, 2]) for q, a in zip((1 - self.prior, self.prior), alone, strict=True))
+            self.p = self.posterior(v)
+
+    def _tree(self, joint: list[np.ndarray], alone: list[np.ndarray]) -> np.ndarray:
+        """Each voter's parent (-1: none) in the spanning tree of the greatest conditional mutual information (Prim)."""
+        j = len(alone[0])
+        mi = np.zeros((j, j))
+        for q, x, a in zip((1 - self.prior, self.prior), joint, alone, strict=True):
+            x = x / x.sum(axis=(1, 3), keepdims=True)
+            mi += q * (x * (np.log(x) - np.log(a[:, :, None, None]) - np.log(a[None, None]))).sum(axis=(1, 3))
+        parent, best, via, inside = np.full(j, -1), mi[0].copy(), np.zeros(j, int), np.zeros(j, bool)
+        inside[0] = True
+        for _ in range(j - 1):
+            k = int(np.where(inside, -np.inf, best).argmax())
+            parent[k], inside[k] = via[k], True
+            closer = (mi[k] > best) & ~inside
+            best, via = np.where(closer, mi[k], best), np.where(closer, k, via)
+        return parent
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        """P(class 1 | votes) of every row."""
+        z = np.full(len(v), np.log(self.prior / (1 - self.prior)))
+        for k, i in enumerate(self.parent):
+            above = v[:, max(0, i)] + 1
+            z += np.log(self.tables[1][k][above, v[:, k] + 1]) - np.log(self.tables[0][k][above, v[:, k] + 1])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def posterior_labels(s: Sample, fold: np.ndarray, n_features: int, groups: int) -> np.ndarray:
+    """P(toxic) of every row by voters and a label model that never saw the row's own label.
+
+    For each fold, the rows outside it induce the pattern voters and anchor the label model; all rows vote, and the rows
+    of the fold take the posterior of their votes.
+    """
+    p = np.empty(s.n)
+    for f in np.unique(fold):
+        seen = fold != f
+        dense, present = choose_features(s, s.label, seen, n_features)
+        model = LabelModel(votes(s, dense, present, groups, seen), s.weight, np.where(seen, s.label, np.nan))
+        p[~seen] = model.p[~seen]
+    return p
+
+
 def fit_linear(s: Sample, dense: np.ndarray, present: np.ndarray, target: np.ndarray, l2: float = 2e-4, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression on soft targets by Adam; a weight per chosen density and presence feature, and the intercept."""
     index = np.full((2, _SPACE), -1, np.int64)
@@ -201,6 +246,16 @@ class Classifier:
     def __init__(self, dense: dict[int, float], present: dict[int, float], intercept: float) -> None:
         self.dense, self.present, self.intercept = dense, present, intercept
 
+    def raw(self, s: Sample) -> np.ndarray:
+        """The log odds of a sample's rows."""
+        z = np.full(s.n, self.intercept)
+        s = s.only(np.array([*self.dense, *self.present], np.int64))
+        for weights, value in ((self.dense, s.density()), (self.present, np.ones(len(s.row)))):
+            w = np.zeros(_SPACE)
+            w[list(weights)] = list(weights.values())
+            z += np.bincount(s.row, w[s.col] * value, s.n)
+        return z
+
     def scorer(self) -> Callable[[str | None], tuple]:
         memo: dict[str, list[int]] = {}
         dense, present, known = self.dense, self.present, set(self.dense) | set(self.present)
@@ -224,11 +279,17 @@ class Classifier:
         return score
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_rows: int = 6000, n_features: int = 1500, groups: int = 8, seed: int = 5) -> Classifier:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic",
+    max_rows: int = 6000, max_bytes: int = 128 << 20, n_features: int = 1500, groups: int = 8, folds: int = 5, threshold: float = 0.3, seed: int = 5,
+) -> Classifier:
     """Fits voters, label model and classifier on a bounded sample of labelled rows outside the held-out fold.
 
-    At most max_rows // 2 rows of either label, by a hash of the id; each row weighs as much as it stands for. Whole texts
-    are read. Without rows of both labels the score is constant: the share of label 1.
+    The sample has at most max_rows // 2 rows of either label, by a hash of the id, and of these, in that order, as many
+    as fit into max_bytes of features (half for either label; the driver holds no more). Each row weighs as much as it
+    stands for. Whole texts are read. The classifier learns the posteriors of posterior_labels(); the gold labels of the
+    sample set nothing but its intercept, so that `threshold` parts the two classes with the best F1. Without rows of both
+    labels the score is constant: the share of label 1.
     """
     rows = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null")
     rows = rows.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -238,21 +299,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = rows.where("toxic = 0").orderBy(order, "id").limit(half).union(rows.where("toxic = 1").orderBy(order, "id").limit(half))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
     texts = texts.groupBy("id", "toxic").agg(F.min("text").alias("text"))  # one row for an id
-    sample = map_texts(texts, [F.col("id"), F.col("toxic")], "text", "n_words long, idx binary, cnt binary, hits array<int>, capitals double, marks double", lambda: _sample_row).toPandas()
+    sample = cut(map_texts(texts, [F.col("id"), F.col("toxic")], "text", "n_words long, idx binary, cnt binary, hits array<int>, capitals double, marks double", lambda: _sample_row), "sample")
+    upto = Window.partitionBy("toxic").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = sample.select("id", F.sum(F.octet_length("idx") + F.octet_length("cnt")).over(upto).alias("upto")).where(F.col("upto") <= max_bytes // 2)
+    sample = sample.join(F.broadcast(fits.select("id")), "id").toPandas()
     sample = sample.sort_values("id", ignore_index=True)
     seen = sample["toxic"].value_counts()
     if len(seen) < 2:
         share = (totals.get(1, 0) + 0.01) / (sum(totals.values()) + 1.0)
         return Classifier({}, {}, float(np.log(share / (1 - share))))
     sample["weight"] = [totals[t] / seen[t] for t in sample["toxic"]]
+    fold = np.array([zlib.crc32(f"{seed}:{i}".encode()) % folds for i in sample["id"]])
     s = Sample(sample)
     del sample
-    dense, present = choose_features(s, n_features)
-    s.keep(np.concatenate([dense, present]))
-    v = votes(s, dense, present, groups)
-    model = LabelModel(v, s.weight, 0.05 + 0.9 * s.label)
-    wd, wp, b = fit_linear(s, dense, present, model.p)
-    return Classifier(dict(zip(dense.tolist(), wd.tolist(), strict=True)), dict(zip(present.tolist(), wp.tolist(), strict=True)), b)
+    p = posterior_labels(s, fold, n_features, groups)
+    dense, present = choose_features(s, p, np.ones(s.n, bool), n_features)
+    wd, wp, b = fit_linear(s.only(np.concatenate([dense, present])), dense, present, p)
+    model = Classifier(dict(zip(dense.tolist(), wd.tolist(), strict=True)), dict(zip(present.tolist(), wp.tolist(), strict=True)), b)
+    model.intercept += best_shift(model.raw(s), s.label, s.weight, threshold)
+    return model
+
+
+def best_shift(z: np.ndarray, label: np.ndarray, weight: np.ndarray, threshold: float) -> float:
+    """What to add to the log odds, between -2 and 2, for the best F1 at the threshold; of the best shifts the middle one."""
+    at = np.log(threshold / (1 - threshold))
+    shifts = np.linspace(-2, 2, 81)
+    f1 = []
+    for d in shifts:
+        said = z + d >= at
+        right = (weight * label)[said].sum()
+        f1.append(2 * right / max(1e-9, weight[said].sum() + (weight * label).sum()))
+    best = shifts[np.isclose(f1, max(f1))]
+    return float(best[len(best) // 2])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **how) -> DataFrame:
@@ -262,6 +340,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     the held-out fold, and is never trained on. Labels other than 0 and 1, or of unknown documents, are passed over; of
     repeated labels of a document 1 wins. An empty table gives an empty result. Other columns are not read.
     """
-    model = train(docs, labels, id_col, text_col, **how)
+    model = train(docs, labels, id_col, text_col, threshold=threshold, **how)
     rows = map_texts(docs, [F.col(id_col).alias("doc_id")], text_col, "score double", model.scorer)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
