@@ -125,7 +125,6 @@ class Markov:
         c = _CODE[np.frombuffer(s.encode(), np.uint8)]
         return float(self.ratio[c[:-1], c[1:]].mean())
 
-
     def _parts(self, s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Running sums of the log ratios up to each character, and where parts may start and end (the last character)."""
         raw = np.frombuffer(s.encode(), np.uint8)
@@ -166,14 +165,26 @@ _LONG_HEX = re.compile(r"[0-9a-f]{32}")
 
 
 def scan(text: str | None, model: Markov) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and the model's: candidates with a part above the threshold that overlap no base span."""
+    """Base spans, and the model's: what base spans leave of each candidate, if a part of it is above the threshold.
+
+    Base spans and candidates both come in order, so one sweep meets them.
+    """
     text = text or ""
     base = base_spans(text)
-    more = []
+    more, first = [], 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if model.found(m[0]) and not any(s < b and a < e for s, _, e in base):
-            more.append((a, 3, b))
+        while first < len(base) and base[first][2] <= a:
+            first += 1
+        at, i = a, first
+        while i < len(base) and base[i][0] < b:
+            s, _, e = base[i]
+            if s - at >= MIN_PART and model.found(text[at:s]):
+                more.append((at, 3, s))
+            at = max(at, e)
+            i += 1
+        if b - at >= MIN_PART and model.found(text[at:b]):
+            more.append((at, 3, b))
     return base, more
 
 
@@ -188,7 +199,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base_sha256 digests the joined base spans (of the empty string without any); spans holds the model's as "markov" too.
     The two chains are trained on the driver from n_samples generated, labelled strings of either kind: a table of
     68 * 68 numbers goes to the executors, however large the input. A null text is empty. Rows are independent: no
-    shuffle. Other columns are not read.
+    shuffle. An empty table gives an empty result; a text is scanned whole, in time linear in its length. A candidate that
+    base spans touch is cut at them. Other columns are not read.
     """
     model = Markov(n_samples, seed)
 
