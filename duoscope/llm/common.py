@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. On one machine (tests) a new temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="duoscope-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,28 +36,47 @@ def cut(df: DataFrame, name: str = "step", small: bool = False) -> DataFrame:
     """The same rows from a table in the shared folder: the lineage ends there, and a lost executor costs no recomputation.
 
     Parquet keeps the sizes known for the choice of joins, and columns that a later step doesn't read stay on disk. The
-    tables go when the application ends. small: a table of a few numbers a row, written by four tasks for each core of
-    the cluster at most, as the number of files would cost more than their contents.
+    tables go by release(), or else when the application ends. small: a table of a few numbers a row, written by four
+    tasks for each core of the cluster at most, as the number of files would cost more than their contents.
     """
     spark = df.sparkSession
     if small:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/duoscope-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    _written[path] = spark
+    return out
 
 
-_written: list[tuple[SparkSession, str]] = []
+def release(*tables: DataFrame | str | None) -> None:
+    """Removes tables of cut(), or folders by path, that nothing reads any more: what stood on them has been written."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "_cut_path", None)
+        if path in _written:
+            _remove(_written.pop(path), path)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> str:
+    """The path; the folder goes by release(), or when the application ends."""
+    _written[path] = spark
+    return path
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the application may have ended first
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
-def _remove() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):  # the application may have ended first
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _remove_all() -> None:
+    for path, spark in _written.items():
+        _remove(spark, path)
 
 
 def text_key(*cols: Column) -> list[Column]:
@@ -64,19 +85,12 @@ def text_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(*marked).alias("__k1"), F.hash(*marked).alias("__k2")]
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of so many rows at most, that very long texts fit into a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def map_texts(docs: DataFrame, keep: list[Column], text_col: str, schema: str, make: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
     """The kept columns, and what make()(text) returns for each row's text, as columns of the schema ("a long, b string").
 
-    The other columns stay in the JVM; only the text goes to Python, in Arrow batches of bounded length. make() is called
+    The other columns stay in the JVM; only the text goes to Python, in Arrow batches that Spark bounds by their bytes. make() is called
     once for each task.
     """
-    bounded_batches(docs.sparkSession)
     fields = StructType.fromDDL(schema)
 
     @F.pandas_udf(fields)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import cut
+from duoscope.llm.common import cut, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # small star: u and its smaller neighbours, which are few by now, are linked to the smallest of them
         near = large.withColumn("m", F.min("v").over(own))
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct(), "edges", small=True)
+        last, e = e, cut(small.where("u <> v").distinct(), "edges", small=True)
+        release(last)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(now) == before:
             break

@@ -6,28 +6,32 @@ confirmed on full shingle sets.
 
 How links are found without all pairs of a bucket:
 
-1. Texts with the same shingle set are one class from the start (a grouping by a 128-bit hash of the set).
+1. Texts with the same shingle set are one class from the start: a grouping by a 128-bit hash of the set, whose classes
+   get numbers of their own.
 2. In every bucket each class is compared with the bucket's smallest and largest class (its hubs): rows in proportion to
    the bucket.
 3. Confirmed links give components. Buckets whose classes are in one component are settled, as more links between them
    change nothing.
 4. The classes of the other buckets go through an exact prefix filter: two sets with a Jaccard similarity of t or more
    share one of the |s| - ceil(t |s|) + 1 shingles that are rarest among these classes, at places early enough to leave
-   room for the overlap. There each class outside a key's largest component is compared with the classes of other
-   components, until no key holds an untested pair. So no bucket is capped, and no pair that shares a bucket is lost.
+   room for the overlap. There a few hubs of a key are compared with the classes of other components, in a few rounds;
+   then each class outside a key's largest component with all those of other components, until no key holds an untested
+   pair. So no bucket is capped, and no pair that shares a bucket is lost.
+   Only classes of about the same size meet, and a key that many classes share is dealt to many tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import bounded_batches, cut, map_texts
+from duoscope.llm.common import cut, map_texts, release
 from duoscope.llm.components import components
 
 _PRIME_MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -99,17 +103,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(node, s binary): the sorted 64-bit shingle hashes of each wanted class (node, rep), once."""
+    """(node, s binary): the sorted 64-bit shingle hashes of each wanted class (node, s1, s2, rep), once."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[bytes, int] = {}
         for pdf in batches:
             every = [shingle_hashes(t, k, memo).tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"node": [_set_hash(s)[0] for s in every], "s": every})
+            yield pd.DataFrame([(*_set_hash(s), s) for s in every], columns=["s1", "s2", "s"])
 
-    bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep", "left_semi")
-    return texts.select("text").mapInPandas(sets, "node long, s binary").dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted.select("rep"), "rep", "left_semi")
+    sets_of = texts.select("text").mapInPandas(sets, "s1 long, s2 long, s binary").dropDuplicates(["s1", "s2"])
+    return sets_of.join(wanted.select("node", "s1", "s2"), ["s1", "s2"]).select("node", "s")
 
 
 def _set_hash(s: bytes) -> tuple[int, int]:
@@ -117,7 +121,7 @@ def _set_hash(s: bytes) -> tuple[int, int]:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have per_cent or more of their union in common."""
+    """The pairs (a, b; and hub, one of them) whose full sets have per_cent or more of their union in common."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -128,9 +132,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                 keep.append(100 * both >= per_cent * (len(u) + len(v) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    left = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    return pairs.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
+    # a hub of very many pairs meets its set while rows are small; the pairs then spread by their other ends
+    left = sets.select(F.col("node").alias("hub"), F.col("s").alias("sa"))
+    right = sets.select(F.col("node").alias("other"), F.col("s").alias("sb"))
+    ends = pairs.select("a", "b", "hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    return ends.join(left, "hub").join(right, "other").select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
 
 
 def _prefixes(sets: DataFrame, per_cent: int) -> DataFrame:
@@ -151,8 +157,61 @@ def _prefixes(sets: DataFrame, per_cent: int) -> DataFrame:
     return ranked.where(f"pos <= n - ceil(n * {per_cent} / 100) + 1").select("key", "node", "n", "pos")
 
 
+def _candidates(here: DataFrame, per_cent: int, task_pairs: int = 1 << 20) -> DataFrame:
+    """(a, b): the classes outside the largest component of a key with those of its other components, untested or not.
+
+    here: key, node, n, pos, comp. Two sets that are similar enough differ in size by a factor of 100 / per_cent at most,
+    so bands of that width meet their own kind and their neighbours. Where a key's meetings are more than task_pairs, the
+    one side is dealt over as many salts as that takes, and the other side, which is the smaller one, goes to each.
+    """
+    by_comp = here.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    most = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("c").alias("all")).where("comps > 1")
+    meetings = F.col("all") * (F.col("all") - F.col("top.c"))
+    most = most.select("key", F.col("top.comp").alias("most"), F.ceil(meetings / task_pairs).cast("int").alias("salts"))
+    width = 1.001 * math.log(100 / per_cent) if per_cent < 100 else 1.0
+    here = here.join(most, "key").withColumn("band", F.floor(F.ln("n") / width).cast("int"))
+    few = here.where("comp <> most").select("key", "band", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    many = here.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    many = many.select("key", "node", "n", "pos", "comp", "salt", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"))
+    return _unordered(many.join(few, ["key", "band", "salt"]).where("comp <> hub_comp").where(_may_be_near(per_cent)))
+
+
+def _stars(here: DataFrame, links: DataFrame, per_cent: int, seed: int) -> DataFrame:
+    """(a, b, hub): in every key, a few hubs with the classes of other components, so rows in proportion to the keys'.
+
+    The hubs are of the largest component the class with the most links, which tends to be the middle of a group of near
+    copies, and one by a hash of the round; and one of the other components. Each stands for many meetings: what they
+    leave unlinked is little.
+    """
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    by_comp = here.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    most = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("most"))
+    here = here.join(most, "key").join(degree, "node", "left")
+    one = F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
+    order = F.xxhash64("node", F.lit(seed))
+    inside = F.col("comp") == F.col("most")
+    hubs = here.groupBy("key").agg(
+        F.max_by(F.when(inside, one), F.when(inside, F.struct(F.coalesce("degree", F.lit(0)), order))).alias("h0"),
+        F.max_by(F.when(inside, one), F.when(inside, order)).alias("h1"), F.max_by(F.when(~inside, one), F.when(~inside, order)).alias("h2"),
+    )
+    hubs = hubs.select("key", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("h")).select("key", "h.*")
+    return _unordered(here.join(hubs, "key").where("comp <> hub_comp").where(_may_be_near(per_cent)))
+
+
+def _may_be_near(per_cent: int) -> Column:
+    """By their sizes, and by what is left after the places of the shared key, two sets can be similar enough."""
+    fits = F.expr(f"100 * least(n, hub_n) >= {per_cent} * greatest(n, hub_n)")
+    room = F.expr(f"{100 + per_cent} * (1 + least(n - pos, hub_n - hub_pos)) >= {per_cent} * (n + hub_n)")
+    return fits & room
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    """(a, b, hub) with a < b, once for every pair of (hub, node); hub is the one of them that was met as a hub."""
+    return pairs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.min("hub").alias("hub"))
+
+
 def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, per_cent: int = 80, halves: int = 9, rows: int = 2, seed: int = 7
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, per_cent: int = 80, halves: int = 9, rows: int = 2, seed: int = 7, star_rounds: int = 4
 ) -> DataFrame:
     """Near-duplicate classes of texts: (id, n_shingles, component_id, kept), a row per input row.
 
@@ -165,8 +224,9 @@ def near_classes(
     """
     sig = cut(signatures(docs, id_col, text_col, k, halves, rows, seed))
     named = sig.where("n_shingles > 0 and id is not null")
-    # s1 names a class in what follows; its smallest id comes back at the end
-    classes = cut(named.groupBy(F.col("s1").alias("node")).agg(F.min("id").alias("rep"), F.first("half").alias("half"), F.max("n_shingles").alias("n")))
+    # a number names a class in what follows; it is written once, and its smallest id comes back at the end
+    classes = named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("half").alias("half"), F.max("n_shingles").alias("n"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     keys_of = F.transform(
         F.sequence(F.lit(0), F.lit(halves * halves - 1)),
         lambda t: F.xxhash64(F.element_at("half", (t / halves).cast("int") + 1), F.element_at("half", t % halves + halves + 1), t),
@@ -176,11 +236,11 @@ def near_classes(
     members = cut(keyed.join(buckets, "key"))
     sizes = classes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
     fits = F.expr(f"100 * least(n, hub_n) >= {per_cent} * greatest(n, hub_n)")
-    stars = members.select(F.explode(F.array("hub", "last")).alias("hub"), "node", "n").where("hub <> node").distinct().join(sizes, "hub").where(fits)
-    tested = cut(stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), small=True)
-    wanted = members.select("node").distinct().join(classes.select("node", "rep"), "node")
+    stars = members.select(F.explode(F.array("hub", "last")).alias("hub"), "node", "n").where("hub <> node").join(sizes, "hub").where(fits)
+    tested = cut(_unordered(stars), "pairs")
+    wanted = members.select("node").distinct().join(classes.select("node", "s1", "s2", "rep"), "node")
     sets = cut(shingle_sets(docs, wanted, id_col, text_col, k))
-    links = cut(_confirm(tested, sets, per_cent), small=True)
+    links = cut(_confirm(tested, sets, per_cent), "links")
     comp = cut(components(links), small=True)
 
     def placed(d: DataFrame) -> DataFrame:
@@ -190,34 +250,37 @@ def near_classes(
     unsettled = here.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     rest = cut(here.join(unsettled, "key", "left_semi").select("node").distinct(), small=True)
     keys = None if rest.isEmpty() else cut(_prefixes(sets.join(rest, "node", "left_semi"), per_cent))
+    release(members)
+    round_ = 0
     while keys is not None:
-        here = placed(keys)
-        by_comp = here.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        most = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        here = here.join(most.select("key", F.col("top.comp").alias("most")), "key")
-        few = here.where("comp <> most").select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
-        room = F.expr(f"{100 + per_cent} * (1 + least(n - pos, hub_n - hub_pos)) >= {per_cent} * (n + hub_n)")
-        pairs = here.join(few, "key").where("comp <> hub_comp").where(fits).where(room)
-        pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), small=True)
-        if pairs.isEmpty():
-            break
-        more = cut(_confirm(pairs, sets, per_cent), small=True)
-        if more.isEmpty():
-            break
+        stars_only = round_ < star_rounds  # then all meetings of what is left
+        found = _stars(placed(keys), links, per_cent, seed + round_) if stars_only else _candidates(placed(keys), per_cent)
+        round_ += 1
+        pairs = cut(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = None if pairs.isEmpty() else cut(_confirm(pairs, sets, per_cent), "links")
+        if more is None or more.isEmpty():
+            if not stars_only:
+                break
+            round_, tested = star_rounds, tested if more is None else tested.union(pairs)
+            continue
         links, tested = links.union(more), tested.union(pairs)
-        comp = cut(components(links), small=True)
+        last, comp = comp, cut(components(links), small=True)
+        release(last)
+    release(keys, sets, rest)
 
     # classes -> the smallest id of their component
-    least = placed(classes.select("node", "rep"))
-    least = least.join(least.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select(F.col("node").alias("s1"), "component_id")
-    ids = named.select("id", "s1").join(least, "s1")
+    least = placed(classes.select("node", "s1", "s2", "rep"))
+    least = least.join(least.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("s1", "s2", "component_id")
+    least = cut(least, "least")
+    release(classes, comp)
+    ids = named.select("id", "s1", "s2").join(least, ["s1", "s2"])
     twice = cut(ids.groupBy("id").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y"), small=True)
     if not twice.isEmpty():  # rows of one id with different texts tie their components
         tie = components(ids.join(twice, "id", "left_semi").select(F.col("id").alias("a"), F.col("component_id").alias("b")))
         tie = cut(tie.select(F.col("node").alias("component_id"), F.col("comp").alias("tied")))
-        least = least.join(tie, "component_id", "left").select("s1", F.coalesce("tied", "component_id").alias("component_id"))
-    found = sig.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("s1")).alias("s1")).join(least, "s1", "left")
+        least = least.join(tie, "component_id", "left").select("s1", "s2", F.coalesce("tied", "component_id").alias("component_id"))
+    in_class = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    found = sig.select("id", "n_shingles", F.when(in_class, F.col("s1")).alias("s1"), "s2").join(least, ["s1", "s2"], "left")
     found = found.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 

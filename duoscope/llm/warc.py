@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import cut, shared_dir
+from duoscope.llm.common import cut, release, remove_at_end, shared_dir
 
 VERSION = "WARC/1.1\r\n"
 #: Fixed value: the profile URI of a revisit record for an identical payload.
@@ -232,7 +232,7 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     plan_records() for nulls, ties and repeated rows; an empty table gives an empty result. Other columns are not read.
     """
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/duoscope-warc-{uuid.uuid4().hex}"
+    path = path or remove_at_end(spark, f"{shared_dir(spark)}/duoscope-warc-{uuid.uuid4().hex}")
     write_warc(plan_records(pages, id_col, url_col, html_col, min_revisit_bytes), path)
     kind = dict(pages.dtypes)[id_col]
     found = read_warc(spark, path)
