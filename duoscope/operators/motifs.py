@@ -47,10 +47,17 @@ def threshold_exact(matrix: np.ndarray, p: float = MOTIF_P, step: float = 1e-3)
     return float(low.sum() + at * step)
 
 
+#: So many weights (motifs x columns x 4) may go to the driver and, as matrices, to every executor: some 32 MB.
+MAX_WEIGHTS = 1 << 22
+
+
 def matrices(pwm: DataFrame) -> dict[str, np.ndarray]:
-    """motif_id -> 4 x W doubles on the driver: a few hundred motifs of some 30 columns."""
+    """motif_id -> 4 x W doubles on the driver: a few hundred motifs of some 30 columns; refused beyond MAX_WEIGHTS."""
     out = {}
-    for motif, g in pwm.toPandas().groupby("motif_id"):
+    rows = pwm.limit(MAX_WEIGHTS + 1).toPandas()
+    if len(rows) > MAX_WEIGHTS:
+        raise ValueError(f"more than {MAX_WEIGHTS} weights: scan the motifs in several calls")
+    for motif, g in rows.groupby("motif_id"):
         m = np.zeros((4, int(g["pos"].max()) + 1))
         m[[BASES.index(b) for b in g["base"]], g["pos"].astype(int)] = g["weight"]
         out[motif] = m
@@ -71,9 +78,9 @@ def scan_relational(sequences: DataFrame, pwm: DataFrame, thresholds: DataFrame)
     both = pwm.withColumn("strand", F.lit("+")).union(reverse_complement(pwm).withColumn("strand", F.lit("-")))
     width = pwm.groupBy("motif_id").agg((F.max("pos") + 1).alias("w"))
     letters = sequences.select("peak", F.posexplode(F.split("seq", "")).alias("i", "base"))
-    s = letters.join(F.broadcast(both), "base").groupBy("motif_id", "strand", "peak", (F.col("i") - F.col("pos")).alias("at")).agg(F.sum("weight").alias("score"), F.count("*").alias("n"))
-    s = s.join(F.broadcast(width), "motif_id").where("n = w").groupBy("motif_id", "peak").agg(F.max(F.round("score", 9)).alias("best"))
-    return s.join(F.broadcast(thresholds), "motif_id").where(F.col("best") >= F.round("threshold", 9)).select("motif_id", "peak")
+    s = letters.join(both, "base").groupBy("motif_id", "strand", "peak", (F.col("i") - F.col("pos")).alias("at")).agg(F.sum("weight").alias("score"), F.count("*").alias("n"))
+    s = s.join(width, "motif_id").where("n = w").groupBy("motif_id", "peak").agg(F.max(F.round("score", 9)).alias("best"))
+    return s.join(thresholds, "motif_id").where(F.col("best") >= F.round("threshold", 9)).select("motif_id", "peak")
 
 
 def best_scores(seq: str, matrix: np.ndarray) -> float:
@@ -100,7 +107,7 @@ def scan(sequences: DataFrame, pwm: DataFrame, thresholds: DataFrame) -> DataFra
 
     The matrices go to the executors as a broadcast of their size (four doubles a column).
     """
-    t = {r["motif_id"]: r["threshold"] for r in thresholds.collect()}
+    t = {r["motif_id"]: r["threshold"] for r in thresholds.limit(MAX_WEIGHTS).collect()}
     sent = sequences.sparkSession.sparkContext.broadcast([(k, m, t[k]) for k, m in sorted(matrices(pwm).items()) if k in t])
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,14 +25,14 @@ ADAPTERS = {
     "dup_genes": "select chrom, g_start, g_end, strand, cast(cast(gene_name as bigint) % 400 as string) as gene_name from {genes}",
     "peaks": "select p_partkey as feature_id, case when p_partkey % 97 = 0 then 'GL' || cast(p_partkey as string) || '.1:1-2' else 'chr' || cast(p_partkey % 5 + 1 as string) || case when p_partkey % 2 = 0 then ':' else '-' end || cast(p_partkey * 1000 as string) || '-' || cast(p_partkey * 1000 + 500 as string) end as peak from {part}",
     "good_peaks": "select feature_id, peak, 'chr' || cast(feature_id % 5 + 1 as string) as p_chrom, feature_id * 1000 as p_start, feature_id * 1000 + 500 as p_end from {peaks} where peak like 'chr%'",
-    "rna_g": "select cell_id, cast(feature_id as string) as gene, value from {rna} where feature_id % 10 = 0",
+    "rna_g": "select cell_id, cast(feature_id as string) as gene, value from {rna}",
     "atac_p": "select cell_id, peak, value from {atac} join {peaks} using (feature_id)",
     "atac_b": "select cell_id, peak, cast(1 as double) as value from {atac_p}",
     "matches": "select p_brand as motif_id, peak from {part} join {peaks} on p_partkey = feature_id where p_partkey % 3 = 0",
     "vectors": "select vec_id, label, embedding, vec_id % 3 = 0 as is_rna, cast(vec_id % 5 as string) as donor_id, cast(label as string) as cell_type from {embeddings}",
     "rna_cells": "select user_id as donor, event_id as cell from {events} where event_type in ('view', 'click') and user_id % 7 <> 0",
     "atac_cells": "select user_id as donor, event_id as cell from {events} where event_type in ('purchase', 'error') and user_id % 11 <> 0",
-    "seqs": "select 'd' || cast(doc_id as string) as peak, substr(regexp_replace(upper(text), '[^ACGTN]', '' GLOBAL), 1, 120) as seq from {documents} where doc_id % 20 = 0",
+    "seqs": "select 'd' || cast(doc_id as string) as peak, regexp_replace(upper(text), '[^ACGTN]', '' GLOBAL) as seq from {documents}",
 }
 #: A window around a TSS, and its pairs, for the oracles.
 _WINDOWS = "select gene_name as gene, chrom, greatest(0, case when strand = '-' then g_end - 250000 else g_start - 250000 end) as a, case when strand = '-' then g_end + 250000 else g_start + 250000 end as b from {genes}"
@@ -84,9 +84,9 @@ def duck(text: str) -> str:
     plain = lambda t: _REF.sub(r"\1", t).replace("'' GLOBAL)", "'', 'g')")
     ctes = [f"{n} as ({plain(known[n])})" for n in order]
     body = plain(text).strip()
-    if body.startswith("with "):
-        ctes.append(body.removeprefix("with "))
-        return "with " + ",\n".join(ctes)
+    for start in ("with recursive ", "with "):
+        if body.startswith(start):
+            return start + ",\n".join([*ctes, body.removeprefix(start)])
     return ("with " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 

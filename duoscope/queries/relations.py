@@ -131,19 +131,61 @@ def join_semi_peaks(c: Context) -> DataFrame:
     return c.good_peaks.join(correlated(c).select("peak"), "peak", "left_semi").select("peak", "p_start").distinct()
 
 
-@query("select cell_id, peak, coalesce(value, 0) as value from (select cell_id from {cells} where cell_id <= 20) cross join (select distinct peak from {correlated} where cast(gene as bigint) <= 200) left join {atac_p} using (cell_id, peak)")
+@query("select cell_id, peak, coalesce(value, 0) as value from (select cell_id from {cells}) cross join (select distinct peak from {correlated}) left join {atac_p} using (cell_id, peak)")
 def rf_noise_matrix(c: Context) -> DataFrame:
-    # all cells and correlated peaks; the SQL has those of 20 cells and the genes up to 200
     return triplets.peak_matrix(c.cells, correlated(c), c.atac_p)
 
 
-_CHECKS = "pairs above threshold|no self-regulation|TFs are labelled TF|targets are labelled|triplet peaks are listed|correlated peaks are listed|listed peaks are correlated|genes are unique|types are TF or target"
-
-
-@query("select * from (values " + ", ".join(f"('{x}', true)" for x in _CHECKS.split("|")) + ') v("check", passed)')
+#: The result tables as they are, and with violations of every invariant planted, for both engines.
+_RESULTS = f"""with labels as ({_LABELS}), peak_info as (select distinct peak from {{correlated}}),
+corr2 as (select false as planted, gene, peak, spearman_r from {{correlated}} union all select true, gene, peak, case when cast(gene as bigint) % 50 = 0 then spearman_r / 100 else spearman_r end from {{correlated}}),
+trip2 as (select false as planted, target_gene, peak, "TF" from {{trip}} union all select true, target_gene, peak, "TF" from {{trip}} union all select true, "TF", peak, "TF" from {{trip}}),
+label2 as (select false as planted, gene, type from labels union all select true, gene, case when type = 'TF' then 'none' else type end from labels where cast(gene as bigint) % 20 <> 0 union all select true, gene, type from labels where cast(gene as bigint) % 70 = 0 union all select true, gene, type from labels where cast(gene as bigint) % 70 = 0),
+info2 as (select false as planted, peak from peak_info union all select true, peak from peak_info where peak like '%000-%' and peak not like '%1000-%' union all select true, 'nowhere'),
+sets as (select unnest([false, true]) as planted),
+bad as (
+  select 'pairs above threshold' as "check", planted, count(*) as n from corr2 where not abs(spearman_r) > 0.1 group by 2
+  union all select 'no self-regulation', planted, count(*) from trip2 where "TF" = target_gene group by 2
+  union all select 'TFs are labelled TF', planted, count(*) from trip2 t where not exists (select 1 from label2 l where l.planted = t.planted and l.gene = t."TF" and type = 'TF') group by 2
+  union all select 'targets are labelled', planted, count(*) from trip2 t where not exists (select 1 from label2 l where l.planted = t.planted and l.gene = t.target_gene) group by 2
+  union all select 'triplet peaks are listed', planted, count(*) from trip2 t where not exists (select 1 from info2 i where i.planted = t.planted and i.peak = t.peak) group by 2
+  union all select 'correlated peaks are listed', planted, count(*) from corr2 t where not exists (select 1 from info2 i where i.planted = t.planted and i.peak = t.peak) group by 2
+  union all select 'listed peaks are correlated', planted, count(*) from info2 i where not exists (select 1 from corr2 t where i.planted = t.planted and i.peak = t.peak) group by 2
+  union all select 'genes are unique', planted, count(*) from (select planted, gene from label2 group by 1, 2 having count(*) > 1) group by 2
+  union all select 'types are TF or target', planted, count(*) from label2 where type not in ('TF', 'target') group by 2),
+names as (select unnest(['pairs above threshold', 'no self-regulation', 'TFs are labelled TF', 'targets are labelled', 'triplet peaks are listed', 'correlated peaks are listed', 'listed peaks are correlated', 'genes are unique', 'types are TF or target']) as "check")
+select s.planted, m."check", coalesce(n, 0) = 0 as passed from sets s cross join names m left join bad b on b.planted = s.planted and b."check" = m."check\""""
+
+
+@query(_RESULTS)
 def validate_results(c: Context) -> DataFrame:
     corr, trip = correlated(c).persist(), found(c)
-    return validate.check_results(corr, trip, triplets.label_genes(trip, gene_set(c)), triplets.peak_info(corr.withColumn("pair_ix", F.col("gene"))))
+    labels = triplets.label_genes(trip, gene_set(c)).select("gene", "type")
+    info = triplets.peak_info(corr.withColumn("pair_ix", F.col("gene"))).select("peak")
+    clean = validate.check_results(corr, trip, labels, info).withColumn("planted", F.lit(False))
+    gene = F.col("gene").cast("long")
+    twice = labels.where(gene % 70 == 0)
+    planted = validate.check_results(
+        corr.withColumn("spearman_r", F.when(gene % 50 == 0, F.col("spearman_r") / 100).otherwise(F.col("spearman_r"))),
+        trip.unionByName(trip.withColumn("target_gene", F.col("TF"))),
+        labels.where(gene % 20 != 0).withColumn("type", F.when(F.col("type") == "TF", "none").otherwise(F.col("type"))).union(twice).union(twice),
+        info.where("peak like '%000-%' and peak not like '%1000-%'").union(c.spark.createDataFrame([("nowhere",)], "peak string")),
+    )
+    return clean.union(planted.withColumn("planted", F.lit(True))).select("planted", "check", "passed")
+
+
+@query("""with w as (select count(distinct peak) as w from {correlated}), n as (select count(*) as n from {cells}), hi as (select max(coalesce(value, 0)) as hi from (select cell_id from {cells}) cross join (select distinct peak from {correlated}) left join {atac_p} using (cell_id, peak))
+select s.planted, k."check", case k."check" when 'noise present' then not s.planted when 'a row for each cell' then not s.planted when 'matrix width' then not s.planted when 'no row but for a cell' then true else hi >= 1 end as passed
+from (select unnest([false, true]) as planted) s cross join (select unnest(['matrix width', 'a row for each cell', 'no row but for a cell', 'noise present', 'counts present']) as "check") k cross join hi""")
+def validate_matrix(c: Context) -> DataFrame:
+    """The model's matrix with noise, and without it, a cell and a column of some cells."""
+    corr = correlated(c).persist()
+    peaks = corr.select("peak").distinct()
+    good = triplets.peak_vectors(triplets.peak_matrix(c.cells, peaks, c.atac_p, 1e-5))
+    bad = triplets.peak_vectors(triplets.peak_matrix(c.cells.where("cell_id <> 2"), peaks, c.atac_p))
+    bad = bad.withColumn("peaks", F.when(F.col("cell_id") == 1, F.slice("peaks", 1, F.size("peaks") - 1)).otherwise(F.col("peaks")))
+    checked = validate.check_matrix(good, c.cells, peaks).withColumn("planted", F.lit(False))
+    return checked.union(validate.check_matrix(bad, c.cells, peaks).withColumn("planted", F.lit(True))).select("planted", "check", "passed")
 
 
 _PWM = [("m1", ["AC", "A", "CT", "A"]), ("m2", ["T", "AG", "C"]), ("m3", ["C", "C", "A", "N", "T"])]
@@ -163,9 +205,16 @@ s as (select motif_id, sum(m) as m, sum(v) as v, sum(lo) as lo, sum(hi) as hi fr
 t as (select motif_id, case when v > 0 then greatest(lo, least(hi, m + ZZ * sqrt(v))) else hi end as threshold from s)"""
 
 
-@query(None)
+_EXACT = f"""with recursive pwm as ({_PWM_SQL}), width as (select motif_id, max(pos) + 1 as w from pwm group by 1),
+words as (select motif_id, 0 as pos, 0::double as score from width union all select x.motif_id, x.pos + 1, x.score + p.weight from words x join pwm p on p.motif_id = x.motif_id and p.pos = x.pos),
+scores as (select x.motif_id, w, round(score, 3) as score, count(*) as n from words x join width using (motif_id) where pos = w group by 1, 2, 3),
+tails as (select *, sum(n) over (partition by motif_id order by score desc) / pow(4.0, w) as tail from scores)
+select motif_id, round(coalesce(min(case when tail <= pow(5.0, -4) * (1 + 1e-12) then score end), max(score)), 6) as threshold from tails group by 1"""
+
+
+@query(_EXACT)
 def pwm_threshold_exact(c: Context) -> DataFrame:
-    return motifs.exact_thresholds(pwm(c))
+    return motifs.exact_thresholds(pwm(c)).withColumn("threshold", F.round("threshold", 6))
 
 
 def _normal_sql(tail: str) -> str:
@@ -191,19 +240,14 @@ best as (select sc.motif_id, peak, max(round(score, 9)) as best from sc join (se
 select best.motif_id, peak from best join t on best.motif_id = t.motif_id where best >= round(threshold, 9)"""
 
 
-def sequences(c: Context) -> DataFrame:
-    """All documents' whole sequences; the adapter seqs, which the oracle reads, has the first 120 bases of one in twenty."""
-    return c.documents.select(F.concat(F.lit("d"), F.col("doc_id")).alias("peak"), F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("seq"))
-
-
 @query(_normal_sql(_SCAN))
 def pwm_scan_relational(c: Context) -> DataFrame:
-    return motifs.scan_relational(sequences(c), pwm(c), motifs.threshold_normal(pwm(c)))
+    return motifs.scan_relational(c.seqs, pwm(c), motifs.threshold_normal(pwm(c)))
 
 
 @query(_normal_sql(_SCAN))
 def pwm_scan(c: Context) -> DataFrame:
-    return motifs.scan(sequences(c), pwm(c), motifs.threshold_normal(pwm(c)))
+    return motifs.scan(c.seqs, pwm(c), motifs.threshold_normal(pwm(c)))
 
 
 @query("select p_partkey, 'ENS' || cast(p_partkey as string) as gene_id, case when p_partkey % 7 = 0 then null else p_name end as gene_name from {part}")
