@@ -21,7 +21,10 @@ def donor_counts(rna: DataFrame, atac: DataFrame, donor: str = "donor_id") -> Da
 def classify(rna: DataFrame, atac: DataFrame, donor: str = "donor_id", min_cells: int = 50) -> DataFrame:
     """donor_id, n_rna, n_atac, has_both, skip_reason (the first that holds, or empty)."""
     n = donor_counts(rna, atac, donor)
-    why = F.when(F.col("n_rna") == 0, "no RNA").when(F.col("n_atac") == 0, "no ATAC").when(F.col("n_rna") < min_cells, "too few RNA").when(F.col("n_atac") < min_cells, "too few ATAC").otherwise("")
+    why = F.when(F.col("n_rna") == 0, "no RNA cells").when(F.col("n_atac") == 0, "no ATAC cells").otherwise("")
+    for m in ("rna", "atac"):
+        few = F.format_string(f"too few {m.upper()} cells (%d < {min_cells})", F.col(f"n_{m}"))
+        why = F.when((why == "") & (F.col(f"n_{m}") < min_cells), few).otherwise(why)
     return n.withColumn("skip_reason", why).select("donor_id", "n_rna", "n_atac", (F.col("skip_reason") == "").alias("has_both"), "skip_reason")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Names of layers with raw counts, in the order in which they are looked for.
 RAW_LAYERS = ("UMIs", "UMI", "raw", "counts", "raw_counts")
 
 

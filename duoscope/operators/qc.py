@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,10 +63,47 @@ def feature_sums(counts: DataFrame) -> DataFrame:
     return counts.groupBy("feature_id").agg(F.sum("value").alias("total"), F.count_if(F.col("value") != 0).alias("nnz"))
 
 
-def quantiles(counts: DataFrame, at: tuple[float, ...] = (0.5, 0.9, 0.99, 0.999, 1.0)) -> DataFrame:
-    """(q, value) of the non-zero counts, exact with linear interpolation."""
-    q = counts.where("value <> 0").agg(F.percentile("value", F.array(*map(F.lit, at))).alias("v"))
-    return q.select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("q"), "value")
+def quantiles(counts: DataFrame, at: tuple[float, ...] = (0.5, 0.9, 0.99, 0.999, 1.0), bins: int = 4096) -> DataFrame:
+    """(q, value) of the non-zero counts, exact with linear interpolation; null without any.
+
+    No task holds the distinct values: each round counts `bins` equal parts of the intervals in which wanted ranks lie, and
+    goes on with the parts that hold them, until such a part holds one value. A round is one scan with map-side sums, and
+    narrows an interval 4096 times: a double is settled after six rounds at most, whole numbers after one or two.
+    """
+    x = counts.where("value <> 0").select(F.col("value").cast("double").alias("v"))
+    n, lo, hi = x.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    spark = counts.sparkSession
+    if not n:
+        return spark.createDataFrame([(q, None) for q in at], "q double, value double")
+    place = {q: q * (n - 1) for q in at}
+    found: dict[int, float] = {}
+    # intervals [lo, hi] with the number of values below them, and the ranks (from 0) sought in them
+    todo = [(lo, hi, 0, {r for p in place.values() for r in (math.floor(p), math.ceil(p))})]
+    while todo:
+        places = []
+        for i, (a, b, _, _) in enumerate(todo):
+            step = (b - a) / bins
+            part = F.least(F.lit(bins - 1), F.floor((F.col("v") - a) / step)).cast("int") if step > 0 else F.lit(0)
+            places.append(F.when((F.col("v") >= a) & (F.col("v") <= b), F.struct(F.lit(i).alias("i"), part.alias("b"))))
+        counted = x.select(F.coalesce(*places).alias("at"), "v").where("at is not null").groupBy("at").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        rows, further = sorted((r["at"]["i"], r["at"]["b"], r["c"], r["lo"], r["hi"]) for r in counted.collect()), []
+        for i, (_, _, below, ranks) in enumerate(todo):
+            for _, _, c, a, b in (r for r in rows if r[0] == i):
+                here = {r for r in ranks if below <= r < below + c}
+                if a == b:
+                    found |= dict.fromkeys(here, a)
+                elif here:
+                    further.append((a, b, below, here))
+                below += c
+        todo = further
+    value = {q: found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for q, p in place.items()}
+    return spark.createDataFrame([(q, float(value[q])) for q in at], "q double, value double")
+
+
+def preview(df: DataFrame, order: str, head: int = 10, tail: int = 5) -> DataFrame:
+    """The first and the last rows by a column, with their part ("head" or "tail"): two bounded top-k, no global sort."""
+    first = df.orderBy(order).limit(head).withColumn("part", F.lit("head"))
+    return first.union(df.orderBy(F.desc(order)).limit(tail).withColumn("part", F.lit("tail")))
 
 
 def top_values(counts: DataFrame, k: int = 10) -> DataFrame:
@@ -82,14 +121,18 @@ def sparsity(counts: DataFrame, cells: DataFrame, features: DataFrame) -> DataFr
 
 
 def verdict(counts: DataFrame) -> DataFrame:
-    """RAW (whole, at most 200), NORMALIZED (0 to 20) or AMBIGUOUS by the stored values.
+    """What the stored values look like: raw counts (whole, at most 200), normalized (0 to 20) or ambiguous.
 
-    Whole values of at most 1 count as RAW too: the first rule takes them before a BINARIZED one could.
+    Whole values of at most 1 count as raw too: the first rule takes them before one for binarized values could.
     """
     v = F.col("value")
     a = counts.agg(F.bool_and(v == F.floor(v)).alias("whole"), F.max(v).alias("max"), F.min(v).alias("min"))
-    name = F.when(F.col("whole") & (F.col("max") <= 200), "RAW").when(~F.col("whole") & (F.col("min") >= 0) & (F.col("max") <= 20), "NORMALIZED").otherwise("AMBIGUOUS")
-    return a.select("whole", F.col("max").cast("double").alias("max"), F.col("min").cast("double").alias("min"), name.alias("verdict"))
+    a = a.select("whole", F.col("max").cast("double").alias("max"), F.col("min").cast("double").alias("min"))
+    raw = F.format_string("LIKELY RAW COUNTS (integer, max=%.0f)", "max")
+    normalized = F.format_string("LIKELY NORMALIZED (float, max=%.4f)", "max")
+    other = F.format_string("AMBIGUOUS (int=%s, min=%s, max=%s)", F.initcap(F.col("whole").cast("string")), "min", "max")
+    name = F.when(F.col("whole") & (F.col("max") <= 200), raw).when(~F.col("whole") & (F.col("min") >= 0) & (F.col("max") <= 20), normalized).otherwise(other)
+    return a.withColumn("verdict", name)
 
 
 def covariate_summary(df: DataFrame, numeric: str) -> DataFrame:

@@ -87,9 +87,9 @@ def integrate_paired(rna: DataFrame, atac: DataFrame, n_hvgs: int = 2000, n_pcs:
     return {"embedding": both, "neighbors": w, "lists": neighbors.top_k(w, k)}
 
 
-def clusters(paired: dict[str, DataFrame], rounds: int = 10) -> DataFrame:
-    """id, cluster of the neighbour graph that integrate_paired() returns."""
-    return cluster.label_propagation(paired["neighbors"].select("src", "dst", "weight"), rounds)
+def clusters(paired: dict[str, DataFrame], resolution: float = 0.8) -> DataFrame:
+    """id, cluster of the neighbour graph that integrate_paired() returns: modularity moves at the resolution."""
+    return cluster.louvain(paired["neighbors"].select("src", "dst", "weight"), resolution)
 
 
 def integrate_unpaired(rna: DataFrame, atac: DataFrame, rna_cells: DataFrame, atac_cells: DataFrame, genes: DataFrame, n_hvgs: int = 2000, n_pcs: int = 50, dims: int = 20, lam: float = 1.0, least_shared: int = 200, min_cells: int = 50) -> dict[str, DataFrame]:
@@ -119,11 +119,11 @@ def integrate_unpaired(rna: DataFrame, atac: DataFrame, rna_cells: DataFrame, at
     return {"embedding": h.select("cell_id", "vec"), "pairs": pairs, "donors": donors.pair_summary(usable, pairs)}
 
 
-def load_and_filter(cells: DataFrame, rna: DataFrame, atac: DataFrame, features: DataFrame, labels: DataFrame, mapping: dict[str, str]) -> dict[str, DataFrame]:
-    """Quality filter, cells of both modalities, mapped labels; cells without one are out."""
+def load_and_filter(cells: DataFrame, rna: DataFrame, atac: DataFrame, features: DataFrame, labels: DataFrame, mapping: dict[str, str], **bounds) -> dict[str, DataFrame]:
+    """Quality filter (bounds as of qc_filter()), cells of both modalities, mapped labels; cells without one are out."""
     from duoscope.functions.names import map_labels
 
-    good = qc.qc_filter(qc.qc_metrics(cells, rna, features)).select("cell_id")
+    good = qc.qc_filter(qc.qc_metrics(cells, rna, features), **bounds).select("cell_id")
     both = good.join(atac.select("cell_id").distinct(), "cell_id", "left_semi")
     kept = both.join(labels, "cell_id").withColumn("cell_type", map_labels(F.col("label"), mapping)).where("cell_type is not null")
     ids = kept.select("cell_id")

@@ -34,10 +34,11 @@ def filter_chr(c: Context) -> DataFrame:
     return filters.chr_features(c.features).select("feature_id", "feature_name")
 
 
-@query("select feature_type, cast(count(*) as bigint) as n from {features} group by feature_type")
+@query("select feature_id, feature_name, feature_type, feature_type = 'Peaks' as second from {features} where feature_type in ('Gene Expression', 'Peaks')")
 def filter_feature_type(c: Context) -> DataFrame:
-    both = filters.by_feature_type(c.features, "Gene Expression").union(filters.by_feature_type(c.features, "Peaks"))
-    return both.groupBy("feature_type").agg(F.count("*").alias("n"))
+    first, second = filters.by_feature_type(c.features, "Gene Expression"), filters.by_feature_type(c.features, "Peaks")
+    both = first.withColumn("second", F.lit(False)).union(second.withColumn("second", F.lit(True)))
+    return both.select("feature_id", "feature_name", "feature_type", "second")
 
 
 _QC = """with m as (
@@ -112,11 +113,29 @@ def select_by_name(c: Context) -> DataFrame:
     return filters.select_by_name(c.peaks.select("feature_id", F.col("peak").alias("feature_name")), listed).select("feature_id", "feature_name", "pos")
 
 
-@query("select bool_and(abs(value - round(value)) <= 1e-8 + 1e-5 * abs(round(value))) as whole, true as named from {rna}")
+@query("""with x as (select value, cell_ix from {rna} r join {cells} c on r.cell_id = c.cell_id), n as (select count(*) as n, sum(value) as s, sum(case when cell_ix < 500 then value else value + 0.25 end) as late, sum(value + 0.25) as every from x)
+select 'named layer' as kind, true as raw, cast(n as bigint) as n, round(s, 4) as total from n union all select 'whole X', true, n, round(s, 4) from n union all select 'whole in the first cells', true, n, round(late, 4) from n union all select 'fractions', n = 0, n, round(every, 4) from n""")
 def resolve_layer(c: Context) -> DataFrame:
-    counts = c.rna.join(c.cells.select("cell_id", "cell_ix"), "cell_id").withColumn("layer", F.when(F.col("cell_ix") >= 0, "UMIs"))
-    layer, named = filters.resolve_layer(counts, ["X", "UMIs"])
-    return filters.whole_numbers(layer).withColumn("named", F.lit(named))
+    """A raw layer beside X; X of whole numbers; X with fractions, in cells beyond those looked at, and in all."""
+    x = c.rna.join(c.cells.select("cell_id", "cell_ix"), "cell_id")
+    late = F.when(F.col("cell_ix") < 500, F.col("value")).otherwise(F.col("value") + 0.25)
+    cases = {
+        "named layer": (x.withColumn("layer", F.lit("UMIs")).union(x.withColumn("layer", F.lit("X")).withColumn("value", F.col("value") / 3)), ["X", "UMIs"]),
+        "whole X": (x.withColumn("layer", F.lit("X")), ["X"]),
+        "whole in the first cells": (x.withColumn("layer", F.lit("X")).withColumn("value", late), ["X"]),
+        "fractions": (x.withColumn("layer", F.lit("X")).withColumn("value", F.col("value") + 0.25), ["X"]),
+    }
+    out = None
+    for kind, (counts, available) in cases.items():
+        layer, raw = filters.resolve_layer(counts, available)
+        row = layer.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.lit(kind).alias("kind"), F.lit(raw).alias("raw"), "n", "total")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query("select * from (select *, 'head' as part from {nation} order by n_name limit 10) union all select * from (select *, 'tail' as part from {nation} order by n_name desc limit 5)")
+def head_tail_preview(c: Context) -> DataFrame:
+    return qc.preview(c.nation, "n_name")
 
 
 @query("select p_partkey as ix, case when r > 1 then p_name || '-' || cast(r - 1 as string) else p_name end as name from (select p_partkey, p_name, row_number() over (partition by p_name order by p_partkey) as r from {part})")
@@ -190,7 +209,7 @@ def agg_sparsity(c: Context) -> DataFrame:
     return qc.sparsity(c.rna, c.cells, c.features).withColumn("sparsity", F.round("sparsity", 6))
 
 
-@query("""select bool_and(value = floor(value)) as whole, max(value) as max, min(value) as min, case when bool_and(value = floor(value)) and max(value) <= 200 then 'RAW' when not bool_and(value = floor(value)) and min(value) >= 0 and max(value) <= 20 then 'NORMALIZED' else 'AMBIGUOUS' end as verdict from {rna}""")
+@query("""select bool_and(value = floor(value)) as whole, max(value) as max, min(value) as min, case when bool_and(value = floor(value)) and max(value) <= 200 then printf('LIKELY RAW COUNTS (integer, max=%.0f)', max(value)) when not bool_and(value = floor(value)) and min(value) >= 0 and max(value) <= 20 then printf('LIKELY NORMALIZED (float, max=%.4f)', max(value)) else 'AMBIGUOUS (int=' || case when bool_and(value = floor(value)) then 'True' else 'False' end || ', min=' || min(value) || ', max=' || max(value) || ')' end as verdict from {rna}""")
 def agg_verdict(c: Context) -> DataFrame:
     return qc.verdict(c.rna)
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duoscope.operators import donors, triplets
 from duoscope.operators.intervals import peak_table
-from duoscope.plans import phases
+from duoscope.plans import phases, reports
 from duoscope.queries.registry import Context, query
 from duoscope.sources import readers, sinks
 from duoscope.streaming import moments
@@ -17,7 +22,20 @@ from duoscope.streaming import moments
 def _folder(c: Context) -> str:
     """A new folder that all executors see; the session's checkpoint folder, or its warehouse where that is unset."""
     root = c.spark.conf.get("spark.checkpoint.dir", None) or c.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/duoscope-files-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/duoscope-files-{uuid.uuid4().hex}"
+    _made.append((c.spark, path))
+    return path
+
+
+_made: list[tuple] = []
+
+
+@atexit.register
+def _remove() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the application may have ended first
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _GTF = """select case when p_partkey % 2 = 0 then 'chr' else '' end || cast(p_partkey % 5 + 1 as string) || '\\tsrc\\t' || case when p_partkey % 6 = 0 then 'exon' else 'gene' end || '\\t' || cast(p_partkey as string) || '\\t' || cast(p_partkey + p_size as string) || '\\t.\\t+\\t.\\t' || case when p_partkey % 7 = 0 then '' else 'gene_name "' || p_name || '"; ' end || case when p_partkey % 11 = 0 then '' else 'gene_id "G' || cast(p_partkey as string) || '";' end as value from part"""
@@ -95,13 +113,61 @@ def src_fasta(c: Context) -> DataFrame:
     return readers.peak_sequences(peak_table(peaks), genome, chunk=64)
 
 
-@query("select motif_id, pos, base, weight from (select * from (values ('a', 0, 'A', 1.5::double), ('a', 0, 'C', -1.0::double), ('a', 0, 'G', 0.0::double), ('a', 0, 'T', 0.25::double)) v(motif_id, pos, base, weight))")
+@query("select 'M' || cast(p_partkey as string) as motif_id, cast(pos as int) as pos, base, case base when 'A' then p_size when 'C' then -p_size else pos end / 4.0::double as weight from (select *, unnest(range(3 + p_partkey % 4)) as pos from {part}), (select unnest(['A', 'C', 'G', 'T']) as base)")
 def src_pwm(c: Context) -> DataFrame:
     path = _folder(c) + ".json"
-    c.spark.createDataFrame([('{"motif_id": "a", "matrix": [[1.5], [-1.0], [0.0], [0.25]]}',)], "value string").write.text(path)
+    p = c.part.select(F.concat(F.lit("M"), "p_partkey").alias("motif_id"), "p_size", F.sequence(F.lit(0), (2 + F.col("p_partkey") % 4).cast("int")).alias("pos"))
+    rows = [F.transform("pos", lambda i: v / 4.0) for v in (F.col("p_size"), -F.col("p_size"))]
+    other = F.transform("pos", lambda i: i / 4.0)
+    p.select(F.to_json(F.struct("motif_id", F.array(*rows, other, other).alias("matrix"))).alias("value")).write.text(path)
     return readers.read_pwm(c.spark, path)
 
 
+@query("select p_partkey as cell_id, p_type as label from {part}")
+def src_labels(c: Context) -> DataFrame:
+    path = _folder(c)
+    sinks.write_csv(c.part.select("p_partkey", "p_type"), path)
+    labels = readers.read_labels(c.spark, readers.first_existing(c.spark, [f"{path}-none", path]))
+    return labels.withColumn("cell_id", F.col("cell_id").cast("long"))
+
+
+@query("select cell_id, feature_id, value, feature_name, barcode from {rna} join {features} using (feature_id) join {cells} using (cell_id)")
+def src_10x_h5(c: Context) -> DataFrame:
+    """Through the reader of 10x files, over arrays in place of a file where h5py is missing; tasks read ranges of cells."""
+    cells, features = c.cells.orderBy("cell_id").select("cell_id", "barcode").collect(), c.features.orderBy("feature_id").collect()
+    at, of = {r.cell_id: i for i, r in enumerate(cells)}, {r.feature_id: i for i, r in enumerate(features)}
+    rows = sorted((at[r.cell_id], of[r.feature_id], float(r.value)) for r in c.rna.collect())
+    ends = np.searchsorted([r[0] for r in rows], np.arange(len(cells) + 1))
+    group = {"barcodes": np.array([r.barcode for r in cells]), "indptr": ends, "indices": np.array([r[1] for r in rows]), "data": np.array([r[2] for r in rows])}
+    group["features"] = {"id": np.array([str(r.feature_id) for r in features]), "name": np.array([r.feature_name for r in features]), "feature_type": np.array([r.feature_type for r in features])}
+    found = readers.read_10x_h5(c.spark, "memory", rows=16, opener=lambda path: {"matrix": group})
+    f = found["features"].select("feature_ix", F.col("feature_id").cast("long").alias("feature_id"), "feature_name")
+    ids = c.cells.select("cell_id", "barcode")
+    return found["counts"].join(f, "feature_ix").join(found["cells"], "cell_ix").join(ids, "barcode").select("cell_id", "feature_id", "value", "feature_name", "barcode")
+
+
+@query("select cell_id, cast(count(*) as bigint) as width, round(sum(coalesce(value, 0)), 4) as total from (select cell_id from {cells}) cross join (select distinct peak from {atac_p}) left join {atac_p} using (cell_id, peak) group by 1")
+def snk_npz(c: Context) -> DataFrame:
+    """The model's matrix through a .npz file, as row sums."""
+    matrix = triplets.peak_vectors(triplets.peak_matrix(c.cells, c.atac_p, c.atac_p))
+    with tempfile.TemporaryDirectory() as folder:  # a file of the driver's, read back at once
+        keys = sinks.to_npz(matrix, f"{folder}/m.npz")
+        x = np.load(f"{folder}/m.npz")["peak_matrix"]
+    return c.spark.createDataFrame([(int(k), int(x.shape[1]), round(float(r.sum()), 4)) for k, r in zip(keys, x, strict=True)], "cell_id long, width long, total double")
+
+
+@query("select event_type as label, cast(count(*) as bigint) as n, count(*) / (select count(*) from {events})::double as share from {events} group by 1")
+def snk_bar_data(c: Context) -> DataFrame:
+    return sinks.bar_counts(c.events, "event_type")
+
+
+@query("select r_name as label, 'value' as metric, cast(i as int) as i, round([min(v), quantile_disc(v, 0.25), quantile_disc(v, 0.5), quantile_disc(v, 0.75), max(v)][i + 1], 6) as value from (select r_name, n_nationkey * 1.5 as v from {nation} join {region} on n_regionkey = r_regionkey) , (select unnest(range(5)) as i) group by 1, 2, i")
+def snk_violin_data(c: Context) -> DataFrame:
+    n = c.nation.join(c.region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", (F.col("n_nationkey") * 1.5).alias("value"))
+    v = sinks.violin_data(n, "r_name", ["value"])
+    return v.select("label", "metric", F.posexplode("quantiles").alias("i", "value")).withColumn("value", F.round("value", 6))
+
+
 @query("select s_suppkey, s_nationkey from {supplier} where s_nationkey in (1, 2, 3)")
 def src_h5ad_backed(c: Context) -> DataFrame:
     path = _folder(c)
@@ -154,3 +220,75 @@ def stream_moments(c: Context) -> DataFrame:
 @query("select feature_id, 'chr' || cast(feature_id % 5 + 1 as string) || ':' || cast(p_start as string) || '-' || cast(p_end as string) as peak from {good_peaks}")
 def standard_peak_names(c: Context) -> DataFrame:
     return phases.standard_peaks(c.peaks)
+
+
+@query("select time_bucket(interval '1 hour', ts) as window_start, event_type as key, cast(count(*) as bigint) as n from {events} group by 1, 2")
+def stream_windowed_counts(c: Context) -> DataFrame:
+    """Events as a stream of files, counted by hour and type; the last state is what a batch aggregate gives."""
+    path = _folder(c)
+    e = c.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    e.repartition(4).write.parquet(f"{path}/in")
+    stream = c.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    name = f"w{uuid.uuid4().hex}"
+    counts = moments.windowed_counts(stream, "ts", "event_type")
+    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return c.spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+_SPLITS = """with m as (select o_orderkey as cell_id, cast(o_custkey % 20 as string) as donor_id, o_orderpriority as cell_type, o_orderkey % 3 = 0 as multi from {orders}), a as (select distinct l_orderkey as cell_id from {lineitem} where l_returnflag = 'R'),
+s as (select 'paired' as split, m.* from m where multi and cell_id in (select cell_id from a) union all select 'unpaired', m.* from m where not multi)"""
+
+
+def _splits(c: Context) -> dict[str, DataFrame]:
+    method = F.when(F.col("o_orderkey") % 3 == 0, "10xMulti").otherwise("10x")
+    rna = c.orders.select(F.col("o_orderkey").alias("cell_id"), (F.col("o_custkey") % 20).cast("string").alias("donor_id"), F.col("o_orderpriority").alias("cell_type"), method.alias("method"))
+    atac = c.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().select(F.col("o_orderkey").alias("cell_id"), method.alias("method"))
+    return donors.split_by_modality(rna, atac, "cell_id", least=0.0)
+
+
+@query(_SPLITS + " select split, cell_id, donor_id, cell_type from s")
+def pipeline_split_by_modality(c: Context) -> DataFrame:
+    s = _splits(c)
+    cols = ["cell_id", "donor_id", "cell_type"]
+    return s["paired_rna"].select(F.lit("paired").alias("split"), *cols).union(s["unpaired_rna"].select(F.lit("unpaired"), *cols))
+
+
+@query(_SPLITS + """ select split, 'cells' as item, null::varchar as "value", count(*)::double as n from s group by 1 union all select split, 'donors', null, count(distinct donor_id)::double from s group by 1 union all select split, 'label', cell_type, count(*)::double from s group by 1, 3""")
+def report_qc_summary(c: Context) -> DataFrame:
+    s = _splits(c)
+    return reports.qc_summary({"paired": s["paired_rna"], "unpaired": s["unpaired_rna"]})
+
+
+@query("select 'supplier' as \"table\", cast(i as int) as position, c as \"column\", t as type from (values (0, 's_suppkey', 'bigint'), (1, 's_name', 'string'), (2, 's_nationkey', 'int'), (3, 's_acctbal', 'double')) v(i, c, t)")
+def report_columns(c: Context) -> DataFrame:
+    return reports.columns_report({"supplier": c.supplier})
+
+
+@query("select cast(i as int) as dim, round(min(embedding[i + 1]::double), 5) as min, round(max(embedding[i + 1]::double), 5) as max, round(avg(embedding[i + 1]::double), 5) as mean from {embeddings}, (select unnest(range(64)) as i) group by 1, i")
+def report_coordinates(c: Context) -> DataFrame:
+    r = reports.coordinate_ranges(c.embeddings.withColumn("embedding", F.col("embedding").cast("array<double>")), "embedding")
+    return r.select("dim", *(F.round(x, 5).alias(x) for x in ("min", "max", "mean")))
+
+
+@query("select cast(count(*) as bigint) as features, cast(count(*) filter (not starts_with(feature_name, 'MT-')) as bigint) as genes, cast(count(*) filter (starts_with(feature_name, 'MT-')) as bigint) as blanks from {features}")
+def report_panel(c: Context) -> DataFrame:
+    return reports.panel(c.features, blank="MT-")
+
+
+@query("""with v as (select *, vec_id % 7 as section from {vectors}), best as (select section from v group by 1 order by count(*) desc, section limit 1), x as (select * from v where section in (select section from best)),
+top as (select cell_type from x group by 1 order by count(*) desc, cell_type limit 6)
+select round(embedding[1]::double, 5) as x, round(embedding[2]::double, 5) as y, case when label % 2 = 0 then 'L' || cast(label as string) else 'other' end as layer, case when cell_type in (select cell_type from top) then cell_type else 'other' end as label from x""")
+def report_largest_section(c: Context) -> DataFrame:
+    v = c.vectors.withColumn("section", F.col("vec_id") % 7).withColumn("layer", F.when(F.col("label") % 2 == 0, F.concat(F.lit("L"), F.col("label").cast("string"))))
+    p = reports.largest_section(v.select("section", "embedding", "layer", "cell_type"), "section", "embedding", "layer", "cell_type")
+    return p.select(F.round(F.col("x").cast("double"), 5).alias("x"), F.round(F.col("y").cast("double"), 5).alias("y"), "layer", "label")
+
+
+@query("""with m as (select cell_id, count(*) filter (value > 0) as n_genes, sum(case when p_type = 'PROMO' then value else 0 end) * 100.0 / sum(value) as pct from {rna} join {part} on feature_id = p_partkey group by 1),
+k as (select c.cell_id, case cell_type when '1' then 'one' when '2' then 'two' when '3' then 'three' when '4' then 'one' end as cell_type from {cells} c join m on c.cell_id = m.cell_id where n_genes > 20 and n_genes < 4500 and pct < 20 and c.cell_id in (select cell_id from {atac}))
+select k.cell_id, k.cell_type, cast(count(*) as bigint) as n, sum(value) as total from k join {rna} r on k.cell_id = r.cell_id where k.cell_type is not null group by 1, 2""")
+def pipeline_load_and_filter(c: Context) -> DataFrame:
+    labels = c.cells.select("cell_id", F.col("cell_type").alias("label"))
+    p = phases.load_and_filter(c.cells.select("cell_id"), c.rna, c.atac, c.features, labels, {"1": "one", "2": "two", "3": "three", "4": "one"}, min_genes=20, max_pct_mt=20.0)
+    return p["rna"].join(p["cells"].select("cell_id", "cell_type"), "cell_id").groupBy("cell_id", "cell_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

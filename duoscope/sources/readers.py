@@ -6,8 +6,10 @@ Parsing works on a table of lines, so that it can be tested without files; gzip
 from __future__ import annotations
 
 import importlib.util
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,12 @@ def numbered(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.monotonically_increasing_id())
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, block, line: lines with their split of the file; line grows within a split."""
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return numbered(spark.read.text(path).select("value", *where))
+
+
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """(ix from 1, name), a line each. A name list is as long as one side of the matrix, so a task numbers it."""
     rows = numbered(spark.read.text(path)).where(F.trim("value") != "")
@@ -101,13 +109,26 @@ def read_pwm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_fasta(lines: DataFrame, chunk: int = 1 << 16) -> DataFrame:
-    """genome(chrom, chunk_ix, seq): sequences of `chunk` bases, from numbered lines of FASTA text."""
-    head = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1))
-    order = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("chrom", F.last(head, ignorenulls=True).over(order)).where(~F.col("value").startswith(">"))
-    ends = F.sum(F.length("value")).over(Window.partitionBy("chrom").orderBy("line"))
-    rows = rows.withColumn("value", F.trim("value")).withColumn("end", ends).withColumn("start", F.col("end") - F.length("value"))
-    rows = rows.where(F.length("value") > 0)
+    """genome(chrom, chunk_ix, seq): sequences of `chunk` bases, from FASTA lines (value, file, block, line).
+
+    No task holds more than a split of a file: lines are numbered within their split, and stretches between headers are
+    placed by a table with a row per split and sequence, which says what the header before a split was and how many of its
+    bases came before.
+    """
+    split, order = ["file", "block"], "line"
+    here = Window.partitionBy(*split).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    is_head = F.col("value").startswith(">")
+    rows = lines.withColumn("value", F.trim("value")).where("value <> ''")
+    rows = rows.withColumn("part", F.count_if(is_head).over(here)).withColumn("n", F.when(is_head, 0).otherwise(F.length("value")))
+    inside = Window.partitionBy(*split, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    parts = rows.groupBy(*split, "part").agg(F.max(F.when(is_head, F.regexp_extract("value", r"^>\s*(\S+)", 1))).alias("name"), F.sum("n").alias("n"))
+    along = Window.partitionBy("file").orderBy("block", "part")
+    parts = parts.withColumn("run", F.count("name").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    in_run = Window.partitionBy("file", "run").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("base", F.coalesce(F.sum("n").over(in_run), F.lit(0)))
+    parts = parts.withColumn("chrom", F.max("name").over(Window.partitionBy("file", "run"))).select(*split, "part", "chrom", "base")
+    rows = rows.where(~is_head).join(parts, [*split, "part"]).withColumn("start", F.col("base") + F.col("at")).withColumn("end", F.col("start") + F.col("n"))
     part = F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk))).alias("chunk_ix")
     rows = rows.select("chrom", "start", "value", part)
     low = F.greatest(F.lit(0), F.col("chunk_ix") * chunk - F.col("start"))
@@ -118,7 +139,7 @@ def parse_fasta(lines: DataFrame, chunk: int = 1 << 16) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
-    return parse_fasta(numbered(spark.read.text(path)), chunk)
+    return parse_fasta(read_lines(spark, path), chunk)
 
 
 def peak_sequences(peaks: DataFrame, genome: DataFrame, chunk: int = 1 << 16) -> DataFrame:
@@ -162,8 +183,8 @@ def find_runs(spark: SparkSession, pattern: str, suffix: str, mate: str) -> list
     return sorted(out)
 
 
-def read_hdf5(path: str):
-    """HDF5 containers (10x, h5ad, h5mu) want h5py; without it they have to be exported to Parquet or MatrixMarket."""
+def _hdf5(path: str):
+    """HDF5 wants h5py; without it, containers have to be exported to Parquet or MatrixMarket."""
     if importlib.util.find_spec("h5py") is None:
         raise NotImplementedError(f"{path}: reading HDF5 needs h5py, which isn't installed; export the tables as Parquet or MatrixMarket")
     import h5py
@@ -171,6 +192,118 @@ def read_hdf5(path: str):
     return h5py.File(path, "r")
 
 
+def _texts(values: Iterable) -> list[str]:
+    return [v.decode() if isinstance(v, bytes) else str(v) for v in values]
+
+
+def _compressed(spark: SparkSession, path: str, group: str, n: int, major: str, minor: str, rows: int, opener: Callable) -> DataFrame:
+    """(major, minor, value) longs and double of a compressed sparse matrix, a task for each range of `rows` majors."""
+    ranges = spark.createDataFrame([(a, min(n, a + rows)) for a in range(0, n, rows)], "a long, b long")
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                f = opener(path)
+                g = f[group] if group else f
+                ends = np.asarray(g["indptr"][a : b + 1])
+                lo, hi = int(ends[0]), int(ends[-1])
+                yield pd.DataFrame({major: np.repeat(np.arange(a, b), np.diff(ends)), minor: np.asarray(g["indices"][lo:hi], np.int64), "value": np.asarray(g["data"][lo:hi], float)})
+
+    return ranges.repartition(max(1, len(range(0, n, rows)))).mapInPandas(entries, f"{major} long, {minor} long, value double")
+
+
+def read_10x_h5(spark: SparkSession, path: str, rows: int = 2000, opener: Callable = _hdf5) -> dict[str, DataFrame]:
+    """counts (cell_ix, feature_ix, value), cells (cell_ix, barcode), features (feature_ix, feature_id, feature_name,
+    feature_type) of a 10x matrix file.
+
+    Only names and their numbers go through the driver, which are as long as a side of the matrix; every task reads the
+    entries of its own `rows` cells. opener(path) gives what h5py.File gives; the path must be visible to all executors.
+    """
+    m = opener(path)["matrix"]
+    barcodes = _texts(m["barcodes"][:])
+    f = m["features"]
+    names = list(zip(range(len(f["id"][:])), _texts(f["id"][:]), _texts(f["name"][:]), _texts(f["feature_type"][:]), strict=True))
+    return {
+        "counts": _compressed(spark, path, "matrix", len(barcodes), "cell_ix", "feature_ix", rows, opener),
+        "cells": spark.createDataFrame(list(enumerate(barcodes)), "cell_ix long, barcode string"),
+        "features": spark.createDataFrame(names, "feature_ix long, feature_id string, feature_name string, feature_type string"),
+    }
+
+
+def _annotations(spark: SparkSession, g, index: str, ix: str) -> DataFrame:
+    """The columns of an obs or var group: the index, plain columns, and categories by their codes (missing: null)."""
+    key = g.attrs.get("_index", "_index")
+    cols: dict[str, list] = {index: _texts(g[key][:])}
+    for name in g.keys():
+        if name == key:
+            continue
+        x = g[name]
+        if hasattr(x, "keys"):  # a categorical column
+            if "categories" in x.keys() and "codes" in x.keys():
+                kinds = _texts(x["categories"][:])
+                cols[name] = [kinds[c] if c >= 0 else None for c in np.asarray(x["codes"][:]).tolist()]
+            continue
+        values = x[:]
+        cols[name] = _texts(values) if values.dtype.kind in "SUO" else np.asarray(values).tolist()
+    rows = list(zip(range(len(cols[index])), *cols.values(), strict=True))
+    kind = lambda v: next(("double" if isinstance(e, float) else "boolean" if isinstance(e, bool) else "long" if isinstance(e, int) else "string" for e in v if e is not None), "string")
+    return spark.createDataFrame(rows, ", ".join([f"`{ix}` long", *(f"`{n}` {kind(v)}" for n, v in cols.items())]))
+
+
+def read_h5ad(spark: SparkSession, path: str, layer: str | None = None, group: str = "", rows: int = 2000, opener: Callable = _hdf5) -> dict[str, DataFrame]:
+    """counts (cell_ix, feature_ix, value), cells and features of an annotated matrix file, and what obsm holds.
+
+    X or a named layer, stored by rows (CSR), by columns (CSC) or dense; absent rows are zeros. group: the place of the
+    matrix within the file ("mod/rna" of a multimodal one). Entries are read by the executors, a range of rows each.
+    """
+    root = opener(path)
+    root = root[group] if group else root
+    prefix = f"{group}/" if group else ""
+    where = f"layers/{layer}" if layer else "X"
+    cells, features = _annotations(spark, root["obs"], "cell_id", "cell_ix"), _annotations(spark, root["var"], "feature_id", "feature_ix")
+    n, x = len(root["obs"][root["obs"].attrs.get("_index", "_index")][:]), root[where]
+    if not hasattr(x, "keys"):
+        counts = _dense(spark, path, prefix + where, n, rows, opener)
+    elif x.attrs.get("encoding-type", "csr_matrix") == "csc_matrix":
+        counts = _compressed(spark, path, prefix + where, len(root["var"][root["var"].attrs.get("_index", "_index")][:]), "feature_ix", "cell_ix", rows, opener).select("cell_ix", "feature_ix", "value")
+    else:
+        counts = _compressed(spark, path, prefix + where, n, "cell_ix", "feature_ix", rows, opener)
+    out = {"counts": counts, "cells": cells, "features": features}
+    for name in root["obsm"].keys() if "obsm" in root.keys() else ():
+        out[f"obsm/{name}"] = _dense(spark, path, f"{prefix}obsm/{name}", n, rows, opener).groupBy("cell_ix").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("feature_ix", "value"))), lambda v: v["value"]).alias("vec")
+        )
+    return out
+
+
+def read_h5mu(spark: SparkSession, path: str, rows: int = 2000, opener: Callable = _hdf5) -> dict[str, dict[str, DataFrame]]:
+    """The modalities of a multimodal file, each as read_h5ad() gives it."""
+    return {m: read_h5ad(spark, path, group=f"mod/{m}", rows=rows, opener=opener) for m in opener(path)["mod"].keys()}
+
+
+def _dense(spark: SparkSession, path: str, where: str, n: int, rows: int, opener: Callable) -> DataFrame:
+    ranges = spark.createDataFrame([(a, min(n, a + rows)) for a in range(0, n, rows)], "a long, b long")
+    keep_zero = where.split("/")[-2:-1] == ["obsm"]
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                x = np.asarray(opener(path)[where][a:b], float)
+                r, c = np.nonzero(np.ones_like(x) if keep_zero else x)
+                yield pd.DataFrame({"cell_ix": r + a, "feature_ix": c, "value": x[r, c]})
+
+    return ranges.repartition(max(1, len(range(0, n, rows)))).mapInPandas(entries, "cell_ix long, feature_ix long, value double")
+
+
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str | None:
+    """The first of the paths that is there."""
+    for p in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return p
+    return None
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(cell_id, label) from a CSV with an index column: what a trained cell-type model has put out."""
     df = read_csv(spark, path, index="cell_id")

@@ -55,6 +55,32 @@ def to_npy(df: DataFrame, path: str, col: str, order: str, limit_rows: int = 2_0
     np.save(path, np.stack(df.orderBy(order).select(col).toPandas()[col]))
 
 
+def to_npz(matrix: DataFrame, path: str, row: str = "cell_id", vec: str = "peaks", name: str = "peak_matrix", limit_rows: int = 2_000_000) -> list:
+    """A dense matrix of one named array in a .npz file on the driver, rows in order of their key; returns the keys.
+
+    For the sample that a model is trained on; refused beyond limit_rows.
+    """
+    import numpy as np
+
+    if matrix.count() > limit_rows:
+        raise ValueError(f"more than {limit_rows} rows: write_vectors() instead")
+    rows = matrix.orderBy(row).select(row, vec).toPandas()
+    np.savez_compressed(path, **{name: np.stack(rows[vec]) if len(rows) else np.empty((0, 0))})
+    return rows[row].tolist()
+
+
+def bar_counts(cells: DataFrame, label: str) -> DataFrame:
+    """label, n, share: the bars of a chart of label counts."""
+    n = cells.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    return n.crossJoin(cells.agg(F.count("*").alias("__all"))).select("label", "n", (F.col("n") / F.col("__all")).alias("share"))
+
+
+def violin_data(metrics: DataFrame, label: str, values: Sequence[str], at: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0), accuracy: int = 10_000) -> DataFrame:
+    """label, metric, quantiles: what a violin or box of each metric and label needs; sketches of bounded size."""
+    long = metrics.select(F.col(label).alias("label"), F.explode(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("x")) for v in values))).alias("s"))
+    return long.groupBy("label", "s.metric").agg(F.percentile_approx("s.x", list(at), accuracy).alias("quantiles"))
+
+
 def plot_points(cells: DataFrame, vec: str, label: str) -> DataFrame:
     """x, y, label: the first two dimensions of an embedding, which a scatter plot needs."""
     return cells.select(F.col(vec)[0].alias("x"), F.col(vec)[1].alias("y"), F.col(label).alias("label"))
