@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,14 +54,20 @@ def standardized_variance(counts: DataFrame, fit: DataFrame, n_cells: int) -> Da
 
 
 def top_features(scores: DataFrame, n: int, by: str = "norm_var") -> DataFrame:
-    return scores.orderBy(F.desc(by), "feature_id").limit(n)
+    """Ties of all but the last bits go by feature_id."""
+    return scores.orderBy(F.desc(F.round(by, 9)), "feature_id").limit(n)
+
 
+def select_variable(counts: DataFrame, n_cells: int, n_features: int, span: float = 0.3, min_cells: int = 3, fit: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The n most variable features by standardized variance of raw counts, among those detected in min_cells cells.
 
-def select_variable(counts: DataFrame, n_cells: int, n_features: int, span: float = 0.3, min_cells: int = 3) -> DataFrame:
-    """The n most variable features by standardized variance of raw counts, among those detected in min_cells cells."""
+    n_cells are the cells that the counts are of, absent ones included. fit makes sd_hat from moments: LOESS by default,
+    or quadratic_fit().
+    """
+    fit = fit or (lambda m: fitted_sd(m, span))
     ok = detected_features(counts, min_cells).join(positive_sum_features(counts), "feature_id")
     x = counts.join(ok, "feature_id", "left_semi")
-    return top_features(standardized_variance(x, fitted_sd(moments(x, n_cells), span), n_cells), n_features)
+    return top_features(standardized_variance(x, fit(moments(x, n_cells)), n_cells), n_features)
 
 
 def quadratic_fit(feature_moments: DataFrame) -> DataFrame:
@@ -90,7 +98,7 @@ def dispersions(counts: DataFrame, cells: DataFrame, batch: str, bins: int = 20)
     per = s.groupBy("batch", "bin").agg(F.avg("dispersion").alias("m"), F.stddev_samp("dispersion").alias("sd"))
     # a bin of one feature has no spread: its z is 1, as the bin's own dispersion stands for the spread
     z = F.when(F.col("sd").isNull() | (F.col("sd") == 0), F.lit(1.0)).otherwise((F.col("dispersion") - F.col("m")) / F.col("sd"))
-    return s.join(per, ["batch", "bin"]).select("batch", "feature_id", "mean", "dispersion", z.alias("z"))
+    return s.join(per, ["batch", "bin"]).select("batch", "feature_id", "mean", "dispersion", F.round(z, 9).alias("z"))
 
 
 def select_by_dispersion(counts: DataFrame, cells: DataFrame, batch: str, n_features: int, bins: int = 20) -> DataFrame:
@@ -98,5 +106,5 @@ def select_by_dispersion(counts: DataFrame, cells: DataFrame, batch: str, n_feat
     d = dispersions(counts, cells, batch, bins)
     d = d.withColumn("r", F.row_number().over(Window.partitionBy("batch").orderBy(F.desc("z"), "feature_id")))
     s = d.groupBy("feature_id").agg(F.count_if(F.col("r") <= n_features).alias("batches"), F.avg("z").alias("z"))
-    return s.orderBy(F.desc("batches"), F.desc("z"), "feature_id").limit(n_features)
+    return s.orderBy(F.desc("batches"), F.desc(F.round("z", 9)), "feature_id").limit(n_features)
 

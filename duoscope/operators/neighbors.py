@@ -10,12 +10,62 @@ from pyspark.sql import functions as F
 from duoscope.functions.vectors import distance
 
 
-def knn(vectors: DataFrame, k: int = 20, include_self: bool = False, blocks: int = 8) -> DataFrame:
+#: A block of vectors that one task compares with another block: some 16 MB of 64 doubles.
+BLOCK_ROWS = 1 << 15
+
+
+def block_count(rows: int, at_least: int = 8) -> int:
+    """Blocks of at most about BLOCK_ROWS rows: a task's memory doesn't grow with the table."""
+    return max(at_least, -(-rows // BLOCK_ROWS))
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, include_self: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices into y, distances) of the k nearest of each row of x; ties by id. One matrix product chooses, exact sums decide."""
+    out = []
+    rough = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T
+    slack = 1e-6 * (1 + np.abs(rough).max(initial=0))
+    for i in range(len(x)):
+        near = np.arange(len(y))
+        if len(y) > k + 1:
+            near = np.nonzero(rough[i] <= np.partition(rough[i], k)[k] + slack)[0]
+        if not include_self:
+            near = near[ids[near] != own[i]]
+        d = np.round(np.sqrt(((y[near] - x[i]) ** 2).sum(axis=1)), 9)
+        best = np.lexsort((ids[near], d))[:k]
+        out.append((near[best], d[best]))
+    return out
+
+
+def _block_task(k: int, include_self: bool, rows: int = 1024):
+    """The k nearest targets of a block for the queries of a block, in slices of queries."""
+
+    def near(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or t.empty:
+            return pd.DataFrame({"src": [], "dst": [], "dist": []})
+        y, ids = np.stack(t["vec"]), t["id"].to_numpy()
+        out = []
+        for at in range(0, len(q), rows):
+            some = q.iloc[at : at + rows]
+            for s, (best, d) in zip(some["id"], _nearest(np.stack(some["vec"]), y, ids, some["id"].to_numpy(), k, include_self), strict=True):
+                out.append(pd.DataFrame({"src": s, "dst": ids[best], "dist": d}))
+        return pd.concat(out, ignore_index=True)
+
+    return near
+
+
+def _best_of_lists(d: DataFrame, k: int) -> DataFrame:
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst")))
+    return d.where(F.col("rank") <= k).select("src", "dst", "dist", "rank")
+
+
+def knn(vectors: DataFrame, k: int = 20, include_self: bool = False, blocks: int | None = None) -> DataFrame:
     """src, dst, dist, rank: the k nearest by Euclidean distance (rounded to 9 places, ties by id).
 
     vectors: id, vec. Exact, so every pair is looked at: queries and targets are dealt into blocks, and a task compares
-    one block with another in the JVM, keeping k of each query; only those lists are shuffled on.
+    one block with another in the JVM, keeping k of each query; only those lists are shuffled on. For some 10**6 vectors;
+    beyond, knn_indexed().
     """
+    blocks = blocks or block_count(vectors.count())
     v = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
     a = v.select(F.col("id").alias("src"), F.col("vec").alias("a"), F.pmod(F.hash("id"), F.lit(blocks)).alias("ba"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bb"))
     b = v.select(F.col("id").alias("dst"), F.col("vec").alias("b"), F.pmod(F.hash("id"), F.lit(blocks)).alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ba"))
@@ -24,53 +74,114 @@ def knn(vectors: DataFrame, k: int = 20, include_self: bool = False, blocks: int
         d = d.where("src <> dst")
     d = d.select("src", "dst", "bb", F.round(distance(F.col("a"), F.col("b")), 9).alias("dist"))
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy("src", "bb").orderBy("dist", "dst"))).where(F.col("rank") <= k)
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
-    return d.select("src", "dst", "dist", "rank")
+    return _best_of_lists(d, k)
 
 
-def knn_blocked(vectors: DataFrame, k: int = 20, include_self: bool = False, blocks: int = 8) -> DataFrame:
-    """knn() in Arrow batches: a block of queries against a block of targets is one matrix product."""
+def knn_blocked(vectors: DataFrame, k: int = 20, include_self: bool = False, blocks: int | None = None) -> DataFrame:
+    """knn() in Arrow batches: a block of queries against a block of targets is a matrix product and a few exact sums."""
+    blocks = blocks or block_count(vectors.count())
     v = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.hash("id"), F.lit(blocks)).alias("b"))
     own = [F.col(c).alias(c) for c in ("id", "vec")]  # columns of their own for either side of the cogroup
     a = v.select(*own, F.col("b").alias("ba"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bb"))
     b = v.select(*own, F.col("b").alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ba"))
     kind = dict(vectors.dtypes)["id"]
+    d = a.groupBy("ba", "bb").cogroup(b.groupBy("ba", "bb")).applyInPandas(_block_task(k, include_self), f"src {kind}, dst {kind}, dist double")
+    return _best_of_lists(d, k)
+
+
+def centroids(vectors: DataFrame, lists: int, sample: int = 50_000, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """Centres of `lists` clusters, by Lloyd's rounds over a bounded sample of the vectors (by hash of the id)."""
+    x = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select(F.col("vec").cast("array<double>").alias("vec")).toPandas()
+    x = np.stack(x["vec"])
+    c = x[np.random.RandomState(seed).choice(len(x), min(lists, len(x)), replace=False)]
+    for _ in range(rounds):
+        near = ((c * c).sum(axis=1)[None] - 2 * x @ c.T).argmin(axis=1)
+        n = np.bincount(near, minlength=len(c))
+        sums = np.stack([np.bincount(near, x[:, j], len(c)) for j in range(x.shape[1])], axis=1)
+        c = np.where(n[:, None] > 0, sums / np.maximum(1, n)[:, None], c)
+    return c
+
+
+def knn_indexed(vectors: DataFrame, k: int = 20, include_self: bool = False, lists: int | None = None, probes: int = 8, queries: DataFrame | None = None) -> DataFrame:
+    """knn() over an inverted file of clusters: each query looks into the lists of its `probes` nearest centres.
+
+    Every vector is in the index, in the list of its nearest centre; only the centres come from a sample. A list of more
+    than BLOCK_ROWS vectors is dealt over salts, and its queries go to each of them, so a cluster that holds a third of all
+    vectors is many tasks. With probes = lists the result is exact; else distances and ranks are exact among what was
+    looked at (the tests measure the recall). queries: (id, vec), by default all vectors.
+    """
+    n = vectors.count()
+    if not n:
+        return knn(vectors, k, include_self)
+    lists = lists or max(1, int(n**0.5))
+    c = centroids(vectors, lists)
+    probes = min(probes, len(c))
+    sent = vectors.sparkSession.sparkContext.broadcast(c)
+
+    @F.pandas_udf("array<int>")
+    def nearest_lists(vecs: pd.Series, m: pd.Series) -> pd.Series:
+        y = sent.value
+        x = np.stack(vecs) if len(vecs) else np.empty((0, y.shape[1]))
+        order = ((y * y).sum(axis=1)[None] - 2 * x @ y.T).argsort(axis=1, kind="stable")
+        return pd.Series([o[:most].tolist() for o, most in zip(order, m, strict=True)])
 
-    def near(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        x, y = np.stack(q["vec"]), np.stack(t["vec"])
-        ids = t["id"].to_numpy()
-        out = []
-        for s, row in zip(q["id"], x, strict=True):
-            d = np.round(np.sqrt(((y - row) ** 2).sum(axis=1)), 9)
-            if not include_self:
-                d = np.where(ids == s, np.inf, d)
-            best = np.lexsort((ids, d))[:k]
-            best = best[np.isfinite(d[best])]
-            out.append(pd.DataFrame({"src": s, "dst": ids[best], "dist": d[best]}))
-        return pd.concat(out, ignore_index=True)
-
-    d = a.groupBy("ba", "bb").cogroup(b.groupBy("ba", "bb")).applyInPandas(near, f"src {kind}, dst {kind}, dist double")
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst")))
-    return d.where(F.col("rank") <= k)
+    kind = dict(vectors.dtypes)["id"]
+    side = lambda d, m: d.select("id", F.col("vec").cast("array<double>").alias("vec")).withColumn("list", F.explode(nearest_lists("vec", F.lit(m))))
+    held = side(vectors, 1)
+    sizes = held.groupBy("list").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_ROWS))).cast("int").alias("salts"))
+    own = [F.col(x).alias(x) for x in ("id", "vec", "list")]
+    t = held.join(sizes, "list").select(*own, F.pmod(F.hash("id"), F.col("salts")).alias("salt"))
+    q = side(vectors if queries is None else queries, probes).join(sizes, "list").select(*own, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    q = q.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(block_count(n * probes // lists, 1))).cast("int"))
+    t = t.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(block_count(n * probes // lists, 1) - 1))))
+    keys = ["list", "salt", "part"]
+    d = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(_block_task(k, include_self), f"src {kind}, dst {kind}, dist double")
+    return _best_of_lists(d, k)
 
 
 def cross_modal(rna: DataFrame, atac: DataFrame) -> DataFrame:
     """Per donor, each cell of the smaller modality (RNA if equal) with its nearest cell of the other; targets may repeat.
 
     rna, atac: cell_id, donor_id, cell_type, vec. Returns rna_cell, atac_cell, cell_type, atac_cell_type, distance,
-    donor_id, anchor. The minimum is a map-side aggregate, so a donor's pairs are never sorted or collected.
+    donor_id, anchor. A donor's cells of either side are dealt into blocks by their counted number, so that a donor of a
+    third of all cells is many tasks; a task compares a block with a block and keeps one target of each anchor cell.
     """
     n = rna.groupBy("donor_id").agg(F.count("*").alias("nr")).join(atac.groupBy("donor_id").agg(F.count("*").alias("na")), "donor_id")
-    n = n.select("donor_id", F.when(F.col("nr") <= F.col("na"), "rna").otherwise("atac").alias("anchor"))
-    a = rna.select("donor_id", F.col("cell_id").alias("rna_cell"), F.col("cell_type").alias("cell_type"), F.col("vec").cast("array<double>").alias("a"))
-    b = atac.select("donor_id", F.col("cell_id").alias("atac_cell"), F.col("cell_type").alias("atac_cell_type"), F.col("vec").cast("array<double>").alias("b"))
-    d = a.join(b, "donor_id").join(n, "donor_id").withColumn("distance", F.round(distance(F.col("a"), F.col("b")), 9))
-    own = F.when(F.col("anchor") == "rna", F.col("rna_cell")).otherwise(F.col("atac_cell"))
-    other = F.when(F.col("anchor") == "rna", F.col("atac_cell")).otherwise(F.col("rna_cell"))
-    best = d.groupBy("donor_id", "anchor", own.alias("own")).agg(F.min(F.struct("distance", other.alias("other"), "rna_cell", "atac_cell", "cell_type", "atac_cell_type")).alias("m"))
-    return best.select("m.rna_cell", "m.atac_cell", "m.cell_type", "m.atac_cell_type", "m.distance", "donor_id", "anchor")
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK_ROWS))).cast("int")
+    n = n.select("donor_id", F.when(F.col("nr") <= F.col("na"), "rna").otherwise("atac").alias("anchor"), blocks("nr").alias("br"), blocks("na").alias("ba"))
+    ids, types = dict(rna.dtypes)["cell_id"], dict(rna.dtypes)["cell_type"]
+    # columns of their own for either side of the cogroup
+    cols = [F.col("cell_id").alias("id"), F.col("cell_type").cast("string").alias("kind"), F.col("vec").cast("array<double>").alias("vec"), F.col("donor_id").alias("donor_id"), F.col("anchor").alias("anchor")]
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    r = rna.join(n, "donor_id").select(*cols, F.pmod(F.hash("cell_id"), F.col("br")).alias("x"), every("ba").alias("y"))
+    a = atac.join(n, "donor_id").select(*cols, every("br").alias("x"), F.pmod(F.hash("cell_id"), F.col("ba")).alias("y"))
+    donor = dict(rna.dtypes)["donor_id"]
+
+    def near(r: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        names = ["donor_id", "anchor", "own", "other", "distance", "rna_cell", "atac_cell", "cell_type", "atac_cell_type"]
+        if r.empty or a.empty:
+            return pd.DataFrame(columns=names)
+        by_rna = r["anchor"].iloc[0] == "rna"
+        q, t = (r, a) if by_rna else (a, r)
+        y, other = np.stack(t["vec"]), t["id"].to_numpy()
+        out = []
+        for at in range(0, len(q), 1024):
+            some = q.iloc[at : at + 1024]
+            out += [(b[0], d[0]) for b, d in _nearest(np.stack(some["vec"]), y, other, some["id"].to_numpy(), 1, True)]
+        hit = t.iloc[[b for b, _ in out]]
+        first, second = (q, hit) if by_rna else (hit, q)
+        return pd.DataFrame({
+            "donor_id": q["donor_id"].to_numpy(), "anchor": q["anchor"].to_numpy(), "own": q["id"].to_numpy(), "other": hit["id"].to_numpy(), "distance": [d for _, d in out],
+            "rna_cell": first["id"].to_numpy(), "atac_cell": second["id"].to_numpy(), "cell_type": first["kind"].to_numpy(), "atac_cell_type": second["kind"].to_numpy(),
+        })
+
+    keys = ["donor_id", "x", "y"]
+    schema = f"donor_id {donor}, anchor string, own {ids}, other {ids}, distance double, rna_cell {ids}, atac_cell {ids}, cell_type string, atac_cell_type string"
+    d = r.groupBy(*keys).cogroup(a.groupBy(*keys)).applyInPandas(near, schema)
+    m = F.min(F.struct("distance", "other", "rna_cell", "atac_cell", "cell_type", "atac_cell_type")).alias("m")
+    best = d.groupBy("donor_id", "anchor", "own").agg(m)
+    kind = lambda c: F.col(f"m.{c}").cast(types).alias(c)
+    return best.select("m.rna_cell", "m.atac_cell", kind("cell_type"), kind("atac_cell_type"), "m.distance", "donor_id", "anchor")
 
 
 def top_k(edges: DataFrame, k: int, nodes: DataFrame | None = None) -> DataFrame:
