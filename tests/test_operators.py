@@ -154,7 +154,7 @@ def test_donors(spark):
     rna = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("r", 1), (None, 1)], "donor_id string, x long")
     atac = spark.createDataFrame([("a", i) for i in range(49)] + [("b", 1)] * 60 + [("t", 1)], "donor_id string, x long")
     got = {r.donor_id: (r.n_rna, r.n_atac, r.has_both, r.skip_reason) for r in donors.classify(rna, atac).collect()}
-    assert got == {"a": (50, 49, False, "too few ATAC"), "b": (1, 60, False, "too few RNA"), "r": (1, 0, False, "no ATAC"), "t": (0, 1, False, "no RNA")}
+    assert got == {"a": (50, 49, False, "too few ATAC cells (49 < 50)"), "b": (1, 60, False, "too few RNA cells (1 < 50)"), "r": (1, 0, False, "no ATAC cells"), "t": (0, 1, False, "no RNA cells")}
     r = spark.createDataFrame([(1, "d", "x", [0.0]), (2, "d", "y", [5.0])], "cell_id long, donor_id string, cell_type string, vec array<double>")
     a = spark.createDataFrame([(7, "d", "x", [1.0]), (8, "d", "y", [-1.0])], "cell_id long, donor_id string, cell_type string, vec array<double>")
     pairs = neighbors.cross_modal(r, a)
@@ -283,7 +283,8 @@ def test_reports(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2 + [(None,)], "x string")
     assert rows(qc.value_counts(df, "x")) == [("a", 3), ("b", 2)] and qc.value_counts(df, "x", dropna=False).count() == 3
     v = lambda *xs: qc.verdict(spark.createDataFrame([(float(x),) for x in xs], "value double")).first().verdict
-    assert (v(1, 2), v(1, 1), v(0.5, 3), v(0.5, 300)) == ("RAW", "RAW", "NORMALIZED", "AMBIGUOUS")
+    assert (v(1, 2), v(1, 1), v(0.5, 3)) == ("LIKELY RAW COUNTS (integer, max=2)", "LIKELY RAW COUNTS (integer, max=1)", "LIKELY NORMALIZED (float, max=3.0000)")
+    assert v(0.5, 300) == "AMBIGUOUS (int=False, min=0.5, max=300.0)"
     c = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "label long, cluster long")
     assert rows(cluster.majority_label(c)) == [(0, 1), (1, 3)]
 
@@ -303,7 +304,7 @@ def test_files(spark, tmp_path):
     with pytest.raises(KeyError):
         schemas.require_columns(peaks, ["absent"])
     with pytest.raises(NotImplementedError):
-        readers.read_hdf5("x.h5ad")
+        readers.read_h5ad(spark, "x.h5ad")
     failed = sinks.write_in_order({"pairs": peaks}, {"bad": peaks.select(F.raise_error(F.lit("x")).alias("v")), "good": peaks}, str(tmp_path / "out"))
     assert len(failed) == 1 and spark.read.csv(str(tmp_path / "out/pairs.csv"), header=True).count() == 4
 
@@ -312,3 +313,163 @@ def test_queries_have_oracles():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
+
+
+@pytest.mark.parametrize("center,scale", [(False, False), (True, False), (True, True)])
+def test_krylov_against_numpy(spark, monkeypatch, center, scale):
+    r = np.random.RandomState(5)
+    x = r.poisson(0.3, (150, 60)) * r.gamma(2, 1, 60) + np.outer(r.rand(150), r.rand(60) * 3).round()
+    counts = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*x.nonzero(), strict=True)], "cell_id long, feature_id long, value double")
+    monkeypatch.setattr(embed, "FEW_FEATURES", 10)
+    monkeypatch.setattr(embed, "FEW_ROWS", 10)
+    e, value = embed.svd(counts, 4, center, scale)
+    y = x - x.mean(axis=0) if center else x
+    y = y / y.std(axis=0, ddof=1) if scale else y
+    u, s, _ = np.linalg.svd(y, full_matrices=False)
+    assert np.allclose(value, s[:4] ** 2 / 149 if center else s[:4], rtol=1e-6)
+    got = np.array([v["vec"] for v in e.orderBy("cell_id").collect()])
+    want = u[:, :4] * s[:4]
+    assert np.allclose(np.abs((got * want).sum(axis=0)), (want**2).sum(axis=0), rtol=1e-4)
+    assert np.allclose(got @ got.T, want @ want.T, atol=0.02 * s[0])
+
+
+def test_quantiles_of_many_distinct_values(spark):
+    r = np.random.RandomState(2)
+    x = np.concatenate([r.lognormal(0, 3, 5000), -r.rand(300), np.repeat(2.5, 2000), [1e-12, 1e12]])
+    counts = spark.createDataFrame([(float(v),) for v in np.append(x, 0.0)], "value double")
+    at = (0.0, 0.1, 0.5, 0.777, 0.9, 0.999, 1.0)
+    got = {v["q"]: v["value"] for v in qc.quantiles(counts, at, bins=16).collect()}
+    assert np.allclose([got[q] for q in at], np.quantile(x, at), rtol=1e-12)
+    assert [v["value"] for v in qc.quantiles(counts.where("value = 0")).collect()] == [None] * 5
+
+
+def test_fasta_over_many_splits(spark, tmp_path):
+    r = np.random.RandomState(4)
+    want = {}
+    for f in ("a", "b"):
+        text = ""
+        for i in range(12):
+            seq = "".join(r.choice(list("ACGTn"), r.randint(0, 900)))
+            want[f"{f}{i}"] = seq.upper()
+            text += f">{f}{i} about it\n" + "".join(seq[j : j + 60] + "\n" for j in range(0, len(seq), 60))
+        (tmp_path / f"{f}.fa").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        found = readers.read_fasta(spark, str(tmp_path), chunk=128).orderBy("chrom", "chunk_ix").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for v in found:
+        got[v["chrom"]] = got.get(v["chrom"], "") + v["seq"]
+    assert got == {k: v for k, v in want.items() if v}
+
+
+class Attributed(dict):
+    """What stands for an HDF5 group: a dictionary with attributes."""
+
+    def __init__(self, items, **attrs):
+        super().__init__(items)
+        self.attrs = {k.replace("_", "-") if k.startswith("encoding") else k: v for k, v in attrs.items()}
+
+    def __getitem__(self, path):
+        at = self
+        for part in path.split("/"):
+            at = dict.__getitem__(at, part)
+        return at
+
+
+def test_annotated_matrix_files(spark):
+    x = np.array([[0, 2, 0], [1, 0, 3], [0, 0, 0], [4, 5, 6.0], [0, 0, 7]])
+    def store(m):
+        rows = [np.nonzero(r)[0] for r in m]
+        return {"indptr": np.cumsum([0, *map(len, rows)]), "indices": np.concatenate(rows), "data": np.concatenate([r[n] for r, n in zip(m, rows, strict=True)])}
+
+    obs = Attributed({"_index": np.array([b"c0", b"c1", b"c2", b"c3", b"c4"]), "kind": Attributed({"categories": np.array([b"T", b"B"]), "codes": np.array([0, 1, -1, 0, 0], np.int8)}), "depth": np.array([1.5, 2, 3, 4, 5])}, _index="_index")
+    var = Attributed({"names": np.array(["g0", "g1", "g2"])}, _index="names")
+    pca = np.arange(10).reshape(5, 2) * 1.0
+    root = {"obs": obs, "var": var, "X": x, "layers": Attributed({"rows": Attributed(store(x), encoding_type="csr_matrix"), "cols": Attributed(store(x.T), encoding_type="csc_matrix")}), "obsm": Attributed({"X_pca": pca})}
+    file = Attributed({**root, "mod": Attributed({"rna": Attributed(root)})})
+    want = sorted((int(i), int(j), float(x[i, j])) for i, j in zip(*x.nonzero(), strict=True))
+    for layer in (None, "rows", "cols"):
+        got = readers.read_h5ad(spark, "f", layer, rows=2, opener=lambda path: file)
+        assert rows(got["counts"]) == want
+    cells = got["cells"].orderBy("cell_ix").collect()
+    assert [(v["cell_id"], v["kind"], v["depth"]) for v in cells] == [("c0", "T", 1.5), ("c1", "B", 2.0), ("c2", None, 3.0), ("c3", "T", 4.0), ("c4", "T", 5.0)]
+    assert [v["vec"] for v in got["obsm/X_pca"].orderBy("cell_ix").collect()] == pca.tolist()
+    both = readers.read_h5mu(spark, "f", opener=lambda path: file)
+    assert rows(both["rna"]["counts"]) == want and rows(both["rna"]["features"]) == [(0, "g0"), (1, "g1"), (2, "g2")]
+
+
+def partitions(n):
+    if n == 0:
+        yield []
+        return
+    for p in partitions(n - 1):
+        for c in range(max(p, default=-1) + 2):
+            yield [*p, c]
+
+
+def test_louvain_against_all_partitions(spark):
+    edges = [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (2, 3, 0.3), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0), (5, 6, 0.2), (6, 7, 2.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    m = sum(w for *_, w in edges)
+    k = [sum(w for a, b, w in edges if i in (a, b)) for i in range(8)]
+
+    def q(p):
+        return sum(w for a, b, w in edges if p[a] == p[b]) / m - 0.8 * sum(sum(k[i] for i in range(8) if p[i] == c) ** 2 for c in set(p)) / (4 * m * m)
+
+    found = cluster.louvain(df, 0.8)
+    got = {v["id"]: v["cluster"] for v in found.collect()}
+    assert abs(q([got[i] for i in range(8)]) - max(map(q, partitions(8)))) < 1e-9
+    assert abs(cluster.modularity(df, found, 0.8) - q([got[i] for i in range(8)])) < 1e-9
+    assert cluster.louvain(df.where("false")).count() == 0
+
+
+def test_indexed_neighbours(spark):
+    r = np.random.RandomState(6)
+    x = r.randn(1500, 16) + 3 * r.randn(12, 16)[r.randint(0, 12, 1500)]
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in range(1500)], "id long, vec array<double>")
+    exact = {(a["src"], a["dst"]) for a in neighbors.knn_blocked(v, 10).collect()}
+    found = neighbors.knn_indexed(v, 10, lists=30, probes=8)
+    assert len(exact & {(a["src"], a["dst"]) for a in found.collect()}) >= 0.9 * len(exact) and found.count() == 15_000
+    whole = neighbors.knn_indexed(v, 10, lists=6, probes=6, queries=v.where("id % 100 = 0"))
+    want = {(a["src"], a["dst"], a["rank"]) for a in neighbors.knn(v, 10).where("src % 100 = 0").collect()}
+    assert {(a["src"], a["dst"], a["rank"]) for a in whole.collect()} == want
+
+
+def test_neighbours_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 10)
+    r = np.random.RandomState(7)
+    cells = [(m, i, f"d{i % 2}" if i < 40 else "d0", f"t{i % 3}", r.randn(4).tolist()) for m in (0, 1) for i in range(60 + 20 * m)]
+    side = lambda m: spark.createDataFrame([c[1:] for c in cells if c[0] == m], "cell_id long, donor_id string, cell_type string, vec array<double>")
+    got = rows(neighbors.cross_modal(side(0), side(1)).select("rna_cell", "atac_cell", "donor_id", "anchor", "cell_type", "atac_cell_type"))
+    want = []
+    for _, i, d, t, v in (c for c in cells if c[0] == 0):
+        other = [(round(math.dist(v, w), 9), j, u) for m, j, e, u, w in cells if m == 1 and e == d]
+        if sum(c[0] == 0 and c[2] == d for c in cells) <= len(other):
+            _, j, u = min(other)
+            want.append((i, j, d, "rna", t, u))
+    for _, j, d, u, w in (c for c in cells if c[0] == 1):
+        other = [(round(math.dist(v, w), 9), i, t) for m, i, e, t, v in cells if m == 0 and e == d]
+        if len(other) > sum(c[0] == 1 and c[2] == d for c in cells):
+            _, i, t = min(other)
+            want.append((i, j, d, "atac", t, u))
+    assert got == sorted(want, key=str)
+    v = side(0).select(F.col("cell_id").alias("id"), "vec")
+    assert rows(neighbors.knn_indexed(v, 3, lists=2, probes=2)) == rows(neighbors.knn(v, 3)) == rows(neighbors.knn_blocked(v, 3))
+
+
+def test_variable_features_against_another_fit():
+    """LOESS against a plain weighted regression at each point, written anew."""
+    r = np.random.RandomState(9)
+    x = np.sort(r.uniform(-2, 2, 120))
+    y = 0.5 * x**2 + x + r.normal(0, 0.2, 120)
+    k = math.ceil(0.3 * 120)
+    want = []
+    for c in x:
+        d = np.abs(x - c)
+        h = np.sort(d)[k - 1]
+        w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
+        coef = np.polynomial.polynomial.polyfit(x - c, y, 2, w=np.sqrt(w + 1e-300))
+        want.append(coef[0])
+    assert np.abs(hvg.loess(x, y, 0.3) - want).max() < 0.03
