@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import re._parser as parser
+import time
 import zlib
 
 import pytest
@@ -105,11 +107,45 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_leaks_edges(spark, edge, none):
-    bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "long long long long long long")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontam.leaks(edge, bench).collect()} == {(4, 4)}
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "Too short!"), (4, "long long long long long long"), (5, "no ID")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(edge, bench).collect()} == {(4, 4), (None, 5)}
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(edge, bench.where("false")).count() == 0
     left = decontam.without_leaks(edge, bench)
-    assert left.columns == edge.columns and left.count() == len(EDGE) - 1
+    assert left.columns == edge.columns and left.count() == len(EDGE) - 2
+    assert decontam.without_leaks(none, bench).count() == 0
+
+
+def test_leaks_of_short_unspaced_and_repeated_items(spark):
+    han = "今天天气很好我们去公园散步吧"
+    items = [(1, han), (1, "quite another text of that id"), (2, "Paris, France."), (2, "Paris, France."), (3, "ไทยแลนด์"), (None, "an item without any id")]
+    docs = [(1, f"x {han} y"), (2, han.replace("公", "花")), (3, "in paris: France"), (4, "paris in france"), (5, "ไทยแลนด์"), (6, "Quite another text of THAT id " + han), (7, "an item without any id"), (7, "an item without any id")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (16 << 20, 50):
+        found = sorted(((r.doc_id, r.item_id, r.distance) for r in decontam.leaks(docs, bench, block_bytes=block).collect()), key=str)
+        assert found == [(1, 1, 0), (2, 1, 1), (3, 2, 0), (5, 3, 0), (6, 1, 0), (7, None, 0), (7, None, 0)]
+        assert [r.doc_id for r in decontam.without_leaks(docs, bench, block_bytes=block).collect()] == [4]
+
+
+def seconds(f, *args):
+    best = math.inf
+    for _ in range(3):
+        began = time.perf_counter()
+        f(*args)
+        best = min(best, time.perf_counter() - began)
+    return best
+
+
+def test_long_repetitive_texts_take_time_in_proportion():
+    matcher = decontam.Matcher([(1, "red " * 20), (2, "red blue red blue red blue red blue"), (3, "blue " * 40)], 0.15)
+    scanner, model = licenses.Scanner(), secret_scan.Markov(2000)
+    for f, unit in (
+        (matcher.match, "red red blue "),
+        (scanner.scan, "licensed under the mit license, gpl-2.0 and the apache license, version 2.0\n"),
+        (lambda t: secret_scan.scan(t, model), "password=abcdefgh123 a/Qz8kLm2XvB7nRt4Wy0Pc6Hd x_y_z_identifier_of_words "),
+    ):
+        text = unit * ((1 << 19) // len(unit))
+        assert seconds(f, text * 2) < 2.5 * seconds(f, text) + 0.05, unit
 
 
 def test_license_words_and_labels(edge, none):
@@ -138,6 +174,94 @@ def test_every_license_rule_passes_its_own_gates():
         assert label in s.scan(text)[5].split(","), (label, s.scan(text))
 
 
+def example(tree, r):
+    """A random text that a parsed regex matches, but for what look-arounds forbid."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            chosen = [chr(c) for kind, x in arg for c in ([x] if str(kind) == "LITERAL" else range(x[0], x[1] + 1) if str(kind) == "RANGE" else b"7" if str(x).endswith("DIGIT") else b" " if str(x).endswith("SPACE") else b"w")]
+            out += r.choice(chosen)
+        elif op == "ANY":
+            out += "a"
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(example(arg[2], r) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif op == "SUBPATTERN":
+            out += example(arg[3], r)
+        elif op == "BRANCH":
+            out += example(r.choice(arg[1]), r)
+        else:
+            assert op in ("AT", "ASSERT_NOT"), op
+    return out
+
+
+def test_each_license_rule_is_reached_through_its_keywords():
+    s, r = licenses.Scanner(), random.Random(1)
+    assert len(s.rules) > 350 and len({x[2].pattern for x in s.rules}) == len(s.rules)
+    for label, priority, rule, keys in s.rules:
+        tree = parser.parse(rule.pattern)
+        for _ in range(40):
+            text = example(tree, r)
+            if rule.search(text):
+                assert any(k in text for k in keys), (text, rule.pattern, keys)
+        assert any(rule.search(example(tree, r)) for _ in range(40)), rule.pattern
+
+
+def test_license_detections_against_brute_force():
+    s, r = licenses.Scanner(), random.Random(2)
+    trees = [parser.parse(x[2].pattern) for x in s.rules]
+    for _ in range(150):
+        text = " and ".join(example(r.choice(trees), r) for _ in range(r.randint(1, 6))).replace("\n", " ")
+        low = licenses.unwrapped(text)
+        every = [(-p, m.start() - m.end(), i, m.start(), m.end(), label) for i, (label, p, rule, _) in enumerate(s.rules) for m in rule.finditer(low)]
+        kept = []
+        for p, _, _, a, b, label in sorted(every):
+            if not any(x <= a and b <= y for x, y, *_ in kept):
+                kept.append((a, b, -p, label))
+        assert s.detections(text) == sorted(kept)
+
+
+def test_nested_license_detections_of_one_priority():
+    s = licenses.Scanner.__new__(licenses.Scanner)
+    s.rules = [("short", 50, re.compile("b c"), ("b",)), ("long", 50, re.compile("a b c d"), ("b",)), ("twin", 50, re.compile("a b c d"), ("b",)), ("across", 50, re.compile("c d e"), ("b",))]
+    s.gate = type("Gate", (), {"iter": lambda self, low: [(0, "b")]})()
+    assert s.detections("a b c d e") == [(0, 7, 50, "long"), (4, 9, 50, "across")]
+
+
+def test_license_places_against_brute_force(spark):
+    r = random.Random(4)
+    words = "gnu general public license apache cc by mit BY. é2 x".split()
+    texts = [r.choice([" ", "-", ", "]).join(r.choices(words, k=r.randint(0, 40))) for _ in range(200)] + [None, ""]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for x in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[x.doc_id] or ""))
+        at = [(i, label) for p, label in licenses.BASE_PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        first, last = (min(at)[0], max(at)[0]) if at else (None, None)
+        assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == (len(w), len(at), first, last, ",".join(sorted({label for _, label in at})))
+        assert {label for _, label in at} <= set(x.labels.split(",")) and 0 <= x.score <= 1
+
+
+@pytest.mark.parametrize("label", ["mit", "bsd", "apache", "gpl", "lgpl", "mpl", "epl", "zlib", "boost", "unlicense", "cc-by-sa", "ofl"])
+def test_sentences_of_license_texts(label):
+    texts = {
+        "mit": "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.",
+        "bsd": "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+        "apache": "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.",
+        "gpl": " * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or",
+        "lgpl": "You should have received a copy of the GNU Lesser General Public\nLicense along with this library",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+        "epl": "are made available under\nthe terms of the Eclipse Public License v1.0",
+        "zlib": "2. Altered source versions must be plainly marked as such, and must not be\n   misrepresented as being the original software.",
+        "boost": "(See accompanying file or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        "unlicense": "Anyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software",
+        "cc-by-sa": "see https://creativecommons.org/licenses/by-sa/4.0/",
+        "ofl": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    }
+    assert label in licenses.Scanner().scan(texts[label])[5].split(",")
+
+
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
 
@@ -195,6 +319,35 @@ def test_secrets_behind_ordinary_prefixes():
             assert model.found(x) == (model.best(x) > model.threshold)
 
 
+def test_secrets_against_brute_force():
+    model, r = secret_scan.Markov(2000), random.Random(7)
+    runs = lambda: r.choice([secret_scan.random_samples(1, r.random())[0], secret_scan.identifier_samples(1, r.random())[0], "AKIA" + "B7" * r.randint(3, 9), "0a1b" * r.randint(6, 10), "short"])
+    for _ in range(400):
+        text = "".join(r.choice(["", "", " ", "é ", "password=", "Token : '", "API-KEY", "secret:", "\n", "/"]) + runs() for _ in range(r.randint(0, 8)))
+        base, more = secret_scan.scan(text, model)
+        want = [(m.start(), 0, m.end()) for m in secret_scan.ASSIGN.finditer(text) if len(m[2]) >= 8]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        assert base == sorted(want)
+        taken = {i for s, _, e in want for i in range(s, e)}
+        free = "".join("\0" if i in taken else c for i, c in enumerate(text))
+        every = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", free) if m.end() - m.start() >= 16]
+        whole = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", text)]
+        every = [(a, b) for a, b in every if any(x <= a and b <= y for x, y in whole)]
+        assert [(a, b) for a, _, b in more] == [(a, b) for a, b in every if model.found(text[a:b])]
+
+
+def test_recall_of_embedded_secrets_and_false_alarms():
+    model, r = secret_scan.Markov(), random.Random(31)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for size in (20, 40):
+        for prefix in ("", "deploy/config/production/service/", "app.service.credentials.production.value=", "user_session_identifier_value_"):
+            caught = sum(any(s <= len(prefix) and len(prefix) + size <= e for s, _, e in secret_scan.scan(prefix + "".join(r.choices(letters, k=size)), model)[1]) for _ in range(300))
+            assert caught >= 285, (size, prefix, caught)
+    plain = [x for x in secret_scan.identifier_samples(12_000, 77) + secret_scan.joined_samples(secret_scan.identifier_samples(12_000, 78), 79) if len(x) >= 16]
+    assert sum(model.found(x) for x in plain) <= 0.001 * len(plain)
+
+
 def test_secret_rows(edge, none):
     rows = secret_scan.secret_scan(edge, n_samples=2000).collect()
     assert len(rows) == len(EDGE) and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
