@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
-The edit unit is the word, and the bound is one edit: two lines are near if they differ by one word changed, added or
-taken out. In short lines, where a word is too much, the unit is the character. Lines are compared lower-cased with white
-space collapsed.
+One law for every line that isn't empty: two lines are one if they are equal, lower-cased and with white space collapsed,
+or near, if one edit in eight units parts them. The unit is the word where both have eight words or more, and the
+character else; so two lines are near if they differ by one unit changed, added or taken out, and either has eight units
+or more. Lines of less than eight characters have no budget for an edit: there equal is near.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import cut
+from duoscope.llm.common import cut, release
 
 _DOC = ["doc_id", "k1"]
+_SPACES = " \t\r\x0b\x0c"
 
 
 def _normal(line: Column) -> Column:
@@ -29,10 +31,10 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(text.isNull(), text)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, k1, pos, norm, n, lh, l2): each line of min_words or more, its words, and 96 bits of hash."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, k1, pos, norm, n, lh, l2): each line that isn't empty, its words, and 96 bits of hash."""
     rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("k1"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    rows = rows.select(*_DOC, "pos", _normal(F.col("line")).alias("norm")).withColumn("n", _count_words(F.col("norm"))).where(F.col("n") >= min_words)
+    rows = rows.select(*_DOC, "pos", _normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn("n", _count_words(F.col("norm")))
     return rows.withColumn("lh", F.xxhash64("norm")).withColumn("l2", F.hash("norm"))
 
 
@@ -66,16 +68,15 @@ def _half_chars() -> list[Column]:
     return [F.when(F.col("m").isNotNull(), k).alias(name) for k, name in ((p, "cp"), (s, "cs"), (third, "ct"))]
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8, short_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """All lines' (doc_id, k1, pos), and those of them that stay.
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: int = 8) -> DataFrame:
+    """(doc_id, k1, pos) of the lines that stay.
 
-    A line stays if no equal line comes earlier, and, from near_words words on, no near one does; earlier means by
+    A line stays if neither an equal line nor a near one (see above; units is the eight) comes earlier; earlier means by
     (doc_id, text hash, line number), a null id first. An earlier line counts whether it stays itself or not, so that
-    the outcome doesn't hang on any order of work. With short_chars, two lines of which one has under near_words words
-    are near if they differ by one character, and both have short_chars or more of them.
+    the outcome doesn't hang on any order of work.
 
-    1. Equal lines are one by their hashes, with the earliest place of each: map-side minima, so that a line that a third
-       of all documents have is a row per task.
+    1. Equal lines are one by 96 bits of hash, with the earliest place of each: map-side minima, so that a line that a
+       third of all documents have is a row per task. Distinct lines get numbers, which stand for them from then on.
     2. Near lines share a half (see _half_keys). Lines none of whose halves another line has are out, without loss: a
        line emits three keys here, not a variant per word.
     3. The rest emit every variant with one word deleted, as a key: the XOR of word hashes by position, from two running
@@ -84,19 +85,19 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        insertion. So no group is expanded into pairs.
     4. Each pair found is verified word by word before it counts.
 
-    Short lines go the same way, character by character, as entries of their own kind: a line of near_words words is in
-    both, as a short one may be a character from it. n counts an entry's units.
+    Lines that may be a character from another go the same way, character by character, as entries of their own kind: a
+    line of `units` words is in both, as one of a word less may be a character from it. n counts an entry's units.
     """
     where = F.struct("doc_id", "k1", "pos")
-    slim = lines_of(docs, id_col, text_col, min_words)
     m = F.length("norm")
-    slim = slim.withColumn("m", F.lit(None).cast("int") if short_chars is None else F.when((F.col("n") <= near_words) & (m >= short_chars), m))
-    slim = cut(slim.select(*_DOC, "pos", "n", "m", "lh", "l2", *_half_keys(), *_half_chars()), "slim")
-    each = slim.groupBy("lh", "l2").agg(F.min(where).alias("first"), F.max("n").alias("n"), F.max("m").alias("m"), *(F.max(c).alias(c) for c in ("p0", "s0", "t0", "cp", "cs", "ct")))
-    each = cut(each, "lines")
-    long = each.where(F.col("n") >= near_words).select("lh", F.col("lh").alias("own"), "first", "n", F.lit(False).alias("short"), F.array("p0", "s0", "t0").alias("keys"))
-    short = each.where(F.col("m").isNotNull()).select(F.xxhash64(F.lit("c"), "lh").alias("lh"), F.col("lh").alias("own"), "first", F.col("m").alias("n"), F.lit(True).alias("short"), F.array("cp", "cs", "ct").alias("keys"))
-    entries = long if short_chars is None else long.union(short)
+    rows = lines_of(docs, id_col, text_col).withColumn("m", F.when((F.col("n") <= units) & (m >= units), m))
+    rows = rows.select(where.alias("at"), "n", "m", "lh", "l2", *_half_keys(), *_half_chars())
+    each = rows.groupBy("lh", "l2").agg(F.min("at").alias("first"), F.max("n").alias("n"), F.max("m").alias("m"), *(F.max(c).alias(c) for c in ("p0", "s0", "t0", "cp", "cs", "ct")))
+    each = cut(each.drop("lh", "l2").withColumn("line", F.monotonically_increasing_id()), "lines")
+    own = F.col("line").alias("own")
+    long = each.where(F.col("n") >= units).select((F.col("line") * 2).alias("lh"), own, "first", "n", F.lit(False).alias("short"), F.array("p0", "s0", "t0").alias("keys"))
+    short = each.where(F.col("m").isNotNull()).select((F.col("line") * 2 + 1).alias("lh"), own, "first", F.col("m").alias("n"), F.lit(True).alias("short"), F.array("cp", "cs", "ct").alias("keys"))
+    entries = long.union(short)
     keys = entries.select("lh", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).where("a <> b").select("key")
     near = keys.join(shared, "key", "left_semi").select("lh").distinct()
@@ -106,7 +107,8 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = near.groupBy(F.col("first.doc_id").alias("d"), F.col("first.k1").alias("k")).agg(F.collect_list(F.struct("lh", "own", "first", "n", "short")).alias("all"))
     texts = texts.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("k"))).select(F.split("text", "\n").alias("x"), F.explode("all").alias("o"))
     texts = texts.select("o.*", _normal(F.element_at("x", F.col("o.first.pos") + 1)).alias("norm"))
-    near = cut(texts.dropDuplicates(["lh"]), "near")
+    slim, near = near, cut(texts.dropDuplicates(["lh"]), "near")
+    release(slim)
 
     units = F.when(F.col("short"), F.split("norm", "")).otherwise(F.split("norm", " "))
     words = near.select("lh", "n", "short", F.posexplode(units).alias("i", "w"))
@@ -140,35 +142,39 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without = F.when(F.col("short"), F.concat(mine["col1"], mine["col2"])).otherwise(F.concat_ws(" ", *(F.nullif(mine[c], F.lit("")) for c in ("col1", "col2"))))
     true = F.when(F.col("same"), (F.col("n") == F.col("o_n")) & (mine == its)).otherwise((F.col("n") == F.col("o_n") + 1) & (without == F.col("o_norm")))
     pairs = pairs.where(true).where("first <> o_first and short = o_short")
-    later = pairs.select(F.when(F.col("o_first") < F.col("first"), F.col("own")).otherwise(F.col("o_own")).alias("lh")).distinct()
-    stay = each.join(later, "lh", "left_anti").select("first.*")
-    return slim.select(*_DOC, "pos"), cut(stay, "stay")
+    later = pairs.select(F.when(F.col("o_first") < F.col("first"), F.col("own")).otherwise(F.col("o_own")).alias("line")).distinct()
+    stay = cut(each.join(later, "line", "left_anti").select("first.*"), "stay")
+    release(each, near, variants)
+    return stay
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8, short_chars: int | None = None) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: int = 8) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_lines, a row per document (equal rows are one document).
 
-    n_lines counts the lines of min_words words or more, kept_lines lists the numbers (from 0) of those that stay, in
-    order. Shorter lines are no one's copy and not counted. Null and empty texts have no lines; a null id is an id that
-    comes before any other; rows of one id with different texts are different documents. Other columns are not read.
+    n_lines counts the lines that aren't empty, kept_lines lists the numbers (from 0) of those that stay, in order. Null
+    and empty texts have no lines; a null id is an id that comes before any other; rows of one id with different texts
+    are different documents. An empty table gives an empty one; very long lines are compared whole. Other columns are not
+    read.
     """
-    every, stay = kept_lines(docs, id_col, text_col, min_words, near_words, short_chars)
-    n = every.groupBy(*_DOC).agg(F.countDistinct("pos").alias("n_lines"))
+    stay = kept_lines(docs, id_col, text_col, units)
     kept = stay.groupBy(F.col("doc_id").alias("d"), F.col("k1").alias("k")).agg(F.array_sort(F.collect_list("pos")).alias("kept_lines"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).isNull(), F.col(text_col)).alias("k1")).distinct()
-    rows = rows.join(n.select(F.col("doc_id").alias("nd"), F.col("k1").alias("nk"), "n_lines"), F.col("doc_id").eqNullSafe(F.col("nd")) & (F.col("k1") == F.col("nk")), "left")
+    n = F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: F.trim(x, F.lit(_SPACES)) != "")).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("k1"), n.alias("n_lines")).distinct()
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("k")), "left")
-    lines = F.coalesce("n_lines", F.lit(0)).cast("long")
     found = F.coalesce("kept_lines", F.array().cast("array<int>"))
-    return rows.select("doc_id", lines.alias("n_lines"), (lines - F.size(found)).alias("n_dropped"), found.alias("kept_lines"))
+    return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size(found)).alias("n_dropped"), found.alias("kept_lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8, short_chars: int | None = None) -> DataFrame:
-    """The documents with all their columns, their dropped lines gone from the text; see kept_lines()."""
-    _, stay = kept_lines(docs, id_col, text_col, min_words, near_words, short_chars)
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: int = 8) -> DataFrame:
+    """The documents with all their columns, whatever their names, their dropped lines gone from the text.
+
+    See kept_lines(). Empty lines stay, as do null texts and rows without a line that is dropped; repeated rows keep the
+    same lines; an empty table stays empty.
+    """
+    stay = kept_lines(docs, id_col, text_col, units)
     kept = stay.groupBy(F.col("doc_id").alias("__d"), F.col("k1").alias("__k")).agg(F.collect_list("pos").alias("__kept"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col).isNull(), F.col(text_col)).alias("__k1"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), _text_key(F.col(text_col)).alias("__k1"))
     rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__k1") == F.col("__k")), "left")
     text = F.col(f"__row.`{text_col}`")
-    stays = F.filter(F.split(text, "\n"), lambda x, i: (_count_words(_normal(x)) < min_words) | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
+    stays = F.filter(F.split(text, "\n"), lambda x, i: (F.trim(x, F.lit(_SPACES)) == "") | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
     return rows.select(*[F.array_join(stays, "\n").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
