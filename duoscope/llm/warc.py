@@ -25,43 +25,56 @@ _END = "\r\n\r\n"
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 1000) -> DataFrame:
-    """(page_id, url, payload, digest, bytes, record_type, refers_to), a row per input row.
+    """(page_id, url, payload, digest, bytes, record_type, refers_to, alike, one_target), a row per input row.
 
     Of the rows with equal payloads of min_revisit_bytes or more, one with the largest id is a response and the others
     revisit it; rows with smaller payloads are responses. A null html is an empty payload. Rows of one id and one
     payload are alike: if that id is the largest, all of them are responses. A null id is below any other; rows whose
     group has none but null ids are responses. Groups are keyed by digest and length with map-side maxima, so that a
-    group of a third of all rows is a row per task; payloads aren't shuffled for it.
+    group of a third of all rows is a row per task; payloads aren't shuffled for it, nor is any of them held twice. alike
+    tells that other rows have the same id and payload, one_target that just one row is what a revisit refers to.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    last = rows.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # of a known size, the table of repeated digests is broadcast where it is small, and no payload is shuffled
-    rows = rows.join(cut(last, "digests"), "digest", "left")
+    # ids and digests alone, of which all groups are made
+    slim = cut(rows.groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes")), "digests")
+    last = slim.groupBy("digest").agg(F.max("page_id").alias("last"), F.max_by("n", "page_id").alias("last_n"), F.sum("n").alias("n"), F.max("bytes").alias("b"), F.max("n").alias("most"))
+    last = cut(last.where("n > 1").select("digest", F.when(F.col("b") >= min_revisit_bytes, F.col("last")).alias("last"), (F.col("last_n") == 1).alias("one_target"), (F.col("most") > 1).alias("some_alike")), "digests")
+    twice = cut(slim.where("n > 1").select("digest", F.col("page_id").alias("twin"), F.lit(True).alias("alike")), "digests")
+    # of known sizes, the tables of repeated digests are broadcast where they are small, and no payload is shuffled
+    rows = rows.join(last, "digest", "left").join(twice.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("some_alike") & F.col("page_id").eqNullSafe(F.col("twin")), "left")
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.select("page_id", "url", "payload", "digest", "bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
+    kind = F.when(again, "revisit").otherwise("response").alias("record_type")
+    return rows.select("page_id", "url", "payload", "digest", "bytes", kind, F.when(again, F.col("last")).alias("refers_to"), F.coalesce("alike", F.lit(False)).alias("alike"), F.coalesce("one_target", F.lit(False)).alias("one_target"))
 
 
 def record_text(row: DataFrame) -> Column:
-    """A record without its two final line breaks, from the columns of plan_records()."""
+    """A record without its two final line breaks, from the columns of plan_records().
+
+    A record's id comes from its page's id and payload, so equal pages give equal archives; rows that are alike in both
+    get random ids instead, as every id must be unique, and a revisit of such rows names the page but no record.
+    """
 
     def line(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit("\r\n")), F.lit(""))
 
     def record_id(page: Column) -> Column:
-        h = F.md5(F.concat(F.lit("page:"), page.cast("string")))
+        h = F.md5(F.concat(F.lit("page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), F.col("digest")))
         return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(h, a, n), F.lit("-" if a < 21 else ">"))])
 
+    own = F.when(F.col("alike"), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))).otherwise(record_id(F.col("page_id")))
+    target = F.when(F.col("one_target"), record_id(F.col("refers_to")))
+
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit(_END))
     block_bytes = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))
     # the driver's clock isn't asked: equal pages give equal archives
     head = F.concat(
-        F.lit(VERSION), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.coalesce(record_id(F.col("page_id")), F.lit("<urn:uuid:00000000-0000-0000-0000-000000000000>"))),
+        F.lit(VERSION), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", own),
         F.lit("WARC-Date: 2024-01-01T00:00:00Z\r\n"), line("WARC-Target-URI", F.col("url")), line("X-Page-ID", F.col("page_id").cast("string")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", record_id(F.col("refers_to"))), line("X-Refers-To-Page", F.col("refers_to").cast("string")), F.lit(f"WARC-Profile: {PROFILE}\r\n"))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Refers-To", target), line("X-Refers-To-Page", F.col("refers_to").cast("string")), F.lit(f"WARC-Profile: {PROFILE}\r\n"))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", block_bytes.cast("string")), F.lit("\r\n"),
     )
     return F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload")))
@@ -237,3 +250,13 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     kind = dict(pages.dtypes)[id_col]
     found = read_warc(spark, path)
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+#: What the archives must give back, from the pages themselves.
+WARC_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload, sha1(coalesce(html, '')) as digest from pages),
+g as (select *, octet_length(payload) as n, max(page_id) over (partition by digest) as last from p)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, case when n >= 1000 and page_id is distinct from last then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and page_id is distinct from last then last end as refers_to
+from g
+"""
