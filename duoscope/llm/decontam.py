@@ -3,30 +3,56 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import ahocorasick
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from duoscope.llm.common import map_texts
-
-_BREAKS = re.compile(r"[\W_]+")
 #: Scripts written without spaces between words: Thai to Myanmar, Khmer, kana, Han.
 _UNSPACED = re.compile("([\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
-def normal(text: str | None) -> str:
-    """Lower-cased words (letters and digits), each between single spaces: " a b c ".
+_WORDS = re.compile(r"[^\W_]+")
+_MIX, _SEPARATE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Words of texts that are looked at together, about, and what stands between two texts.
+_TOGETHER = 1 << 18
+_GAP = np.uint64(0)
 
-    A letter of a script that is written without spaces is a word of its own.
-    """
+
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased words (letters and digits); a letter of a script that is written without spaces is a word of its own."""
     text = (text or "").lower()
     if not text.isascii():
         text = _UNSPACED.sub(r" \1 ", text)
-    return f" {_BREAKS.sub(' ', text).strip()} "
+    return _WORDS.findall(text)
+
+
+class Hashes(dict):
+    """64-bit hashes of words, the latest of them remembered."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+        if len(self) < 500_000:
+            self[word] = h
+        return h
+
+
+def runs(words: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hash of the run of that length that begins at each place), for ascending lengths."""
+    h = np.zeros(len(words), np.uint64)
+    for n in range(1, max(lengths, default=0) + 1):
+        if n > len(words):
+            return
+        x = h[: len(words) - n + 1] * _MIX + words[n - 1 :]
+        x = (x ^ (x >> np.uint64(32))) * _SEPARATE
+        h = x ^ (x >> np.uint64(29))
+        if n in lengths:
+            yield n, h
 
 
 def pieces(n_words: int, budget: int) -> list[tuple[int, int]]:
@@ -65,57 +91,93 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
 
 
 class Matcher:
-    """The items of one block: an automaton of all pieces, and the words of every item."""
+    """The items of one block: sorted hashes of all their pieces, by length, and the words of every item.
+
+    It is made once, on the driver, of arrays that go to the executors as they are: some 8 bytes a word and 16 a piece.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
-        self.items: list[tuple[int, list[str], int]] = []
-        found: dict[str, list[tuple[int, int]]] = {}
-        for item_id, norm in dict.fromkeys((item_id, normal(text)) for item_id, text in items):
-            words = norm.split()
+    def __init__(self, items: Iterable[tuple[int, str]], error_rate: float) -> None:
+        hashes = Hashes()
+        self.ids: list = []
+        self.budgets: list[int] = []
+        self.words: list[np.ndarray] = []
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for item_id, words in dict.fromkeys((item_id, tuple(words_of(text))) for item_id, text in items):
             if not words:
                 continue
-            budget = int(len(words) * error_rate)
-            for a, b in pieces(len(words), budget):
-                found.setdefault(f" {' '.join(words[a:b])} ", []).append((len(self.items), a))
-            self.items.append((item_id, words, budget))
-        self.automaton = ahocorasick.Automaton()
-        for piece, places in found.items():
-            self.automaton.add_word(piece, (piece.count(" "), places))
-        if found:
-            self.automaton.make_automaton()
+            w = np.array([hashes[x] for x in words], np.uint64)
+            budget = int(len(w) * error_rate)
+            cuts = pieces(len(w), budget)
+            for n, h in runs(w, sorted({b - a for a, b in cuts})):
+                found.setdefault(n, []).extend((int(h[a]), len(self.ids), a) for a, b in cuts if b - a == n)
+            self.ids.append(item_id)
+            self.budgets.append(budget)
+            self.words.append(w)
+        self.pieces = {}
+        for n, places in found.items():
+            places.sort()
+            known = np.array([x[0] for x in places], np.uint64)
+            # a table of the first bits of the hashes turns nearly all runs away before they are looked up
+            shift = np.uint64(64 - min(24, max(12, len(known).bit_length() + 6)))
+            table = np.zeros(1 << (64 - int(shift)), bool)
+            table[known >> shift] = True
+            self.pieces[n] = (known, np.array([x[1:] for x in places], np.int64), table, shift)
 
     def match(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item_id, distance, end word) of every item within its budget, the nearest run of each; in order of items.
+        return self.match_all([text], Hashes())[0]
+
+    def match_all(self, texts: Sequence[str | None], hashes: Hashes) -> list[list[tuple[int, int, int]]]:
+        """For each text (item_id, distance, end word) of every item within its budget, the nearest run of each.
 
         Piece hits say where an item would begin. Windows that overlap are one, so that a text that repeats a piece is
-        read by Myers' recurrence once for an item, and hits come in order of their end, so that words are counted on.
+        read by Myers' recurrence once for an item.
         """
-        if not text or not len(self.automaton):
-            return []
-        norm = normal(text)
-        begins: dict[int, list[int]] = {}
-        at = breaks = 0
-        for end, (size, places) in self.automaton.iter(norm):
-            breaks += norm.count(" ", at, end + 1)
-            at = end + 1
-            for i, a in places:
-                begins.setdefault(i, []).append(breaks - size - a)
-        words = norm.split() if begins else []
-        best: dict[object, tuple[int, int]] = {}
-        for i, starts in sorted(begins.items()):
-            item_id, item, budget = self.items[i]
-            for low, high in self._windows(starts, len(item), budget):
-                distance, stop = myers(item, words[low:high])
-                if distance <= budget and (item_id not in best or (distance, low + stop) < best[item_id]):
-                    best[item_id] = (distance, low + stop)
-        return [(item_id, d, e) for item_id, (d, e) in best.items()]
+        out: list[list[tuple[int, int, int]]] = []
+        some: list[list[int]] = []
+        size = 0
+        for t in texts:
+            some.append([hashes[w] for w in words_of(t)] if self.ids else [])
+            size += len(some[-1])
+            if size > _TOGETHER:
+                out += self._match_words(some)
+                some, size = [], 0
+        return out + self._match_words(some)
+
+    def _match_words(self, texts: list[list[int]]) -> list[list[tuple[int, int, int]]]:
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        words = np.full(int(ends[-1]) if len(ends) else 0, _GAP)
+        starts = ends - [len(t) + 1 for t in texts]
+        for t, at in zip(texts, starts, strict=True):
+            words[at : at + len(t)] = t
+        begins: dict[tuple[int, int], list[int]] = {}
+        for n, h in runs(words, sorted(self.pieces)):
+            known, places, table, shift = self.pieces[n]
+            hit = np.nonzero(table[h >> shift])[0]
+            first = np.searchsorted(known, h[hit])
+            true = known[np.minimum(first, len(known) - 1)] == h[hit]
+            hit, first = hit[true], first[true]
+            of = np.searchsorted(ends, hit, side="right")
+            for at, t, i in zip(hit.tolist(), of.tolist(), first.tolist(), strict=True):
+                value = known[i]
+                while i < len(known) and known[i] == value:
+                    item, a = places[i].tolist()
+                    begins.setdefault((t, item), []).append(at - int(starts[t]) - a)
+                    i += 1
+        best: list[dict[object, tuple[int, int]]] = [{} for _ in texts]
+        for (t, i), where in sorted(begins.items()):
+            item_id, item, budget = self.ids[i], self.words[i].tolist(), self.budgets[i]
+            for low, high in self._windows(where, len(item), budget):
+                distance, stop = myers(item, texts[t][low:high])
+                if distance <= budget and (item_id not in best[t] or (distance, low + stop) < best[t][item_id]):
+                    best[t][item_id] = (distance, low + stop)
+        return [[(item_id, d, e) for item_id, (d, e) in b.items()] for b in best]
 
     @staticmethod
     def _windows(starts: list[int], size: int, budget: int) -> list[tuple[int, int]]:
         """The stretches of words that the item may lie in if it begins within budget of one of the starts."""
         out: list[tuple[int, int]] = []
         for s in sorted(set(starts)):
-            low, high = max(0, s - budget), s + size + budget
+            low, high = max(0, s - budget), max(0, s + size + budget)
             if out and low <= out[-1][1]:
                 out[-1] = (out[-1][0], high)
             else:
@@ -135,57 +197,59 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
 
 def leaks(
     docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    error_rate: float = 0.15, block_bytes: int = 16 << 20,
+    error_rate: float = 0.15, block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(doc_id, item_id, distance, end_word): each test item that a document holds with at most error_rate * words word edits.
 
     Texts are compared as sequences of lower-cased words, without punctuation; a letter of a script without spaces is a
     word. An item of m words has a budget of k = floor(error_rate * m) edits and is cut into k + 1 pieces, one of which
-    any run within the budget holds whole; exact piece hits (an Aho-Corasick automaton over whole texts) are verified
-    with Myers' bit-parallel distance in the windows around them. An item too short for an edit must stand there whole
-    and unchanged, however short it is; what is too short for evidence is to be left out of the benchmark. One row per
-    row of docs and item id, with the nearest run, the earliest of equally near ones; end_word is where it ends, in
-    words. Items of one id with several texts count as their nearest; repeated items count once. Null, empty and
-    wordless texts match nothing on either side, and an empty table gives an empty result. Repeated rows get repeated
-    results. Very long texts are read whole, in time in proportion to their length. No shuffle: the benchmark goes to
-    the executors in blocks of block_bytes, a pass of docs for each.
+    any run within the budget holds whole; exact piece hits (hashes of the runs of a text, looked up among those of all
+    pieces) are verified with Myers' bit-parallel distance in the windows around them. An item too short for an edit must
+    stand there whole and unchanged, however short it is; what is too short for evidence is to be left out of the
+    benchmark. One row per row of docs and item id, with the nearest run, the earliest of equally near ones; end_word is
+    where it ends, in words. Items of one id with several texts count as their nearest; repeated items count once. Null,
+    empty and wordless texts match nothing on either side, and an empty table gives an empty result. Repeated rows get
+    repeated results. Very long texts are read whole, in time in proportion to their length. No shuffle: the benchmark
+    goes to the executors in blocks of block_bytes of text (see Matcher), and docs are scanned once for each.
     """
     item_kind = dict(bench.select(F.col(item_col).alias("d")).dtypes)["d"]
+    hits = StructType.fromDDL(f"item_id array<{item_kind}>, distance array<int>, end_word array<long>")
     out = None
     for items in _blocks(bench, item_col, item_text_col, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def make(sent=sent) -> Callable[[str | None], tuple]:
-            matcher = Matcher(sent.value, error_rate)
-
-            def found(text: str | None) -> tuple:
-                hits = matcher.match(text)
-                return [h[0] for h in hits], [h[1] for h in hits], [h[2] for h in hits]
-
-            return found
-
-        part = map_texts(docs, [F.col(id_col).alias("doc_id")], text_col, f"item_id array<{item_kind}>, distance array<int>, end_word array<long>", make)
-        part = part.select("doc_id", F.explode(F.arrays_zip("item_id", "distance", "end_word")).alias("x")).select("doc_id", "x.*")
+        found = _found(docs.sparkSession.sparkContext.broadcast(Matcher(items, error_rate)), hits)
+        part = docs.select(F.col(id_col).alias("doc_id"), found(F.col(text_col)).alias("m"))
+        part = part.select("doc_id", F.explode(F.arrays_zip("m.item_id", "m.distance", "m.end_word")).alias("x")).select("doc_id", "x.*")
         out = part if out is None else out.union(part)
     return out
 
 
-def without_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.15, block_bytes: int = 16 << 20) -> DataFrame:
+def without_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.15, block_bytes: int = 32 << 20) -> DataFrame:
     """The documents that hold no test item (see leaks()), with all their columns, whatever their names.
 
     A decision for each row, whatever its id: repeated rows share their fate, rows without a text stay, and an empty
-    table stays empty. One pass of docs.
+    table stays empty. One scan of docs.
     """
     for items in _blocks(bench, item_col, item_text_col, block_bytes):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(items), error_rate)(F.col(text_col)))
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(Matcher(items, error_rate)))(F.col(text_col)))
     return docs
 
 
-def _clean(sent: Broadcast, error_rate: float) -> Callable[[Column], Column]:
+def _found(sent: Broadcast, hits: StructType) -> Callable[[Column], Column]:
+    @F.pandas_udf(hits)
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hashes = Hashes()
+        for s in texts:
+            rows = [[[h[i] for h in m] for i in range(3)] for m in sent.value.match_all(s, hashes)]
+            yield pd.DataFrame(rows, columns=hits.names, dtype=object)
+
+    return found
+
+
+def _clean(sent: Broadcast) -> Callable[[Column], Column]:
     @F.pandas_udf("boolean")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(sent.value, error_rate)
+        hashes = Hashes()
         for s in texts:
-            yield pd.Series([not matcher.match(t) for t in s], dtype=bool)
+            yield pd.Series([not m for m in sent.value.match_all(s, hashes)], dtype=bool)
 
     return clean
