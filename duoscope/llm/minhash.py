@@ -301,3 +301,18 @@ def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pick = row.join(twice, "__id", "left_semi").where("n > 0").groupBy("__id").agg(F.min(F.struct(F.col(f"__row.`{text_col}`").alias("t"), "__row")).alias("p"))
     blank = row.join(twice, "__id", "left_semi").where("n = 0").select("__row")
     return once.union(pick.select("p.__row")).union(blank).union(nameless).select("__row.*")
+
+
+#: All links of small tables: sets of texts that share a shingle are compared, and components found by rounds.
+NEAR_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from d),
+classes as (select min(doc_id) as rep, list_sort(s) as s, any_value(len(s)) as n from s where len(s) > 0 group by list_sort(s)),
+x as (select rep, n, unnest(s) as g from classes),
+links as (select a.rep as a, b.rep as b from x a join x b on a.g = b.g and a.rep < b.rep and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ as (select a, b from links union all select b, a from links),
+reach as (select rep as a, rep as b from classes union select r.a, e.b from reach r join both_ e on r.b = e.a),
+comp as (select a as rep, min(b) as component_id from reach group by a),
+found as (select s.doc_id, len(s.s) as n_shingles, coalesce(component_id, s.doc_id) as component_id from s left join classes c on list_sort(s.s) = c.s left join comp on comp.rep = c.rep)
+select doc_id, cast(n_shingles as bigint) as n_shingles, component_id, doc_id = component_id as kept from found
+"""

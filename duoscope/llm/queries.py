@@ -9,13 +9,13 @@ from duoscope.llm.common import table
 from duoscope.llm.decontam import leaks
 from duoscope.llm.licenses import license_scan
 from duoscope.llm.line_dedup import line_report
-from duoscope.llm.minhash import near_classes
+from duoscope.llm.minhash import NEAR_SQL, near_classes
 from duoscope.llm.mixing import MIX_SQL, WEIGHTS, mix
 from duoscope.llm.quality import QUALITY_SQL, quality_rules
 from duoscope.llm.secret_scan import secret_scan
 from duoscope.llm.sharding import shard_by_key
 from duoscope.llm.toxicity import score_toxicity
-from duoscope.llm.warc import warc_round_trip
+from duoscope.llm.warc import WARC_SQL, warc_round_trip
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # every line that isn't empty; under eight words, near is one character of eight or more
-    return line_report(table(spark, sf_dir, "documents"), min_words=1, short_chars=8)
+    return line_report(table(spark, sf_dir, "documents"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +77,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": MIX_SQL,
+    "op6_minhash_dedup": NEAR_SQL,
+    "op7_warc": WARC_SQL,
     "op8_quality_rules": QUALITY_SQL,
 }

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -110,10 +111,19 @@ def near(a, b):
     return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def test_line_dedup_against_all_pairs(spark, edge):
-    r = random.Random(4)
-    words = "red blue green cold warm soft hard long".split()
-    lines = [r.choices(words, k=r.randint(1, 14)) for _ in range(40)]
+def alike(v, w):
+    """By the law: equal, or one edit in eight units, words where both have eight of them, else characters."""
+    if min(len(v), len(w)) >= 8:
+        return v == w or near(v, w)
+    a, b = " ".join(v), " ".join(w)
+    return v == w or (min(len(a), len(b)) >= 8 and near(a, b))
+
+
+@pytest.mark.parametrize("seed,longest,by_char", [(4, 14, False), (8, 9, True), (9, 2, True), (10, 7, False)])
+def test_line_dedup_against_all_pairs(spark, edge, seed, longest, by_char):
+    r = random.Random(seed)
+    words = "red blue é green cold warm soft hard long".split()
+    lines = [r.choices(words, k=r.randint(1, longest)) for _ in range(40)]
     rows = []
     for d in range(60):
         body = []
@@ -123,65 +133,32 @@ def test_line_dedup_against_all_pairs(spark, edge):
                 i, kind = r.randrange(len(w)), r.randrange(3)
                 w[i : i + 1] = [[r.choice(words)], [], [w[i], r.choice(words)]][kind]
                 w = w or ["red"]
-            body.append("\t ".join(w).title())
-        rows.append((d, "\n".join(body), "en", "s"))
-    places = [(d, p, tuple(x.lower().split())) for d, t, *_ in rows for p, x in enumerate(t.split("\n"))]
-    places = [x for x in places if len(x[2]) >= 3]
-    want = defaultdict(list)
-    for d, p, w in places:
-        if not any((e, q) < (d, p) and (v == w or (min(len(v), len(w)) >= 8 and near(v, w))) for e, q, v in places):
-            want[d].append(p)
-    docs = frame(spark, rows)
-    got = {x.doc_id: x for x in line_dedup.line_report(docs).collect()}
-    counts = Counter(d for d, _, _ in places)
-    for d, *_ in rows:
-        assert got[d].kept_lines == want[d] and got[d].n_lines == counts[d] and got[d].n_dropped == counts[d] - len(want[d])
-    clean = line_dedup.dedup_lines(docs)
-    assert clean.columns == docs.columns and clean.count() == 60
-    assert sum(len(x.split()) >= 3 for c in clean.collect() for x in c.text.split("\n")) == sum(map(len, want.values()))
-    assert line_dedup.line_report(edge.where("false")).count() == 0
-    assert {(x.doc_id, x.n_lines, x.n_dropped) for x in line_dedup.line_report(edge).collect()} == {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 1, 0), (5, 1, 1), (None, 1, 0), (6, 0, 0)}
-
-
-def one_char(a, b):
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
-    a, b = sorted((a, b), key=len)
-    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
-
-
-def test_line_dedup_of_short_lines(spark):
-    r = random.Random(8)
-    words = "red blue é green cold warm soft hard".split()
-    lines = [r.choices(words, k=r.randint(1, 9)) for _ in range(40)]
-    rows = []
-    for d in range(60):
-        body = []
-        for _ in range(r.randint(0, 6)):
-            x = " ".join(r.choice(lines))
-            if r.random() < 0.5:
+            x = "\t ".join(w).title()
+            if by_char and r.random() < 0.5:
                 i = r.randrange(len(x))
                 x = x[:i] + r.choice(["", "x", x[i] + "y", " "]) + x[i + 1 :]
             body.append(x)
         rows.append((d, "\n".join(body), "en", "s"))
     places = [(d, p, x.lower().split()) for d, t, *_ in rows for p, x in enumerate(t.split("\n")) if x.strip()]
-
-    def alike(v, w):
-        if v == w:
-            return True
-        if min(len(v), len(w)) >= 8:
-            return near(v, w)
-        a, b = " ".join(v), " ".join(w)
-        return min(len(a), len(b)) >= 8 and one_char(a, b)
-
     want = defaultdict(list)
     for d, p, w in places:
         if not any((e, q) < (d, p) and alike(v, w) for e, q, v in places):
             want[d].append(p)
+    docs = frame(spark, rows)
+    got = {x.doc_id: x for x in line_dedup.line_report(docs).collect()}
     counts = Counter(d for d, _, _ in places)
-    assert any(len(w) < 3 for _, _, w in places)
-    for x in line_dedup.line_report(frame(spark, rows), min_words=1, short_chars=8).collect():
-        assert (x.kept_lines, x.n_lines) == (want[x.doc_id], counts[x.doc_id])
+    assert {len(w) for _, _, w in places} >= set(range(1, min(8, longest) + 1))
+    for d, *_ in rows:
+        assert got[d].kept_lines == want[d] and got[d].n_lines == counts[d] and got[d].n_dropped == counts[d] - len(want[d])
+    if seed == 4:
+        clean = line_dedup.dedup_lines(docs)
+        assert clean.columns == docs.columns and clean.count() == 60
+        assert sum(bool(x.strip()) for c in clean.collect() for x in c.text.split("\n")) == sum(map(len, want.values()))
+        assert line_dedup.line_report(edge.where("false")).count() == 0 and line_dedup.dedup_lines(edge.where("false")).count() == 0
+        got = {(x.doc_id, x.n_lines, x.n_dropped) for x in line_dedup.line_report(edge).collect()}
+        assert got == {(1, 0, 0), (2, 0, 0), (3, 1, 0), (4, 1, 0), (5, 1, 1), (None, 1, 0), (6, 0, 0)}
+        texts = {x.doc_id: x.text for x in line_dedup.dedup_lines(edge).collect()}
+        assert texts[1] is None and texts[2] == "" and texts[5] == "" and texts[6] == " \n "
 
 
 def test_line_dedup_query_leaves_out_no_line(spark, tmp_path):
@@ -234,6 +211,24 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_groups_ties_and_repeated_ids(spark, tmp_path):
+    big, other, long = "p" * 1200, "q" * 1000, "é" * 3_000_000
+    rows = [(1, big), (2, big), (3, big), (7, big), (7, big), (5, other), (5, "r" * 1500), (4, other), (8, "r" * 1500), (None, other), (None, "n" * 1001), (9, long), (10, long), (11, "s" * 999), (12, "s" * 999), (13, None), (13, None)]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.warc_round_trip(pages, path=str(tmp_path / "w")).collect())
+    want = Counter()
+    for i, t in rows:
+        raw = (t or "").encode()
+        last = max((j for j, u in rows if (u or "") == (t or "") and j is not None), default=None)
+        again = len(raw) >= 1000 and last is not None and i != last
+        want[i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", last if again else None] += 1
+    assert got == want
+    text = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", text)
+    assert len(ids) == len(set(ids)) == len(rows)
+    assert {x for x in re.findall(rb"WARC-Refers-To: (\S+)", text)} <= set(ids)
+
+
 def test_warc_regions_and_damage(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", ("WARC/1.1\r\n" if i % 5 == 0 else "p") * (20 + i)) for i in range(200)], "page_id long, url string, html string")
     plan = warc.plan_records(pages).coalesce(1).sortWithinPartitions("page_id")

@@ -53,7 +53,7 @@ def by_hand(rows, items):
             kept.append((i, "\n".join(x for x, y in zip(t.split("\n"), lines(t), strict=True) if (s, y) not in common), lang, s))
     first = {i for i, _, c in components_by_hand(kept, 5, 80) if i == c}
     kept = [x for x in kept if x[0] in first]
-    norm = [(x, decontam.normal(x[1]).split()) for x in kept]
+    norm = [(x, decontam.words_of(x[1])) for x in kept]
     kept = [x for x, w in norm if not any(edits(t.split(), w) <= int(0.15 * len(t.split())) for _, t in items)]
     leaf = defaultdict(list)
     for i, t, lang, s in kept:

@@ -54,6 +54,16 @@ def test_sharding_by_hand(spark):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
+def test_slots_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 2)
+    docs = spark.createDataFrame([(i % 40 if i > 100 else 5, "same") for i in range(300)] + [(None, None)] * 20, "doc_id long, text string")
+    rows = sharding.shard_by_key(docs, weights=[1.0] * 3).collect()
+    assert len(rows) == 320
+    for s in range(3):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_sharding_edges(edge, none):
     rows = sharding.shard_by_key(edge).collect()
     assert len(rows) == len(EDGE) and sharding.shard_by_key(none).count() == 0
@@ -100,7 +110,7 @@ def test_leaks_against_brute_force(spark):
     want = {}
     for d, t in docs:
         for i, x in items:
-            k = edits(x.split(), decontam.normal(t).split())
+            k = edits(x.split(), decontam.words_of(t))
             if k <= int(len(x.split()) * 0.15):
                 want[d, i] = k
     assert {(f.doc_id, f.item_id): f.distance for f in found} == want and want
