@@ -6,40 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _average_rank(value: str, *keys: str) -> Column:
-    """Ranks from 1, ties averaged."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)
+def _average_rank(value: str, count: str, *keys: str) -> Column:
+    """Ranks from 1, ties averaged, of values that stand for `count` cells each."""
+    upto = F.sum(count).over(Window.partitionBy(*keys).orderBy(value))  # with the value's own cells
+    return upto - (F.sum(count).over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)
 
 
 def spearman_counts(pairs: DataFrame, rna: DataFrame, atac: DataFrame, threshold: float = 0.1, min_cells: int = 2) -> DataFrame:
     """(gene, peak, spearman_r), |r| > threshold, over the cells in which both are positive; constant ranks give none.
 
-    rna: cell_id, gene, value; atac: cell_id, peak, value. Ranks are within a pair, so they are made after the join; r is
-    rounded to 9 places before the threshold, that the last bit of a sum doesn't decide.
+    rna: cell_id, gene, value; atac: cell_id, peak, value. Pairs meet the peaks' counts first, which are the sparser side.
+    Ranks are within a pair, so they are made after the join, but not cell by cell: a pair's cells are counted by their two
+    values, with map-side sums, and what is ranked is the distinct values, a few for counts, however many cells there are.
+    r is rounded to 9 places before the threshold, that the last bit of a sum doesn't decide.
     """
-    x = rna.where("value > 0").select("cell_id", "gene", F.col("value").alias("x"))
-    y = atac.where("value > 0").select("cell_id", "peak", F.col("value").alias("y"))
-    both = x.join(pairs.select("gene", "peak"), "gene").join(y, ["cell_id", "peak"])
-    both = both.withColumn("rx", _average_rank("x", "gene", "peak")).withColumn("ry", _average_rank("y", "gene", "peak"))
-    r = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
-    out = both.groupBy("gene", "peak").agg(F.count("*").alias("n"), F.round(r, 9).alias("spearman_r"))
+    x = rna.where("value > 0").select("cell_id", "gene", F.col("value").cast("double").alias("x"))
+    y = atac.where("value > 0").select("cell_id", "peak", F.col("value").cast("double").alias("y"))
+    both = y.join(pairs.select("gene", "peak"), "peak").join(x, ["cell_id", "gene"])
+    both = both.groupBy("gene", "peak", "x", "y").agg(F.count("*").alias("c"))
+    both = both.withColumn("rx", _average_rank("x", "c", "gene", "peak")).withColumn("ry", _average_rank("y", "c", "gene", "peak"))
+    c, rx, ry = F.col("c"), F.col("rx"), F.col("ry")
+    sums = both.groupBy("gene", "peak").agg(F.sum(c).alias("n"), F.sum(c * rx).alias("sx"), F.sum(c * ry).alias("sy"), F.sum(c * rx * rx).alias("sxx"), F.sum(c * ry * ry).alias("syy"), F.sum(c * rx * ry).alias("sxy"))
+    spread = F.expr("(n * sxx - sx * sx) * (n * syy - sy * sy)")
+    r = F.try_divide(F.expr("n * sxy - sx * sy"), F.sqrt(F.greatest(F.lit(0.0), spread)))
+    out = sums.select("gene", "peak", "n", F.round(r, 9).alias("spearman_r"))
     return out.where((F.col("n") >= min_cells) & (F.abs("spearman_r") > threshold)).select("gene", "peak", "spearman_r")
 
 
 def spearman_binary(pairs: DataFrame, rna: DataFrame, atac: DataFrame, n_cells: int, threshold: float = 0.1, min_cells: int = 2) -> DataFrame:
     """The same over all cells where a peak is open (1) or not, without a dense matrix.
 
-    A gene's non-zero ranks are made once, its zeros share one rank; a peak has two ranks. So a pair needs no more than
-    the sum of the gene's ranks over the cells that have both.
+    A gene's ranks are made once, of its distinct values and how many cells have them; its zeros share one rank; a peak has
+    two ranks. So a pair needs no more than the sum of the gene's ranks over the cells that have both, and that is a sum
+    over values of how many such cells there are.
     """
     n = F.lit(float(n_cells))
-    g = rna.where("value > 0").select("cell_id", "gene", "value").withColumn("local", _average_rank("value", "gene"))
-    g = g.withColumn("n0", n - F.count("*").over(Window.partitionBy("gene"))).withColumn("r", F.col("n0") + F.col("local"))
-    per_gene = g.groupBy("gene").agg(F.first("n0").alias("n0"), F.sum(F.col("r") * F.col("r")).alias("sr2"))
+    x = rna.where("value > 0").select("cell_id", "gene", F.col("value").cast("double").alias("x"))
+    values = x.groupBy("gene", "x").agg(F.count("*").alias("c")).withColumn("local", _average_rank("x", "c", "gene"))
+    values = values.withColumn("n0", n - F.sum("c").over(Window.partitionBy("gene"))).withColumn("r", F.col("n0") + F.col("local"))
+    per_gene = values.groupBy("gene").agg(F.first("n0").alias("n0"), F.sum(F.col("c") * F.col("r") * F.col("r")).alias("sr2"))
     p = atac.where("value > 0").select("cell_id", "peak").distinct()
     per_peak = p.groupBy("peak").agg(F.count("*").cast("double").alias("n1"))
-    both = g.select("cell_id", "gene", "r").join(pairs.select("gene", "peak"), "gene").join(p, ["cell_id", "peak"])
-    both = both.groupBy("gene", "peak").agg(F.sum("r").alias("sr"), F.count("*").alias("nb"))
+    both = p.join(pairs.select("gene", "peak"), "peak").join(x, ["cell_id", "gene"]).groupBy("gene", "peak", "x").agg(F.count("*").alias("c"))
+    both = both.join(values.select("gene", "x", "r"), ["gene", "x"]).groupBy("gene", "peak").agg(F.sum(F.col("c") * F.col("r")).alias("sr"), F.sum("c").alias("nb"))
     rows = pairs.select("gene", "peak").join(per_gene, "gene").join(per_peak, "peak").join(both, ["gene", "peak"], "left")
     rows = rows.where(F.col("n1") >= min_cells).withColumn("z", (F.col("n0") + 1) / 2)
     rows = rows.withColumn("s1", F.coalesce("sr", F.lit(0.0)) + (F.col("n1") - F.coalesce("nb", F.lit(0))) * F.col("z"))

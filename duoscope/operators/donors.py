@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duoscope.functions.names import composite_key
+from duoscope.functions.tables import cut
 
 
 def donor_counts(rna: DataFrame, atac: DataFrame, donor: str = "donor_id") -> DataFrame:
@@ -87,7 +88,7 @@ def split_by_modality(rna: DataFrame, atac: DataFrame, key: str, method: str = "
     from duoscope.operators.filters import multiome
 
     r, a = multiome(rna, value, method), multiome(atac, value, method)
-    both = r.select(key).intersect(a.select(key)).cache()
+    both = cut(r.select(key).intersect(a.select(key)), "shared")
     n = min(r.count(), a.count())
     single = {"unpaired_rna": multiome(rna, value, method, other=True), "unpaired_atac": multiome(atac, value, method, other=True)}
     if n and 100.0 * both.count() / n < least:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duoscope.functions.tables import cut
 from duoscope.functions.vectors import distance
 
 
@@ -202,7 +203,7 @@ def wnn(rna: DataFrame, atac: DataFrame, k: int = 20, eps: float = 1e-4) -> Data
     candidates is ranked by the weighted affinities. The bandwidth is the distance to the k-th neighbour.
     """
     x = {m: d.select("id", F.col("vec").cast("array<double>").alias("vec")) for m, d in (("rna", rna), ("atac", atac))}
-    edges = {m: knn_blocked(d, k).persist() for m, d in x.items()}  # lists of k, read several times over
+    edges = {m: cut(knn_blocked(d, k), "lists") for m, d in x.items()}  # lists of k, read several times over
     near = {m: e.groupBy(F.col("src").alias("id")).agg(F.min("dist").alias("d1"), F.max("dist").alias("sigma")) for m, e in edges.items()}
 
     def affinity(d, d1, sigma):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duoscope.functions.names import standardize_peak
+from duoscope.functions.tables import cut
 from duoscope.operators import cluster, correlate, donors, embed, filters, harmony, hvg, intervals, motifs, neighbors, normalize, qc, sampling, triplets
 from duoscope.sources.readers import peak_sequences
 
@@ -29,12 +30,12 @@ def relate(
 ) -> Relations:
     """Overlaps, correlated pairs, motif hits, triplets, labels, peak table and model matrix.
 
-    The correlated pairs feed three branches and are persisted; only their peaks are scanned. Without motifs the triplets
+    The correlated pairs feed three branches and are written; only their peaks are scanned. Without motifs the triplets
     are a typed empty table, and every gene is a target.
     """
     spark = genes.sparkSession
     overlaps = intervals.peak_gene_overlaps(genes, peak_names, gene_set, upstream, downstream)
-    correlated = correlate.filter_by_correlation(overlaps, rna, atac, cells, threshold).persist()
+    correlated = cut(correlate.filter_by_correlation(overlaps, rna, atac, cells, threshold), "correlated")
     peaks = correlated.select("peak").distinct()
     if matches is None and motif_db is not None and pwm is not None and genome is not None:
         chosen = triplets.select_motifs(motif_db, gene_set).select(F.col("Accession").alias("motif_id"))
@@ -58,7 +59,7 @@ def subsample(rna: DataFrame, atac: DataFrame, cells: DataFrame, features: DataF
 
     rna, atac: cell_id, feature_id, value; cells: cell_id, cell_type; features: feature_id, feature_name.
     """
-    chosen = sampling.stratified(cells, "cell_type", "cell_id", n_per_type, seed).persist()
+    chosen = cut(sampling.stratified(cells, "cell_type", "cell_id", n_per_type, seed), "drawn")
     n = chosen.count()
     chr_only = filters.chr_features(features).select("feature_id")
     r, a = rna.join(chosen.select("cell_id"), "cell_id", "left_semi"), atac.join(chosen.select("cell_id"), "cell_id", "left_semi").join(chr_only, "feature_id", "left_semi")
@@ -83,7 +84,7 @@ def integrate_paired(rna: DataFrame, atac: DataFrame, n_hvgs: int = 2000, n_pcs:
 
     r, a = r.select(F.col("cell_id").alias("id"), l2_normalize(F.col("vec")).alias("vec")), a.select(F.col("cell_id").alias("id"), l2_normalize(F.col("vec")).alias("vec"))
     both = r.join(a.withColumnRenamed("vec", "w"), "id").select("id", joint(F.col("vec"), F.col("w"), n_pcs).alias("vec"))
-    w = neighbors.wnn(r.persist(), a.persist(), k).persist()
+    w = cut(neighbors.wnn(cut(r, "vectors"), cut(a, "vectors"), k), "neighbors")
     return {"embedding": both, "neighbors": w, "lists": neighbors.top_k(w, k)}
 
 
@@ -102,17 +103,19 @@ def integrate_unpaired(rna: DataFrame, atac: DataFrame, rna_cells: DataFrame, at
     good = usable.where("has_both").select("donor_id")
     rc, ac = rna_cells.join(good, "donor_id", "left_semi"), atac_cells.join(good, "donor_id", "left_semi")
     r, a = rna.join(rc.select("cell_id"), "cell_id", "left_semi"), atac.join(ac.select("cell_id"), "cell_id", "left_semi")
-    activity = intervals.gene_activity(a, intervals.body_overlaps(genes, a.select("peak").distinct())).persist()
+    activity = intervals.gene_activity(a, intervals.body_overlaps(genes, a.select("peak").distinct()))
+    activity = cut(activity, "activity")
     r = r.withColumnRenamed("gene", "feature_id")
     drawn = sampling.per_donor(rc, "donor_id", "cell_id").select("cell_id")
     top = hvg.select_variable(r.join(drawn, "cell_id", "left_semi"), drawn.count(), n_hvgs).select("feature_id")
-    shared = top.intersect(activity.select(F.col("gene").alias("feature_id")).distinct()).cache()
+    shared = cut(top.intersect(activity.select(F.col("gene").alias("feature_id")).distinct()), "shared")
     if (n := shared.count()) < least_shared:
         raise ValueError(f"{n} shared genes; {least_shared} are wanted")
     tag = lambda d, m: d.select(F.concat(F.lit(f"{m}:"), F.col("cell_id").cast("string")).alias("cell_id"), "feature_id", "value")
     both = [normalize.log1p(normalize.total(d.join(shared, "feature_id", "left_semi"))) for d in (tag(r, "rna"), tag(activity.withColumnRenamed("gene", "feature_id"), "atac"))]
     e, _ = embed.svd(both[0].union(both[1]), n_pcs)
-    e = e.select("cell_id", F.element_at(F.split("cell_id", ":"), 1).alias("batch"), F.slice("vec", 1, dims).alias("vec")).persist()  # each iteration reads it
+    e = e.select("cell_id", F.element_at(F.split("cell_id", ":"), 1).alias("batch"), F.slice("vec", 1, dims).alias("vec"))
+    e = cut(e, "embedding")  # each iteration reads it
     h = harmony.harmony(e, lam=lam).withColumn("m", F.element_at(F.split("cell_id", ":"), 1)).withColumn("cell", F.regexp_replace("cell_id", "^[a-z]+:", ""))
     side = lambda m, c: h.where(F.col("m") == m).join(c.select(F.col("cell_id").cast("string").alias("cell"), "donor_id", "cell_type"), "cell").select(F.col("cell").alias("cell_id"), "donor_id", "cell_type", "vec")
     pairs = neighbors.cross_modal(side("rna", rc), side("atac", ac))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duoscope.functions.names import gtf_attribute, split_tfs
+from duoscope.functions.tables import cut
 from duoscope.operators import correlate, intervals, motifs, triplets, validate
 from duoscope.plans import phases
 from duoscope.queries.registry import Context, query
@@ -159,7 +160,8 @@ select s.planted, m."check", coalesce(n, 0) = 0 as passed from sets s cross join
 
 @query(_RESULTS)
 def validate_results(c: Context) -> DataFrame:
-    corr, trip = correlated(c).persist(), found(c)
+    corr = cut(correlated(c), "correlated")
+    trip = triplets.assemble(corr, tf_peak(c))
     labels = triplets.label_genes(trip, gene_set(c)).select("gene", "type")
     info = triplets.peak_info(corr.withColumn("pair_ix", F.col("gene"))).select("peak")
     clean = validate.check_results(corr, trip, labels, info).withColumn("planted", F.lit(False))
@@ -179,7 +181,7 @@ select s.planted, k."check", case k."check" when 'noise present' then not s.plan
 from (select unnest([false, true]) as planted) s cross join (select unnest(['matrix width', 'a row for each cell', 'no row but for a cell', 'noise present', 'counts present']) as "check") k cross join hi""")
 def validate_matrix(c: Context) -> DataFrame:
     """The model's matrix with noise, and without it, a cell and a column of some cells."""
-    corr = correlated(c).persist()
+    corr = cut(correlated(c), "correlated")
     peaks = corr.select("peak").distinct()
     good = triplets.peak_vectors(triplets.peak_matrix(c.cells, peaks, c.atac_p, 1e-5))
     bad = triplets.peak_vectors(triplets.peak_matrix(c.cells.where("cell_id <> 2"), peaks, c.atac_p))
