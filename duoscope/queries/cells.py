@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duoscope.functions.vectors import doubles, joint, l2_normalize
-from duoscope.operators import cluster, donors, embed, harmony, hvg, neighbors, normalize, sampling, validate
+from duoscope.operators import cluster, donors, embed, harmony, hvg, layout, neighbors, normalize, sampling, validate
 from duoscope.plans import phases
 from duoscope.queries.registry import Context, query
 
@@ -386,6 +386,11 @@ def emb_lsi(c: Context) -> DataFrame:
     return embed.lsi(normalize.tfidf(c.atac, c.cells.count()), 10, drop_first=True)
 
 
+@query(None)
+def emb_umap(c: Context) -> DataFrame:
+    return layout.umap(_vectors(c), 15)
+
+
 @query(None)
 def emb_harmony(c: Context) -> DataFrame:
     v = c.vectors.select(F.col("vec_id").alias("cell_id"), F.when(F.col("is_rna"), "rna").otherwise("atac").alias("batch"), F.slice(doubles(F.col("embedding")), 1, 20).alias("vec"))

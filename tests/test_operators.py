@@ -473,3 +473,48 @@ def test_variable_features_against_another_fit():
         coef = np.polynomial.polynomial.polyfit(x - c, y, 2, w=np.sqrt(w + 1e-300))
         want.append(coef[0])
     assert np.abs(hvg.loess(x, y, 0.3) - want).max() < 0.03
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from duoscope.__main__ import main
+
+    r = np.random.RandomState(3)
+    features = [(f"g{j}", f"g{j}") for j in range(20)] + [(f"chr1:{1000 * j}-{1000 * j + 500}",) * 2 for j in range(1, 21)]
+    counts = [("rna" if f[0].startswith("g") else "atac", i, f[0], float(v)) for i in range(40) for f in features if (v := r.poisson(1.5))]
+    cells = spark.createDataFrame([(i, f"t{i % 4}", f"d{i % 3}") for i in range(40)], "cell_id long, cell_type string, donor_id string")
+    data = {"counts": spark.createDataFrame(counts, "modality string, cell_id long, feature_id string, value double"), "cells": cells, "features": spark.createDataFrame(features, "feature_id string, feature_name string")}
+    sinks.write_dataset(data, str(tmp_path / "d"), {"counts": ["modality"]})
+    main(["select", str(tmp_path / "d"), str(tmp_path / "hvg"), "--n", "5"], spark)
+    assert spark.read.text(str(tmp_path / "hvg")).count() == 5
+    main(["subsample", str(tmp_path / "d"), str(tmp_path / "s"), "--per-type", "3", "--genes", "6", "--peaks", "7"], spark)
+    s = readers.read_dataset(spark, str(tmp_path / "s"))
+    assert s["cells"].count() == 12 and s["counts"].groupBy("modality").agg(F.countDistinct("feature_id")).count() == 2
+    (tmp_path / "a.gtf").write_text("".join(f'chr1\tx\tgene\t{1000 * j}\t{1000 * j + 900}\t.\t+\t.\tgene_name "g{j}"; gene_id "G{j}";\n' for j in range(20)))
+    main(["relate", str(tmp_path / "d"), str(tmp_path / "a.gtf"), str(tmp_path / "out")], spark)
+    pairs = spark.read.csv(str(tmp_path / "out/peak_gene_pairs.csv"), header=True)
+    assert pairs.count() and spark.read.parquet(str(tmp_path / "out/peak_matrix")).count() == 40
+    main(["report", str(tmp_path / "d")], spark)
+    assert "cell_type" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("landmarks", [1000, 120])
+def test_layout_keeps_neighbours_together(spark, landmarks):
+    from duoscope.operators import layout
+
+    r = np.random.RandomState(1)
+    centers = 8 * r.randn(4, 10)
+    x = centers[np.arange(300) % 4] + r.randn(300, 10)
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)], "id long, vec array<double>")
+    got = {p["id"]: (p["x"], p["y"]) for p in layout.umap(v, 10, landmarks=landmarks).collect()}
+    y = np.array([got[i] for i in range(300)])
+    d = ((y[:, None] - y[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1)[:, :10]
+    assert np.isfinite(y).all() and (near % 4 == (np.arange(300) % 4)[:, None]).mean() > 0.97
+    if landmarks == 1000:
+        true = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+        np.fill_diagonal(true, np.inf)
+        best = np.argsort(true, axis=1)[:, :10]
+        assert np.mean([len(set(a) & set(b)) for a, b in zip(near, best, strict=True)]) > 3.0
+        w = layout.memberships(neighbors.knn_blocked(v, 10).select("src", "dst", "dist")).groupBy("src").agg(F.sum("weight").alias("s")).collect()
+        assert all(abs(z["s"] - math.log2(10)) < 0.01 for z in w)
