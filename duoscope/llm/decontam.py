@@ -19,9 +19,11 @@ _UNSPACED = re.compile("([\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u
 
 _WORDS = re.compile(r"[^\W_]+")
 _MIX, _SEPARATE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: ASCII texts as words_of() would have them: letters lower-cased, digits, and spaces for all else.
+_ASCII = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 #: Words of texts that are looked at together, about, and what stands between two texts.
 _TOGETHER = 1 << 18
-_GAP = np.uint64(0)
+_GAP = 0
 
 
 def words_of(text: str | None) -> list[str]:
@@ -35,12 +37,18 @@ def words_of(text: str | None) -> list[str]:
 class Hashes(dict):
     """64-bit hashes of words, the latest of them remembered."""
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+    def __missing__(self, word: str | bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass")) or 1
         if len(self) < 500_000:
             self[word] = h
         return h
 
+    def of(self, text: str | None) -> list[int]:
+        """Those of words_of(text)."""
+        words = text.encode().translate(_ASCII).split() if text and text.isascii() else words_of(text)
+        out = [*map(self.get, words)]
+        return [self[w] if h is None else h for w, h in zip(words, out, strict=True)] if None in out else out
+
 
 def runs(words: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
     """(length, hash of the run of that length that begins at each place), for ascending lengths."""
@@ -136,7 +144,7 @@ class Matcher:
         some: list[list[int]] = []
         size = 0
         for t in texts:
-            some.append([hashes[w] for w in words_of(t)] if self.ids else [])
+            some.append(hashes.of(t) if self.ids else [])
             size += len(some[-1])
             if size > _TOGETHER:
                 out += self._match_words(some)
@@ -145,10 +153,8 @@ class Matcher:
 
     def _match_words(self, texts: list[list[int]]) -> list[list[tuple[int, int, int]]]:
         ends = np.cumsum([len(t) + 1 for t in texts])
-        words = np.full(int(ends[-1]) if len(ends) else 0, _GAP)
         starts = ends - [len(t) + 1 for t in texts]
-        for t, at in zip(texts, starts, strict=True):
-            words[at : at + len(t)] = t
+        words = np.array([w for t in texts for w in (*t, _GAP)], np.uint64)
         begins: dict[tuple[int, int], list[int]] = {}
         for n, h in runs(words, sorted(self.pieces)):
             known, places, table, shift = self.pieces[n]

@@ -92,6 +92,15 @@ def test_myers_against_dynamic_programming():
     assert decontam.myers(["a"] * 70, ["a"] * 69)[0] == 1
 
 
+def test_hashes_of_words():
+    r, hashes = random.Random(6), decontam.Hashes()
+    for _ in range(300):
+        text = "".join(r.choices("aZ09 _-\n\t.,éß漢字Ⅷ²\x00\x7f", k=r.randint(0, 60))).replace("é" if r.random() < 0.5 else "a", "x")
+        text = "".join(c for c in text if ord(c) < 128) if r.random() < 0.4 else text
+        assert hashes.of(text) == [hashes[w] for w in decontam.words_of(text)]
+    assert hashes.of(None) == hashes.of("") == []
+
+
 def test_leaks_against_brute_force(spark):
     r = random.Random(5)
     words = [f"w{i}" for i in range(40)]
