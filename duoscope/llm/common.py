@@ -43,13 +43,26 @@ def cut(df: DataFrame, name: str = "step", small: bool = False) -> DataFrame:
     if small:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/duoscope-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _arrow_rows(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     _written[path] = spark
     return out
 
 
+@contextlib.contextmanager
+def _arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Smaller Arrow batches while a table is written, as workers hold several forms of a batch at once; then as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def release(*tables: DataFrame | str | None) -> None:
     """Removes tables of cut(), or folders by path, that nothing reads any more: what stood on them has been written."""
     for t in tables:

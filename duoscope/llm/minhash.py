@@ -14,9 +14,8 @@ How links are found without all pairs of a bucket:
    change nothing.
 4. The classes of the other buckets go through an exact prefix filter: two sets with a Jaccard similarity of t or more
    share one of the |s| - ceil(t |s|) + 1 shingles that are rarest among these classes, at places early enough to leave
-   room for the overlap. There a few hubs of a key are compared with the classes of other components, in a few rounds;
-   then each class outside a key's largest component with all those of other components, until no key holds an untested
-   pair. So no bucket is capped, and no pair that shares a bucket is lost.
+   room for the overlap. There each class outside a key's largest component is compared with the classes of other
+   components, until no key holds an untested pair; the rarest shingles of both sets turn most pairs away at once. So no bucket is capped, and no pair that shares a bucket is lost.
    Only classes of about the same size meet, and a key that many classes share is dealt to many tasks.
 """
 
@@ -139,8 +138,15 @@ def _confirm(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return ends.join(left, "hub").join(right, "other").select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
 
 
-def _prefixes(sets: DataFrame, per_cent: int) -> DataFrame:
-    """(key, node, n, pos) for the rarest |s| - ceil(t |s|) + 1 shingles of each set; rare as counted over these sets."""
+#: So many of a set's rarest shingles are looked at before a pair of sets is.
+_HEAD = 128
+
+
+def _prefixes(sets: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node, n, pos) for the rarest |s| - ceil(t |s|) + 1 shingles of each set; rare as counted over these sets.
+
+    And (node, head): those of the set's _HEAD rarest shingles that another set has, in order of rarity.
+    """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -152,17 +158,27 @@ def _prefixes(sets: DataFrame, per_cent: int) -> DataFrame:
     # keys of one set only join nothing; they still fill the prefix, so their number is counted
     shared = each.join(df, "key")
     w = Window.partitionBy("node").orderBy("df", "key")
-    alone = shared.groupBy("node").agg(F.count("*").alias("shared"))
-    ranked = shared.withColumn("r", F.row_number().over(w)).join(alone, "node").withColumn("pos", F.expr("r + n - shared"))
-    return ranked.where(f"pos <= n - ceil(n * {per_cent} / 100) + 1").select("key", "node", "n", "pos")
-
-
-def _candidates(here: DataFrame, per_cent: int, task_pairs: int = 1 << 20) -> DataFrame:
-    """(a, b): the classes outside the largest component of a key with those of its other components, untested or not.
-
-    here: key, node, n, pos, comp. Two sets that are similar enough differ in size by a factor of 100 / per_cent at most,
-    so bands of that width meet their own kind and their neighbours. Where a key's meetings are more than task_pairs, the
-    one side is dealt over as many salts as that takes, and the other side, which is the smaller one, goes to each.
+    ranked = shared.withColumn("r", F.row_number().over(w)).withColumn("shared", F.count("*").over(Window.partitionBy("node"))).withColumn("pos", F.expr("r + n - shared"))
+    first = ranked.where(f"pos <= greatest({_HEAD}, n - ceil(n * {per_cent} / 100) + 1)").select("key", "node", "n", "pos")
+    first = cut(first, "prefixes")
+    head = first.where(f"pos <= {_HEAD}").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("head"))
+    keys = cut(first.where(f"pos <= n - ceil(n * {per_cent} / 100) + 1"), "keys")
+    heads = cut(head, "heads")
+    release(first)
+    return keys, heads
+
+
+def _candidates(here: DataFrame, heads: DataFrame, per_cent: int, task_pairs: int = 1 << 20) -> DataFrame:
+    """(a, b, hub): the classes outside the largest component of a key (hubs) with those of its other components.
+
+    here: key, node, n, pos, comp; heads: node, head. Only pairs that can be similar enough come out, each at its rarest common shingle:
+    - two such sets differ in size by a factor of 100 / per_cent at most, so bands of that width meet their own kind and
+      their neighbours;
+    - what follows the places of the shared key must leave room for the overlap;
+    - so must the two heads: a common shingle is in both, or behind the end of one of them.
+    The last one turns away the many pairs of a group of copies that lie just beyond the bound, before anything of them is
+    written or shuffled. Where a key's meetings are more than task_pairs, the one side is dealt over as many salts as that
+    takes, and the other side, which is the smaller one, goes to each.
     """
     by_comp = here.groupBy("key", "comp").agg(F.count("*").alias("c"))
     most = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("c").alias("all")).where("comps > 1")
@@ -170,39 +186,17 @@ def _candidates(here: DataFrame, per_cent: int, task_pairs: int = 1 << 20) -> Da
     most = most.select("key", F.col("top.comp").alias("most"), F.ceil(meetings / task_pairs).cast("int").alias("salts"))
     width = 1.001 * math.log(100 / per_cent) if per_cent < 100 else 1.0
     here = here.join(most, "key").withColumn("band", F.floor(F.ln("n") / width).cast("int"))
-    few = here.where("comp <> most").select("key", "band", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    here = here.join(heads, "node", "left").withColumn("head", F.coalesce("head", F.array().cast("array<long>")))
+    few = here.where("comp <> most").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    few = few.select("key", "band", "salt", F.col("node").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("n", "pos", "comp", "head")))
     many = here.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    many = many.select("key", "node", "n", "pos", "comp", "salt", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"))
-    return _unordered(many.join(few, ["key", "band", "salt"]).where("comp <> hub_comp").where(_may_be_near(per_cent)))
-
-
-def _stars(here: DataFrame, links: DataFrame, per_cent: int, seed: int) -> DataFrame:
-    """(a, b, hub): in every key, a few hubs with the classes of other components, so rows in proportion to the keys'.
-
-    The hubs are of the largest component the class with the most links, which tends to be the middle of a group of near
-    copies, and one by a hash of the round; and one of the other components. Each stands for many meetings: what they
-    leave unlinked is little.
-    """
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    by_comp = here.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    most = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("most"))
-    here = here.join(most, "key").join(degree, "node", "left")
-    one = F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
-    order = F.xxhash64("node", F.lit(seed))
-    inside = F.col("comp") == F.col("most")
-    hubs = here.groupBy("key").agg(
-        F.max_by(F.when(inside, one), F.when(inside, F.struct(F.coalesce("degree", F.lit(0)), order))).alias("h0"),
-        F.max_by(F.when(inside, one), F.when(inside, order)).alias("h1"), F.max_by(F.when(~inside, one), F.when(~inside, order)).alias("h2"),
-    )
-    hubs = hubs.select("key", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("h")).select("key", "h.*")
-    return _unordered(here.join(hubs, "key").where("comp <> hub_comp").where(_may_be_near(per_cent)))
-
-
-def _may_be_near(per_cent: int) -> Column:
-    """By their sizes, and by what is left after the places of the shared key, two sets can be similar enough."""
+    many = many.select("key", "node", "n", "pos", "comp", "head", "salt", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"))
+    enough = lambda overlap: F.expr(f"{100 + per_cent} * ({overlap}) >= {per_cent} * (n + hub_n)")
     fits = F.expr(f"100 * least(n, hub_n) >= {per_cent} * greatest(n, hub_n)")
-    room = F.expr(f"{100 + per_cent} * (1 + least(n - pos, hub_n - hub_pos)) >= {per_cent} * (n + hub_n)")
-    return fits & room
+    near = fits & enough("1 + least(n - pos, hub_n - hub_pos)") & enough(f"size(array_intersect(head, hub_head)) + greatest(n - {_HEAD}, hub_n - {_HEAD}, 0)")
+    rarest = F.expr("coalesce(get(array_intersect(head, hub_head), 0), key) = key")
+    pairs = many.join(few, ["key", "band", "salt"]).where((F.col("comp") != F.col("hub_comp")) & near & rarest)
+    return _unordered(pairs)
 
 
 def _unordered(pairs: DataFrame) -> DataFrame:
@@ -211,7 +205,7 @@ def _unordered(pairs: DataFrame) -> DataFrame:
 
 
 def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, per_cent: int = 80, halves: int = 9, rows: int = 2, seed: int = 7, star_rounds: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, per_cent: int = 80, halves: int = 9, rows: int = 2, seed: int = 7
 ) -> DataFrame:
     """Near-duplicate classes of texts: (id, n_shingles, component_id, kept), a row per input row.
 
@@ -249,24 +243,19 @@ def near_classes(
     here = placed(members.select("key", "node"))
     unsettled = here.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     rest = cut(here.join(unsettled, "key", "left_semi").select("node").distinct(), small=True)
-    keys = None if rest.isEmpty() else cut(_prefixes(sets.join(rest, "node", "left_semi"), per_cent))
+    keys, heads = (None, None) if rest.isEmpty() else _prefixes(sets.join(rest, "node", "left_semi"), per_cent)
     release(members)
-    round_ = 0
     while keys is not None:
-        stars_only = round_ < star_rounds  # then all meetings of what is left
-        found = _stars(placed(keys), links, per_cent, seed + round_) if stars_only else _candidates(placed(keys), per_cent)
-        round_ += 1
-        pairs = cut(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = None if pairs.isEmpty() else cut(_confirm(pairs, sets, per_cent), "links")
-        if more is None or more.isEmpty():
-            if not stars_only:
-                break
-            round_, tested = star_rounds, tested if more is None else tested.union(pairs)
-            continue
+        pairs = cut(_candidates(placed(keys), heads, per_cent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        more = cut(_confirm(pairs, sets, per_cent), "links")
+        if more.isEmpty():
+            break
         links, tested = links.union(more), tested.union(pairs)
         last, comp = comp, cut(components(links), small=True)
         release(last)
-    release(keys, sets, rest)
+    release(keys, heads, sets, rest)
 
     # classes -> the smallest id of their component
     least = placed(classes.select("node", "s1", "s2", "rep"))

@@ -75,6 +75,23 @@ def test_near_classes_against_all_pairs(spark):
     assert found == set(components_by_hand(rows, 4, 80))
 
 
+@pytest.mark.parametrize("k,length", [(5, 150), (4, 60), (5, 700)])
+def test_near_classes_of_copies_about_the_bound(spark, k, length):
+    """Copies of one text with so many words changed that pairs lie on either side of the bound, and no unchanged one."""
+    r = random.Random(length)
+    words = [f"w{i}" for i in range(400)]
+    base = r.choices(words, k=length)
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(r.randint(1, max(2, length // 35))):
+            copy[r.randrange(length)] = r.choice(words)
+        rows.append((i, " ".join(copy), "en", "s"))
+    found = {(x.id, x.n_shingles, x.component_id) for x in minhash.near_classes(frame(spark, rows), k=k).collect()}
+    want = set(components_by_hand(rows, k, 80))
+    assert found == want and len({c for *_, c in want}) > 5
+
+
 def test_near_classes_edges(edge):
     rows = minhash.near_classes(edge).collect()
     got = sorted(((r.id, r.n_shingles, r.component_id, r.kept) for r in rows), key=str)
