@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ _UNSPACED = re.compile("([\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u
 
 _WORDS = re.compile(r"[^\W_]+")
 _MIX, _SEPARATE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: ASCII texts as words_of() would have them: letters lower-cased, digits, and spaces for all else.
-_ASCII = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+#: UTF-8 without other signs than ASCII's as words_of() would have it: letters lower-cased, digits, and spaces for all else.
+_PLAIN = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
 #: Words of texts that are looked at together, about, and what stands between two texts.
 _TOGETHER = 1 << 18
 _GAP = 0
@@ -45,7 +46,11 @@ class Hashes(dict):
 
     def of(self, text: str | None) -> list[int]:
         """Those of words_of(text)."""
-        words = text.encode().translate(_ASCII).split() if text and text.isascii() else words_of(text)
+        if text and not text.isascii():
+            text = text.lower()
+        # signs and letters of unspaced scripts want the slower way
+        plain = text and (text.isascii() or not any(c > "\x7f" and (not c.isalnum() or _UNSPACED.match(c)) for c in set(text)))
+        words = text.encode("utf-8", "surrogatepass").translate(_PLAIN).split() if plain else words_of(text)
         out = [*map(self.get, words)]
         return [self[w] if h is None else h for w, h in zip(words, out, strict=True)] if None in out else out
 
@@ -154,7 +159,7 @@ class Matcher:
     def _match_words(self, texts: list[list[int]]) -> list[list[tuple[int, int, int]]]:
         ends = np.cumsum([len(t) + 1 for t in texts])
         starts = ends - [len(t) + 1 for t in texts]
-        words = np.array([w for t in texts for w in (*t, _GAP)], np.uint64)
+        words = np.fromiter(chain.from_iterable((*t, _GAP) for t in texts), np.uint64, int(ends[-1]) if len(ends) else 0)
         begins: dict[tuple[int, int], list[int]] = {}
         for n, h in runs(words, sorted(self.pieces)):
             known, places, table, shift = self.pieces[n]
