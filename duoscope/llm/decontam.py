@@ -136,6 +136,13 @@ class Matcher:
             table[known >> shift] = True
             self.pieces[n] = (known, np.array([x[1:] for x in places], np.int64), table, shift)
 
+    @classmethod
+    def sent(cls, arrays: dict) -> Matcher:
+        """The matcher again from vars() of one: what is broadcast is plain, as the package needn't be on the executors."""
+        out = cls.__new__(cls)
+        out.__dict__ = arrays
+        return out
+
     def match(self, text: str | None) -> list[tuple[int, int, int]]:
         return self.match_all([text], Hashes())[0]
 
@@ -227,7 +234,7 @@ def leaks(
     hits = StructType.fromDDL(f"item_id array<{item_kind}>, distance array<int>, end_word array<long>")
     out = None
     for items in _blocks(bench, item_col, item_text_col, block_bytes):
-        found = _found(docs.sparkSession.sparkContext.broadcast(Matcher(items, error_rate)), hits)
+        found = _found(docs.sparkSession.sparkContext.broadcast(vars(Matcher(items, error_rate))), hits)
         part = docs.select(F.col(id_col).alias("doc_id"), found(F.col(text_col)).alias("m"))
         part = part.select("doc_id", F.explode(F.arrays_zip("m.item_id", "m.distance", "m.end_word")).alias("x")).select("doc_id", "x.*")
         out = part if out is None else out.union(part)
@@ -241,16 +248,16 @@ def without_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     table stays empty. One scan of docs.
     """
     for items in _blocks(bench, item_col, item_text_col, block_bytes):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(Matcher(items, error_rate)))(F.col(text_col)))
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(vars(Matcher(items, error_rate))))(F.col(text_col)))
     return docs
 
 
 def _found(sent: Broadcast, hits: StructType) -> Callable[[Column], Column]:
     @F.pandas_udf(hits)
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
+        matcher, hashes = Matcher.sent(sent.value), Hashes()
         for s in texts:
-            rows = [[[h[i] for h in m] for i in range(3)] for m in sent.value.match_all(s, hashes)]
+            rows = [[[h[i] for h in m] for i in range(3)] for m in matcher.match_all(s, hashes)]
             yield pd.DataFrame(rows, columns=hits.names, dtype=object)
 
     return found
@@ -259,8 +266,8 @@ def _found(sent: Broadcast, hits: StructType) -> Callable[[Column], Column]:
 def _clean(sent: Broadcast) -> Callable[[Column], Column]:
     @F.pandas_udf("boolean")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = Hashes()
+        matcher, hashes = Matcher.sent(sent.value), Hashes()
         for s in texts:
-            yield pd.Series([not m for m in sent.value.match_all(s, hashes)], dtype=bool)
+            yield pd.Series([not m for m in matcher.match_all(s, hashes)], dtype=bool)
 
     return clean

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import re._parser as parser
@@ -125,6 +126,13 @@ def test_leaks_against_brute_force(spark):
     assert {(f.doc_id, f.item_id): f.distance for f in found} == want and want
 
 
+def test_what_is_broadcast_needs_no_package():
+    m = decontam.Matcher([(1, "a text of some words and more"), (2, "other")], 0.15)
+    raw = pickle.dumps(vars(m))
+    assert b"duoscope" not in raw
+    assert decontam.Matcher.sent(pickle.loads(raw)).match("see: a text of some words, and more") == [(1, 0, 8)]
+
+
 def test_leaks_edges(spark, edge, none):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "Too short!"), (4, "long long long long long long"), (5, "no ID")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(edge, bench).collect()} == {(4, 4), (None, 5)}
