@@ -92,6 +92,16 @@ def _remove_all() -> None:
         _remove(spark, path)
 
 
+def quoted(name: str) -> str:
+    """The name of a column as it may stand in an expression, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, under their names, which may hold dots and back-ticks."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in df.columns))
+
+
 def text_key(*cols: Column) -> list[Column]:
     """96 bits that stand for the values of the columns; null differs from the empty string."""
     marked = [x for c in cols for x in (c.isNull(), c)]

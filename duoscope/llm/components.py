@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duoscope.llm.common import cut, release
@@ -16,7 +16,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Self-loops and repeated edges are allowed; an empty table gives an empty table. Nodes without an edge are absent.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges", small=True)
-    own = Window.partitionBy("u")
     before = None
     for _ in range(max_rounds):
         # large star: the larger neighbours of u are linked to the smallest of u and its neighbours. A hub has many:
@@ -24,8 +23,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small star: u and its smaller neighbours, which are few by now, are linked to the smallest of them
-        near = large.withColumn("m", F.min("v").over(own))
+        # small star: u and its smaller neighbours are linked to the smallest of them, found in the same way, so that
+        # equal edges of a round (a last hub has as many as its bucket has classes) meet in no one task
+        near = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
         last, e = e, cut(small.where("u <> v").distinct(), "edges", small=True)
         release(last)

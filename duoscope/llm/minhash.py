@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import cut, map_texts, release
+from duoscope.llm.common import cut, map_texts, quoted, release, whole_row
 from duoscope.llm.components import components
 
 _PRIME_MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -257,21 +257,30 @@ def near_classes(
         release(last)
     release(keys, heads, sets, rest)
 
-    # classes -> the smallest id of their component
-    least = placed(classes.select("node", "s1", "s2", "rep"))
+    out = in_classes(sig, classes, comp)
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+
+def in_classes(sig: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(id, n_shingles, component_id): the rows of sig with the smallest id of the component that their class is in.
+
+    sig: id, n_shingles, s1, s2; classes: node, s1, s2, rep (the smallest id); comp: node, comp (others are alone). Both are
+    cut() tables, and go. Rows of one id with different texts tie their components.
+    """
+    named = sig.where("n_shingles > 0 and id is not null")
+    least = classes.select("node", "s1", "s2", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = least.join(least.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("s1", "s2", "component_id")
     least = cut(least, "least")
     release(classes, comp)
     ids = named.select("id", "s1", "s2").join(least, ["s1", "s2"])
     twice = cut(ids.groupBy("id").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y"), small=True)
-    if not twice.isEmpty():  # rows of one id with different texts tie their components
+    if not twice.isEmpty():
         tie = components(ids.join(twice, "id", "left_semi").select(F.col("id").alias("a"), F.col("component_id").alias("b")))
         tie = cut(tie.select(F.col("node").alias("component_id"), F.col("comp").alias("tied")))
         least = least.join(tie, "component_id", "left").select("s1", "s2", F.coalesce("tied", "component_id").alias("component_id"))
     in_class = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
     found = sig.select("id", "n_shingles", F.when(in_class, F.col("s1")).alias("s1"), "s2").join(least, ["s1", "s2"], "left")
-    found = found.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    return found.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -282,12 +291,12 @@ def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     kept = near_classes(docs, id_col, text_col, **how)
     kept = cut(kept.where("kept and id is not null").groupBy("id").agg(F.max("n_shingles").alias("n")), "kept")
-    row = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("__id"))
+    row = docs.select(whole_row(docs).alias("__row"), F.col(id_col).cast("long").alias("__id"))
     nameless = row.where("__id is null").select("__row")
     row = row.join(kept.select(F.col("id").alias("__id"), "n"), "__id")
     twice = cut(row.groupBy("__id").agg(F.count("*").alias("c")).where("c > 1").select("__id"), "twice")
     once = row.join(twice, "__id", "left_anti").select("__row")
-    pick = row.join(twice, "__id", "left_semi").where("n > 0").groupBy("__id").agg(F.min(F.struct(F.col(f"__row.`{text_col}`").alias("t"), "__row")).alias("p"))
+    pick = row.join(twice, "__id", "left_semi").where("n > 0").groupBy("__id").agg(F.min(F.struct(F.col(f"__row.{quoted(text_col)}").alias("t"), "__row")).alias("p"))
     blank = row.join(twice, "__id", "left_semi").where("n = 0").select("__row")
     return once.union(pick.select("p.__row")).union(blank).union(nameless).select("__row.*")
 

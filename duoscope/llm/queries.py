@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from duoscope.llm.common import table
 from duoscope.llm.decontam import leaks
+from duoscope.llm.hard_negatives import NEGATIVES_SQL, hard_negatives, integer_vectors, with_planted_labels
+from duoscope.llm.infill import INFILL_SQL, infill_report
 from duoscope.llm.licenses import license_scan
 from duoscope.llm.line_dedup import line_report
 from duoscope.llm.minhash import NEAR_SQL, near_classes
 from duoscope.llm.mixing import MIX_SQL, WEIGHTS, mix
+from duoscope.llm.ngram_join import NGRAM_SQL, linked_classes
 from duoscope.llm.quality import QUALITY_SQL, quality_rules
 from duoscope.llm.secret_scan import secret_scan
 from duoscope.llm.sharding import shard_by_key
@@ -59,6 +62,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_classes(table(spark, sf_dir, "documents"), k=3, per_cent=90).withColumnRenamed("id", "doc_id")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill_report(table(spark, sf_dir, "documents"), seed=42, infill_per_cent=50, spm_per_cent=80)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = with_planted_labels(table(spark, sf_dir, "embeddings"), every=7, labels=10)
+    vectors = integer_vectors(labelled, "vec_id", "label", "embedding", scale=256)
+    return hard_negatives(vectors, every=50, n_positives=5, n_negatives=3, least=50, most=95)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +89,9 @@ QUERIES = {
         op8_quality_rules,
         op9_license_scan,
         op10_secret_scan,
+        op11_ngram_join,
+        op12_infill,
+        op13_hard_negatives,
     )
 }
 
@@ -80,4 +100,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash_dedup": NEAR_SQL,
     "op7_warc": WARC_SQL,
     "op8_quality_rules": QUALITY_SQL,
+    "op11_ngram_join": NGRAM_SQL,
+    "op12_infill": INFILL_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
 }
