@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import cut, release
+from duoscope.llm.common import cut, quoted, release, whole_row
 
 _DOC = ["doc_id", "k1"]
 _SPACES = " \t\r\x0b\x0c"
@@ -173,8 +173,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     stay = kept_lines(docs, id_col, text_col, units)
     kept = stay.groupBy(F.col("doc_id").alias("__d"), F.col("k1").alias("__k")).agg(F.collect_list("pos").alias("__kept"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), _text_key(F.col(text_col)).alias("__k1"))
+    rows = docs.select(whole_row(docs).alias("__row"), F.col(id_col).alias("__id"), _text_key(F.col(text_col)).alias("__k1"))
     rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__k1") == F.col("__k")), "left")
-    text = F.col(f"__row.`{text_col}`")
+    text = F.col(f"__row.{quoted(text_col)}")
     stays = F.filter(F.split(text, "\n"), lambda x, i: (F.trim(x, F.lit(_SPACES)) == "") | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
-    return rows.select(*[F.array_join(stays, "\n").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    return rows.select(*[F.array_join(stays, "\n").alias(c) if c == text_col else F.col(f"__row.{quoted(c)}").alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import WORD_RE, cut
+from duoscope.llm.common import WORD_RE, cut, quoted, whole_row
 
 LEVELS = ("domain", "lang", "source")
 
@@ -104,12 +104,12 @@ def mix(
     ends = cut(ends.groupBy(*path).agg(F.min(F.struct("__sub", (F.col("upto") - F.col("n")).alias("off"))).alias("e")).select(*path, F.col("e.__sub").alias("__end"), F.col("e.off").alias("__off")), "ends")
 
     # __rest < avail, so a leaf's prefix ends in one of its buckets
-    rows = slim if not whole_rows else docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), *named, F.md5(F.col(text_col).cast("binary")).alias("__md5"))
+    rows = slim if not whole_rows else docs.select(whole_row(docs).alias("__row"), F.col(id_col).alias("__id"), *named, F.md5(F.col(text_col).cast("binary")).alias("__md5"))
     rows = positioned(rows).join(ends, path)
     sure = rows.where("__sub <> __end").withColumn("copies", F.col("__epochs") + (F.col("__sub") < F.col("__end")).cast("long"))
     last = rows.where("__sub = __end")
     if whole_rows:
-        last = last.withColumn("__tokens", token_count(F.col(f"__row.`{text_col}`")))
+        last = last.withColumn("__tokens", token_count(F.col(f"__row.{quoted(text_col)}")))
     within = Window.partitionBy(*path).orderBy("__h", "__tokens").rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("__sum", F.sum("__tokens").over(within) + F.col("__off"))
     last = last.withColumn("copies", F.col("__epochs") + (F.col("__sum") <= F.col("__rest")).cast("long"))

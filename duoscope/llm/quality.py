@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import cut, map_texts, text_key
+from duoscope.llm.common import cut, map_texts, quoted, text_key, whole_row
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -112,14 +112,14 @@ def clean_documents(docs: DataFrame, text_col: str = "text", host_col: str = "so
     r = {"min_words": 50, "max_repeat_per_cent": 50, "min_docs": 10, "share": 0.02, "min_left": 0.4} | rules
     columns = docs.columns
     found = line_frequency(docs, text_col, host_col, r["min_docs"], r["share"])
-    rows = measures(docs, text_col, [F.struct(*columns).alias("__row"), *text_key(F.col(host_col), F.col(text_col))])
+    rows = measures(docs, text_col, [whole_row(docs).alias("__row"), *text_key(F.col(host_col), F.col(text_col))])
     rows = rows.where((F.col("n_words") >= r["min_words"]) & (F.col("n_repeat_words") * 100 <= F.col("n_words") * r["max_repeat_per_cent"]))
     rows = rows.select("__row", "__k1", "__k2", "n_words").join(found, ["__k1", "__k2"], "left")
     rows = rows.where((F.col("n_words") - F.coalesce("common_words", F.lit(0))) >= F.col("n_words") * r["min_left"])
-    text = F.col(f"__row.`{text_col}`")
+    text = F.col(f"__row.{quoted(text_col)}")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("common", _line_hash(x))), "\n")
     text = F.when(F.col("common").isNull(), text).otherwise(left)
-    out = rows.select(*[text.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in columns])
+    out = rows.select(*[text.alias(c) if c == text_col else F.col(f"__row.{quoted(c)}").alias(c) for c in columns])
     if length_col in columns:
         kind = dict(docs.dtypes)[length_col]
         out = out.withColumn(length_col, F.length(text_col).cast(kind))

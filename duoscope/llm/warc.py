@@ -6,6 +6,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote_plus
 
 import pandas as pd
 import pyarrow as pa
@@ -72,9 +73,9 @@ def record_text(row: DataFrame) -> Column:
     # the driver's clock isn't asked: equal pages give equal archives
     head = F.concat(
         F.lit(VERSION), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", own),
-        F.lit("WARC-Date: 2024-01-01T00:00:00Z\r\n"), line("WARC-Target-URI", F.col("url")), line("X-Page-ID", F.col("page_id").cast("string")),
+        F.lit("WARC-Date: 2024-01-01T00:00:00Z\r\n"), line("WARC-Target-URI", F.col("url")), line("X-Page-ID", F.url_encode(F.col("page_id").cast("string"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", target), line("X-Refers-To-Page", F.col("refers_to").cast("string")), F.lit(f"WARC-Profile: {PROFILE}\r\n"))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Refers-To", target), line("X-Refers-To-Page", F.url_encode(F.col("refers_to").cast("string"))), F.lit(f"WARC-Profile: {PROFILE}\r\n"))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", block_bytes.cast("string")), F.lit("\r\n"),
     )
     return F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload")))
@@ -112,7 +113,12 @@ def _fields(raw: bytes) -> tuple:
     digest = said if revisit else hashlib.sha1(payload).hexdigest()
     page, other = heads.get(b"x-page-id"), heads.get(b"x-refers-to-page")
     size = int(http.get(b"content-length", b"0")) if revisit else len(payload)
-    return page.decode() if page else None, size, digest, heads.get(b"warc-type", b"").decode(), other.decode() if other else None, digest == said
+    return _named(page), size, digest, heads.get(b"warc-type", b"").decode(), _named(other), digest == said
+
+
+def _named(page: bytes | None) -> str | None:
+    """The id in a header, where it stands percent-encoded: its spaces and breaks are its own, and the empty id isn't none."""
+    return None if page is None else unquote_plus(page.decode())
 
 
 def _chunks(spark: SparkSession, path: str, work: Callable[[int, bytes], tuple], schema: str) -> DataFrame:
