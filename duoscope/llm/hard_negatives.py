@@ -23,7 +23,6 @@ from duoscope.llm.common import cut, release
 BLOCK_ROWS = 1 << 15
 #: Anchors that a task multiplies at once with a block of candidates.
 _SLICE = 64
-_LONGEST = (1 << 63) - 1
 
 
 def narrowed(score: np.ndarray, rest: int, low: int, high: int, windows: list[tuple[float, float]], want: int) -> np.ndarray:
@@ -45,42 +44,52 @@ def narrowed(score: np.ndarray, rest: int, low: int, high: int, windows: list[tu
 
 
 def best_in_windows(
-    anchors: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: Callable[[int], np.ndarray], windows: list[list[tuple[float, float]]], want: int, bits: int
+    anchors: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: Callable[[int], np.ndarray], windows: list[list[tuple[float, float]]], want: int
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(anchor, window, candidates, scores): the `want` best of each anchor's windows, ties by id, as indices.
 
-    anchors and vectors hold integers of `bits` bits and a sign. allowed(i): which candidates anchor i may have. Scores are
-    exact: in floating point while sums stay below 2 ** 53, else in Python's integers.
+    allowed(i): which candidates anchor i may have. Sums of planes are exact in floating point, as vectors with a component
+    too large for that are multiplied in Python's integers instead; their scores stop at the ends of a long.
     """
-    safe = anchors.shape[1] << 2 * bits + 2 < 1 << 53
-    number = (lambda x: x.astype(float)) if safe else (lambda x: x.astype(object))
-    a = number(anchors)
-    low, high = (number(np.minimum(anchors, 0)).sum(axis=1), number(np.maximum(anchors, 0)).sum(axis=1))
-    plane = lambda t, rows=slice(None): number((vectors[rows] >> t) & 1)
+    width = (50 - max(1, anchors.shape[1]).bit_length()) // 2
+    size = lambda v: np.where(v < 0, ~v, v).max(axis=1, initial=0)
+    usual, a_usual = size(vectors) < 1 << width, size(anchors) < 1 << width
+    bits = int(size(vectors)[usual].max(initial=0)).bit_length()
+    a = np.where(a_usual[:, None], anchors, 0).astype(float)
+    low, high = np.minimum(a, 0).sum(axis=1), np.maximum(a, 0).sum(axis=1)
+    plane = lambda t, rows=slice(None): ((vectors[rows] >> t) & 1).astype(float)
     for start in range(0, len(a), _SLICE):
         some = range(start, min(len(a), start + _SLICE))
-        near = [np.flatnonzero(allowed(i)) if windows[i] else np.empty(0, np.int64) for i in some]
-        dense, left = number(np.zeros((len(some), len(vectors)), np.int64)), None
+        every = [np.flatnonzero(allowed(i)) if windows[i] else np.empty(0, np.int64) for i in some]
+        near = [x[usual[x]] if a_usual[i] else x[:0] for i, x in zip(some, every, strict=True)]
+        dense = np.zeros((len(some), len(vectors)))
+        score: list[np.ndarray] | None = None  # of the candidates that are left, once they are few
         for t in range(bits, -1, -1):
-            weight = -(1 << t) if t == bits else 1 << t
-            if left is None and sum(map(len, near)) * 4 < dense.size:
-                left = [dense[k, near[k]] for k in range(len(some))]
-            if left is None:
+            weight = -float(1 << t) if t == bits else float(1 << t)
+            if score is None and 4 * sum(map(len, near)) < dense.size:
+                score = [dense[k, x] for k, x in enumerate(near)]
+            if score is None:
                 dense += weight * (a[some.start : some.stop] @ plane(t).T)
-                left_now = [dense[k, near[k]] for k in range(len(some))]
+                now = [dense[k, x] for k, x in enumerate(near)]
             else:
-                left_now = [x + weight * (plane(t, rows) @ a[i]) for i, rows, x in zip(some, near, left, strict=True)]
+                now = score = [x + weight * (plane(t, rows) @ a[i]) for i, rows, x in zip(some, near, score, strict=True)]
             for k, i in enumerate(some):
-                keep = narrowed(left_now[k], (1 << t) - 1, low[i], high[i], windows[i], want)
-                near[k], left_now[k] = near[k][keep], left_now[k][keep]
-            if left is not None:
-                left = left_now
+                keep = narrowed(now[k], (1 << t) - 1, low[i], high[i], windows[i], want)
+                near[k], now[k] = near[k][keep], now[k][keep]
         for k, i in enumerate(some):
+            rest = every[k][~usual[every[k]]] if a_usual[i] else every[k]
+            rows = np.concatenate([near[k], rest])
+            exact = np.concatenate([now[k].astype(np.int64), _products(vectors[rest], anchors[i])])
             for w, (least, most) in enumerate(windows[i]):
-                here = np.flatnonzero((left_now[k] >= least) & (left_now[k] <= most))
-                rows, score = near[k][here], left_now[k][here]
-                top = np.lexsort((ids[rows], -score))[:want]
-                yield i, w, rows[top], score[top]
+                here = np.flatnonzero((exact >= least) & (exact <= most))
+                top = here[np.lexsort((ids[rows[here]], ~exact[here]))[:want]]
+                yield i, w, rows[top], exact[top]
+
+
+def _products(rows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    long = np.iinfo(np.int64)
+    exact = rows.astype(object) @ anchor.astype(object)
+    return np.array([max(long.min, min(long.max, s)) for s in exact], np.int64)
 
 
 def _matrix(t: pa.Table, name: str, d: int) -> np.ndarray:
@@ -88,11 +97,7 @@ def _matrix(t: pa.Table, name: str, d: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(t), d)
 
 
-def _longs(scores: list) -> list[int]:
-    return [max(-_LONGEST - 1, min(_LONGEST, int(s))) for s in scores]
-
-
-def _positives(d: int, bits: int, want: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _positives(d: int, want: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The best `want` other rows of the label that all rows of both blocks have."""
 
     def find(q: pa.Table, t: pa.Table) -> pa.Table:
@@ -100,14 +105,14 @@ def _positives(d: int, bits: int, want: int) -> Callable[[pa.Table, pa.Table], p
         out: list[tuple] = []
         if len(q) and len(t):
             everything = [[(-np.inf, np.inf)]] * len(q)
-            for i, _, rows, score in best_in_windows(_matrix(q, "vec", d), _matrix(t, "vec", d), ids, lambda i: ids != own[i], everything, want, bits):
-                out += [(own[i], x, s) for x, s in zip(ids[rows], _longs(score), strict=True)]
+            for i, _, rows, score in best_in_windows(_matrix(q, "vec", d), _matrix(t, "vec", d), ids, lambda i: ids != own[i], everything, want):
+                out += [(own[i], x, s) for x, s in zip(ids[rows], score, strict=True)]
         return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(("anchor_id", "positive_id", "positive_score"))})
 
     return find
 
 
-def _negatives(d: int, bits: int, want: int, least: int, most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _negatives(d: int, want: int, least: int, most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The best `want` rows of another label whose score is between `least` and `most` per cent of a positive's."""
 
     def find(q: pa.Table, t: pa.Table) -> pa.Table:
@@ -118,10 +123,10 @@ def _negatives(d: int, bits: int, want: int, least: int, most: int) -> Callable[
             bounds = lambda s: (-(-least * s // 100), most * s // 100)  # noqa: E731  whole scores within the per cents
             windows = [[bounds(p["positive_score"]) for p in of] for of in positives]
             of_anchor = q.column("label").to_numpy()
-            for i, w, rows, score in best_in_windows(_matrix(q, "vec", d), _matrix(t, "vec", d), ids, lambda i: label != of_anchor[i], windows, want, bits):
+            for i, w, rows, score in best_in_windows(_matrix(q, "vec", d), _matrix(t, "vec", d), ids, lambda i: label != of_anchor[i], windows, want):
                 p = positives[i][w]
-                out += [(own[i], p["positive_id"], x, p["positive_score"], s) for x, s in zip(ids[rows], _longs(score), strict=True)]
-        names = ("anchor_id", "positive_id", "negative_id", "positive_score", "negative_score")
+                out += [(own[i], p["r"], p["positive_id"], x, p["positive_score"], s) for x, s in zip(ids[rows], score, strict=True)]
+        names = ("anchor_id", "positive_rank", "positive_id", "negative_id", "positive_score", "negative_score")
         return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(names)})
 
     return find
@@ -138,13 +143,13 @@ def integer_vectors(rows: DataFrame, id_col: str, label_col: str, vec_col: str,
 
 
 def hard_negatives(vectors: DataFrame, every: int = 50, n_positives: int = 5, n_negatives: int = 3, least: int = 50, most: int = 95) -> DataFrame:
-    """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for anchors whose id divides by `every`.
+    """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score, positive_rank), anchors by an id that divides by `every`.
 
     vectors: id, label, vec of integers, as integer_vectors() makes them. An anchor's positives are its n_positives best
     rows of its label with another id; each of them gets the n_negatives best rows of other labels whose score is between
     `least` and `most` per cent of its own (none where that is negative). Ties go to the smaller id. A row's copies are
     rows of their own; of rows that share an anchor's id the one with the smallest label and vector is the anchor. Shorter
-    vectors are as if filled up with zeros, so an empty one scores 0. Components and scores beyond a long stay at its ends.
+    vectors are as if filled up with zeros, so an empty one scores 0. A component or score beyond a long counts as its end.
     An empty table, or one of a single label, gives no rows. Texts take no part.
 
     The anchors meet all rows in blocks: first those of their label, which are dealt by the counted size of the label, so
@@ -152,9 +157,7 @@ def hard_negatives(vectors: DataFrame, every: int = 50, n_positives: int = 5, n_
     A block pair passes on at most n_positives or n_positives * n_negatives rows an anchor, however many there are.
     """
     spark = vectors.sparkSession
-    size = F.aggregate("vec", F.lit(0).cast("long"), lambda m, e: F.greatest(m, F.when(e < 0, -(e + 1)).otherwise(e)))
-    d, largest, n = vectors.agg(F.max(F.size("vec")), F.max(size), F.count("*")).first()
-    d, bits = d or 0, max(1, int(largest or 0).bit_length())
+    d, n = vectors.agg(F.coalesce(F.max(F.size("vec")), F.lit(0)), F.count("*")).first()
     padded = F.concat("vec", F.array_repeat(F.lit(0).cast("long"), F.lit(d) - F.size("vec")))
     rows = cut(vectors.select("id", "label", padded.alias("vec")), "vectors")
     anchors = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("label", "vec")).alias("a")).select("id", "a.label", "a.vec")
@@ -165,7 +168,7 @@ def hard_negatives(vectors: DataFrame, every: int = 50, n_positives: int = 5, n_
     q = anchors.join(sizes, "label").select("label", part("bq").alias("x"), all_of("bt").alias("y"), "id", "vec")
     t = rows.join(sizes, "label").select("label", all_of("bq").alias("x"), part("bt").alias("y"), "id", "vec")
     keys = ["label", "x", "y"]
-    found = _each_side(q).groupBy(*keys).cogroup(_each_side(t).groupBy(*keys)).applyInArrow(_positives(d, bits, n_positives), "anchor_id long, positive_id long, positive_score long")
+    found = _each_side(q).groupBy(*keys).cogroup(_each_side(t).groupBy(*keys)).applyInArrow(_positives(d, n_positives), "anchor_id long, positive_id long, positive_score long")
     by_score = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     best = found.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= n_positives)
     lists = best.groupBy(F.col("anchor_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("r", "positive_id", "positive_score"))).alias("positives"))
@@ -178,11 +181,11 @@ def hard_negatives(vectors: DataFrame, every: int = 50, n_positives: int = 5, n_
     q = sides[0].select(part("bq").alias("x"), all_of("bt").alias("y"), "id", "label", "vec", "positives")
     t = sides[1].select(all_of("bq").alias("x"), part("bt").alias("y"), "id", "label", "vec")
     keys = ["x", "y"]
-    schema = "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long"
-    mined = _each_side(q).groupBy(*keys).cogroup(_each_side(t).groupBy(*keys)).applyInArrow(_negatives(d, bits, n_negatives, least, most), schema)
-    order = Window.partitionBy("anchor_id", "positive_id", "positive_score").orderBy(F.desc("negative_score"), "negative_id")
+    schema = "anchor_id long, positive_rank long, positive_id long, negative_id long, positive_score long, negative_score long"
+    mined = _each_side(q).groupBy(*keys).cogroup(_each_side(t).groupBy(*keys)).applyInArrow(_negatives(d, n_negatives, least, most), schema)
+    order = Window.partitionBy("anchor_id", "positive_rank").orderBy(F.desc("negative_score"), "negative_id")
     out = mined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n_negatives)
-    out = cut(out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "negatives")
+    out = cut(out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score", "positive_rank"), "negatives")
     release(rows, armed)
     return out
 
