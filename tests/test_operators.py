@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duoscope import schemas
 from duoscope.functions import names, vectors
-from duoscope.operators import cluster, correlate, donors, embed, filters, harmony, hvg, intervals, motifs, neighbors, normalize, qc, sampling, triplets, validate
+from duoscope.operators import cluster, communities, correlate, donors, embed, filters, harmony, hvg, intervals, motifs, neighbors, normalize, qc, sampling, triplets, validate
 from duoscope.sources import readers, sinks
 
 
@@ -207,9 +207,9 @@ def test_neighbors(spark):
     r = np.random.RandomState(0)
     x = r.rand(60, 5)
     v = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "id long, vec array<double>")
-    a, b = rows(neighbors.knn(v, 4)), rows(neighbors.knn_blocked(v, 4))
+    a, b = rows(neighbors.knn(v, 4)), rows(neighbors.knn(v, 4))
     assert a == b and len(a) == 240 and all(s != t for s, t, *_ in a)
-    assert {s for s, t, d, k in rows(neighbors.knn_blocked(v, 1, include_self=True)) if s == t and d == 0} == set(range(60))
+    assert {s for s, t, d, k in rows(neighbors.knn(v, 1, include_self=True)) if s == t and d == 0} == set(range(60))
     e = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5), (0, 3, 0.0), (1, 0, 0.9)], "src long, dst long, weight double")
     assert rows(neighbors.top_k(e, 3, spark.range(3))) == [(0, [1, 2, -1]), (1, [0, -1, -1]), (2, [-1, -1, -1])]
     assert v.limit(1).select(vectors.l2_normalize(F.array(F.lit(0.0), F.lit(0.0)))).first()[0] == [0.0, 0.0]
@@ -237,17 +237,34 @@ def test_embeddings(spark):
     assert gap(harmony.harmony(batch, clusters=4, max_iter=8)) < 0.6 * gap(batch)
 
 
-def test_embeddings_of_more_features_than_cells(spark, monkeypatch):
+def test_embeddings_of_more_features_than_cells(spark):
     x = np.random.RandomState(4).poisson(0.6, (20, 70)).astype(float)
     counts = spark.createDataFrame([(c, f, float(x[c, f])) for c in range(20) for f in range(70) if x[c, f]], "cell_id long, feature_id long, value double")
-    for center, scale in ((False, False), (True, True), (False, True)):
-        got = []
-        for limit in (embed.FEW_ROWS, 0):
-            monkeypatch.setattr(embed, "FEW_ROWS", limit)
-            e, values = embed.svd(counts, 4, center, scale)
-            got.append((np.stack([r.vec for r in e.orderBy("cell_id").collect()]), values))
-            monkeypatch.undo()
-        assert np.allclose(got[0][0], got[1][0], atol=1e-7) and np.allclose(got[0][1], got[1][1])
+    for center, scale, k in ((False, False, 4), (True, True, 4), (False, True, 4), (False, False, 50)):
+        e, values = embed.svd(counts, k, center, scale)
+        y = x - x.mean(axis=0) if center else x
+        # without a centre the scale is about 0
+        spread = np.sqrt((y**2).sum(axis=0) / 19)
+        y = y / np.where(spread > 0, spread, 1) if scale else y
+        u, s, _ = np.linalg.svd(y, full_matrices=False)
+        k = min(k, 20)
+        assert np.allclose(values, s[:k] ** 2 / 19 if center else s[:k])
+        got = np.stack([r.vec for r in e.orderBy("cell_id").collect()])
+        assert np.allclose(got @ got.T, (u[:, :k] * s[:k] ** 2) @ u[:, :k].T, atol=1e-5)
+
+
+def test_embeddings_end_exactly_or_with_an_error(spark, monkeypatch):
+    """A spectrum without gaps needs many passes and restarts; too few are an error, and no rows reach the driver."""
+    r = np.random.RandomState(8)
+    x = np.linalg.qr(r.randn(300, 120))[0] * np.linspace(2, 1, 120)
+    counts = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(300) for j in range(120)], "cell_id long, feature_id long, value double")
+    monkeypatch.setattr(embed, "_FAN_IN", 2)
+    e, values = embed.svd(counts, 5)
+    assert np.allclose(values, np.linalg.svd(x)[1][:5], rtol=1e-9)
+    vectors, n = embed._vectors(counts, embed.index_features(counts))
+    with pytest.raises(RuntimeError, match="no convergence"):
+        embed.krylov(vectors, n, 5, False, False, most_passes=2)
+    assert embed.svd(counts.where("false"), 3)[0].count() == 0
 
 
 def test_embedding_queries_read_every_feature(spark, monkeypatch):
@@ -316,12 +333,10 @@ def test_queries_have_oracles():
 
 
 @pytest.mark.parametrize("center,scale", [(False, False), (True, False), (True, True)])
-def test_krylov_against_numpy(spark, monkeypatch, center, scale):
+def test_krylov_against_numpy(spark, center, scale):
     r = np.random.RandomState(5)
     x = r.poisson(0.3, (150, 60)) * r.gamma(2, 1, 60) + np.outer(r.rand(150), r.rand(60) * 3).round()
     counts = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*x.nonzero(), strict=True)], "cell_id long, feature_id long, value double")
-    monkeypatch.setattr(embed, "FEW_FEATURES", 10)
-    monkeypatch.setattr(embed, "FEW_ROWS", 10)
     e, value = embed.svd(counts, 4, center, scale)
     y = x - x.mean(axis=0) if center else x
     y = y / y.std(axis=0, ddof=1) if scale else y
@@ -418,18 +433,18 @@ def test_louvain_against_all_partitions(spark):
     def q(p):
         return sum(w for a, b, w in edges if p[a] == p[b]) / m - 0.8 * sum(sum(k[i] for i in range(8) if p[i] == c) ** 2 for c in set(p)) / (4 * m * m)
 
-    found = cluster.louvain(df, 0.8)
+    found = communities.louvain(df, 0.8)
     got = {v["id"]: v["cluster"] for v in found.collect()}
     assert abs(q([got[i] for i in range(8)]) - max(map(q, partitions(8)))) < 1e-9
     assert abs(cluster.modularity(df, found, 0.8) - q([got[i] for i in range(8)])) < 1e-9
-    assert cluster.louvain(df.where("false")).count() == 0
+    assert communities.louvain(df.where("false")).count() == 0
 
 
 def test_indexed_neighbours(spark):
     r = np.random.RandomState(6)
     x = r.randn(1500, 16) + 3 * r.randn(12, 16)[r.randint(0, 12, 1500)]
     v = spark.createDataFrame([(i, x[i].tolist()) for i in range(1500)], "id long, vec array<double>")
-    exact = {(a["src"], a["dst"]) for a in neighbors.knn_blocked(v, 10).collect()}
+    exact = {(a["src"], a["dst"]) for a in neighbors.knn(v, 10).collect()}
     found = neighbors.knn_indexed(v, 10, lists=30, probes=8)
     assert len(exact & {(a["src"], a["dst"]) for a in found.collect()}) >= 0.9 * len(exact) and found.count() == 15_000
     whole = neighbors.knn_indexed(v, 10, lists=6, probes=6, queries=v.where("id % 100 = 0"))
@@ -456,7 +471,7 @@ def test_neighbours_in_many_blocks(spark, monkeypatch):
             want.append((i, j, d, "atac", t, u))
     assert got == sorted(want, key=str)
     v = side(0).select(F.col("cell_id").alias("id"), "vec")
-    assert rows(neighbors.knn_indexed(v, 3, lists=2, probes=2)) == rows(neighbors.knn(v, 3)) == rows(neighbors.knn_blocked(v, 3))
+    assert rows(neighbors.knn_indexed(v, 3, lists=2, probes=2)) == rows(neighbors.knn(v, 3)) == rows(neighbors.knn(v, 3))
 
 
 def test_variable_features_against_another_fit():
@@ -516,5 +531,5 @@ def test_layout_keeps_neighbours_together(spark, landmarks):
         np.fill_diagonal(true, np.inf)
         best = np.argsort(true, axis=1)[:, :10]
         assert np.mean([len(set(a) & set(b)) for a, b in zip(near, best, strict=True)]) > 3.0
-        w = layout.memberships(neighbors.knn_blocked(v, 10).select("src", "dst", "dist")).groupBy("src").agg(F.sum("weight").alias("s")).collect()
+        w = neighbors.memberships(neighbors.knn(v, 10).select("src", "dst", "dist")).groupBy("src").agg(F.sum("weight").alias("s")).collect()
         assert all(abs(z["s"] - math.log2(10)) < 0.01 for z in w)
