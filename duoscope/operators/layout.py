@@ -11,40 +11,6 @@ from duoscope.functions.tables import cut
 from duoscope.operators import neighbors
 
 
-def memberships(lists: DataFrame) -> DataFrame:
-    """src, dst, weight from neighbour lists (src, dst, dist): how surely dst is in the neighbourhood of src, 0 to 1.
-
-    The nearest neighbour's distance counts as 0, and the bandwidth of a node is such that its weights sum to log2(k).
-    A node's k neighbours are all that a row holds.
-    """
-    near = lists.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("n"))
-    near = near.select("src", F.transform("n", lambda x: x["dst"]).alias("dst"), F.transform("n", lambda x: x["dist"]).alias("dist"))
-
-    @F.pandas_udf("array<double>")
-    def weights(dists: pd.Series) -> pd.Series:
-        out = []
-        for d in dists:
-            d = np.asarray(d, float)
-            d = np.maximum(0.0, d - (d[d > 0].min() if (d > 0).any() else 0.0))
-            low, high, sigma, target = 0.0, np.inf, 1.0, np.log2(max(2, len(d)))
-            for _ in range(64):
-                total = np.exp(-d / sigma).sum()
-                if abs(total - target) < 1e-5:
-                    break
-                low, high = (low, sigma) if total > target else (sigma, high)
-                sigma = (low + high) / 2 if np.isfinite(high) else 2 * sigma
-            out.append(np.exp(-d / max(sigma, 1e-3 * d.mean(), 1e-12)))
-        return pd.Series(out)
-
-    return near.withColumn("w", weights("dist")).select("src", F.explode(F.arrays_zip("dst", "w")).alias("e")).select("src", "e.dst", F.col("e.w").alias("weight"))
-
-
-def fuzzy_union(directed: DataFrame) -> DataFrame:
-    """src, dst, weight for either direction: a + b - a * b of the two weights."""
-    both = directed.union(directed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return both.groupBy("src", "dst").agg((1 - F.product(1 - F.col("weight"))).alias("weight"))
-
-
 def _place(start: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, epochs: int, negatives: int, seed: int, a: float = 1.577, b: float = 0.8951) -> np.ndarray:
     """Stochastic gradient rounds: neighbours attract, random nodes repel. a and b are those of a minimal distance of 0.1."""
     r, y = np.random.RandomState(seed), start.copy()
@@ -82,8 +48,8 @@ def umap(vectors: DataFrame, k: int = 15, landmarks: int = 50_000, epochs: int =
     some = v if n <= landmarks else v.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(landmarks)
     some = cut(some, "landmarks")
     kind = dict(vectors.dtypes)["id"]
-    search = neighbors.knn_blocked if min(n, landmarks) <= 2 * neighbors.BLOCK_ROWS else neighbors.knn_indexed
-    graph = fuzzy_union(memberships(search(some, k).select("src", "dst", "dist"))).where("weight > 0").orderBy("src", "dst").toPandas()
+    search = neighbors.knn if min(n, landmarks) <= 2 * neighbors.BLOCK_ROWS else neighbors.knn_indexed
+    graph = neighbors.fuzzy_union(neighbors.memberships(search(some, k).select("src", "dst", "dist"))).where("weight > 0").orderBy("src", "dst").toPandas()
     rows = some.orderBy("id").toPandas()
     ids = rows["id"].to_numpy()
     if len(ids) < 3:
@@ -101,7 +67,7 @@ def umap(vectors: DataFrame, k: int = 15, landmarks: int = 50_000, epochs: int =
     if n <= landmarks:
         return placed
     rest = v.join(some.select("id"), "id", "left_anti")
-    w = memberships(neighbors.knn_indexed(some, k, queries=rest).select("src", "dst", "dist"))
+    w = neighbors.memberships(neighbors.knn_indexed(some, k, queries=rest).select("src", "dst", "dist"))
     w = w.join(placed.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"))
     mean = lambda c: (F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c)
     return placed.union(w.agg(mean("x"), mean("y")))

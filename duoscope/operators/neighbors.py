@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.functions.tables import cut
+from duoscope.functions.tables import cut, release
 from duoscope.functions.vectors import distance
+from duoscope.operators.metric_join import nearest
 
 
 #: A block of vectors that one task compares with another block: some 16 MB of 64 doubles.
@@ -59,35 +60,12 @@ def _best_of_lists(d: DataFrame, k: int) -> DataFrame:
     return d.where(F.col("rank") <= k).select("src", "dst", "dist", "rank")
 
 
-def knn(vectors: DataFrame, k: int = 20, include_self: bool = False, blocks: int | None = None) -> DataFrame:
-    """src, dst, dist, rank: the k nearest by Euclidean distance (rounded to 9 places, ties by id).
+def knn(vectors: DataFrame, k: int = 20, include_self: bool = False) -> DataFrame:
+    """src, dst, dist, rank: the k nearest by Euclidean distance (rounded to 9 places, ties by id). vectors: id, vec.
 
-    vectors: id, vec. Exact, so every pair is looked at: queries and targets are dealt into blocks, and a task compares
-    one block with another in the JVM, keeping k of each query; only those lists are shuffled on. For some 10**6 vectors;
-    beyond, knn_indexed().
+    Exact, by nearest(): on clustered vectors a small share of the pairs is compared, without clusters all of them, in blocks.
     """
-    blocks = blocks or block_count(vectors.count())
-    v = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    a = v.select(F.col("id").alias("src"), F.col("vec").alias("a"), F.pmod(F.hash("id"), F.lit(blocks)).alias("ba"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bb"))
-    b = v.select(F.col("id").alias("dst"), F.col("vec").alias("b"), F.pmod(F.hash("id"), F.lit(blocks)).alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ba"))
-    d = a.join(b, ["ba", "bb"])
-    if not include_self:
-        d = d.where("src <> dst")
-    d = d.select("src", "dst", "bb", F.round(distance(F.col("a"), F.col("b")), 9).alias("dist"))
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("src", "bb").orderBy("dist", "dst"))).where(F.col("rank") <= k)
-    return _best_of_lists(d, k)
-
-
-def knn_blocked(vectors: DataFrame, k: int = 20, include_self: bool = False, blocks: int | None = None) -> DataFrame:
-    """knn() in Arrow batches: a block of queries against a block of targets is a matrix product and a few exact sums."""
-    blocks = blocks or block_count(vectors.count())
-    v = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.hash("id"), F.lit(blocks)).alias("b"))
-    own = [F.col(c).alias(c) for c in ("id", "vec")]  # columns of their own for either side of the cogroup
-    a = v.select(*own, F.col("b").alias("ba"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bb"))
-    b = v.select(*own, F.col("b").alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ba"))
-    kind = dict(vectors.dtypes)["id"]
-    d = a.groupBy("ba", "bb").cogroup(b.groupBy("ba", "bb")).applyInPandas(_block_task(k, include_self), f"src {kind}, dst {kind}, dist double")
-    return _best_of_lists(d, k)
+    return nearest(vectors, vectors, k, same_side=not include_self)
 
 
 def centroids(vectors: DataFrame, lists: int, sample: int = 50_000, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -144,45 +122,17 @@ def cross_modal(rna: DataFrame, atac: DataFrame) -> DataFrame:
     """Per donor, each cell of the smaller modality (RNA if equal) with its nearest cell of the other; targets may repeat.
 
     rna, atac: cell_id, donor_id, cell_type, vec. Returns rna_cell, atac_cell, cell_type, atac_cell_type, distance,
-    donor_id, anchor. A donor's cells of either side are dealt into blocks by their counted number, so that a donor of a
-    third of all cells is many tasks; a task compares a block with a block and keeps one target of each anchor cell.
+    donor_id, anchor. The metric join of nearest() with the donor as its group.
     """
     n = rna.groupBy("donor_id").agg(F.count("*").alias("nr")).join(atac.groupBy("donor_id").agg(F.count("*").alias("na")), "donor_id")
-    blocks = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK_ROWS))).cast("int")
-    n = n.select("donor_id", F.when(F.col("nr") <= F.col("na"), "rna").otherwise("atac").alias("anchor"), blocks("nr").alias("br"), blocks("na").alias("ba"))
-    ids, types = dict(rna.dtypes)["cell_id"], dict(rna.dtypes)["cell_type"]
-    # columns of their own for either side of the cogroup
-    cols = [F.col("cell_id").alias("id"), F.col("cell_type").cast("string").alias("kind"), F.col("vec").cast("array<double>").alias("vec"), F.col("donor_id").alias("donor_id"), F.col("anchor").alias("anchor")]
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    r = rna.join(n, "donor_id").select(*cols, F.pmod(F.hash("cell_id"), F.col("br")).alias("x"), every("ba").alias("y"))
-    a = atac.join(n, "donor_id").select(*cols, every("br").alias("x"), F.pmod(F.hash("cell_id"), F.col("ba")).alias("y"))
-    donor = dict(rna.dtypes)["donor_id"]
-
-    def near(r: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        names = ["donor_id", "anchor", "own", "other", "distance", "rna_cell", "atac_cell", "cell_type", "atac_cell_type"]
-        if r.empty or a.empty:
-            return pd.DataFrame(columns=names)
-        by_rna = r["anchor"].iloc[0] == "rna"
-        q, t = (r, a) if by_rna else (a, r)
-        y, other = np.stack(t["vec"]), t["id"].to_numpy()
-        out = []
-        for at in range(0, len(q), 1024):
-            some = q.iloc[at : at + 1024]
-            out += [(b[0], d[0]) for b, d in _nearest(np.stack(some["vec"]), y, other, some["id"].to_numpy(), 1, True)]
-        hit = t.iloc[[b for b, _ in out]]
-        first, second = (q, hit) if by_rna else (hit, q)
-        return pd.DataFrame({
-            "donor_id": q["donor_id"].to_numpy(), "anchor": q["anchor"].to_numpy(), "own": q["id"].to_numpy(), "other": hit["id"].to_numpy(), "distance": [d for _, d in out],
-            "rna_cell": first["id"].to_numpy(), "atac_cell": second["id"].to_numpy(), "cell_type": first["kind"].to_numpy(), "atac_cell_type": second["kind"].to_numpy(),
-        })
-
-    keys = ["donor_id", "x", "y"]
-    schema = f"donor_id {donor}, anchor string, own {ids}, other {ids}, distance double, rna_cell {ids}, atac_cell {ids}, cell_type string, atac_cell_type string"
-    d = r.groupBy(*keys).cogroup(a.groupBy(*keys)).applyInPandas(near, schema)
-    m = F.min(F.struct("distance", "other", "rna_cell", "atac_cell", "cell_type", "atac_cell_type")).alias("m")
-    best = d.groupBy("donor_id", "anchor", "own").agg(m)
-    kind = lambda c: F.col(f"m.{c}").cast(types).alias(c)
-    return best.select("m.rna_cell", "m.atac_cell", kind("cell_type"), kind("atac_cell_type"), "m.distance", "donor_id", "anchor")
+    n = cut(n.select("donor_id", F.when(F.col("nr") <= F.col("na"), "rna").otherwise("atac").alias("anchor")), "anchors")
+    of = lambda d, anchor: d.join(n.where(F.col("anchor") == anchor), "donor_id").select("donor_id", F.col("cell_id").alias("id"), "vec")
+    found = nearest(of(rna, "rna").union(of(atac, "atac")), of(atac, "rna").union(of(rna, "atac")), 1, group="donor_id").join(n, "donor_id")
+    by_rna = F.col("anchor") == "rna"
+    found = found.select(F.when(by_rna, F.col("src")).otherwise(F.col("dst")).alias("rna_cell"), F.when(by_rna, F.col("dst")).otherwise(F.col("src")).alias("atac_cell"), F.col("dist").alias("distance"), "donor_id", "anchor")
+    kinds = lambda d, m, c: d.select(F.col("cell_id").alias(f"{m}_cell"), "donor_id", F.col("cell_type").alias(c))
+    found = found.join(kinds(rna, "rna", "cell_type"), ["rna_cell", "donor_id"]).join(kinds(atac, "atac", "atac_cell_type"), ["atac_cell", "donor_id"])
+    return found.select("rna_cell", "atac_cell", "cell_type", "atac_cell_type", "distance", "donor_id", "anchor")
 
 
 def top_k(edges: DataFrame, k: int, nodes: DataFrame | None = None) -> DataFrame:
@@ -195,16 +145,80 @@ def top_k(edges: DataFrame, k: int, nodes: DataFrame | None = None) -> DataFrame
     return rows.select("id", F.concat(n, F.array_repeat(F.lit(-1).cast("long"), F.lit(k) - F.size(n))).alias("neighbors"))
 
 
-def wnn(rna: DataFrame, atac: DataFrame, k: int = 20, eps: float = 1e-4) -> DataFrame:
+def memberships(lists: DataFrame, with_self: bool = False, halvings: int = 64) -> DataFrame:
+    """src, dst, weight from neighbour lists (src, dst, dist): how surely dst is in the neighbourhood of src, 0 to 1.
+
+    exp(-(dist - nearest) / bandwidth), where nearest is the smallest distance above 0, and the bandwidth is such that a
+    node's weights sum to log2 of the number of its neighbours, or of one more where the node counts as its own
+    (with_self). The bandwidth is found by a fixed number of halvings, a fold over the node's list in the JVM, and is a
+    thousandth of the mean distance at least. A row holds a node's list, so lists are to be of some hundred neighbours.
+    """
+    near = lists.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("near"))
+    nearest_one = F.coalesce(F.array_min(F.filter(F.transform("near", lambda x: x["dist"]), lambda d: d > 0)), F.lit(0.0))
+    near = near.select("src", "near", nearest_one.alias("nearest"))
+    near = near.withColumn("far", F.transform("near", lambda x: F.greatest(x["dist"] - F.col("nearest"), F.lit(0.0))))
+    target = F.log2((F.size("far") + int(with_self)).cast("double"))
+    endless = float("inf")
+
+    def middle(s):
+        return F.when(s["high"] < endless, (s["low"] + s["high"]) / 2).when(s["low"] > 0, 2 * s["low"]).otherwise(1.0)
+
+    def halve(s, _):
+        total = F.aggregate("far", F.lit(0.0), lambda t, d: t + F.exp(-d / middle(s)))
+        return F.when(total > target, F.struct(s["low"].alias("low"), middle(s).alias("high"))).otherwise(F.struct(middle(s).alias("low"), s["high"].alias("high")))
+
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(endless).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, halve, middle)
+    mean = F.aggregate("near", F.lit(0.0), lambda t, x: t + x["dist"]) / (F.size("near") + int(with_self))
+    near = near.withColumn("bandwidth", F.greatest(found, 1e-3 * mean))
+    each = near.select("src", "nearest", "bandwidth", F.explode("near").alias("e"))
+    weight = F.when(F.col("e.dist") <= F.col("nearest"), 1.0).otherwise(F.exp(-(F.col("e.dist") - F.col("nearest")) / F.col("bandwidth")))
+    return each.select("src", "e.dst", weight.alias("weight"))
+
+
+def fuzzy_union(directed: DataFrame) -> DataFrame:
+    """src, dst, weight for either direction: a + b - a * b of the two weights."""
+    both = directed.union(directed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return both.groupBy("src", "dst").agg((1 - F.product(1 - F.col("weight"))).alias("weight"))
+
+
+def neighbour_graph(vectors: DataFrame, k: int = 15) -> DataFrame:
+    """src, dst, weight, both directions of each edge: the fuzzy graph of k neighbours, the cell itself being one of them."""
+    return fuzzy_union(memberships(knn(vectors, k - 1).select("src", "dst", "dist"), with_self=True))
+
+
+def shared_neighbour_bandwidth(lists: DataFrame, vectors: DataFrame, k: int, cells: int = 20) -> DataFrame:
+    """id, sigma: the mean distance of each cell to the `cells` that it has least in common with, of those it shares with.
+
+    lists: src, dst, dist of k neighbours; vectors: id, vec. Which cells share a neighbour is found by an inverted list:
+    the lists meet on the neighbour. Two cells are alike by the Jaccard similarity of their lists, which grows with the number
+    shared; of the least similar cells the farthest come first, then those of the smallest id. A cell that shares with
+    none has the distance of its last neighbour.
+    """
+    ends = lists.select("src", "dst")
+    pairs = ends.join(ends.select(F.col("src").alias("other"), "dst"), "dst").where("src <> other").groupBy("src", "other").agg(F.count("*").alias("shared"))
+    least = pairs.withColumn("r", F.rank().over(Window.partitionBy("src").orderBy("shared"))).where(F.col("r") <= cells)
+    side = lambda c, v: vectors.select(F.col("id").alias(c), F.col("vec").alias(v))
+    far = least.join(side("src", "a"), "src").join(side("other", "b"), "other").select("src", "other", "shared", F.round(distance(F.col("a"), F.col("b")), 9).alias("d"))
+    far = far.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("shared", F.desc("d"), "other"))).where(F.col("r") <= cells)
+    sigma = far.groupBy("src").agg(F.avg("d").alias("mean"))
+    last = lists.groupBy("src").agg(F.max("dist").alias("last"))
+    return last.join(sigma, "src", "left").select(F.col("src").alias("id"), F.coalesce("mean", "last").alias("sigma"))
+
+
+def wnn(rna: DataFrame, atac: DataFrame, k: int = 20, candidates: int = 200, bandwidth_cells: int = 20, eps: float = 1e-4) -> DataFrame:
     """src, dst, weight, rna_weight: weighted nearest neighbours of two modalities of the same cells (Hao et al. 2021).
 
     For each cell and modality its vector is predicted as the mean over its own-modality neighbours and over the other
-    modality's; the ratio of the two affinities gives the modality's weight (a softmax), and the union of neighbour
-    candidates is ranked by the weighted affinities. The bandwidth is the distance to the k-th neighbour.
+    modality's; the ratio of the two affinities gives the modality's weight (a softmax). The bandwidth of the affinities
+    comes from the cells that share least of their neighbours. The nearest `candidates` of either modality are ranked by the
+    weighted affinities, and the best k are kept.
     """
     x = {m: d.select("id", F.col("vec").cast("array<double>").alias("vec")) for m, d in (("rna", rna), ("atac", atac))}
-    edges = {m: cut(knn_blocked(d, k), "lists") for m, d in x.items()}  # lists of k, read several times over
-    near = {m: e.groupBy(F.col("src").alias("id")).agg(F.min("dist").alias("d1"), F.max("dist").alias("sigma")) for m, e in edges.items()}
+    wide = {m: knn(d, max(k, candidates)) for m, d in x.items()}
+    edges = {m: e.where(F.col("rank") <= k) for m, e in wide.items()}
+    near = {m: e.groupBy(F.col("src").alias("id")).agg(F.min("dist").alias("d1")).join(shared_neighbour_bandwidth(e, x[m], k, bandwidth_cells), "id") for m, e in edges.items()}
+    near = {m: cut(d, "bandwidths") for m, d in near.items()}
 
     def affinity(d, d1, sigma):
         return F.exp(-F.greatest(d - d1, F.lit(0.0)) / F.greatest(sigma - d1, F.lit(1e-9)))
@@ -219,11 +233,12 @@ def wnn(rna: DataFrame, atac: DataFrame, k: int = 20, eps: float = 1e-4) -> Data
         own, cross = (affinity(distance(F.col("vec"), F.col(c)), F.col("d1"), F.col("sigma")) for c in ("own", "cross"))
         scores.append(s.select("id", (own / (cross + eps)).alias(f"s_{m}")))
     w = scores[0].join(scores[1], "id").select("id", (1 / (1 + F.exp(F.col("s_atac") - F.col("s_rna")))).alias("rna_weight"))
-    e = edges["rna"].select("src", "dst").union(edges["atac"].select("src", "dst")).distinct()
+    e = wide["rna"].select("src", "dst").union(wide["atac"].select("src", "dst")).distinct()
     for m in ("rna", "atac"):
         e = e.join(x[m].select(F.col("id").alias("src"), F.col("vec").alias("a")), "src").join(x[m].select(F.col("id").alias("dst"), F.col("vec").alias("b")), "dst").join(near[m].withColumnRenamed("id", "src"), "src")
         e = e.withColumn(f"f_{m}", affinity(distance(F.col("a"), F.col("b")), F.col("d1"), F.col("sigma"))).drop("a", "b", "d1", "sigma")
     e = e.join(w.withColumnRenamed("id", "src"), "src").withColumn("weight", F.col("rna_weight") * F.col("f_rna") + (1 - F.col("rna_weight")) * F.col("f_atac"))
     e = e.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("weight", 9)), "dst"))).where(F.col("r") <= k)
-    return e.select("src", "dst", "weight", "rna_weight")
-
+    out = cut(e.select("src", "dst", "weight", "rna_weight"), "fused")
+    release(*wide.values(), *near.values())
+    return out

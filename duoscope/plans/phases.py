@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duoscope.functions.names import standardize_peak
 from duoscope.functions.tables import cut
-from duoscope.operators import cluster, correlate, donors, embed, filters, harmony, hvg, intervals, motifs, neighbors, normalize, qc, sampling, triplets
+from duoscope.operators import communities, correlate, donors, embed, filters, harmony, hvg, intervals, motifs, neighbors, normalize, qc, sampling, triplets
 from duoscope.sources.readers import peak_sequences
 
 
@@ -89,8 +89,8 @@ def integrate_paired(rna: DataFrame, atac: DataFrame, n_hvgs: int = 2000, n_pcs:
 
 
 def clusters(paired: dict[str, DataFrame], resolution: float = 0.8) -> DataFrame:
-    """id, cluster of the neighbour graph that integrate_paired() returns: modularity moves at the resolution."""
-    return cluster.louvain(paired["neighbors"].select("src", "dst", "weight"), resolution)
+    """id, cluster of the neighbour graph that integrate_paired() returns: Leiden's communities at the resolution."""
+    return communities.leiden(paired["neighbors"].select("src", "dst", "weight"), resolution)
 
 
 def integrate_unpaired(rna: DataFrame, atac: DataFrame, rna_cells: DataFrame, atac_cells: DataFrame, genes: DataFrame, n_hvgs: int = 2000, n_pcs: int = 50, dims: int = 20, lam: float = 1.0, least_shared: int = 200, min_cells: int = 50) -> dict[str, DataFrame]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duoscope.functions.tables import cut
 from duoscope.functions.vectors import doubles, joint, l2_normalize
-from duoscope.operators import cluster, donors, embed, harmony, hvg, layout, neighbors, normalize, sampling, validate
+from duoscope.operators import cluster, communities, donors, embed, harmony, hvg, layout, neighbors, normalize, sampling, validate
 from duoscope.plans import phases
 from duoscope.queries.registry import Context, query
 
@@ -234,12 +235,12 @@ def _vectors(c: Context) -> DataFrame:
 
 @query(_KNN.replace("FILTER", "where a.vec_id <> b.vec_id"))
 def join_knn_self(c: Context) -> DataFrame:
-    return neighbors.knn_blocked(_vectors(c), 20).withColumn("dist", F.round("dist", 6))
+    return neighbors.knn(_vectors(c), 20).withColumn("dist", F.round("dist", 6))
 
 
 @query(_KNN.replace("FILTER", ""))
 def join_knn_including_self(c: Context) -> DataFrame:
-    return neighbors.knn_blocked(_vectors(c), 20, include_self=True).withColumn("dist", F.round("dist", 6))
+    return neighbors.knn(_vectors(c), 20, include_self=True).withColumn("dist", F.round("dist", 6))
 
 
 @query(_KNN.replace("FILTER", "where a.vec_id <> b.vec_id").replace("rank <= 20", "rank <= 3"))
@@ -268,19 +269,38 @@ def emb_concat(c: Context) -> DataFrame:
 
 
 def _edges(c: Context) -> DataFrame:
-    return neighbors.knn_blocked(_vectors(c), 10)
+    return neighbors.knn(_vectors(c), 10)
 
 
-@query(_KNN.replace("FILTER", "where a.vec_id <> b.vec_id").replace("select src, dst, round(dist, 6) as dist, rank from r where rank <= 20", "select src, dst, round(1 / (1 + dist), 6) as weight from r where rank <= 10"))
+#: The fuzzy graph of 11 neighbours, the cell itself among them: 64 halvings find each bandwidth.
+_GRAPH = _KNN.replace("with d as", "with recursive d as").replace("FILTER", "where a.vec_id <> b.vec_id").replace("select src, dst, round(dist, 6) as dist, rank from r where rank <= 20", "") + """,
+near as (select src, list(dist order by rank) as l, coalesce(min(dist) filter (dist > 0), 0) as one, sum(dist) / 11 as mean from r where rank <= 10 group by src),
+far as (select src, list_transform(l, lambda x: greatest(x - one, 0)) as f, one, mean from near),
+half as (select 0 as step, src, 0.0::double as low, 'inf'::double as high from far
+  union all select step + 1, src, case when t > log2(11.0::double) then low else m end, case when t > log2(11.0::double) then m else high end
+  from (select step, src, low, high, m, list_sum(list_transform(f, lambda x: exp(-x / m))) as t from
+    (select step, h.src, low, high, f, case when high < 'inf'::double then (low + high) / 2 when low > 0 then 2 * low else 1 end as m from half h join far on far.src = h.src where step < 64))),
+band as (select src, one, greatest(case when high < 'inf'::double then (low + high) / 2 when low > 0 then 2 * low else 1 end, 1e-3::double * mean) as b from half join far using (src) where step = 64),
+directed as (select src, dst, case when dist <= one then 1 else exp(-(dist - one) / b) end as w from r join band using (src) where rank <= 10),
+graph as (select src, dst, 1 - product(1 - w) as weight from (select * from directed union all select dst, src, w from directed) group by 1, 2)"""
+
+
+@query(_GRAPH + " select src, dst, round(weight, 6) as weight from graph")
 def nbr_graph(c: Context) -> DataFrame:
-    return _edges(c).select("src", "dst", F.round(1 / (1 + F.col("dist")), 6).alias("weight"))
+    return neighbors.neighbour_graph(_vectors(c), 11).withColumn("weight", F.round("weight", 6))
 
 
 _WNN = """with x as (select vec_id as id, (embedding::double[])[1:32] as r, (embedding::double[])[33:64] as a from {vectors}),
 p as (select s.id as src, t.id as dst, round(list_distance(s.r, t.r), 9) as dr, round(list_distance(s.a, t.a), 9) as da from x s join x t on s.id <> t.id),
-er as (select src, dst, dr as d from (select *, row_number() over (partition by src order by dr, dst) as i from p) where i <= 10),
-ea as (select src, dst, da as d from (select *, row_number() over (partition by src order by da, dst) as i from p) where i <= 10),
-nr as (select src as id, min(d) as d1, max(d) as sigma from er group by 1), na as (select src as id, min(d) as d1, max(d) as sigma from ea group by 1),
+cr as (select src, dst, dr as d, i from (select *, row_number() over (partition by src order by dr, dst) as i from p) where i <= 200),
+ca as (select src, dst, da as d, i from (select *, row_number() over (partition by src order by da, dst) as i from p) where i <= 200),
+er as (select src, dst, d from cr where i <= 10), ea as (select src, dst, d from ca where i <= 10),
+sh_r as (select u.src, v.src as dst, count(*) as shared from er u join er v on u.dst = v.dst and u.src <> v.src group by 1, 2),
+sh_a as (select u.src, v.src as dst, count(*) as shared from ea u join ea v on u.dst = v.dst and u.src <> v.src group by 1, 2),
+br as (select src, avg(dr) as s from (select s.src, dr, row_number() over (partition by s.src order by shared, dr desc, s.dst) as i from sh_r s join p on p.src = s.src and p.dst = s.dst) where i <= 20 group by 1),
+ba as (select src, avg(da) as s from (select s.src, da, row_number() over (partition by s.src order by shared, da desc, s.dst) as i from sh_a s join p on p.src = s.src and p.dst = s.dst) where i <= 20 group by 1),
+nr as (select er.src as id, min(d) as d1, coalesce(any_value(br.s), max(d)) as sigma from er left join br on br.src = er.src group by 1),
+na as (select ea.src as id, min(d) as d1, coalesce(any_value(ba.s), max(d)) as sigma from ea left join ba on ba.src = ea.src group by 1),
 pr as (select id, sqrt(sum(pow(r[i] - own, 2))) as own, sqrt(sum(pow(r[i] - other, 2))) as other from
   (select x.id, x.r, i, (select avg(y.r[i]) from er join x y on y.id = er.dst where er.src = x.id) as own, (select avg(y.r[i]) from ea join x y on y.id = ea.dst where ea.src = x.id) as other from x, (select unnest(range(1, 33)) as i)) group by id),
 pa as (select id, sqrt(sum(pow(a[i] - own, 2))) as own, sqrt(sum(pow(a[i] - other, 2))) as other from
@@ -288,7 +308,7 @@ pa as (select id, sqrt(sum(pow(a[i] - own, 2))) as own, sqrt(sum(pow(a[i] - othe
 sr as (select id, exp(-greatest(own - d1, 0) / greatest(sigma - d1, 1e-9)) / (exp(-greatest(other - d1, 0) / greatest(sigma - d1, 1e-9)) + 1e-4::double) as s from pr join nr using (id)),
 sa as (select id, exp(-greatest(own - d1, 0) / greatest(sigma - d1, 1e-9)) / (exp(-greatest(other - d1, 0) / greatest(sigma - d1, 1e-9)) + 1e-4::double) as s from pa join na using (id)),
 mw as (select sr.id, 1 / (1 + exp(sa.s - sr.s)) as rna_weight from sr join sa using (id)),
-e as (select src, dst from er union select src, dst from ea),
+e as (select src, dst from cr union select src, dst from ca),
 f as (select e.src, e.dst, rna_weight, rna_weight * exp(-greatest(dr - nr.d1, 0) / greatest(nr.sigma - nr.d1, 1e-9)) + (1 - rna_weight) * exp(-greatest(da - na.d1, 0) / greatest(na.sigma - na.d1, 1e-9)) as weight
   from e join p on p.src = e.src and p.dst = e.dst join nr on nr.id = e.src join na on na.id = e.src join mw on mw.id = e.src),
 g as (select *, row_number() over (partition by src order by round(weight, 9) desc, dst) as i from f)
@@ -326,6 +346,31 @@ def clu_label_propagation(c: Context) -> DataFrame:
     return cluster.label_propagation(e, 5)
 
 
+#: Labels that spread over the fuzzy graph, and the modularity that they come to.
+_LABELS = _GRAPH + """, twice as (select src, dst, sum(weight) as weight from (select * from graph union all select dst, src, weight from graph) group by 1, 2),
+e as (select * from twice union all select src, src, max(weight) * 0.5 from twice group by src),
+l0 as (select distinct src as id, src as cluster from e)"""
+for _i in range(5):
+    _LABELS += f""", v{_i} as (select src, cluster, round(sum(weight), 9) as w from e join l{_i} on id = dst group by 1, 2),
+l{_i + 1} as (select src as id, cluster from (select *, row_number() over (partition by src order by w desc, cluster) as i from v{_i}) where i = 1)"""
+_LABELS += """, m as (select sum(weight) as m from graph), ends as (select a.cluster as a, b.cluster as b, weight from graph join l5 a on a.id = src join l5 b on b.id = dst),
+q as (select (select sum(weight) from ends where a = b) / any_value(m) - 0.8 * sum(k * k) / any_value(m * m) as q from (select a, sum(weight) as k from ends group by 1), m)"""
+
+
+@query(_LABELS + """ select measure, value from (select 'modularity of spread labels' as measure, round(q, 6) as value from q union all select 'cells', cast(count(*) as double) from {vectors}
+union all select unnest(['cells twice', 'clusters in pieces', 'modularity below that of spread labels', 'modularity below that of one cluster']), 0.0)""")
+def clu_leiden(c: Context) -> DataFrame:
+    """How the communities of the neighbour graph of all vectors stand against labels that spread over the same graph."""
+    graph = cut(neighbors.neighbour_graph(_vectors(c), 11), "graph")
+    found = cut(communities.leiden(graph, 0.8), "clusters")
+    spread = cluster.label_propagation(graph, 5)
+    q, of_spread = cluster.modularity(graph, found, 0.8), cluster.modularity(graph, spread, 0.8)
+    pieces = communities.connected_parts(graph, found).select("cluster").distinct().count() - found.select("cluster").distinct().count()
+    cells, ids = found.agg(F.count("*"), F.count_distinct("id")).first()
+    rows = {"modularity of spread labels": round(of_spread, 6), "cells": cells, "cells twice": cells - ids, "clusters in pieces": pieces, "modularity below that of spread labels": q < of_spread, "modularity below that of one cluster": q < 0.2}
+    return c.spark.createDataFrame([(k, float(v)) for k, v in rows.items()], "measure string, value double")
+
+
 @query("select s_suppkey as id, min(s_suppkey) over (partition by s_nationkey) as cluster from {supplier} where s_nationkey in (select s_nationkey from {supplier} group by 1 having count(*) >= 2)")
 def clu_louvain(c: Context) -> DataFrame:
     """Cliques of the suppliers of a nation, whose first members stand in a ring of very weak edges."""
@@ -333,7 +378,7 @@ def clu_louvain(c: Context) -> DataFrame:
     clique = s.alias("a").join(s.alias("b"), "n").where("a.id < b.id").select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.lit(1.0).alias("weight"))
     many = s.groupBy("n").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c >= 2")
     ring = many.withColumn("next", F.lead("id").over(Window.orderBy("n"))).where("next is not null").select(F.col("id").alias("src"), F.col("next").alias("dst"), F.lit(1e-4).alias("weight"))
-    return cluster.louvain(clique.union(ring), 0.8)
+    return communities.louvain(clique.union(ring), 0.8)
 
 
 _VOTE = "with g as (select vec_id, label, vec_id % 20 as cluster from {vectors}), n as (select cluster, label, row_number() over (partition by cluster order by count(*) desc, label) as r from g group by 1, 2) select vec_id, n.label as label from g join n on g.cluster = n.cluster and r = 1"
