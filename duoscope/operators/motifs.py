@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -42,7 +43,7 @@ def threshold_exact(matrix: np.ndarray, p: float = MOTIF_P, step: float = 1e-3)
             out[cells[i, j] : cells[i, j] + len(dist)] += dist / 4
         dist = out
     tail = np.cumsum(dist[::-1])[::-1]
-    ok = np.nonzero(tail <= p * (1 + 1e-12))[0]
+    ok = np.nonzero((tail <= p * (1 + 1e-12)) & (dist > 0))[0]  # scores that some word has
     at = ok[0] if len(ok) else len(dist) - 1
     return float(low.sum() + at * step)
 
@@ -102,17 +103,138 @@ def best_scores(seq: str, matrix: np.ndarray) -> float:
     return best
 
 
+#: Letters of a window that are looked up at once, and codes of such windows.
+AHEAD = 8
+_CODES = 4**AHEAD
+#: So many entries the table of windows may have; motifs beyond it are scored on every window.
+MAX_ENTRIES = 1 << 24
+_SLACK = 1e-6
+
+
+@dataclass
+class Lookahead:
+    """Both strands of motifs, and for each window of AHEAD letters those that it may begin, or be in, a hit of.
+
+    weights: strands x columns x 4, zero beyond a strand's width; least: thresholds; ahead: where the AHEAD columns begin;
+    order: columns by information, greatest first; rest: the most that the columns from each place of that order on can
+    add; starts and entries: the strands of window w are entries[starts[w] : starts[w + 1]]; always: strands that are in no
+    table, as too many windows would pass.
+    """
+
+    motif: list[str]
+    weights: np.ndarray
+    width: np.ndarray
+    least: np.ndarray
+    ahead: np.ndarray
+    order: np.ndarray
+    rest: np.ndarray
+    starts: np.ndarray
+    entries: np.ndarray
+    always: np.ndarray
+
+
+def lookahead(motifs: dict[str, np.ndarray], least: dict[str, float]) -> Lookahead | None:
+    """The index of the motifs (4 x W each) that have a threshold; None without any."""
+    strands = [(k, m) for k in sorted(motifs) if k in least for m in (motifs[k], motifs[k][::-1, ::-1])]
+    if not strands:
+        return None
+    n, most = len(strands), max(AHEAD, max(m.shape[1] for _, m in strands))
+    weights, width = np.zeros((n, most, 4)), np.array([m.shape[1] for _, m in strands])
+    for i, (_, m) in enumerate(strands):
+        weights[i, : width[i]] = m.T
+    bound = np.array([round(least[k], 9) for k, _ in strands]) - _SLACK
+    # a column tells more, the farther its letters' weights lie apart
+    tells = np.where(np.arange(most) < width[:, None], weights.var(axis=2), -1.0)
+    order = np.argsort(-tells, axis=1, kind="stable")
+    best = weights.max(axis=2)
+    ordered = np.take_along_axis(best, order, 1)
+    rest = np.concatenate([np.cumsum(ordered[:, ::-1], axis=1)[:, ::-1], np.zeros((n, 1))], axis=1)
+    ahead, passing, always, entries = np.zeros(n, np.int64), [], [], 0
+    for i in range(n):
+        spans = range(max(1, int(width[i]) - AHEAD + 1))
+        at = max(spans, key=lambda j: (tells[i, j : j + AHEAD].clip(0).sum(), -j))  # noqa: B023
+        ahead[i] = at
+        sums = np.zeros(1)
+        for j in range(at, at + AHEAD):
+            sums = (sums[:, None] + weights[i, j][None]).ravel()
+        codes = np.flatnonzero(sums + best[i].sum() - best[i, at : at + AHEAD].sum() >= bound[i])
+        entries += len(codes)
+        if entries > MAX_ENTRIES:
+            always.append(i)
+            entries -= len(codes)
+            codes = codes[:0]
+        passing.append(codes)
+    of = np.repeat(np.arange(n), [len(c) for c in passing])
+    codes = np.concatenate(passing)
+    by_code = np.argsort(codes, kind="stable")
+    starts = np.searchsorted(codes[by_code], np.arange(_CODES + 1))
+    return Lookahead([k for k, _ in strands], weights, width, bound, ahead, order, rest, starts, of[by_code].astype(np.int32), np.array(always, np.int64))
+
+
+_LETTERS = np.full(256, -1, np.int8)
+_LETTERS[np.frombuffer(BASES.encode(), np.uint8)] = np.arange(4)
+
+
+def hits_of(seq: str, index: Lookahead, chunk: int = 2048) -> tuple[list[str], int]:
+    """The motifs with a window of the sequence, on either strand, that reaches the threshold; and how many windows were
+    scored beyond the table.
+
+    The letters are coded once for all motifs. Windows that the table lets through are scored column by column, the most
+    telling first, and dropped when the columns that are left can't lift them to the threshold.
+    """
+    code = _LETTERS[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)].astype(np.int64)
+    n, most = len(code), index.weights.shape[1]
+    bad = np.concatenate([[0], np.cumsum(code < 0)])
+    padded = np.concatenate([np.maximum(code, 0), np.zeros(most, np.int64)])
+    windows = np.zeros(n, np.int64)
+    for j in range(AHEAD):
+        windows = windows * 4 + padded[j : j + n]
+    found = np.zeros(len(index.motif), bool)
+    scored = 0
+    for a in range(0, n, chunk):
+        w = windows[a : a + chunk]
+        many = index.starts[w + 1] - index.starts[w]
+        first = np.repeat(index.starts[w] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+        strand = index.entries[first + np.arange(many.sum())].astype(np.int64)
+        at = np.repeat(np.arange(a, a + len(w)), many)
+        if len(index.always):
+            strand = np.concatenate([strand, np.repeat(index.always, len(w))])
+            at = np.concatenate([at, np.tile(np.arange(a, a + len(w)), len(index.always))])
+        at = at - index.ahead[strand]
+        ends = at + index.width[strand]
+        keep = (at >= 0) & (ends <= n) & ~found[strand]
+        strand, at, ends = strand[keep], at[keep], ends[keep]
+        keep = bad[ends] == bad[at]
+        strand, at = strand[keep], at[keep]
+        scored += len(strand)
+        score = np.zeros(len(strand))
+        for r in range(most):
+            column = index.order[strand, r]
+            score += index.weights[strand, column, padded[at + column]]
+            keep = score + index.rest[strand, r + 1] >= index.least[strand]
+            strand, at, score = strand[keep], at[keep], score[keep]
+            if not len(strand):
+                break
+        exact = np.zeros(len(strand))
+        for j in range(most):  # in the order of the columns, as the threshold is met to the ninth place
+            exact += index.weights[strand, j, padded[at + j]]
+        found[strand[np.round(exact, 9) >= np.round(index.least[strand] + _SLACK, 9)]] = True
+    return sorted({index.motif[i] for i in np.flatnonzero(found)}), scored
+
+
 def scan(sequences: DataFrame, pwm: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """scan_relational() in Arrow batches: every motif over a sequence at once, with no row per base.
+    """scan_relational() in Arrow batches by lookahead: every motif over a sequence at once, with no row per base.
 
-    The matrices go to the executors as a broadcast of their size (four doubles a column).
+    sequences: peak, seq; a null or empty sequence has no hits. The index goes to the executors as a broadcast of a bounded
+    size: the matrices, and MAX_ENTRIES entries of 4 bytes.
     """
     t = {r["motif_id"]: r["threshold"] for r in thresholds.limit(MAX_WEIGHTS).collect()}
-    sent = sequences.sparkSession.sparkContext.broadcast([(k, m, t[k]) for k, m in sorted(matrices(pwm).items()) if k in t])
+    index = lookahead(matrices(pwm), t)
+    sent = sequences.sparkSession.sparkContext.broadcast(index)
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(k, p) for p, s in zip(pdf["peak"], pdf["seq"], strict=True) if s for k, m, least in sent.value if round(best_scores(s, m), 9) >= round(least, 9)]
+            found = [(k, p) for p, s in zip(pdf["peak"], pdf["seq"], strict=True) if s and sent.value for k in hits_of(s, sent.value)[0]]
             yield pd.DataFrame(found, columns=["motif_id", "peak"])
 
     return sequences.select("peak", "seq").mapInPandas(hits, "motif_id string, peak string").distinct()

@@ -236,7 +236,8 @@ def wnn(rna: DataFrame, atac: DataFrame, k: int = 20, candidates: int = 200, ban
     e = wide["rna"].select("src", "dst").union(wide["atac"].select("src", "dst")).distinct()
     for m in ("rna", "atac"):
         e = e.join(x[m].select(F.col("id").alias("src"), F.col("vec").alias("a")), "src").join(x[m].select(F.col("id").alias("dst"), F.col("vec").alias("b")), "dst").join(near[m].withColumnRenamed("id", "src"), "src")
-        e = e.withColumn(f"f_{m}", affinity(distance(F.col("a"), F.col("b")), F.col("d1"), F.col("sigma"))).drop("a", "b", "d1", "sigma")
+        e = e.withColumn(f"f_{m}", affinity(F.round(distance(F.col("a"), F.col("b")), 9), F.col("d1"), F.col("sigma")))  # as in the lists
+        e = e.drop("a", "b", "d1", "sigma")
     e = e.join(w.withColumnRenamed("id", "src"), "src").withColumn("weight", F.col("rna_weight") * F.col("f_rna") + (1 - F.col("rna_weight")) * F.col("f_atac"))
     e = e.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("weight", 9)), "dst"))).where(F.col("r") <= k)
     out = cut(e.select("src", "dst", "weight", "rna_weight"), "fused")

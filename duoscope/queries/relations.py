@@ -190,25 +190,18 @@ def validate_matrix(c: Context) -> DataFrame:
     return checked.union(validate.check_matrix(bad, c.cells, peaks).withColumn("planted", F.lit(True))).select("planted", "check", "passed")
 
 
-_PWM = [("m1", ["AC", "A", "CT", "A"]), ("m2", ["T", "AG", "C"]), ("m3", ["C", "C", "A", "N", "T"])]
-
-
-def pwm_rows() -> list[tuple[str, int, str, float]]:
-    return [(m, i, b, 1.25 if b in cols[i] else -0.75 if cols[i] != "N" else 0.0) for m, cols in _PWM for i in range(len(cols)) for b in "ACGT"]
-
-
 def pwm(c: Context) -> DataFrame:
-    return c.spark.createDataFrame(pwm_rows(), "motif_id string, pos int, base string, weight double")
+    """A motif for each type of part: how often which size remainder stands in which place of the keys, as log odds."""
+    return c.pwm
 
 
-_PWM_SQL = "select * from (values " + ", ".join(f"('{m}', {i}, '{b}', {w}::double)" for m, i, b, w in pwm_rows()) + ") p(motif_id, pos, base, weight)"
-_NORMAL = f"""with pwm as ({_PWM_SQL}), per as (select motif_id, pos, avg(weight) as m, var_pop(weight) as v, min(weight) as lo, max(weight) as hi from pwm group by 1, 2),
+_NORMAL = """with per as (select motif_id, pos, avg(weight) as m, var_pop(weight) as v, min(weight) as lo, max(weight) as hi from {pwm} group by 1, 2),
 s as (select motif_id, sum(m) as m, sum(v) as v, sum(lo) as lo, sum(hi) as hi from per group by 1),
 t as (select motif_id, case when v > 0 then greatest(lo, least(hi, m + ZZ * sqrt(v))) else hi end as threshold from s)"""
 
 
-_EXACT = f"""with recursive pwm as ({_PWM_SQL}), width as (select motif_id, max(pos) + 1 as w from pwm group by 1),
-words as (select motif_id, 0 as pos, 0::double as score from width union all select x.motif_id, x.pos + 1, x.score + p.weight from words x join pwm p on p.motif_id = x.motif_id and p.pos = x.pos),
+_EXACT = """with recursive width as (select motif_id, max(pos) + 1 as w from {pwm} group by 1),
+words as (select motif_id, 0 as pos, 0::double as score from width union all select x.motif_id, x.pos + 1, x.score + p.weight from words x join {pwm} p on p.motif_id = x.motif_id and p.pos = x.pos),
 scores as (select x.motif_id, w, round(score, 3) as score, count(*) as n from words x join width using (motif_id) where pos = w group by 1, 2, 3),
 tails as (select *, sum(n) over (partition by motif_id order by score desc) / pow(4.0, w) as tail from scores)
 select motif_id, round(coalesce(min(case when tail <= pow(5.0, -4) * (1 + 1e-12) then score end), max(score)), 6) as threshold from tails group by 1"""
@@ -230,15 +223,15 @@ def pwm_threshold_normal(c: Context) -> DataFrame:
     return motifs.threshold_normal(pwm(c)).withColumn("threshold", F.round("threshold", 6))
 
 
-@query(_normal_sql(" select p.motif_id, cast(w - 1 - pos as int) as pos, translate(base, 'ACGT', 'TGCA') as base, weight from pwm p join (select motif_id, max(pos) + 1 as w from pwm group by 1) x on p.motif_id = x.motif_id"))
+@query(_normal_sql(" select p.motif_id, cast(w - 1 - pos as int) as pos, translate(base, 'ACGT', 'TGCA') as base, weight from {pwm} p join (select motif_id, max(pos) + 1 as w from {pwm} group by 1) x on p.motif_id = x.motif_id"))
 def pwm_revcomp(c: Context) -> DataFrame:
     return motifs.reverse_complement(pwm(c))
 
 
-_SCAN = """, both_ as (select motif_id, pos, base, weight, '+' as strand from pwm union all select p.motif_id, w - 1 - pos, translate(base, 'ACGT', 'TGCA'), weight, '-' from pwm p join (select motif_id, max(pos) + 1 as w from pwm group by 1) x on p.motif_id = x.motif_id),
+_SCAN = """, both_ as (select motif_id, pos, base, weight, '+' as strand from {pwm} union all select p.motif_id, w - 1 - pos, translate(base, 'ACGT', 'TGCA'), weight, '-' from {pwm} p join (select motif_id, max(pos) + 1 as w from {pwm} group by 1) x on p.motif_id = x.motif_id),
 letters as (select peak, i, substr(seq, cast(i + 1 as int), 1) as base from (select peak, seq, unnest(range(length(seq))) as i from {seqs})),
 sc as (select motif_id, strand, peak, i - pos as at_, sum(weight) as score, count(*) as n from letters join both_ using (base) group by 1, 2, 3, 4),
-best as (select sc.motif_id, peak, max(round(score, 9)) as best from sc join (select motif_id, max(pos) + 1 as w from pwm group by 1) x on sc.motif_id = x.motif_id where n = w group by 1, 2)
+best as (select sc.motif_id, peak, max(round(score, 9)) as best from sc join (select motif_id, max(pos) + 1 as w from {pwm} group by 1) x on sc.motif_id = x.motif_id where n = w group by 1, 2)
 select best.motif_id, peak from best join t on best.motif_id = t.motif_id where best >= round(threshold, 9)"""
 
 

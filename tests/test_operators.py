@@ -111,18 +111,43 @@ def test_motif_thresholds_and_strands(spark):
     assert flat["flat"] == 0.5
 
 
+def test_lookahead_against_every_window(monkeypatch):
+    """Motifs from 3 to 15 columns, strict and lax, sequences with gaps: the hits of the plain scan, few windows scored."""
+    r = np.random.RandomState(11)
+    mats = {f"m{i}": np.round(np.log((r.dirichlet([0.3] * 4, w).T + 0.01) / 1.04 * 4), 3) for i, w in enumerate(r.randint(3, 16, 40))}
+    least = {k: motifs.threshold_exact(m, motifs.MOTIF_P / (1 if i % 3 else 20)) for i, (k, m) in enumerate(mats.items())}
+    seqs = ["".join(r.choice(list("ACGTN"), p=[0.24, 0.25, 0.25, 0.25, 0.01], size=n)) for n in (0, 1, 2, 7, 8, 30, 500, 5000)] + ["ACGT" * 50, "NNNN"]
+    for limit in (motifs.MAX_ENTRIES, 20_000, 0):  # all motifs in the table, some, none
+        monkeypatch.setattr(motifs, "MAX_ENTRIES", limit)
+        index = motifs.lookahead(mats, least)
+        assert (len(index.always) == 0) == (limit > 20_000) and (len(index.always) == 80) == (limit == 0)
+        for s in seqs:
+            found, scored = motifs.hits_of(s, index)
+            assert found == sorted(k for k, m in mats.items() if round(motifs.best_scores(s, m), 9) >= round(least[k], 9))
+    monkeypatch.undo()
+    strict = {k: m for k, m in mats.items() if m.shape[1] >= 8}
+    rare = {k: motifs.threshold_exact(m, 1e-5) for k, m in strict.items()}
+    _, scored = motifs.hits_of(seqs[7], motifs.lookahead(strict, rare))
+    assert scored < 0.02 * 2 * len(strict) * len(seqs[7])
+    assert motifs.lookahead(mats, {}) is None
+
+
 def test_motif_queries_read_whole_sequences(spark, tmp_path):
     from duoscope.queries import relations
-    from duoscope.queries.registry import QUERIES
+    from duoscope.queries.registry import QUERIES, Context
 
     r = np.random.RandomState(3)
     docs = [(i, "".join(r.choice(list("acgtn -x"), p=[0.05, 0.05, 0.05, 0.75, 0.02, 0.04, 0.02, 0.02], size=n))) for i, n in enumerate((3, 20, 90, 200, 200, 300, 900), 1)]
     docs += [(20, "t" * 200), (21, "t" * 150 + "acca" + "t" * 9), (22, "t" * 400 + "ccagt"), (23, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    cols, weight = {}, {(m, i, b): w for m, i, b, w in relations.pwm_rows()}
+    parts = [(i, "TT" if i % 3 else "T", [3, 3, 3, 1, 0, 2][i % 6] + 4 * (i % 5 == 0)) for i in range(200)]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    own = relations.pwm(Context(spark, str(tmp_path)))
+    cols, weight = {}, {(x.motif_id, x.pos, x.base): x.weight for x in own.collect()}
+    assert len(weight) == 4 * (5 + 6)
     for m, i, _ in weight:
         cols[m] = max(cols.get(m, 0), i + 1)
-    least = {x.motif_id: x.threshold for x in motifs.threshold_normal(relations.pwm(type("C", (), {"spark": spark}))).collect()}
+    least = {x.motif_id: x.threshold for x in motifs.threshold_normal(own).collect()}
     want, flip = set(), str.maketrans("ACGT", "TGCA")
     for d, t in docs:
         seq = "".join(x for x in (t or "").upper() if x in "ACGTN")
