@@ -4,43 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duoscope.functions.tables import cut
 from duoscope.operators.filters import detected_features, positive_sum_features
 from duoscope.operators.normalize import moments
 
 
-def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3, at: int = 400) -> np.ndarray:
-    """Local quadratic regression with tricube weights, fitted at quantiles of x and interpolated between them."""
-    order = np.argsort(x, kind="stable")
-    xs, ys = x[order], y[order]
-    n = len(xs)
-    k = min(n, max(4, int(np.ceil(span * n))))
-    knots = np.unique(np.quantile(xs, np.linspace(0, 1, min(at, n))))
-    fit = np.empty(len(knots))
-    for i, c in enumerate(knots):
-        lo = int(np.clip(np.searchsorted(xs, c) - k // 2, 0, n - k))
-        while lo > 0 and c - xs[lo - 1] < xs[lo + k - 1] - c:
-            lo -= 1
-        while lo + k < n and xs[lo + k] - c < c - xs[lo]:
-            lo += 1
-        u, v = xs[lo : lo + k] - c, ys[lo : lo + k]
-        w = np.sqrt(np.clip(1 - (np.abs(u) / max(np.abs(u).max(), 1e-12)) ** 3, 0, 1) ** 3 + 1e-9)
-        a = np.vstack([np.ones(k), u, u * u]).T
-        fit[i] = np.linalg.lstsq(a * w[:, None], v * w, rcond=None)[0][0]
-    return np.interp(x, knots, fit)
+def local_fit(points: DataFrame, span: float = 0.3, bins: int = 400) -> DataFrame:
+    """The points (x, y and any other columns) with `fit`: a local quadratic regression of y on x with tricube weights.
+
+    The points are summed up in `bins` bins of x, each of which stands at the mean of its points; a fit is made at each
+    bin, over the bins that hold the nearest `span` of the points, by a 3 x 3 solve of their weighted sums, and lies
+    between two fits on a line. One pass over the points makes the bins, another reads off the fits: what is between is
+    bins x bins rows, whatever the number of points. Bins that determine no quadratic have their weighted mean as fit.
+    """
+    ends = points.agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"), F.count("*").alias("__all"))
+    step = F.when(F.col("__hi") > F.col("__lo"), (F.col("__hi") - F.col("__lo")) / bins).otherwise(1.0)
+    placed = points.crossJoin(ends).withColumn("__bin", F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("__lo")) / step)))
+    bin_ = cut(placed.groupBy("__bin").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.avg("y").alias("v"), F.first("__all").alias("n_all"), F.first(step).alias("step")), "bins")
+    at, of = bin_.select(F.col("__bin").alias("knot"), F.col("m").alias("c"), "n_all", "step"), bin_.select("__bin", "n", "m", "v")
+    pairs = at.crossJoin(of).withColumn("d", F.abs(F.col("m") - F.col("c")))
+    upto = F.sum("n").over(Window.partitionBy("knot").orderBy("d", "__bin"))
+    pairs = pairs.withColumn("upto", upto).withColumn("k", F.greatest(F.lit(4), F.ceil(F.col("n_all") * span)))
+    reach = F.min(F.when(F.col("upto") >= F.least("k", "n_all"), F.col("d"))).over(Window.partitionBy("knot"))
+    pairs = pairs.withColumn("h", F.greatest(reach, F.col("step"))).where("d < h")
+    u, w = (F.col("m") - F.col("c")) / F.col("h"), F.col("n") * F.pow(1 - F.pow(F.col("d") / F.col("h"), 3), 3)
+    sums = pairs.groupBy("knot", "c").agg(*(F.sum(w * F.pow(u, i)).alias(f"s{i}") for i in range(5)), *(F.sum(w * F.pow(u, i) * F.col("v")).alias(f"t{i}") for i in range(3)))
+    det = "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))"
+    value = F.expr(f"case when {det} > 1e-9D * s0 * s2 * s4 then (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / {det} else t0 / s0 end")
+    order = Window.orderBy("c")  # a row for each bin
+    fits = sums.select("knot", "c", value.alias("a"))
+    for name, beside in (("after", F.lead), ("before", F.lag)):
+        fits = fits.withColumn(f"c_{name}", beside("c").over(order)).withColumn(f"a_{name}", beside("a").over(order))
+    line = lambda c, a: F.col("a") + (F.col("x") - F.col("c")) / (F.col(c) - F.col("c")) * (F.col(a) - F.col("a"))
+    side = F.when((F.col("x") >= F.col("c")) & F.col("c_after").isNotNull(), line("c_after", "a_after")).when((F.col("x") < F.col("c")) & F.col("c_before").isNotNull(), line("c_before", "a_before"))
+    found = placed.join(fits, F.col("__bin") == F.col("knot"))
+    return found.select(*points.columns, F.coalesce(side, F.col("a")).alias("fit"))
 
 
 def fitted_sd(feature_moments: DataFrame, span: float = 0.3) -> DataFrame:
-    """feature_id, mean, var, sd_hat: the LOESS step on the driver, one point a feature (some 10**5)."""
-    m = feature_moments.where("var > 0 and mean > 0").toPandas()
-    schema = f"feature_id {dict(feature_moments.dtypes)['feature_id']}, mean double, var double, sd_hat double"
-    if len(m) < 3:
-        return feature_moments.sparkSession.createDataFrame([], schema)
-    y = loess(np.log10(m["mean"].to_numpy()), np.log10(m["var"].to_numpy()), span)
-    return feature_moments.sparkSession.createDataFrame(m.assign(sd_hat=np.sqrt(10.0**y))[["feature_id", "mean", "var", "sd_hat"]], schema)
+    """feature_id, mean, var, sd_hat: what a local fit of log10 var on log10 mean expects of a feature of that mean."""
+    m = feature_moments.where("var > 0 and mean > 0").select("feature_id", "mean", "var", F.log10("mean").alias("x"), F.log10("var").alias("y"))
+    return local_fit(m, span).select("feature_id", "mean", "var", F.sqrt(F.pow(F.lit(10.0), F.col("fit"))).alias("sd_hat"))
 
 
 def standardized_variance(counts: DataFrame, fit: DataFrame, n_cells: int) -> DataFrame:
@@ -61,7 +68,7 @@ def top_features(scores: DataFrame, n: int, by: str = "norm_var") -> DataFrame:
 def select_variable(counts: DataFrame, n_cells: int, n_features: int, span: float = 0.3, min_cells: int = 3, fit: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The n most variable features by standardized variance of raw counts, among those detected in min_cells cells.
 
-    n_cells are the cells that the counts are of, absent ones included. fit makes sd_hat from moments: LOESS by default,
+    n_cells are the cells that the counts are of, absent ones included. fit makes sd_hat from moments: fitted_sd() by default,
     or quadratic_fit().
     """
     fit = fit or (lambda m: fitted_sd(m, span))

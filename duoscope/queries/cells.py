@@ -183,9 +183,29 @@ def topk_features(c: Context) -> DataFrame:
     return hvg.top_features(hvg.standardized_variance(c.rna, hvg.quadratic_fit(normalize.moments(c.rna, n)), n), 100).select("feature_id")
 
 
-@query(None)
+#: Features of three cells or more, and a local quadratic fit over 400 bins of their log means.
+_LOCAL = """with k as (select count(*)::double as n from {cells}), seen as (select feature_id from {rna} group by 1 having count(*) filter (value > 0) >= 3 and sum(value) > 0),
+m as (select feature_id, sum(value) / n as mean, greatest(0, (sum(value * value) - n * (sum(value) / n) * (sum(value) / n)) / (n - 1)) as var from {rna} join seen using (feature_id) cross join k group by feature_id, n),
+p as (select feature_id, mean, log10(mean) as x, log10(var) as y from m where var > 0 and mean > 0),
+e as (select min(x) as lo, max(x) as hi, count(*) as n_all, case when max(x) > min(x) then (max(x) - min(x)) / 400 else 1.0::double end as step from p),
+b as (select *, least(399, floor((x - lo) / step)) as bin from p cross join e),
+bins as (select bin, count(*) as n, avg(x) as m, avg(y) as v from b group by 1),
+pairs as (select a.bin as knot, a.m as c, o.n, o.m, o.v, abs(o.m - a.m) as d, sum(o.n) over (partition by a.bin order by abs(o.m - a.m), o.bin) as upto from bins a cross join bins o),
+near as (select *, greatest(min(case when upto >= least(greatest(4, ceil(n_all * 0.3::double)), n_all) then d end) over (partition by knot), step) as h from pairs cross join e),
+w as (select knot, c, (m - c) / h as u, v, n * pow(1 - pow(d / h, 3), 3) as w from near where d < h),
+s as (select knot, c, sum(w) as s0, sum(w * u) as s1, sum(w * u * u) as s2, sum(w * pow(u, 3)) as s3, sum(w * pow(u, 4)) as s4, sum(w * v) as t0, sum(w * u * v) as t1, sum(w * u * u * v) as t2 from w group by 1, 2),
+det as (select *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) as det from s),
+knots as (select knot, c, case when det > 1e-9::double * s0 * s2 * s4 then (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det else t0 / s0 end as a from det),
+lines as (select *, lead(c) over o as ca, lead(a) over o as aa, lag(c) over o as cb, lag(a) over o as ab from knots window o as (order by c)),
+fit as (select feature_id, mean, sqrt(pow(10, case when x >= c and ca is not null then a + (x - c) / (ca - c) * (aa - a) when x < c and cb is not null then a + (x - c) / (cb - c) * (ab - a) else a end)) as sd from b join lines on bin = knot),
+z as (select r.feature_id, mean, sd, n, sum(least(value, mean + sd * sqrt(n))) as s, sum(pow(least(value, mean + sd * sqrt(n)), 2)) as q from {rna} r join fit on r.feature_id = fit.feature_id cross join k group by 1, 2, 3, 4),
+v as (select feature_id, (n * mean * mean + q - 2 * mean * s) / ((n - 1) * sd * sd) as norm_var from z)
+select feature_id, round(norm_var, 4) as norm_var from v order by round(norm_var, 9) desc, feature_id limit """
+
+
+@query(_LOCAL + "500")
 def stat_vst_hvg(c: Context) -> DataFrame:
-    return hvg.select_variable(c.rna, c.cells.count(), 500)
+    return hvg.select_variable(c.rna, c.cells.count(), 500).withColumn("norm_var", F.round("norm_var", 4))
 
 
 _DISPERSION = """with x as (select r.cell_id, donor_id as batch, feature_id, value * 1e4::double / sum(value) over (partition by r.cell_id) as v from {rna} r join {cells} c on r.cell_id = c.cell_id),
@@ -203,10 +223,11 @@ def stat_hvg_dispersion(c: Context) -> DataFrame:
     return hvg.select_by_dispersion(normalize.log1p(normalize.total(c.rna)), c.cells, "donor_id", 200).withColumn("z", F.round("z", 5))
 
 
-@query(None)
+@query(_LOCAL + "200")
 def stat_global_hvg(c: Context) -> DataFrame:
+    """There are fewer cells than the total, so that all of them are drawn; stat_global_hvg_drawn draws some."""
     drawn = sampling.per_donor(c.cells, "donor_id", "cell_id")
-    return hvg.select_variable(c.rna.join(drawn.select("cell_id"), "cell_id", "left_semi"), drawn.count(), 200)
+    return hvg.select_variable(c.rna.join(drawn.select("cell_id"), "cell_id", "left_semi"), drawn.count(), 200).withColumn("norm_var", F.round("norm_var", 4))
 
 
 _DRAWN = """with o as (select cell_id, donor_id, row_number() over (partition by donor_id order by md5('0:' || cast(cell_id as string)), cell_id) as r from {cells}),

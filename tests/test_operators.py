@@ -315,8 +315,6 @@ def test_normalization_counts_zeros(spark):
     m = {r.feature_id: (r["mean"], r["var"]) for r in normalize.moments(counts, 4).collect()}
     assert m[1] == (1.5, np.var([2, 4, 0, 0], ddof=1)) and m[2] == (0.5, np.var([2, 0, 0, 0], ddof=1))
     assert rows(normalize.total(counts, 10)) == [(1, 1, 5.0), (1, 2, 5.0), (2, 1, 10.0)]
-    y = hvg.loess(np.linspace(0, 1, 200), np.linspace(0, 1, 200) ** 2, 0.3)
-    assert np.allclose(y, np.linspace(0, 1, 200) ** 2, atol=1e-3)
     x = spark.createDataFrame([(c, f, float((c * 7 + f * 3) % (3 + f) + (60 if f == 5 and c == 3 else 0))) for c in range(40) for f in range(30)], "cell_id long, feature_id long, value double")
     assert 5 in [r.feature_id for r in hvg.select_variable(x, 40, 3).collect()]
 
@@ -499,20 +497,24 @@ def test_neighbours_in_many_blocks(spark, monkeypatch):
     assert rows(neighbors.knn_indexed(v, 3, lists=2, probes=2)) == rows(neighbors.knn(v, 3)) == rows(neighbors.knn(v, 3))
 
 
-def test_variable_features_against_another_fit():
-    """LOESS against a plain weighted regression at each point, written anew."""
+def test_local_fit_against_a_plain_one(spark):
+    """The fit over bins against a weighted regression at each point; few points, equal points, and other columns."""
     r = np.random.RandomState(9)
-    x = np.sort(r.uniform(-2, 2, 120))
-    y = 0.5 * x**2 + x + r.normal(0, 0.2, 120)
-    k = math.ceil(0.3 * 120)
-    want = []
+    x = np.sort(np.r_[r.uniform(-2, 2, 900), r.normal(1, 0.05, 300)])
+    y = 0.5 * x**2 + x + r.normal(0, 0.2, len(x))
+    k, want = math.ceil(0.3 * len(x)), []
     for c in x:
         d = np.abs(x - c)
         h = np.sort(d)[k - 1]
         w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
-        coef = np.polynomial.polynomial.polyfit(x - c, y, 2, w=np.sqrt(w + 1e-300))
-        want.append(coef[0])
-    assert np.abs(hvg.loess(x, y, 0.3) - want).max() < 0.03
+        want.append(np.polynomial.polynomial.polyfit(x - c, y, 2, w=np.sqrt(w + 1e-300))[0])
+    points = lambda x, y: spark.createDataFrame([(i, float(a), float(b), "kept") for i, (a, b) in enumerate(zip(x, y, strict=True))], "feature_id long, x double, y double, step string")
+    rows_ = hvg.local_fit(points(x, y)).orderBy("feature_id").collect()
+    assert np.abs(np.array([v.fit for v in rows_]) - want).max() < 0.03 and {v.step for v in rows_} == {"kept"}
+    assert [v.fit for v in hvg.local_fit(points([1, 1, 1], [2, 3, 4])).collect()] == [3.0] * 3
+    assert hvg.local_fit(points([], [])).count() == 0
+    line = hvg.local_fit(points(range(50), [2 * v + 1 for v in range(50)])).collect()
+    assert all(abs(v.fit - (2 * v.x + 1)) < 1e-9 for v in line)
 
 
 def test_command_line(spark, tmp_path, capsys):
