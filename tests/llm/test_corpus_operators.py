@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from duoscope.llm import line_dedup, minhash, mixing, quality, toxicity, warc
+from duoscope.llm import components, line_dedup, minhash, mixing, quality, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n int, component_id string"
 
@@ -246,6 +246,34 @@ def test_warc_groups_ties_and_repeated_ids(spark, tmp_path):
     assert {x for x in re.findall(rb"WARC-Refers-To: (\S+)", text)} <= set(ids)
 
 
+def test_warc_keeps_text_ids(spark):
+    """Ids with spaces, breaks, percent signs and letters beyond ASCII, the empty one and none, on either side of a revisit."""
+    big = "p" * 1200
+    ids = ["", " y", "x ", "q\r\nz", "ü%41+", "a:b", None, "last\t"]
+    for own in (ids, ["", " "], ["a ", "a"]):
+        pages = spark.createDataFrame([(i, "u", big) for i in own], "page_id string, url string, html string")
+        got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.warc_round_trip(pages).collect())
+        last = max(i for i in own if i is not None)
+        assert got == Counter((i, "response" if i == last else "revisit", None if i == last else last) for i in own)
+
+
+def test_names_with_dots_and_back_ticks(spark):
+    """Columns of any name pass through the operators that return whole documents."""
+    text = "\n".join(" ".join(f"w{i}{j}" for j in range(12)) for i in range(6))
+    rows = [(i, text + f" end{i}" * (i % 3), "en", "s", 0, 1.5, "k", i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` double, `c``d` string, `__row` long")
+    for out in (quality.clean_documents(docs), minhash.first_of_each_class(docs, k=5), mixing.mix(docs, mixing.WEIGHTS, whole_rows=True), line_dedup.dedup_lines(docs)):
+        assert out.dtypes == docs.dtypes
+        assert {(r["a.b"], r["c`d"]) for r in out.collect()} == {(1.5, "k")}
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    """A hub that every node of a bucket is linked to, many times over, and a chain: each one component."""
+    edges = [(999, i) for i in range(300)] * 2 + [(i, 999) for i in range(0, 300, 7)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000)]
+    found = {r.node: r.comp for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {found[i] for i in [*range(300), 999]} == {0} and {found[1000 + i] for i in range(61)} == {1000} and 5000 not in found
+
+
 def test_warc_regions_and_damage(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", ("WARC/1.1\r\n" if i % 5 == 0 else "p") * (20 + i)) for i in range(200)], "page_id long, url string, html string")
     plan = warc.plan_records(pages).coalesce(1).sortWithinPartitions("page_id")

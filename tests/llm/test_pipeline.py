@@ -106,3 +106,12 @@ def test_stages_keep_columns_and_bear_empty_tables(spark, tmp_path):
             out = stage(spark, d, str(tmp_path))
             out.collect()
             assert name == "sharding" or out.dtypes == docs.dtypes
+
+
+def test_stages_bear_any_column_name(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "en", "s", 0, "x", 2)], COLUMNS + ", `a.b` string, `c``d` int")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() and (name == "sharding" or out.dtypes == docs.dtypes)
