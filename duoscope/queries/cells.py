@@ -417,6 +417,23 @@ def cls_celltypist(c: Context) -> DataFrame:
     return cluster.classify(x, model, names).select("vec_id", "label")
 
 
+_SCORED = """with x as (select cell_id, feature_id, ln(1 + value * 1e4::double / sum(value) over (partition by cell_id)) as v from {rna}),
+m as (select feature_id, label, cast(weight as double) as weight, cast(mean as double) as mean, cast(scale as double) as scale from {label_model} where scale > 0 and feature_id in (select feature_id from {rna})),
+base as (select i.label, any_value(intercept) + coalesce(sum(weight * least(-mean / scale, 10)), 0) as base from {intercepts} i left join m on i.label = m.label group by 1),
+stored as (select cell_id, label, sum(weight * (least((v - mean) / scale, 10) - least(-mean / scale, 10))) as s from x join m using (feature_id) group by 1, 2),
+scores as (select c.cell_id, b.label, base + coalesce(s, 0) as score from {cells} c cross join base b left join stored t on t.cell_id = c.cell_id and t.label = b.label),
+best as (select cell_id, label, 1 / (1 + exp(-score)) as probability from (select *, row_number() over (partition by cell_id order by round(score, 9) desc, label) as r from scores) where r = 1),
+votes as (select cluster, label, row_number() over (partition by cluster order by count(*) desc, label) as r from (select cell_id % 12 as cluster, label from best) group by 1, 2)"""
+
+
+@query(_SCORED + " select b.cell_id, b.label, round(probability, 6) as probability, v.label as majority from best b join votes v on v.cluster = b.cell_id % 12 and r = 1")
+def cls_coefficients(c: Context) -> DataFrame:
+    """Labels by a model that is given as a table of coefficients, and by the majority of the cell's cluster."""
+    scores = cluster.score_labels(_logged(c), c.cells, c.label_model, c.intercepts)
+    clusters = c.cells.select("cell_id", (F.col("cell_id") % 12).alias("cluster"))
+    return cluster.label_cells(scores, clusters).withColumn("probability", F.round("probability", 6))
+
+
 def _logged(c: Context) -> DataFrame:
     return normalize.log1p(normalize.total(c.rna))
 

@@ -32,6 +32,8 @@ ADAPTERS = {
     "vectors": "select vec_id, label, embedding, vec_id % 3 = 0 as is_rna, cast(vec_id % 5 as string) as donor_id, cast(label as string) as cell_type from {embeddings}",
     "rna_cells": "select user_id as donor, event_id as cell from {events} where event_type in ('view', 'click') and user_id % 7 <> 0",
     "atac_cells": "select user_id as donor, event_id as cell from {events} where event_type in ('purchase', 'error') and user_id % 11 <> 0",
+    "label_model": "select p_partkey as feature_id, label, round(((p_partkey * k) % 19 - 9) / 10.0, 2) as weight, p_size / 50.0 as mean, (p_partkey % 4) / 4.0 as scale from {part} cross join (select 'type' || cast(n_regionkey as string) as label, n_nationkey * 7 + 3 as k from {nation} where n_nationkey < 6) l where p_partkey % 3 = 0",
+    "intercepts": "select 'type' || cast(n_regionkey as string) as label, -cast(n_nationkey as double) / 4 as intercept from {nation} where n_nationkey < 6",
     "pwm_cells": "select motif_id, pos, base, k from (select distinct p_type as motif_id, 5 + length(p_type) % 2 as w from {part}) m cross join (select 0 as pos union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) p cross join (select 'A' as base, 0 as k union all select 'C', 1 union all select 'G', 2 union all select 'T', 3) b where pos < w",
     "pwm_counts": "select p_type as m, p_partkey % 6 as p, p_size % 4 as s, count(*) as n from {part} group by p_type, p_partkey % 6, p_size % 4",
     "pwm": "select motif_id, pos, base, round(ln((coalesce(n, 0) + cast(0.25 as double)) / (sum(coalesce(n, 0)) over (partition by motif_id, pos) + 1) * 4), 3) as weight from {pwm_cells} left join {pwm_counts} on motif_id = m and pos = p and k = s",

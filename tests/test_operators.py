@@ -517,6 +517,35 @@ def test_local_fit_against_a_plain_one(spark):
     assert all(abs(v.fit - (2 * v.x + 1)) < 1e-9 for v in line)
 
 
+def test_labels_by_coefficients(spark):
+    """Scores of sparse counts against z-scores of the dense matrix; absent genes, a scale of 0, empty cells, ties."""
+    r = np.random.RandomState(3)
+    n, genes, labels = 30, 12, ["a", "b", "c"]
+    x = np.log1p(r.poisson(0.8, (n, genes)) * r.gamma(2, 2, genes))
+    x[4] = 0
+    w, mean, scale, b = r.randn(3, genes), r.rand(genes), r.rand(genes) * 0.3, r.randn(3)
+    scale[5] = 0
+    counts = spark.createDataFrame([(int(i), f"g{j}", float(x[i, j])) for i, j in zip(*x[:, :10].nonzero(), strict=True)], "cell_id long, feature_id string, value double")
+    model = spark.createDataFrame([(f"g{j}", k, float(w[i, j]), float(mean[j]), float(scale[j])) for i, k in enumerate(labels) for j in range(genes)], "feature_id string, label string, weight double, mean double, scale double")
+    cut = spark.createDataFrame(list(zip(labels, b.tolist(), strict=True)), "label string, intercept double")
+    use = [j for j in range(10) if j != 5]
+    z = np.minimum((x[:, use] - mean[use]) / scale[use], 10)
+    assert (z == 10).any()
+    want = z @ w[:, use].T + b
+    scores = cluster.score_labels(counts, spark.range(n).withColumnRenamed("id", "cell_id"), model, cut)
+    got = {(v.cell_id, v.label): v.score for v in scores.collect()}
+    assert len(got) == 3 * n and all(abs(got[i, k] - want[i, j]) < 1e-9 for i in range(n) for j, k in enumerate(labels))
+    clusters = spark.createDataFrame([(i, i % 2) for i in range(n - 1)], "cell_id long, cluster int")
+    named = {v.cell_id: v for v in cluster.label_cells(scores, clusters).collect()}
+    own = [labels[j] for j in want.argmax(axis=1)]
+    assert [named[i].label for i in range(n)] == own and named[n - 1].majority == own[-1]
+    for side in (0, 1):
+        votes = Counter(own[i] for i in range(side, n - 1, 2))
+        assert {named[i].majority for i in range(side, n - 1, 2)} == {min(votes, key=lambda k: (-votes[k], k))}  # noqa: B023
+    tie = spark.createDataFrame([(1, "b", 0.0), (1, "a", 0.0)], "cell_id long, label string, score double")
+    assert cluster.label_cells(tie).first().label == "a"
+
+
 def test_command_line(spark, tmp_path, capsys):
     from duoscope.__main__ import main
 
