@@ -15,12 +15,14 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """The same rows from a table in the folder of spark.checkpoint.dir: the plan ends there, and what it knew of its rows
     with it, so that plans don't grow with the rounds and a lost executor costs no recomputation.
 
-    Without such a folder (one machine, no cluster) the rows are persisted, and the plan goes on. Tables go by release(),
+    Without such a folder the rows are persisted, and the plan goes on, on one machine; on a cluster that is an error. Tables go by release(),
     or when the application ends.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         return df.persist()
     path = f"{folder.rstrip('/')}/duoscope-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
