@@ -21,7 +21,7 @@ such pass leaves no pair of a tile that isn't in one component, turned away by i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -94,7 +94,7 @@ def bitmap(s: np.ndarray, most: int = 8192) -> bytes:
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(bits: list[bytes]) -> np.ndarray:
+def folded(bits: Sequence[bytes]) -> np.ndarray:
     """The bitmaps as rows of 64-bit words, all folded to the narrowest: bits of one place modulo its width are added up."""
     narrow = min(map(len, bits)) // 8
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, narrow), axis=0) for b in bits])
@@ -131,21 +131,24 @@ def _bounded(pairs: DataFrame, bits: DataFrame, per_cent: int) -> DataFrame:
     return ends.join(x, "hub").join(y, "other").where(sized).mapInPandas(check, "a long, b long, hub long")
 
 
-def _meet(pdf: pd.DataFrame, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+def _meet(block: dict[str, np.ndarray], per_cent: int) -> tuple[np.ndarray, np.ndarray]:
     """(hub, node): pairs of the rows of one block of a tile that may link, at the first tile that both are in."""
-    words, first = folded(pdf["bits"].tolist()), np.stack(pdf["first"])
-    n, comp, node, few, pos = (pdf[c].to_numpy() for c in ("n", "comp", "node", "few", "pos"))
-    many = np.flatnonzero(~few)
+    n, comp, node, few, pos, most = (block[c] for c in ("n", "comp", "node", "few", "pos", "most"))
+    hub, many = np.flatnonzero(few), np.flatnonzero(~few)
+    # a class outside the largest component is on both sides; two of them meet once
+    meet = (comp[many] != comp[hub][:, None]) & ((most[many] == comp[many]) | (node[many] > node[hub][:, None]))
+    meet &= 100 * np.minimum(n[many], n[hub][:, None]) >= per_cent * np.maximum(n[many], n[hub][:, None])
+    if not meet.any():
+        return node[:0], node[:0]
+    words, first = folded(block["bits"]), np.stack(block["first"])
     hubs, nodes = [], []
-    for i in np.flatnonzero(few):
-        # a class outside the largest component is on both sides; two of them meet once
-        j = many[(comp[many] != comp[i]) & ((pdf["most"].to_numpy()[many] == comp[many]) | (node[many] > node[i]))]
-        j = j[100 * np.minimum(n[j], n[i]) >= per_cent * np.maximum(n[j], n[i])]
+    for at in np.flatnonzero(meet.any(axis=1)):
+        i, j = hub[at], many[meet[at]]
         j = j[can_link(words[i], int(n[i]), words[j], n[j], per_cent)]
         j = j[~(first[j, : pos[i]] == first[i, : pos[i]]).any(axis=1)]
         hubs.append(np.full(len(j), node[i]))
         nodes.append(node[j])
-    return (np.concatenate(hubs), np.concatenate(nodes)) if hubs else (node[:0], node[:0])
+    return np.concatenate(hubs), np.concatenate(nodes)
 
 
 def _candidates(here: DataFrame, bits: DataFrame, firsts: DataFrame, per_cent: int) -> DataFrame:
@@ -166,23 +169,32 @@ def _candidates(here: DataFrame, bits: DataFrame, firsts: DataFrame, per_cent: i
     many = rows.select(*cols, F.lit(False).alias("few"), all_of("bf").alias("x"), part("bm").alias("y"))
     met = few.union(many).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
+    names = ["n", "comp", "node", "few", "pos", "most", "bits", "first"]
+
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        of_block = lambda d: d[["key", "x", "y"]].to_numpy()
-        done = lambda parts: pd.DataFrame(dict(zip(("hub", "node"), _meet(pd.concat(parts, ignore_index=True), per_cent), strict=True)))
+        held: list[dict[str, np.ndarray]] = []  # the rows of the last block so far
+        last = None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def end() -> None:
+            if held:
+                found.append(_meet({c: np.concatenate([part[c] for part in held]) for c in names} if len(held) > 1 else held[0], per_cent))
+                held.clear()
+
         for pdf in batches:
-            at = of_block(pdf)
-            starts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
-            if held and (of_block(held[-1])[-1] != at[0]).any():
-                yield done(held)
-                held = []
-            for a, b in zip([0, *starts], [*starts, len(pdf)], strict=True):
-                held.append(pdf.iloc[a:b])
-                if b < len(pdf):
-                    yield done(held)
-                    held = []
-        if held:
-            yield done(held)
+            at = pdf[["key", "x", "y"]].to_numpy()
+            rows = {c: pdf[c].to_numpy() for c in names}
+            starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a or last is None or (last != at[0]).any():
+                    end()
+                held.append({c: v[a:b] for c, v in rows.items()})
+            last = at[-1]
+            yield pd.DataFrame({"hub": np.concatenate([x[0] for x in found] or [at[:0, 0]]), "node": np.concatenate([x[1] for x in found] or [at[:0, 0]])})
+            found.clear()
+        end()
+        if found:
+            yield pd.DataFrame({"hub": found[0][0], "node": found[0][1]})
 
     return _unordered(met.mapInPandas(pairs, "hub long, node long"))
 
