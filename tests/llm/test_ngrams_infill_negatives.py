@@ -216,3 +216,18 @@ def test_integer_vectors_and_edges(spark):
     # an anchor's copies are one anchor, other rows' copies count each; rows of an id aren't each other's positives
     again = vectors(spark, [(0, 1, [10]), (0, 1, [10]), (1, 1, [10]), (1, 1, [10]), (2, 2, [9]), (2, 2, [9])])
     assert sorted(tuple(r)[:6] for r in hn.hard_negatives(again).collect()) == [(0, 1, 1, 2, 100, 90)] * 2 + [(0, 1, 2, 2, 100, 90)] * 2
+
+
+def test_the_query_returns_rows_and_columns_of_its_sql(spark):
+    import duckdb
+
+    from duoscope.llm.queries import op13_hard_negatives
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    wanted = db.execute(hn.NEGATIVES_SQL)
+    names, rows = [x[0] for x in wanted.description], wanted.fetchall()
+    got = op13_hard_negatives(spark, folder)
+    assert got.columns == names and dict(got.dtypes)["rank"] == "int"
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rows) and rows
