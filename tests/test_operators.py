@@ -589,3 +589,38 @@ def test_layout_keeps_neighbours_together(spark, landmarks):
         assert np.mean([len(set(a) & set(b)) for a, b in zip(near, best, strict=True)]) > 3.0
         w = neighbors.memberships(neighbors.knn(v, 10).select("src", "dst", "dist")).groupBy("src").agg(F.sum("weight").alias("s")).collect()
         assert all(abs(z["s"] - math.log2(10)) < 0.01 for z in w)
+
+
+@pytest.mark.parametrize("center,scale", [(False, False), (True, True), (True, False)])
+def test_embeddings_work_on_the_shorter_side(spark, monkeypatch, center, scale):
+    """Of 150 cells and 400 features the blocks have 150 rows, few passes suffice, and signs are those of the features."""
+    seen, real = [], embed._products
+    monkeypatch.setattr(embed, "_products", lambda v, n, right, *a, **b: seen.append(len(right)) or real(v, n, right, *a, **b))
+    x = np.random.RandomState(3).poisson(0.1, (150, 400)).astype(float) * 2
+    x[:, 0] = 1
+    counts = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*x.nonzero(), strict=True)], "cell_id long, feature_id long, value double")
+    e, value = embed.svd(counts, 10, center, scale)
+    y = x - x.mean(axis=0) if center else x
+    spread = y.std(axis=0, ddof=1)
+    y = y / np.where(spread > 0, spread, 1) if scale else y
+    u, s, v = np.linalg.svd(y, full_matrices=False)
+    assert np.allclose(value, s[:10] ** 2 / 149 if center else s[:10], rtol=1e-9)
+    v = v[:10].T
+    up = np.where(v[np.abs(v).argmax(axis=0), np.arange(10)] < 0, -1.0, 1.0)
+    got = np.stack([r.vec for r in e.orderBy("cell_id").collect()])
+    assert np.allclose(got, u[:, :10] * s[:10] * up, atol=1e-4 * s[0])
+    assert set(seen) == {150} and len(seen) < 15
+
+
+def test_energy_needs_one_component(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from duoscope.queries import cells
+
+    x = np.random.RandomState(6).poisson(1.0, (8, 20)).astype(float)
+    counts = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(8) for j in range(20) if x[i, j]], "cell_id long, feature_id long, value double")
+    asked, real = [], embed.svd
+    monkeypatch.setattr(embed, "svd", lambda d, k, *a: asked.append(k) or real(d, k, *a))
+    got = {r["value"]: r.n for r in cells.emb_singular_values(SimpleNamespace(rna=counts, cells=spark.range(8), spark=spark)).collect()}
+    s = np.linalg.svd(np.log1p(x / x.sum(axis=1, keepdims=True) * 1e4), compute_uv=False)
+    assert asked == [1] and math.isclose(got["first"], s[0], abs_tol=1e-3) and math.isclose(got["energy"], (s**2).sum(), abs_tol=1e-1)
