@@ -15,7 +15,18 @@ def motif_tfs(motif_db: DataFrame, gene_set: DataFrame) -> DataFrame:
 
 
 def tf_peaks(matches: DataFrame, tfs: DataFrame) -> DataFrame:
-    return matches.join(tfs, "motif_id").select("TF", "peak").distinct()
+    """Distinct (TF, peak). Peaks of the same motifs have the same TFs, so each set of motifs is made distinct once, and the
+    pairs themselves, which are the product of peaks and TFs of a motif, need no shuffle."""
+    sets = matches.groupBy("peak").agg(F.array_sort(F.collect_set("motif_id")).alias("motifs"))
+    each = sets.select("motifs").distinct().select("motifs", F.explode("motifs").alias("motif_id"))
+    of = each.join(tfs, "motif_id").groupBy("motifs").agg(F.collect_set("TF").alias("of"))
+    return sets.join(of, "motifs").select(F.explode("of").alias("TF"), "peak")
+
+
+def relate(correlated: DataFrame, matches: DataFrame, tfs: DataFrame) -> DataFrame:
+    """assemble() of the motifs' TFs; only matches in correlated peaks are expanded."""
+    wanted = matches.join(correlated.select("peak").distinct(), "peak", "left_semi")
+    return assemble(correlated, tf_peaks(wanted, tfs))
 
 
 def assemble(correlated: DataFrame, tf_peak: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def relate(
         tfs = spark.createDataFrame([], "motif_id string, TF string")
     else:
         tfs = triplets.motif_tfs(motif_db, gene_set)
-    found = triplets.assemble(correlated, triplets.tf_peaks(matches, tfs))
+    found = triplets.relate(correlated, matches, tfs)
     labels = triplets.label_genes(found, gene_set)
     info = triplets.peak_info(correlated.withColumn("pair_ix", F.struct("gene", "peak")))
     matrix = triplets.peak_vectors(triplets.peak_matrix(cells, peaks, atac, noise_sd, seed))

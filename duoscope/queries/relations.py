@@ -38,8 +38,12 @@ def tf_peak(c: Context) -> DataFrame:
     return triplets.tf_peaks(c.matches, triplets.motif_tfs(motif_db(c), gene_set(c)))
 
 
+def related(c: Context, corr: DataFrame) -> DataFrame:
+    return triplets.relate(corr, c.matches, triplets.motif_tfs(motif_db(c), gene_set(c)))
+
+
 def found(c: Context) -> DataFrame:
-    return triplets.assemble(correlated(c), tf_peak(c))
+    return related(c, cut(correlated(c), "correlated"))
 
 
 @query("select gene, peak from {pairs}")
@@ -161,8 +165,8 @@ select s.planted, m."check", coalesce(n, 0) = 0 as passed from sets s cross join
 @query(_RESULTS)
 def validate_results(c: Context) -> DataFrame:
     corr = cut(correlated(c), "correlated")
-    trip = triplets.assemble(corr, tf_peak(c))
-    labels = triplets.label_genes(trip, gene_set(c)).select("gene", "type")
+    trip = cut(related(c, corr), "triplets")  # nine checks read them, twice
+    labels = cut(triplets.label_genes(trip, gene_set(c)).select("gene", "type"), "labels")
     info = triplets.peak_info(corr.withColumn("pair_ix", F.col("gene"))).select("peak")
     clean = validate.check_results(corr, trip, labels, info).withColumn("planted", F.lit(False))
     gene = F.col("gene").cast("long")

@@ -624,3 +624,16 @@ def test_energy_needs_one_component(spark, monkeypatch):
     got = {r["value"]: r.n for r in cells.emb_singular_values(SimpleNamespace(rna=counts, cells=spark.range(8), spark=spark)).collect()}
     s = np.linalg.svd(np.log1p(x / x.sum(axis=1, keepdims=True) * 1e4), compute_uv=False)
     assert asked == [1] and math.isclose(got["first"], s[0], abs_tol=1e-3) and math.isclose(got["energy"], (s**2).sum(), abs_tol=1e-1)
+
+
+def test_tf_peaks_are_made_distinct_by_sets_of_motifs(spark):
+    hits = spark.createDataFrame([(f"m{(p * k) % 7}", f"p{p}") for p in range(60) for k in (1, 2, 3)] + [("m0", None), ("none", "p1"), ("none", "p99")], "motif_id string, peak string")
+    tfs = spark.createDataFrame([(f"m{m}", f"t{t}") for m in range(6) for t in range(m, m + 5)], "motif_id string, TF string")
+    plain = hits.join(tfs, "motif_id").select("TF", "peak").distinct()
+    found = triplets.tf_peaks(hits, tfs)
+    key = lambda d: sorted((r.TF, r.peak or "") for r in d.collect())
+    assert key(found) == key(plain)
+    # the product of peaks and TFs is the last thing that is made, and isn't aggregated
+    assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+    corr = spark.createDataFrame([("t1", "p1", 0.5), ("x", "p4", -0.4), ("x", "p99", 0.3)], schemas.CORRELATED)
+    assert rows(triplets.relate(corr, hits, tfs)) == rows(triplets.assemble(corr, plain))
