@@ -70,18 +70,36 @@ def exact_thresholds(pwm: DataFrame, p: float = MOTIF_P) -> DataFrame:
     return pwm.sparkSession.createDataFrame(rows, "motif_id string, threshold double")
 
 
+#: Windows that one row holds at most.
+_CHUNK = 512
+
+
+def _words(sequences: DataFrame, widths: DataFrame) -> DataFrame:
+    """(peak, w, word): the windows of each width; repeats within a chunk of a sequence are left out. A file of few row
+    groups is dealt over all cores first."""
+    dealt = sequences.select("peak", "seq").repartition(4 * sequences.sparkSession.sparkContext.defaultParallelism)
+    long_enough = dealt.crossJoin(F.broadcast(widths)).where(F.length("seq") >= F.col("w"))
+    starts = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - F.col("w")) / _CHUNK)))
+    chunks = long_enough.select("peak", "w", "seq", starts.alias("j"))
+    chunks = chunks.select("peak", "w", F.substring("seq", (F.col("j") * _CHUNK + 1).cast("int"), F.col("w") + F.lit(_CHUNK - 1)).alias("seq"))
+    each = F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("w") + 1), lambda i: F.substring("seq", i, F.col("w")))
+    return chunks.select("peak", "w", F.explode(F.array_distinct(each)).alias("word"))
+
+
 def scan_relational(sequences: DataFrame, pwm: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Distinct (motif_id, peak) whose best window on either strand reaches the threshold, by joins and sums.
 
-    sequences: peak, seq. A window with anything but A, C, G, T lacks a score at that place, so its count of scores falls
-    short of the width. Sums are rounded to 9 places before the comparison. Rows: bases times motif columns.
+    sequences: peak, seq. A window with anything but A, C, G, T has fewer scores than columns. Each distinct window of a motif's width is
+    scored once, however often it stands, and the windows that reach the threshold meet the sequences again. Sums are
+    rounded to 9 places before the comparison. Rows: windows, and distinct windows times motif columns.
     """
-    both = pwm.withColumn("strand", F.lit("+")).union(reverse_complement(pwm).withColumn("strand", F.lit("-")))
-    width = pwm.groupBy("motif_id").agg((F.max("pos") + 1).alias("w"))
-    letters = sequences.select("peak", F.posexplode(F.split("seq", "")).alias("i", "base"))
-    s = letters.join(both, "base").groupBy("motif_id", "strand", "peak", (F.col("i") - F.col("pos")).alias("at")).agg(F.sum("weight").alias("score"), F.count("*").alias("n"))
-    s = s.join(width, "motif_id").where("n = w").groupBy("motif_id", "peak").agg(F.max(F.round("score", 9)).alias("best"))
-    return s.join(thresholds, "motif_id").where(F.col("best") >= F.round("threshold", 9)).select("motif_id", "peak")
+    width = pwm.groupBy("motif_id").agg((F.max("pos") + 1).cast("int").alias("w"))
+    both = pwm.withColumn("strand", F.lit("+")).union(reverse_complement(pwm).withColumn("strand", F.lit("-"))).join(width, "motif_id")
+    words = _words(sequences, width.select("w").distinct())
+    letters = words.select("w", "word").distinct().select("w", "word", F.posexplode(F.split("word", "")).alias("pos", "base"))
+    s = letters.join(both, ["w", "pos", "base"]).groupBy("motif_id", "strand", "w", "word").agg(F.sum("weight").alias("score"), F.count("*").alias("n"))
+    reach = s.where("n = w").join(thresholds, "motif_id").where(F.round("score", 9) >= F.round("threshold", 9))
+    return words.join(reach.select("motif_id", "w", "word").distinct(), ["w", "word"]).select("motif_id", "peak").distinct()
 
 
 def best_scores(seq: str, matrix: np.ndarray) -> float:

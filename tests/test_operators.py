@@ -637,3 +637,26 @@ def test_tf_peaks_are_made_distinct_by_sets_of_motifs(spark):
     assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
     corr = spark.createDataFrame([("t1", "p1", 0.5), ("x", "p4", -0.4), ("x", "p99", 0.3)], schemas.CORRELATED)
     assert rows(triplets.relate(corr, hits, tfs)) == rows(triplets.assemble(corr, plain))
+
+
+def test_relational_scan_scores_a_window_once(spark, monkeypatch):
+    """Long sequences of few distinct windows, in chunks; no row per base and motif column."""
+    monkeypatch.setattr(motifs, "_CHUNK", 7)
+    r = np.random.RandomState(9)
+    pwm = spark.createDataFrame([(f"m{k}", j, b, float(r.randint(-3, 4))) for k, w in enumerate((3, 4, 4, 6)) for j in range(w) for b in "ACGT"], "motif_id string, pos int, base string, weight double")
+    seqs = [(f"s{i}", "".join(r.choice(list("ACGTN"), 2 + 3 * i))) for i in range(20)] + [("empty", ""), ("none", None), ("flat", "A" * 5000)]
+    seqs = spark.createDataFrame(seqs, "peak string, seq string")
+    th = spark.createDataFrame([("m0", 5.0), ("m1", 7.0), ("m2", 6.0), ("m3", 9.0)], "motif_id string, threshold double")
+    found = motifs.scan_relational(seqs, pwm, th)
+    assert rows(found) == rows(motifs.scan(seqs, pwm, th)) and found.count() > 20
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    real = motifs._words
+    monkeypatch.setattr(motifs, "_words", lambda *a: (lambda d: d.mapInArrow(count, d.schema))(real(*a)))
+    motifs.scan_relational(seqs.where("peak = 'flat'"), pwm, th).count()
+    assert 0 < made.value < 2 * 3 * (5000 // 7 + 2)
