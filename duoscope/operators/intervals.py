@@ -7,7 +7,7 @@ shares, greatest(bin of either start), which needs no distinct.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duoscope.functions.names import parse_peak
@@ -49,11 +49,18 @@ def peak_table(peaks: DataFrame, col: str = "peak") -> DataFrame:
 
 
 def peak_gene_overlaps(genes: DataFrame, peaks: DataFrame, gene_set: DataFrame, upstream: int = 250_000, downstream: int = 250_000) -> DataFrame:
-    """Distinct (gene, peak) of peaks in a gene's TSS window; genes: chrom, start, end, strand, gene_name."""
+    """Distinct (gene, peak) of peaks in a gene's TSS window; genes: chrom, start, end, strand, gene_name.
+
+    Windows and peak names are made distinct before they meet. A gene of one window meets a peak once, so that the pairs,
+    which are many times the genes, are made distinct for genes of several windows only.
+    """
     low, high = tss_window(upstream, downstream)
     g = genes.join(gene_set.select(F.col(gene_set.columns[0]).alias("gene_name")).distinct(), "gene_name", "left_semi")
-    g = g.select("chrom", F.col("gene_name").alias("gene"), low.alias("win_start"), high.alias("win_end"))
-    return overlap_join(g, peak_table(peaks)).select("gene", "peak").distinct()
+    g = g.select("chrom", F.col("gene_name").alias("gene"), low.alias("win_start"), high.alias("win_end")).distinct()
+    g = g.withColumn("__n", F.count("*").over(Window.partitionBy("gene")))
+    p = peak_table(peaks.select("peak").distinct())
+    once, more = (overlap_join(g.where(which).drop("__n"), p).select("gene", "peak") for which in ("__n = 1", "__n > 1"))
+    return once.union(more.distinct())
 
 
 def body_overlaps(genes: DataFrame, peaks: DataFrame, upstream: int = 2_000) -> DataFrame:

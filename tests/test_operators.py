@@ -660,3 +660,34 @@ def test_relational_scan_scores_a_window_once(spark, monkeypatch):
     monkeypatch.setattr(motifs, "_words", lambda *a: (lambda d: d.mapInArrow(count, d.schema))(real(*a)))
     motifs.scan_relational(seqs.where("peak = 'flat'"), pwm, th).count()
     assert 0 < made.value < 2 * 3 * (5000 // 7 + 2)
+
+
+def test_pairs_of_genes_with_one_window_need_no_distinct(spark):
+    r = np.random.RandomState(11)
+    gene = [(f"chr{g % 2}", int(a), int(a) + 3000, "+-."[g % 3], f"g{g // 2 if g < 20 else g}") for g, a in enumerate(r.randint(0, 3_000_000, 60))]
+    genes = spark.createDataFrame(gene + gene[:7], "chrom string, start long, end long, strand string, gene_name string")
+    peak = [f"chr{i % 2}:{a}-{a + w}" for i, (a, w) in enumerate(zip(r.randint(0, 3_000_000, 200), r.choice([-50, 0, 500, 900_000], 200), strict=True))]
+    peaks = spark.createDataFrame([(p,) for p in peak + peak[:30] + ["GL1.1:1-2"]], "peak string")
+    chosen = genes.select("gene_name").where("gene_name <> 'g30'")
+    low, high = intervals.tss_window()
+    g = genes.where("gene_name <> 'g30'").select("chrom", F.col("gene_name").alias("gene"), low.alias("win_start"), high.alias("win_end"))
+    plain = intervals.overlap_join(g, intervals.peak_table(peaks)).select("gene", "peak")
+    found = intervals.peak_gene_overlaps(genes, peaks, chosen)
+    assert rows(found) == rows(plain.distinct()) and plain.count() > found.count() > 100
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_matrix_file_is_written_without_a_sort(spark, monkeypatch):
+    from duoscope.queries.registry import QUERIES, Context
+
+    def never(*_, **__):
+        raise AssertionError("one task would sort the whole matrix")
+
+    monkeypatch.setattr(type(spark.range(1)), "sortWithinPartitions", never)
+    folder = "/root/testdata/sf0.001"
+    c = Context(spark, folder)
+    found = QUERIES["src_mtx"](spark, folder)
+    names, cells = c.part.count() - 5, c.supplier.count()
+    want = c.rna.where(f"feature_id + 1 <= {names} and cell_id + 1 <= {cells}")
+    key = lambda d: sorted((str(r[0]), str(r[1]), float(r[2])) for r in d.collect())
+    assert key(found.select("cell_id", "feature_name", "value")) == key(want.select(F.concat(F.lit("c"), "cell_id"), F.concat(F.lit("f"), "feature_id"), "value"))
