@@ -7,6 +7,8 @@ shares, greatest(bin of either start), which needs no distinct.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +30,22 @@ def body_window(upstream: int = 2_000) -> tuple[Column, Column]:
     return low, high
 
 
-def overlap_join(genes: DataFrame, peaks: DataFrame, bin_width: int = 500_000) -> DataFrame:
+def overlap_join(genes: DataFrame, peaks: DataFrame, bin_width: int = 500_000, on: Sequence[str] = ()) -> DataFrame:
     """All (genes.*, peaks.*) with p_start < win_end and p_end > win_start on one chromosome, repeats kept.
 
-    genes: chrom, win_start, win_end, ...; peaks: p_chrom, p_start, p_end, ....
+    genes: chrom, win_start, win_end, ...; peaks: p_chrom, p_start, p_end, .... on: columns of both that must be equal too.
     """
+    for c in on:
+        peaks = peaks.withColumnRenamed(c, f"__{c}")
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_width), F.floor(F.greatest(F.col(a), F.col(b)) / bin_width)))
     g = genes.where("chrom is not null").withColumn("__bin", bins("win_start", "win_end"))
     p = peaks.where("p_chrom is not null").withColumn("__bin", bins("p_start", "p_end"))
     hit = (F.col("p_start") < F.col("win_end")) & (F.col("p_end") > F.col("win_start"))
     first = F.greatest(F.floor(F.col("win_start") / bin_width), F.floor(F.col("p_start") / bin_width))
     same = (F.col("chrom") == F.col("p_chrom")) & (g["__bin"] == p["__bin"]) & (g["__bin"] == first)
-    return g.join(p, same & hit).drop("__bin")
+    for c in on:
+        same = (F.col(c) == F.col(f"__{c}")) & same
+    return g.join(p, same & hit).drop("__bin", *(f"__{c}" for c in on))
 
 
 def peak_table(peaks: DataFrame, col: str = "peak") -> DataFrame:
@@ -48,21 +54,47 @@ def peak_table(peaks: DataFrame, col: str = "peak") -> DataFrame:
     return rows.select("peak", F.col("p.chrom").alias("p_chrom"), F.col("p.start").alias("p_start"), F.col("p.end").alias("p_end"))
 
 
+def _gene_windows(genes: DataFrame, gene_set: DataFrame, upstream: int, downstream: int) -> DataFrame:
+    """Distinct (chrom, gene, win_start, win_end) of the genes of the set."""
+    low, high = tss_window(upstream, downstream)
+    g = genes.join(gene_set.select(F.col(gene_set.columns[0]).alias("gene_name")).distinct(), "gene_name", "left_semi")
+    return g.select("chrom", F.col("gene_name").alias("gene"), low.alias("win_start"), high.alias("win_end")).distinct()
+
+
 def peak_gene_overlaps(genes: DataFrame, peaks: DataFrame, gene_set: DataFrame, upstream: int = 250_000, downstream: int = 250_000) -> DataFrame:
     """Distinct (gene, peak) of peaks in a gene's TSS window; genes: chrom, start, end, strand, gene_name.
 
     Windows and peak names are made distinct before they meet. A gene of one window meets a peak once, so that the pairs,
     which are many times the genes, are made distinct for genes of several windows only.
     """
-    low, high = tss_window(upstream, downstream)
-    g = genes.join(gene_set.select(F.col(gene_set.columns[0]).alias("gene_name")).distinct(), "gene_name", "left_semi")
-    g = g.select("chrom", F.col("gene_name").alias("gene"), low.alias("win_start"), high.alias("win_end")).distinct()
+    g = _gene_windows(genes, gene_set, upstream, downstream)
     g = g.withColumn("__n", F.count("*").over(Window.partitionBy("gene")))
     p = peak_table(peaks.select("peak").distinct())
     once, more = (overlap_join(g.where(which).drop("__n"), p).select("gene", "peak") for which in ("__n = 1", "__n > 1"))
     return once.union(more.distinct())
 
 
+def meetings(genes: DataFrame, peaks: DataFrame, gene_set: DataFrame, upstream: int = 250_000, downstream: int = 250_000) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """How counts of genes (cell_id, gene, x) and of peaks (cell_id, peak, y) meet in the pairs of peak_gene_overlaps():
+    (gene, peak, x, y, c), c cells with these values.
+
+    The counts carry their windows and places and meet in a cell and a bin. So a peak's count is not repeated for each
+    gene around it, of which few have a count in that cell, and the pairs themselves are not needed.
+    """
+    order = Window.partitionBy("gene").orderBy("chrom", "win_start", "win_end")
+    g = _gene_windows(genes, gene_set, upstream, downstream).withColumn("__w", F.row_number().over(order))
+    p = peak_table(peaks.select("peak").distinct())
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        hit = overlap_join(x.join(g, "gene"), y.join(p, "peak"), on=["cell_id"])
+        counts = hit.groupBy("gene", "peak", "__w", "x", "y").agg(F.count("*").alias("c"))
+        # a peak meets the same windows of a gene in every cell; it counts in the first
+        counts = counts.withColumn("__first", F.min("__w").over(Window.partitionBy("gene", "peak")))
+        return counts.where("__w = __first").select("gene", "peak", "x", "y", "c")
+
+    return meet
+
+
 def body_overlaps(genes: DataFrame, peaks: DataFrame, upstream: int = 2_000) -> DataFrame:
     """(gene, peak), once for every annotation row that a peak overlaps: multiplicity counts in gene activity."""
     low, high = body_window(upstream)

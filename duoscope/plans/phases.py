@@ -35,7 +35,7 @@ def relate(
     """
     spark = genes.sparkSession
     overlaps = intervals.peak_gene_overlaps(genes, peak_names, gene_set, upstream, downstream)
-    correlated = cut(correlate.filter_by_correlation(overlaps, rna, atac, cells, threshold), "correlated")
+    correlated = cut(correlate.filter_by_correlation(overlaps, rna, atac, cells, threshold, meet=intervals.meetings(genes, peak_names, gene_set, upstream, downstream)), "correlated")
     peaks = correlated.select("peak").distinct()
     if matches is None and motif_db is not None and pwm is not None and genome is not None:
         chosen = triplets.select_motifs(motif_db, gene_set).select(F.col("Accession").alias("motif_id"))

@@ -30,8 +30,12 @@ def pairs(c: Context) -> DataFrame:
     return intervals.peak_gene_overlaps(genes(c), c.peaks, gene_set(c))
 
 
+def meet(c: Context) -> correlate.Meeting:
+    return intervals.meetings(genes(c), c.peaks, gene_set(c))
+
+
 def correlated(c: Context) -> DataFrame:
-    return correlate.spearman_counts(pairs(c), c.rna_g, c.atac_p)
+    return correlate.spearman_counts(meet(c), c.rna_g, c.atac_p)
 
 
 def tf_peak(c: Context) -> DataFrame:
@@ -85,7 +89,7 @@ select gene, peak, round(r, 6) as spearman_r from o where abs(r) > 0.1 and not i
 
 @query(_BINARY)
 def stat_spearman_binary(c: Context) -> DataFrame:
-    r = correlate.filter_by_correlation(pairs(c), c.rna_g, c.atac_b, c.cells)
+    r = correlate.filter_by_correlation(pairs(c), c.rna_g, c.atac_b, c.cells, meet=meet(c))
     return r.withColumn("spearman_r", F.round("spearman_r", 6))
 
 

@@ -691,3 +691,28 @@ def test_matrix_file_is_written_without_a_sort(spark, monkeypatch):
     want = c.rna.where(f"feature_id + 1 <= {names} and cell_id + 1 <= {cells}")
     key = lambda d: sorted((str(r[0]), str(r[1]), float(r[2])) for r in d.collect())
     assert key(found.select("cell_id", "feature_name", "value")) == key(want.select(F.concat(F.lit("c"), "cell_id"), F.concat(F.lit("f"), "feature_id"), "value"))
+
+
+def test_counts_meet_in_cells_and_bins(spark, monkeypatch):
+    r = np.random.RandomState(5)
+    genes = [("chr1", int(a), int(a) + 900, "+-."[i % 3], f"g{i % 40}") for i, a in enumerate(r.randint(0, 4_000_000, 60))]  # 20 genes have two windows, some alike
+    genes = spark.createDataFrame(genes + genes[:3], "chrom string, start long, end long, strand string, gene_name string")
+    at = r.randint(0, 4_000_000, 300)
+    names = spark.createDataFrame([(f"chr{1 + i % 2}:{a}-{a + 700}",) for i, a in enumerate(at)] + [("GL1.1:1-2",)], "peak string")
+    draw = lambda names, n: [(int(r.randint(40)), names[r.randint(len(names))], float(r.randint(1, 4))) for _ in range(n)]  # noqa: E731  repeats too
+    x = spark.createDataFrame(draw([f"g{i}" for i in range(45)], 400), "cell_id long, gene string, x double")
+    y = spark.createDataFrame(draw([n.peak for n in names.collect()], 900), "cell_id long, peak string, y double")
+    gene_set = spark.createDataFrame([(f"g{i}",) for i in range(38)], "gene string")
+    pairs = intervals.peak_gene_overlaps(genes, names, gene_set)
+    want = sorted(tuple(m) for m in correlate.meet_in(pairs)(x, y).select("gene", "peak", "x", "y", "c").collect())
+    joined, plain = [], intervals.overlap_join
+
+    def seen(*a, **k):
+        joined.append(plain(*a, **k))
+        return joined[-1]
+
+    monkeypatch.setattr(intervals, "overlap_join", seen)
+    got = intervals.meetings(genes, names, gene_set)(x, y)
+    assert len(want) > 100 and sorted(tuple(m) for m in got.collect()) == want
+    # the join gives counts of one cell only, and not a row for each gene around a peak's count
+    assert len(joined) == 1 and joined[0].count() <= 2 * sum(w[-1] for w in want) < y.join(pairs, "peak").count() / 2
