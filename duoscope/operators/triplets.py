@@ -68,6 +68,10 @@ def peak_matrix(cells: DataFrame, peaks: DataFrame, atac: DataFrame, noise_sd: f
     return rows.withColumn("value", F.col("value") + F.randn(seed) * noise_sd) if noise_sd else rows
 
 
-def peak_vectors(matrix: DataFrame) -> DataFrame:
-    """cell_id, peaks ARRAY<DOUBLE> in the order of the peak names."""
-    return matrix.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("peak", "value"))), lambda s: s["value"]).alias("peaks"))
+def peak_vectors(matrix: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """cell_id, peaks ARRAY<DOUBLE> in the order of the peak names. cells: those that have a row even where there is no peak."""
+    rows = matrix.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("peak", "value"))), lambda s: s["value"]).alias("peaks"))
+    if cells is None:
+        return rows
+    rows = cells.select("cell_id").distinct().join(rows, "cell_id", "left")
+    return rows.select("cell_id", F.coalesce("peaks", F.array().cast("array<double>")).alias("peaks"))

@@ -50,7 +50,7 @@ def relate(
     found = triplets.relate(correlated, matches, tfs)
     labels = triplets.label_genes(found, gene_set)
     info = triplets.peak_info(correlated.withColumn("pair_ix", F.struct("gene", "peak")))
-    matrix = triplets.peak_vectors(triplets.peak_matrix(cells, peaks, atac, noise_sd, seed))
+    matrix = triplets.peak_vectors(triplets.peak_matrix(cells, peaks, atac, noise_sd, seed), cells)
     return Relations(overlaps, correlated, matches, found, labels, info, matrix)
 
 

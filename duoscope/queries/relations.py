@@ -188,12 +188,14 @@ def validate_results(c: Context) -> DataFrame:
 select s.planted, k."check", case k."check" when 'noise present' then not s.planted when 'a row for each cell' then not s.planted when 'matrix width' then not s.planted when 'no row but for a cell' then true else hi >= 1 end as passed
 from (select unnest([false, true]) as planted) s cross join (select unnest(['matrix width', 'a row for each cell', 'no row but for a cell', 'noise present', 'counts present']) as "check") k cross join hi""")
 def validate_matrix(c: Context) -> DataFrame:
-    """The model's matrix with noise, and without it, a cell and a column of some cells."""
+    """The model's matrix with noise, and without it, a cell and a column of some cells (without columns, one too many)."""
     corr = cut(correlated(c), "correlated")
     peaks = corr.select("peak").distinct()
-    good = triplets.peak_vectors(triplets.peak_matrix(c.cells, peaks, c.atac_p, 1e-5))
-    bad = triplets.peak_vectors(triplets.peak_matrix(c.cells.where("cell_id <> 2"), peaks, c.atac_p))
-    bad = bad.withColumn("peaks", F.when(F.col("cell_id") == 1, F.slice("peaks", 1, F.size("peaks") - 1)).otherwise(F.col("peaks")))
+    good = triplets.peak_vectors(triplets.peak_matrix(c.cells, peaks, c.atac_p, 1e-5), c.cells)
+    few = c.cells.where("cell_id <> 2")
+    bad = triplets.peak_vectors(triplets.peak_matrix(few, peaks, c.atac_p), few)
+    other = F.when(F.size("peaks") > 0, F.slice("peaks", 1, F.greatest(F.size("peaks") - 1, F.lit(0)))).otherwise(F.array(F.lit(None).cast("double")))
+    bad = bad.withColumn("peaks", F.when(F.col("cell_id") == 1, other).otherwise(F.col("peaks")))
     checked = validate.check_matrix(good, c.cells, peaks).withColumn("planted", F.lit(False))
     return checked.union(validate.check_matrix(bad, c.cells, peaks).withColumn("planted", F.lit(True))).select("planted", "check", "passed")
 

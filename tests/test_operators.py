@@ -716,3 +716,17 @@ def test_counts_meet_in_cells_and_bins(spark, monkeypatch):
     assert len(want) > 100 and sorted(tuple(m) for m in got.collect()) == want
     # the join gives counts of one cell only, and not a row for each gene around a peak's count
     assert len(joined) == 1 and joined[0].count() <= 2 * sum(w[-1] for w in want) < y.join(pairs, "peak").count() / 2
+
+
+def test_matrix_without_columns(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from duoscope.queries import relations
+
+    cells = spark.range(1, 6).withColumnRenamed("id", "cell_id")
+    c = SimpleNamespace(cells=cells, atac_p=spark.createDataFrame([(1, "p1", 2.0)], "cell_id long, peak string, value double"))
+    monkeypatch.setattr(relations, "correlated", lambda _: spark.createDataFrame([], "gene string, peak string"))
+    got = {(r.planted, r.check): r.passed for r in relations.validate_matrix(c).collect()}
+    # as the SQL has it: of a matrix without a value no greatest count is known
+    want = {"matrix width": (True, False), "a row for each cell": (True, False), "no row but for a cell": (True, True), "noise present": (True, False), "counts present": (None, None)}
+    assert got == {(planted, k): v[planted] for k, v in want.items() for planted in (False, True)}
