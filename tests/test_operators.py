@@ -730,3 +730,18 @@ def test_matrix_without_columns(spark, monkeypatch):
     # as the SQL has it: of a matrix without a value no greatest count is known
     want = {"matrix width": (True, False), "a row for each cell": (True, False), "no row but for a cell": (True, True), "noise present": (True, False), "counts present": (None, None)}
     assert got == {(planted, k): v[planted] for k, v in want.items() for planted in (False, True)}
+
+
+def test_louvain_query_has_an_edge_a_supplier(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from duoscope.queries import cells
+
+    nations = [0] * 40 + [1] * 25 + [2] * 2 + [3]
+    rows = [(i * 7 % 68, n) for i, n in enumerate(nations)]
+    c = SimpleNamespace(supplier=spark.createDataFrame(rows, "s_suppkey long, s_nationkey int"))
+    sizes, plain = [], communities.louvain
+    monkeypatch.setattr(communities, "louvain", lambda e, r: (sizes.append(e.count()), plain(e, r))[1])
+    first = {n: min(i for i, m in rows if m == n) for n in (0, 1, 2)}
+    assert {tuple(r) for r in cells.clu_louvain(c).select("id", "cluster").collect()} == {(i, first[n]) for i, n in rows if n < 3}
+    assert sizes == [39 + 24 + 1 + 2]
