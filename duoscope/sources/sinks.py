@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duoscope.functions.names import stringify_missing
+from duoscope.functions.tables import numbered
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -69,6 +73,40 @@ def to_npz(matrix: DataFrame, path: str, row: str = "cell_id", vec: str = "peaks
     return rows[row].tolist()
 
 
+def to_npz_blocks(counts: DataFrame, cells: DataFrame, peaks: DataFrame, name: str = "peak_matrix", rows: int = 256) -> DataFrame:
+    """block, npz BINARY: the matrix of cells and peaks as .npz archives of some `rows` rows each, made in tasks.
+
+    counts: cell_id, peak, value (no pair twice); cells: cell_id; peaks: peak. An archive holds the keys of its rows
+    (cell_id) and the compressed sparse rows (name_data, name_indices, name_indptr, name_shape): columns are the distinct
+    peaks in order, as wide as the whole matrix, and what isn't stored is 0. So archives grow with the counts, where the
+    dense matrix has cells times peaks numbers. read_npz() gives the arrays of one.
+    """
+    columns = numbered(peaks.select("peak").distinct(), "peak", "column")
+    ids = cells.select("cell_id").distinct()
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(float(rows)))).cast("int")
+    sizes = F.broadcast(ids.agg(F.count("*").alias("n")).select(blocks.alias("blocks")).crossJoin(columns.agg(F.count("*").alias("width"))))
+    placed = counts.where("value <> 0").join(columns, "peak").select("cell_id", "column", F.col("value").cast("double").alias("value"))
+    stored = ids.join(placed, "cell_id", "left").crossJoin(sizes).withColumn("block", F.pmod(F.xxhash64("cell_id"), F.col("blocks")).cast("int"))
+
+    def archive(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cell_id", "column"])
+        keys = np.sort(pdf["cell_id"].unique())
+        full = pdf[pdf["column"].notna()]
+        ends = np.r_[0, np.searchsorted(full["cell_id"].to_numpy(), keys, "right")]
+        file = io.BytesIO()
+        arrays = {"data": full["value"].to_numpy(), "indices": full["column"].to_numpy(np.int64), "indptr": ends, "shape": np.array([len(keys), pdf["width"].iloc[0]])}
+        np.savez_compressed(file, cell_id=keys, **{f"{name}_{k}": v for k, v in arrays.items()})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "npz": [file.getvalue()]})
+
+    return stored.groupBy("block").applyInPandas(archive, "block int, npz binary")
+
+
+def read_npz(content: bytes) -> dict[str, np.ndarray]:
+    """The arrays of an archive of to_npz_blocks()."""
+    with np.load(io.BytesIO(content)) as f:
+        return {k: f[k] for k in f.files}
+
+
 def bar_counts(cells: DataFrame, label: str) -> DataFrame:
     """label, n, share: the bars of a chart of label counts."""
     n = cells.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))

@@ -745,3 +745,19 @@ def test_louvain_query_has_an_edge_a_supplier(spark, monkeypatch):
     first = {n: min(i for i, m in rows if m == n) for n in (0, 1, 2)}
     assert {tuple(r) for r in cells.clu_louvain(c).select("id", "cluster").collect()} == {(i, first[n]) for i, n in rows if n < 3}
     assert sizes == [39 + 24 + 1 + 2]
+
+
+def test_npz_archives_hold_the_counts_by_blocks(spark):
+    from duoscope.functions.tables import numbered
+    from duoscope.sources import sinks
+
+    r = np.random.RandomState(2)
+    counts = [(c, f"p{p}", float(r.randint(1, 5))) for c in range(60) for p in range(30) if (c * p) % 7 == 1]
+    df = spark.createDataFrame(counts, "cell_id long, peak string, value double")
+    archives = [sinks.read_npz(x.npz) for x in sinks.to_npz_blocks(df, spark.range(70).withColumnRenamed("id", "cell_id"), df, rows=8).collect()]
+    names = sorted({p for _, p, _ in counts})
+    got = {(int(a["cell_id"][i]), names[j]): v for a in archives for i in range(len(a["cell_id"])) for j, v in zip(a["peak_matrix_indices"][a["peak_matrix_indptr"][i] : a["peak_matrix_indptr"][i + 1]], a["peak_matrix_data"][a["peak_matrix_indptr"][i] : a["peak_matrix_indptr"][i + 1]], strict=True)}
+    assert len(archives) > 3 and got == {(c, p): v for c, p, v in counts}
+    assert sorted(int(i) for a in archives for i in a["cell_id"]) == list(range(70)) and {int(a["peak_matrix_shape"][1]) for a in archives} == {len(names)}
+    at = numbered(spark.createDataFrame([(f"k{i:03}",) for i in r.permutation(500)], "k string"), "k", "ix")
+    assert {(x.k, x.ix) for x in at.collect()} == {(f"k{i:03}", i) for i in range(500)}
