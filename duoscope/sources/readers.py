@@ -196,9 +196,18 @@ def _texts(values: Iterable) -> list[str]:
     return [v.decode() if isinstance(v, bytes) else str(v) for v in values]
 
 
+#: Names that a task reads at once.
+_NAMES = 1 << 16
+
+
+def _ranges(spark: SparkSession, n: int, rows: int) -> DataFrame:
+    """a, b: ranges of `rows` below n in order, a few tasks a core, each with ranges side by side."""
+    tasks = max(1, min(-(-n // rows), 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, n, rows, tasks).select(F.col("id").alias("a"), F.least(F.lit(n).cast("long"), F.col("id") + rows).alias("b"))
+
+
 def _compressed(spark: SparkSession, path: str, group: str, n: int, major: str, minor: str, rows: int, opener: Callable) -> DataFrame:
-    """(major, minor, value) longs and double of a compressed sparse matrix, a task for each range of `rows` majors."""
-    ranges = spark.createDataFrame([(a, min(n, a + rows)) for a in range(0, n, rows)], "a long, b long")
+    """(major, minor, value) longs and double of a compressed sparse matrix, by ranges of `rows` majors."""
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -209,24 +218,40 @@ def _compressed(spark: SparkSession, path: str, group: str, n: int, major: str,
                 lo, hi = int(ends[0]), int(ends[-1])
                 yield pd.DataFrame({major: np.repeat(np.arange(a, b), np.diff(ends)), minor: np.asarray(g["indices"][lo:hi], np.int64), "value": np.asarray(g["data"][lo:hi], float)})
 
-    return ranges.repartition(max(1, len(range(0, n, rows)))).mapInPandas(entries, f"{major} long, {minor} long, value double")
+    return _ranges(spark, n, rows).mapInPandas(entries, f"{major} long, {minor} long, value double")
+
+
+def _named(spark: SparkSession, path: str, n: int, ix: str, columns: dict[str, Sequence[str]], opener: Callable) -> DataFrame:
+    """The index ix and text columns, each by its place in the file: tasks read ranges of names."""
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                out = {ix: np.arange(a, b)}
+                for c, place in columns.items():
+                    values = opener(path)
+                    for step in place:
+                        values = values[step]
+                    out[c] = _texts(values[a:b])
+                yield pd.DataFrame(out)
+
+    return _ranges(spark, n, _NAMES).mapInPandas(names, ", ".join([f"{ix} long", *(f"{c} string" for c in columns)]))
 
 
 def read_10x_h5(spark: SparkSession, path: str, rows: int = 2000, opener: Callable = _hdf5) -> dict[str, DataFrame]:
     """counts (cell_ix, feature_ix, value), cells (cell_ix, barcode), features (feature_ix, feature_id, feature_name,
     feature_type) of a 10x matrix file.
 
-    Only names and their numbers go through the driver, which are as long as a side of the matrix; every task reads the
-    entries of its own `rows` cells. opener(path) gives what h5py.File gives; the path must be visible to all executors.
+    Only the numbers of cells and features come to the driver; every task reads names of a range, or the entries of its own
+    `rows` cells. opener(path) gives what h5py.File gives; the path must be visible to all executors.
     """
     m = opener(path)["matrix"]
-    barcodes = _texts(m["barcodes"][:])
-    f = m["features"]
-    names = list(zip(range(len(f["id"][:])), _texts(f["id"][:]), _texts(f["name"][:]), _texts(f["feature_type"][:]), strict=True))
+    n_cells, n_features = len(m["barcodes"]), len(m["features"]["id"])
+    fields = {"feature_id": "id", "feature_name": "name", "feature_type": "feature_type"}
     return {
-        "counts": _compressed(spark, path, "matrix", len(barcodes), "cell_ix", "feature_ix", rows, opener),
-        "cells": spark.createDataFrame(list(enumerate(barcodes)), "cell_ix long, barcode string"),
-        "features": spark.createDataFrame(names, "feature_ix long, feature_id string, feature_name string, feature_type string"),
+        "counts": _compressed(spark, path, "matrix", n_cells, "cell_ix", "feature_ix", rows, opener),
+        "cells": _named(spark, path, n_cells, "cell_ix", {"barcode": ("matrix", "barcodes")}, opener),
+        "features": _named(spark, path, n_features, "feature_ix", {c: ("matrix", "features", f) for c, f in fields.items()}, opener),
     }
 
 

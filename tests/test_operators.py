@@ -761,3 +761,20 @@ def test_npz_archives_hold_the_counts_by_blocks(spark):
     assert sorted(int(i) for a in archives for i in a["cell_id"]) == list(range(70)) and {int(a["peak_matrix_shape"][1]) for a in archives} == {len(names)}
     at = numbered(spark.createDataFrame([(f"k{i:03}",) for i in r.permutation(500)], "k string"), "k", "ix")
     assert {(x.k, x.ix) for x in at.collect()} == {(f"k{i:03}", i) for i in range(500)}
+
+
+def test_names_of_10x_files_stay_off_the_driver(spark, monkeypatch):
+    class Names(list):
+        def __getitem__(self, s):
+            if s.stop is None or s.stop - s.start > 4:
+                raise AssertionError("more than a range at once")
+            return [f"n{i}" for i in range(s.start, s.stop)]
+
+    from duoscope.sources import readers
+
+    monkeypatch.setattr(readers, "_NAMES", 4)
+    group = {"barcodes": Names([0] * 11), "indptr": np.arange(12), "indices": np.arange(11) % 9, "data": np.ones(11), "features": {k: Names([0] * 9) for k in ("id", "name", "feature_type")}}
+    found = readers.read_10x_h5(spark, "memory", rows=2, opener=lambda path: {"matrix": group})
+    assert {tuple(x) for x in found["cells"].collect()} == {(i, f"n{i}") for i in range(11)}
+    assert {tuple(x) for x in found["features"].collect()} == {(i, *[f"n{i}"] * 3) for i in range(9)}
+    assert {tuple(x) for x in found["counts"].collect()} == {(i, i % 9, 1.0) for i in range(11)}
