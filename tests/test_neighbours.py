@@ -152,3 +152,38 @@ def test_leiden_takes_a_bridged_community_apart(spark):
     assert communities.leiden(df.where("false")).count() == 0
     text = df.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
     assert communities.leiden(text, 1.0).select("cluster").distinct().count() == len(set(found.values()))
+
+
+@pytest.mark.parametrize(("far", "spread"), [(0.0, 1.0), (1e4, 1e-2)])
+def test_a_whole_block_gives_the_nearest_within_the_bound(far, spread):
+    """In single precision, and where that is too coarse for vectors far from the middle, in double."""
+    r = np.random.RandomState(4)
+    x, y = (far * r.randint(0, 2, (n, 1)) + spread * r.randint(-3, 4, (n, 6)) for n in (300, 9000))
+    d = np.round(np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2)), 9)
+    kth = np.sort(d, axis=1)[:, 11]
+    for bound in (kth, np.full(len(x), np.inf)):
+        found = [set() for _ in x]
+        for i, j in metric_join._whole(x, y, bound * (1 + 1e-6), 12):
+            for a, b in zip(i, j, strict=True):
+                found[a].add(b)
+        assert all(set(np.flatnonzero(d[a] < kth[a])) <= found[a] for a in range(len(x)))
+        assert all(len(f) >= 12 for f in found)
+
+
+def test_many_neighbours_take_few_blocks(spark, monkeypatch):
+    """Without clusters each block may send k rows for every query, so that blocks grow with k; the rows are as they were."""
+    r = np.random.RandomState(6)
+    n = 1500
+    sizes = []
+    cells = metric_join._cells
+    monkeypatch.setattr(metric_join, "_cells", lambda placed, rows: sizes.append(rows) or cells(placed, rows))
+    monkeypatch.setattr(metric_join, "BLOCK_ROWS", 128)
+    x = r.standard_normal((n, 16))
+    v = spark.createDataFrame([(i, [float(a) for a in x[i]]) for i in range(n)], "id long, vec array<double>")
+    found = {(a.src, a.rank): (a.dst, a.dist) for a in metric_join.nearest(v, v, 40, same_side=True).collect()}
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 9)
+    np.fill_diagonal(d, np.inf)
+    for i in range(0, n, 7):
+        best = np.lexsort((np.arange(n), d[i]))[:40]
+        assert [found[i, at + 1] for at in range(40)] == [(int(j), float(d[i, j])) for j in best]
+    assert sizes[0] > 128
