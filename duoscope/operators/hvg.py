@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duoscope.functions.tables import cut
-from duoscope.operators.filters import detected_features, positive_sum_features
-from duoscope.operators.normalize import moments
+from duoscope.operators.normalize import sums, with_moments
 
 
 def local_fit(points: DataFrame, span: float = 0.3, bins: int = 400) -> DataFrame:
@@ -40,24 +39,31 @@ def local_fit(points: DataFrame, span: float = 0.3, bins: int = 400) -> DataFram
         fits = fits.withColumn(f"c_{name}", beside("c").over(order)).withColumn(f"a_{name}", beside("a").over(order))
     line = lambda c, a: F.col("a") + (F.col("x") - F.col("c")) / (F.col(c) - F.col("c")) * (F.col(a) - F.col("a"))
     side = F.when((F.col("x") >= F.col("c")) & F.col("c_after").isNotNull(), line("c_after", "a_after")).when((F.col("x") < F.col("c")) & F.col("c_before").isNotNull(), line("c_before", "a_before"))
-    found = placed.join(fits, F.col("__bin") == F.col("knot"))
+    found = placed.join(F.broadcast(fits), F.col("__bin") == F.col("knot"))  # a row for each bin
     return found.select(*points.columns, F.coalesce(side, F.col("a")).alias("fit"))
 
 
 def fitted_sd(feature_moments: DataFrame, span: float = 0.3) -> DataFrame:
-    """feature_id, mean, var, sd_hat: what a local fit of log10 var on log10 mean expects of a feature of that mean."""
-    m = feature_moments.where("var > 0 and mean > 0").select("feature_id", "mean", "var", F.log10("mean").alias("x"), F.log10("var").alias("y"))
-    return local_fit(m, span).select("feature_id", "mean", "var", F.sqrt(F.pow(F.lit(10.0), F.col("fit"))).alias("sd_hat"))
+    """The features (feature_id, mean, var and any other columns) with sd_hat: what a local fit of log10 var on log10 mean expects of a feature of that mean."""
+    m = feature_moments.where("var > 0 and mean > 0").select("*", F.log10("mean").alias("x"), F.log10("var").alias("y"))
+    return local_fit(m, span).select(*feature_moments.columns, F.sqrt(F.pow(F.lit(10.0), F.col("fit"))).alias("sd_hat"))
 
 
 def standardized_variance(counts: DataFrame, fit: DataFrame, n_cells: int) -> DataFrame:
     """feature_id, norm_var: variance of the counts clipped at mean + sd_hat * sqrt(N), over sd_hat**2."""
-    n = float(n_cells)
-    clipped = F.least(F.col("value").cast("double"), F.col("mean") + F.col("sd_hat") * F.lit(n**0.5))
-    s = counts.join(fit, "feature_id").withColumn("c", clipped)
+    s = counts.join(fit.select("feature_id", "mean", "sd_hat"), "feature_id").withColumn("c", F.least(F.col("value").cast("double"), _limit(n_cells)))
     s = s.groupBy("feature_id", "mean", "sd_hat").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    mean, sd = F.col("mean"), F.col("sd_hat")
-    return s.select("feature_id", ((F.lit(n) * mean * mean + F.col("q") - 2 * mean * F.col("s")) / (F.lit(n - 1) * sd * sd)).alias("norm_var"))
+    return s.select("feature_id", _norm_var(n_cells))
+
+
+def _limit(n_cells: int) -> Column:
+    return F.col("mean") + F.col("sd_hat") * F.lit(float(n_cells) ** 0.5)
+
+
+def _norm_var(n_cells: int) -> Column:
+    """Of the sums s and q of clipped counts and of their squares."""
+    n, mean, sd = float(n_cells), F.col("mean"), F.col("sd_hat")
+    return ((F.lit(n) * mean * mean + F.col("q") - 2 * mean * F.col("s")) / (F.lit(n - 1) * sd * sd)).alias("norm_var")
 
 
 def top_features(scores: DataFrame, n: int, by: str = "norm_var") -> DataFrame:
@@ -69,17 +75,21 @@ def select_variable(counts: DataFrame, n_cells: int, n_features: int, span: floa
     """The n most variable features by standardized variance of raw counts, among those detected in min_cells cells.
 
     n_cells are the cells that the counts are of, absent ones included. fit makes sd_hat from moments: fitted_sd() by default,
-    or quadratic_fit().
+    or quadratic_fit(). One pass over the counts makes all sums of a feature; a second, without a shuffle while they are few,
+    clips the counts of those features that have one beyond their limit.
     """
     fit = fit or (lambda m: fitted_sd(m, span))
-    ok = detected_features(counts, min_cells).join(positive_sum_features(counts), "feature_id")
-    x = counts.join(ok, "feature_id", "left_semi")
-    return top_features(standardized_variance(x, fit(moments(x, n_cells)), n_cells), n_features)
+    most = F.max(F.coalesce(F.col("value").cast("double"), F.lit(float("inf")))).alias("most")
+    of = counts.where("feature_id is not null").groupBy("feature_id").agg(F.count_if(F.col("value") > 0).alias("detected"), *sums(), most)
+    of = cut(with_moments(of.where((F.col("detected") >= min_cells) & (F.col("s") > 0)), n_cells), "moments")
+    fitted, beyond = cut(fit(of), "fit"), F.col("most") > _limit(n_cells)
+    clipped = standardized_variance(counts, cut(fitted.where(beyond), "beyond"), n_cells)
+    return top_features(fitted.where(~beyond).select("feature_id", _norm_var(n_cells)).union(clipped), n_features)
 
 
 def quadratic_fit(feature_moments: DataFrame) -> DataFrame:
     """feature_id, mean, var, sd_hat by one quadratic of log10 var on log10 mean: closed form, so SQL can follow it."""
-    m = feature_moments.where("var > 0 and mean > 0").select("feature_id", "mean", "var", F.log10("mean").alias("x"), F.log10("var").alias("y"))
+    m = feature_moments.where("var > 0 and mean > 0").select("*", F.log10("mean").alias("x"), F.log10("var").alias("y"))
     x, y = F.col("x"), F.col("y")
     s = m.agg(F.count("*").cast("double").alias("n"), *(F.sum(F.pow(x, k)).alias(f"x{k}") for k in (1, 2, 3, 4)), *(F.sum(F.pow(x, k) * y).alias(f"y{k}") for k in (0, 1, 2)))
     c = lambda e: F.expr(e)
@@ -89,7 +99,7 @@ def quadratic_fit(feature_moments: DataFrame) -> DataFrame:
         c(f"(n * (y1 * x4 - x3 * y2) - y0 * (x1 * x4 - x3 * x2) + x2 * (x1 * y2 - y1 * x2)) / {det}").alias("b"),
         c(f"(n * (x2 * y2 - y1 * x3) - x1 * (x1 * y2 - y1 * x2) + y0 * (x1 * x3 - x2 * x2)) / {det}").alias("c"),
     )
-    return m.crossJoin(F.broadcast(s)).select("feature_id", "mean", "var", F.sqrt(F.pow(F.lit(10.0), F.col("a") + F.col("b") * x + F.col("c") * x * x)).alias("sd_hat"))
+    return m.crossJoin(F.broadcast(s)).select(*feature_moments.columns, F.sqrt(F.pow(F.lit(10.0), F.col("a") + F.col("b") * x + F.col("c") * x * x)).alias("sd_hat"))
 
 
 def dispersions(counts: DataFrame, cells: DataFrame, batch: str, bins: int = 20) -> DataFrame:

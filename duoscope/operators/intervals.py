@@ -105,9 +105,10 @@ def body_overlaps(genes: DataFrame, peaks: DataFrame, upstream: int = 2_000) ->
 def gene_activity(atac: DataFrame, overlaps: DataFrame) -> DataFrame:
     """(cell_id, gene, value): the counts of the peaks that overlap a gene, as often as they do.
 
-    atac: cell_id, peak, value. Repeated overlaps are counted first, so that a count row joins once per (gene, peak).
+    atac: cell_id, peak, value. Repeated overlaps are counted first, so that a count row joins once per (gene, peak). The
+    counts are many times the pairs and are not sorted to meet them.
     """
-    times = overlaps.groupBy("gene", "peak").agg(F.count("*").alias("times"))
+    times = overlaps.groupBy("gene", "peak").agg(F.count("*").alias("times")).hint("shuffle_hash")
     return atac.join(times, "peak").groupBy("cell_id", "gene").agg(F.sum(F.col("value") * F.col("times")).alias("value"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duoscope.functions.names import standardize_peak
-from duoscope.functions.tables import cut
+from duoscope.functions.tables import cut, release
 from duoscope.operators import communities, correlate, donors, embed, filters, harmony, hvg, intervals, motifs, neighbors, normalize, qc, sampling, triplets
 from duoscope.sources.readers import peak_sequences
 
@@ -98,24 +98,31 @@ def integrate_unpaired(rna: DataFrame, atac: DataFrame, rna_cells: DataFrame, at
 
     rna: cell_id, gene, value; atac: cell_id, peak, value; *_cells: cell_id, donor_id, cell_type. Cell ids of the two
     modalities are told apart by a prefix within the joint embedding. Totals are taken after the genes are subset.
+
+    The counts of either modality are made once and written, as several steps read them; cells and donors are written
+    too, so that Spark knows how few they are beside the counts.
     """
-    usable = donors.classify(rna_cells, atac_cells, min_cells=min_cells)
+    usable = cut(donors.classify(rna_cells, atac_cells, min_cells=min_cells), "donors")
     good = usable.where("has_both").select("donor_id")
-    rc, ac = rna_cells.join(good, "donor_id", "left_semi"), atac_cells.join(good, "donor_id", "left_semi")
-    r, a = rna.join(rc.select("cell_id"), "cell_id", "left_semi"), atac.join(ac.select("cell_id"), "cell_id", "left_semi")
-    activity = intervals.gene_activity(a, intervals.body_overlaps(genes, a.select("peak").distinct()))
-    activity = cut(activity, "activity")
-    r = r.withColumnRenamed("gene", "feature_id")
-    drawn = sampling.per_donor(rc, "donor_id", "cell_id").select("cell_id")
-    top = hvg.select_variable(r.join(drawn, "cell_id", "left_semi"), drawn.count(), n_hvgs).select("feature_id")
+    rc, ac = (cut(c.join(good, "donor_id", "left_semi"), "cells") for c in (rna_cells, atac_cells))
+    a = cut(atac.join(ac.select("cell_id"), "cell_id", "left_semi"), "counts")
+    peaks = cut(a.select("peak").distinct(), "peaks")  # else names would be parsed for each count, before they are distinct
+    activity = cut(intervals.gene_activity(a, intervals.body_overlaps(genes, peaks)), "activity")
+    release(a, peaks)
+    r = cut(rna.join(rc.select("cell_id"), "cell_id", "left_semi").withColumnRenamed("gene", "feature_id"), "counts")
+    drawn = sampling.per_donor(rc, "donor_id", "cell_id")
+    some = r if drawn is rc else r.join(cut(drawn.select("cell_id"), "drawn"), "cell_id", "left_semi")
+    top = hvg.select_variable(some, drawn.count(), n_hvgs).select("feature_id")
     shared = cut(top.intersect(activity.select(F.col("gene").alias("feature_id")).distinct()), "shared")
     if (n := shared.count()) < least_shared:
         raise ValueError(f"{n} shared genes; {least_shared} are wanted")
     tag = lambda d, m: d.select(F.concat(F.lit(f"{m}:"), F.col("cell_id").cast("string")).alias("cell_id"), "feature_id", "value")
-    both = [normalize.log1p(normalize.total(d.join(shared, "feature_id", "left_semi"))) for d in (tag(r, "rna"), tag(activity.withColumnRenamed("gene", "feature_id"), "atac"))]
+    of = lambda d: d.join(shared, "feature_id", "left_semi")
+    both = [normalize.log1p(normalize.total(d)) for d in (tag(of(r), "rna"), tag(of(activity.withColumnRenamed("gene", "feature_id")), "atac"))]
     e, _ = embed.svd(both[0].union(both[1]), n_pcs)
     e = e.select("cell_id", F.element_at(F.split("cell_id", ":"), 1).alias("batch"), F.slice("vec", 1, dims).alias("vec"))
     e = cut(e, "embedding")  # each iteration reads it
+    release(r, activity)
     h = harmony.harmony(e, lam=lam).withColumn("m", F.element_at(F.split("cell_id", ":"), 1)).withColumn("cell", F.regexp_replace("cell_id", "^[a-z]+:", ""))
     side = lambda m, c: h.where(F.col("m") == m).join(c.select(F.col("cell_id").cast("string").alias("cell"), "donor_id", "cell_type"), "cell").select(F.col("cell").alias("cell_id"), "donor_id", "cell_type", "vec")
     pairs = neighbors.cross_modal(side("rna", rc), side("atac", ac))
