@@ -97,7 +97,8 @@ def integrate_unpaired(rna: DataFrame, atac: DataFrame, rna_cells: DataFrame, at
     """Gene activity, shared variable genes, one embedding of both modalities, batch correction, and pairs per donor.
 
     rna: cell_id, gene, value; atac: cell_id, peak, value; *_cells: cell_id, donor_id, cell_type. Cell ids of the two
-    modalities are told apart by a prefix within the joint embedding. Totals are taken after the genes are subset.
+    modalities are told apart by a prefix within the joint embedding. Totals are taken after the genes are subset. The variable
+    genes are those of all cells: sums of a gene cost no more memory, however many cells there are.
 
     The counts of either modality are made once and written, as several steps read them; cells and donors are written
     too, so that Spark knows how few they are beside the counts.
@@ -110,9 +111,7 @@ def integrate_unpaired(rna: DataFrame, atac: DataFrame, rna_cells: DataFrame, at
     activity = cut(intervals.gene_activity(a, intervals.body_overlaps(genes, peaks)), "activity")
     release(a, peaks)
     r = cut(rna.join(rc.select("cell_id"), "cell_id", "left_semi").withColumnRenamed("gene", "feature_id"), "counts")
-    drawn = sampling.per_donor(rc, "donor_id", "cell_id")
-    some = r if drawn is rc else r.join(cut(drawn.select("cell_id"), "drawn"), "cell_id", "left_semi")
-    top = hvg.select_variable(some, drawn.count(), n_hvgs).select("feature_id")
+    top = hvg.select_variable(r, rc.count(), n_hvgs).select("feature_id")
     shared = cut(top.intersect(activity.select(F.col("gene").alias("feature_id")).distinct()), "shared")
     if (n := shared.count()) < least_shared:
         raise ValueError(f"{n} shared genes; {least_shared} are wanted")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from duoscope.operators import embed, hvg, intervals
+from duoscope.operators import embed, hvg, intervals, sampling
 from duoscope.operators.normalize import moments
 from duoscope.plans import phases
 
@@ -42,6 +42,28 @@ def test_unpaired_counts_are_made_once(spark, monkeypatch):
     assert all("Aggregate" not in p._jdf.queryExecution().optimizedPlan().toString() for p in names) and len(names) == 1
 
 
+def test_unpaired_genes_are_those_of_all_cells(spark, monkeypatch):
+    """However many cells there are: with a limit of 20 the genes came from some of the 80."""
+    r = np.random.RandomState(7)
+    x = r.poisson(2.0, (80, 12)) + 1
+    rows = [(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(x)]
+    rna = spark.createDataFrame([(i, f"g{j}", v) for i, j, v in rows], "cell_id long, gene string, value double")
+    atac = spark.createDataFrame([(i, f"chr1:{1000 * j}-{1000 * j + 500}", v) for i, j, v in rows], "cell_id long, peak string, value double")
+    genes = spark.createDataFrame([("chr1", 1000 * j, 1000 * j + 400, "+", f"g{j}") for j in range(12)], "chrom string, start long, end long, strand string, gene_name string")
+    cells = spark.createDataFrame([(i, "one" if i < 40 else "two", "t") for i in range(80)], "cell_id long, donor_id string, cell_type string")
+    real, seen = hvg.select_variable, []
+
+    def select(counts, n_cells, *args):
+        seen.append((n_cells, counts.select("cell_id").distinct().count()))
+        return real(counts, n_cells, *args)
+
+    monkeypatch.setattr(hvg, "select_variable", select)
+    per_donor = sampling.per_donor
+    monkeypatch.setattr(sampling, "per_donor", lambda df, donor, key: per_donor(df, donor, key, 20))
+    phases.integrate_unpaired(rna, atac, cells, cells, genes, n_hvgs=10, n_pcs=3, dims=2, least_shared=3, min_cells=2)
+    assert seen == [(80, 80)]
+
+
 def test_variable_features_in_two_passes(spark):
     """As by clipping all counts; features with and without counts beyond their limit, missing counts, and too few counts."""
     r = np.random.RandomState(5)
