@@ -187,3 +187,17 @@ def test_many_neighbours_take_few_blocks(spark, monkeypatch):
         best = np.lexsort((np.arange(n), d[i]))[:40]
         assert [found[i, at + 1] for at in range(40)] == [(int(j), float(d[i, j])) for j in best]
     assert sizes[0] > 128
+
+
+def test_distances_of_pairs_shuffle_no_vector_a_pair(spark):
+    """Pairs that repeat count once, pairs without a vector are left out; the vectors' columns don't follow the pairs."""
+    r = np.random.RandomState(8)
+    x, y = r.rand(50, 3), r.rand(50, 4)
+    vectors = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(50)], "id long, a array<double>, b array<double>")
+    some = [(int(i), int(j), int(i + j)) for i, j in r.randint(0, 55, (400, 2))]
+    pairs = spark.createDataFrame(some + some[:30], "src int, dst int, n int")
+    found = neighbors.pair_distances(pairs, vectors, ("a", "b"))
+    got = {(v.src, v.dst): (v.n, v.d_a, v.d_b) for v in found.collect()}
+    want = {(i, j): (n, np.linalg.norm(x[i] - x[j]), np.linalg.norm(y[i] - y[j])) for i, j, n in some if max(i, j) < 50}
+    assert got.keys() == want.keys() and found.count() == len(want) and all(np.allclose(got[p], want[p], atol=1e-9) for p in want)
+    assert found.where("src = 60").count() == 0 and neighbors.pair_distances(pairs.limit(0), vectors, ("a",)).count() == 0
