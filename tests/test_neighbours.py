@@ -193,7 +193,7 @@ def test_distances_of_pairs_shuffle_no_vector_a_pair(spark):
     """Pairs that repeat count once, pairs without a vector are left out; the vectors' columns don't follow the pairs."""
     r = np.random.RandomState(8)
     x, y = r.rand(50, 3), r.rand(50, 4)
-    vectors = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(50)], "id long, a array<double>, b array<double>")
+    vectors = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(50)] + [(50, None, [0.0] * 4)], "id long, a array<double>, b array<double>")
     some = [(int(i), int(j), int(i + j)) for i, j in r.randint(0, 55, (400, 2))]
     pairs = spark.createDataFrame(some + some[:30], "src int, dst int, n int")
     found = neighbors.pair_distances(pairs, vectors, ("a", "b"))
